@@ -3,7 +3,7 @@
 Dictionaries come from a bounded sample of labelled rows (``dict_bytes`` a language, taken from the rows with the
 smallest hashes of their ids among at most ``sample_rows`` of each language); a rank limit in Spark keeps that sample
 bounded in every task. Every whole text is then encoded in pieces of ``piece_bytes``, so that its own content does not
-drown the dictionary. ``score`` is 1 minus the ratio of the winner's size to the runner-up's, scaled to 0..1 by
+drown the dictionary; letters are lower-cased on both sides. ``score`` is 1 minus the ratio of the winner's size to the runner-up's, scaled to 0..1 by
 ``tanh``; a text is rejected when it has no letter or its relative margin is under ``min_margin``.
 
 Null or letterless text: ``und``, score 0, rejected. No learned language: every row is ``und``. Null labels are not
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DICT_BYTES = 48 << 10
+DICT_BYTES = 100 << 10
 SAMPLE_ROWS = 256
-PIECE_BYTES = 4096
-MIN_MARGIN = 0.002
+PIECE_BYTES = 1024
+LEVEL = 6
+MIN_MARGIN = 0.0005
 LETTER = r"\p{L}"
 
 
@@ -35,7 +36,7 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sample = cut.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_rows)
     taken: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["r"])):
-        taken.setdefault(row["lang"], []).append(row["text"].encode("utf-8", "replace"))
+        taken.setdefault(row["lang"], []).append(row["text"].lower().encode("utf-8", "replace"))
     return {lang: b"\n".join(texts)[:dict_bytes] for lang, texts in taken.items()}
 
 
@@ -50,10 +51,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     def run(batches):
         import zstandard
 
-        encoders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False) for b in blobs]
-        for e in encoders:
-            with_dict = getattr(e, "compress")
-            with_dict(b"warm")
+        encoders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False) for b in blobs]
         calls = [e.compress for e in encoders]
         for batch in batches:
             pred, score, margin, rejected = [], [], [], []
@@ -63,7 +61,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 if not has or not calls:
                     pred.append("und"), score.append(0.0), margin.append(0.0), rejected.append(True)
                     continue
-                text = cell.as_py()
+                text = cell.as_py().decode("utf-8").lower().encode("utf-8")
                 sizes = [0] * len(calls)
                 for at in range(0, len(text), piece_bytes):
                     piece = text[at : at + piece_bytes]
