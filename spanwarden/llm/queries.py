@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, mixing, token_output
+from . import byte_dedup, exact_dedup, html_extract, language_id, mixing, substring_dedup, token_output
 from .common import read
 
 
@@ -30,6 +31,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_dedup.dedup_bytes(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_words(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -47,5 +57,27 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id)
 """
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+p AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+w AS (
+  SELECT d.doc_id, s.i, array_to_string(d.words[s.i : s.i + 12], ' ') AS win
+  FROM d, LATERAL (SELECT unnest(range(1, len(d.words) - 11)) AS i) s
+),
+f AS (SELECT win, min(doc_id) AS first_doc FROM w GROUP BY win),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN f USING (win) WHERE f.first_doc < w.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, range(13) r(k)),
+kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS text FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY p.doc_id
+),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
