@@ -2,7 +2,8 @@
 
 Numbers, title-case names and units become typed placeholders, other words are lower-cased and lose their outer
 punctuation. Windows of ``window`` canonical words of the documents are hash-joined with the items' windows, so a
-re-parameterised question still matches its item. Slot consistency tells it from a chance match: a slot value of the
+re-parameterised question still matches its item. Windows are also joined with names as ordinary words, which finds
+copies in another case. Slot consistency tells it from a chance match: a slot value of the
 item should meet one value in the document and the other way round; ``slot_agreement`` is the share of slots that do.
 
 A document is contaminated by an item when matched windows make up at least ``min_share`` of the item's and
@@ -51,11 +52,13 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def canonical_words(text: Column) -> Column:
+def canonical_words(text: Column, names: bool = True) -> Column:
+    """``names``: whether title-case words become placeholders; the places of words are the same with and without."""
     start, rest = r"(?<![^\x20\x09-\x0D])[\p{P}\p{S}]*", r"[^\x20\x09-\x0D]*"
     t = _lone_marks_out(text)
     t = F.regexp_replace(t, start + r"\p{Nd}" + rest, NUMBER)
-    t = F.regexp_replace(t, start + r"\p{Lu}\p{Ll}" + rest, NAME)
+    if names:
+        t = F.regexp_replace(t, start + r"\p{Lu}\p{Ll}" + rest, NAME)
     t = _bare(F.lower(t))
     t = F.regexp_replace(t, r"(?<![^\x20\x09-\x0D])(?:" + UNITS.replace(" ", "|") + r")(?![^\x20\x09-\x0D])", UNIT)
     return _split(t)
@@ -66,10 +69,18 @@ def raw_words(text: Column) -> Column:
     return _split(_bare(F.lower(_lone_marks_out(text))))
 
 
-def _windows(words: Column, length: int) -> Column:
+def _windows(words: Column, length: int, named: bool) -> Column:
     """Hashes of all windows; their place is their index."""
     n = F.size(words) - (length - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, length))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(named), F.slice(words, i, length))))
+
+
+def _longest_pair(piece: Column, length: Column) -> Column:
+    """Hash of the longest two neighbouring words of letters only, or null."""
+    size = length - 1
+    pairs = F.zip_with(F.slice(piece, F.lit(1), size), F.slice(piece, F.lit(2), size), lambda a, b: F.struct((F.length(a) + F.length(b)).alias("n"), a.alias("a"), b.alias("b")))
+    longest = F.array_max(F.filter(pairs, lambda p: p["a"].rlike(LETTERS) & p["b"].rlike(LETTERS)))
+    return F.when(longest.isNotNull(), F.xxhash64(longest["a"], longest["b"]))
 
 
 def _candidates(docs: DataFrame, known: DataFrame, min_share: float) -> DataFrame | None:
@@ -99,29 +110,30 @@ def _candidates(docs: DataFrame, known: DataFrame, min_share: float) -> DataFram
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_agreement: float = MIN_AGREEMENT, min_literal: int = MIN_LITERAL) -> DataFrame:
     """One row per contaminated (doc_id, item_id): n_matched, n_windows, share, n_slots, slot_agreement."""
     slots = [NUMBER, NAME, UNIT]
-    items = items.select(F.col(item_col).alias("item_id"), canonical_words(F.col(item_text_col)).alias("words"), raw_words(F.col(item_text_col)).alias("raw")).filter("item_id IS NOT NULL")
+    said = F.col(item_text_col)
+    items = items.select(F.col(item_col).alias("item_id"), canonical_words(said).alias("words"), canonical_words(said, names=False).alias("plain"), raw_words(said).alias("raw")).filter("item_id IS NOT NULL")
     items = items.withColumn("length", F.least(F.size("words"), F.lit(window))).filter(F.col("length") >= SHORTEST)
     n = F.size("words") - F.col("length") + 1
-    at = items.select("item_id", "words", "length", n.alias("n_windows"), F.explode(F.sequence(F.lit(1), n)).alias("item_pos"))
-    piece = F.slice("words", F.col("item_pos"), F.col("length"))
-    known = at.filter(F.size(F.filter(piece, lambda w: ~w.isin(slots))) >= F.least(F.lit(min_literal), F.col("length") - 1))
-    size = F.col("length") - 1
-    pairs = F.zip_with(F.slice(piece, F.lit(1), size), F.slice(piece, F.lit(2), size), lambda a, b: F.struct((F.length(a) + F.length(b)).alias("n"), a.alias("a"), b.alias("b")))
-    longest = F.array_max(F.filter(pairs, lambda p: p["a"].rlike(LETTERS) & p["b"].rlike(LETTERS)))
-    known = known.select(F.xxhash64(piece).alias("key"), "item_id", "item_pos", "length", "n_windows", F.when(longest.isNotNull(), F.xxhash64(longest["a"], longest["b"])).alias("word"))
+    at = items.select("item_id", "words", "plain", "length", n.alias("n_windows"), F.explode(F.sequence(F.lit(1), n)).alias("item_pos"))
+    literal = lambda piece: F.size(F.filter(piece, lambda w: ~w.isin(slots))) >= F.least(F.lit(min_literal), F.col("length") - 1)
+    at = at.withColumns({c: F.slice(c, F.col("item_pos"), F.col("length")) for c in ("words", "plain")}).withColumns({"by_name": literal(F.col("words")), "by_word": literal(F.col("plain"))})
+    at = materialize(at.filter("by_name OR by_word").withColumn("word", F.when(F.col("by_name"), _longest_pair(F.col("words"), F.col("length"))).otherwise(_longest_pair(F.col("plain"), F.col("length")))), "item-windows")
+    keyed = lambda c, named: at.filter("by_name" if named else "by_word").select(F.xxhash64(F.lit(named), c).alias("key"), "item_id", "item_pos", "length", "n_windows")
+    known = keyed("words", True).unionAll(keyed("plain", False))
     sizes = {r["length"]: r["count"] for r in known.groupBy("length").count().collect()}  # at most window rows
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    some = _candidates(texts, known, min_share)
+    some = _candidates(texts, at, min_share)
     if some is not None:
         texts = materialize(texts.join(some, "doc_id", "left_semi"), "candidates")
-    whole = texts.select("doc_id", canonical_words(F.col("text")).alias("words"))
+    whole = texts.select("doc_id", canonical_words(F.col("text")).alias("words"), canonical_words(F.col("text"), names=False).alias("plain"))
     hits = None
     for length in sorted(sizes) or [window]:
-        probe = whole.select("doc_id", F.posexplode(_windows(F.col("words"), length)).alias("pos", "key"))
-        side = known.filter(F.col("length") == length).drop("length", "word")
-        found = probe.join(F.broadcast(side) if small else side, "key").select("doc_id", "item_id", (F.col("pos") + 1).alias("doc_pos"), "item_pos", F.lit(length).alias("length"), "n_windows")
-        hits = found if hits is None else hits.unionAll(found)
+        side = known.filter(F.col("length") == length).drop("length")
+        for column, named in (("words", True), ("plain", False)):
+            probe = whole.select("doc_id", F.posexplode(_windows(F.col(column), length, named)).alias("pos", "key"))
+            found = probe.join(F.broadcast(side) if small else side, "key").select("doc_id", "item_id", (F.col("pos") + 1).alias("doc_pos"), "item_pos", F.lit(length).alias("length"), "n_windows")
+            hits = found if hits is None else hits.unionAll(found)
     pairs = hits.groupBy("doc_id", "item_id").agg(
         F.count_distinct("item_pos").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.first("length").alias("length"),
         F.collect_set(F.struct("item_pos", "doc_pos")).alias("places"),
