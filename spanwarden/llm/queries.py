@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, decontamination, exact_dedup, html_extract, language_id, mixing, ngram_join, substring_dedup, token_output
+from . import byte_dedup, decontamination, exact_dedup, html_extract, language_id, lm_score, mixing, ngram_join, substring_dedup, token_output
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(read(spark, sf_dir, "documents"))
 
