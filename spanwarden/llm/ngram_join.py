@@ -11,7 +11,7 @@ symmetric difference is then at most a third of the smaller set.
   band too. The order puts segments of rare shingles first, by 2^20 counters over the whole corpus; these have a fixed
   size and steer speed only.
 * A second sketch of ``BITS`` parity bits bounds the symmetric difference from below by its Hamming distance and rejects
-  candidates before they are verified on whole sets.
+  candidates before they are verified on whole sets; sets of more than ``WIDE`` shingles have a longer one as well.
 * In a bucket of at most ``SMALL`` sets all pairs are candidates. In a larger one each set is paired with the first and with
   its predecessor; once components are known, every pair of sets of such a bucket in two components is compared
   (``_rest``), so the classes are those of all links while a hot bucket's links inside one class are not listed.
@@ -40,7 +40,9 @@ LONGS = BITS // 64
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
 SMALL = 32
-TINY = 64
+TINY = 128
+WIDE = 512
+BLOOM_BITS = 1 << 23
 _U = np.uint64
 
 
@@ -63,8 +65,24 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(mix(a + np.bitwise_xor.reduce(hashes)).view(np.int64)[0])
 
 
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """Parity bits, at least two for each shingle; the bit is the hash modulo their number, so halves fold by XOR."""
+    bits = 1 << (2 * len(hashes) - 1).bit_length()
+    return np.packbits((np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """Distance of two wide sketches, the longer one folded to the length of the other."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _info(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, set_id long, n long, " + ", ".join(f"s{i} long" for i in range(LONGS))
+    schema = "doc_id long, set_id long, n long, wide binary, " + ", ".join(f"s{i} long" for i in range(LONGS))
 
     def run(batches):
         for batch, texts in groups(batches):
@@ -74,7 +92,7 @@ def _info(docs: DataFrame) -> DataFrame:
                 bits[i] = np.bincount((s >> _U(54)).astype(np.int64), minlength=BITS) & 1
             longs = np.packbits(bits, axis=1).view(np.int64)
             ids = [fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS))], names=["doc_id", "set_id", "n", *(f"s{i}" for i in range(LONGS))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_sketch(s) if len(s) > WIDE else None for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS))], names=["doc_id", "set_id", "n", "wide", *(f"s{i}" for i in range(LONGS))])
 
     return docs.mapInArrow(run, schema)
 
@@ -115,10 +133,10 @@ def _as_second(batches):
 
 
 def _band(n: int) -> int:
-    """Segments of a sketch: a power of four of at least twice the size; tiny sets have one for each shingle."""
-    p = 256
-    while n > TINY and p < 2 * n:
-        p *= 4
+    """Segments of a sketch: a power of sixteen of at least twice the size; tiny sets have one for each shingle."""
+    p = 4096
+    while p < 2 * n:
+        p *= 16
     return p if n > TINY else 1 << 40
 
 
@@ -250,16 +268,56 @@ def _near(percent: int):
     return test
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, near, percent: int) -> DataFrame:
+    """The pairs whose sizes, then sketches, then (of large sets) wide sketches allow a link."""
+    sketch = [f"s{i}" for i in range(LONGS)]
+
+    def both(rows: DataFrame, *columns: str) -> DataFrame:
+        for c in ("a", "b"):
+            rows = rows.join(sets.select(F.col("set_id").alias(c), F.struct(*columns).alias(f"_{c}")), c)
+        return rows
+
+    n, m = F.col("_a.n"), F.col("_b.n")
+    pairs = both(pairs, "n").filter((n * 100 >= m * percent) & (m * 100 >= n * percent)).select("a", "b")
+    pairs = materialize(both(pairs, "n", *sketch).filter(near("_a", "_b")).select("a", "b", F.least(n, m).alias("n")), "pairs")
+
+    def run(batches):
+        for batch in batches:
+            na, nb, wa, wb = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [hamming(x, y) * (100 + percent) <= (p + q) * (100 - percent) for p, q, x, y in zip(na, nb, wa, wb, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    large = both(pairs.filter(F.col("n") > WIDE).select("a", "b"), "n", "wide").select("a", "b", n.alias("na"), m.alias("nb"), F.col("_a.wide").alias("wa"), F.col("_b.wide").alias("wb"))
+    return pairs.filter(F.col("n") <= WIDE).select("a", "b").unionAll(large.mapInArrow(run, "a long, b long"))
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each id, ``BLOOM_BITS`` in all, gathered a word at a time: at most a megabyte."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
+    words = ids.select(bit.alias("bit")).selectExpr("CAST(bit DIV 64 AS INT) AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS v").groupBy("w").agg(F.bit_or("v").alias("v"))
+    got = words.toArrow()
+    out = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-    chosen = sets.select("set_id", F.col("first_doc").alias("doc_id")).join(wanted, "set_id")
+    # a fixed-size filter lets the scan itself make the sets of (nearly) only the wanted documents; no text is shuffled
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(sets.join(wanted, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id"))))
 
     def build(batches):
-        for batch, texts_ in groups(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in shingle_sets(texts_)], pa.binary())], names=["set_id", "hashes"])
-
-    whole = docs.join(chosen, "doc_id").select("doc_id", "set_id", "text").mapInArrow(build, "set_id long, hashes binary").repartition(parts(docs.sparkSession), "set_id")
+        have = bits.value
+        for batch in batches:
+            at = batch.column(1).to_numpy(zero_copy_only=False)
+            for part, texts in groups(iter([batch.filter(pa.array((have[at >> 6] >> (at & 63)) & 1 == 1))])):
+                made = [s for s in shingle_sets(texts) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["set_id", "hashes"])
+
+    hashed = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("at"))
+    whole = hashed.mapInArrow(build, "set_id long, hashes binary").join(wanted, "set_id", "left_semi")
+    whole = whole.repartition(parts(docs.sparkSession), "set_id")
     joined = pairs.join(whole.select(F.col("set_id").alias("b"), F.col("hashes").alias("hb")), "b").join(whole.select(F.col("set_id").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha", "hb")
 
     def run(batches):
@@ -273,7 +331,7 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) ->
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _rest(found: DataFrame, labels: DataFrame, sets: DataFrame, near) -> DataFrame:
@@ -281,7 +339,7 @@ def _rest(found: DataFrame, labels: DataFrame, sets: DataFrame, near) -> DataFra
     rows = found.filter("key IS NOT NULL").select("key", F.col("a").alias("set_id")).join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "set_id"))
     main = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    rows = materialize(rows.join(main.select("key", "main"), "key").join(sets, "set_id"), "large-buckets")
+    rows = materialize(rows.join(main.select("key", "main"), "key").join(sets.drop("wide"), "set_id"), "large-buckets")
     x, y = rows.filter("component <> main").alias("x"), rows.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near("x", "y"))
     return cross.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
@@ -293,16 +351,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = _near(percent)
     info = materialize(_info(docs), "sets")
     sketch = [f"s{i}" for i in range(LONGS)]
-    sets = info.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in sketch])
+    sets = info.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("wide").alias("wide"), *[F.first(c).alias(c) for c in sketch])
     sets = materialize(sets, "distinct-sets")
     known = docs.filter("doc_id IS NOT NULL")
-    found = materialize(_bucket_pairs(_keys(known, _levels(known))), "candidates")
-    pairs = found.filter("key IS NULL").select("a", "b").distinct()
-    side = lambda c: sets.select(F.col("set_id").alias(c), F.struct("n", *sketch).alias(f"_{c}"))
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(near("_a", "_b")).select("a", "b"), "pairs")
+    found = materialize(_bucket_pairs(_keys(known, _levels(known))).distinct(), "candidates")
+    pairs = found.filter("key IS NULL").select("a", "b")
+    pairs = materialize(_likely(pairs, sets, near, percent), "pairs")
     links = materialize(_verify(known, sets, pairs, percent), "links")
     labels = components(links)
-    more = materialize(_rest(found, labels, sets, near).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_likely(_rest(found, labels, sets, near).join(pairs, ["a", "b"], "left_anti"), sets, near, percent), "pairs")
     if more.limit(1).count():
         more = materialize(_verify(known, sets, more, percent), "links")
         if more.limit(1).count():
