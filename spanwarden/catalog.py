@@ -1,11 +1,584 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the library and, for each, the SQL that gives the same rows.
+
+The documents become a made-up file tree (``sources.files.documents_as_files``), so the scan runs on the given tables.
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import paths, text
+from .operators import judged, privacy, reports, rules, scan, structure
+from .schemas import SEVERITIES, severity_rank
+from .sources import files as src
+from .streaming import events as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the corpus as files -------------------------------------------------------------------------------------------
+
+MARKS = {1: " # noqa", 2: " # noqa: corpus/exposure/email", 3: " // scan:disable=card-number, licence-line", 4: " # scan:disable"}
+
+
+def _case(on: str, values, otherwise: str | None = None) -> str:
+    pairs = values.items() if isinstance(values, dict) else enumerate(values)
+    return f"CASE {on} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in pairs) + (f" ELSE '{otherwise}'" if otherwise is not None else "") + " END"
+
+
+def _any(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}', 'i')" for p in patterns) + ")"
+
+
+_PATH = f"{_case('doc_id % 5', src._DIRS)} || '/' || source || '/doc_' || doc_id || {_case('doc_id % 6', src._SUFFIXES)}"
+_LANG = "CASE regexp_extract(file_path, '([.][^./]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGES.items()) + " END"
+_TEST, _MIGRATION = _any("file_path", paths.TEST_PATHS), _any("file_path", paths.MIGRATION_PATHS)
+_CONF = f"CASE WHEN {_TEST} THEN CAST(0.3 AS DOUBLE) WHEN {_MIGRATION} THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END"
+_SPLIT = r"regexp_split_to_array(coalesce(content, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
+_FILES = f"WITH files AS (SELECT doc_id, {_PATH} AS file_path, text AS content FROM documents),\nctx AS (SELECT *, {_LANG} AS language, {_TEST} AS in_test_file, {_CONF} AS confidence FROM files)"
+_LINES = f"""{_FILES},
+parts AS (SELECT *, {_SPLIT} AS p0 FROM ctx),
+cut AS (SELECT *, CASE WHEN p0[len(p0)] = '' THEN p0[1:len(p0) - 1] ELSE p0 END AS p FROM parts),
+plain AS (SELECT doc_id, file_path, language, in_test_file, confidence, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM cut),
+lines AS (SELECT doc_id, file_path, language, in_test_file, confidence, CAST(line_no AS INTEGER) AS line_no, line || {_case('doc_id % 7', MARKS, '')} AS line FROM plain)"""
+
+
+@lru_cache
+def _packs() -> tuple[rules.Pack, ...]:
+    return tuple(rules.load_pack_directory(Path(__file__).parent / "packs"))
+
+
+def _exposure() -> rules.Pack:
+    return next(p for p in _packs() if p.id == "corpus/exposure")
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    return src.documents_as_files(table(spark, sf_dir, "documents"))
+
+
+def _marked_lines(spark, sf_dir) -> DataFrame:
+    lines = text.explode_lines(scan.with_context(_files(spark, sf_dir)))
+    mark = None
+    for k, v in MARKS.items():
+        mark = F.when(F.col("doc_id") % 7 == k, v) if mark is None else mark.when(F.col("doc_id") % 7 == k, v)
+    return lines.withColumn("line", F.concat("line", mark.otherwise("")))
+
+
+def _violations(spark, sf_dir) -> DataFrame:
+    return scan.scan(_files(spark, sf_dir), [_exposure()], lines=_marked_lines(spark, sf_dir))
+
+
+def _quoted(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def _rule_sql(pack: rules.Pack, rule: rules.Rule, seq: int) -> str:
+    full = pack.full_id(rule)
+    match = "CASE " + " ".join(f"WHEN regexp_matches(line, {_quoted(p)}, 'i') THEN regexp_extract(line, {_quoted(p)}, 0, 'i')" for p in rule.patterns) + " END"
+    where = ["(" + " OR ".join(f"regexp_matches(line, {_quoted(p)}, 'i')" for p in rule.patterns) + ")"]
+    where += [f"NOT regexp_matches(line, {_quoted(p)}, 'i')" for p in rule.exclude_patterns]
+    if rule.skip_tests:
+        where.append("NOT in_test_file")
+    if "*" not in rule.languages:
+        where.append("language IN (" + ", ".join(map(_quoted, rule.languages)) + ")")
+    slug = rule.id
+    for head, ids in ((r"(?:#|//)\s*noqa(?::\s*([\w/,.\-\s]+))?", [full]), (r"(?:#|//)\s*scan:disable(?:=\s*([\w/,.\-\s]+))?", [full, slug])):
+        named = f"regexp_extract(line, '{head}', 1, 'i')"
+        hit = " OR ".join(f"list_contains(list_transform(string_split({named}, ','), lambda x: trim(x)), {_quoted(i)})" for i in ids)
+        where.append(f"NOT (regexp_matches(line, '{head}', 'i') AND ({named} = '' OR {hit}))")
+    secret = text.redacts(rule.id, rule.tags)
+    shown = "'[REDACTED]'" if secret else "m"
+    message = f"replace(replace(replace({_quoted(rule.message)}, '{{file}}', file_path), '{{line}}', CAST(line_no AS VARCHAR)), '{{match}}', {shown})"
+    snippet = "left(line, col_start - 1) || '[REDACTED]' || substr(line, col_start + length(m))" if secret else "line"
+    severity = "CASE WHEN in_test_file THEN 'MEDIUM' ELSE " + _quoted(rule.severity) + " END" if SEVERITIES.index(rule.severity) < 2 else _quoted(rule.severity)
+    return f"""SELECT {seq} AS rule_seq, '{full}' AS rule_id, {_quoted(rule.name)} AS rule_name, {severity} AS severity, file_path, line_no AS line_start, CAST(col_start AS INTEGER) AS col_start, CAST(col_start + length(m) AS INTEGER) AS col_end,
+ {message} AS message, left(regexp_replace({snippet}, '^\\s+|\\s+$', '', 'g'), 200) AS snippet, {_quoted(rule.fix_hint)} AS fix_hint, confidence, in_test_file
+ FROM (SELECT *, strpos(line, m) AS col_start FROM (SELECT *, {match} AS m FROM lines WHERE {' AND '.join(where)}))"""
+
+
+_V = _LINES + ",\nv AS (\n" + "\nUNION ALL\n".join(_rule_sql(_exposure(), r, i) for i, r in enumerate(_exposure().rules)) + ")"
+_RANK = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITIES)) + " END"
+_FINGER = r"substr(sha256(rule_id || '|' || replace(file_path, '\', '/') || '|' || lower(regexp_replace(snippet, '^\s+|\s+$', '', 'g'))), 1, 16)"
+
+
+# --- path functions ---------------------------------------------------------------------------------------------------
+
+@query(f"{_FILES} SELECT file_path, language FROM ctx")
+def detect_language(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_path", paths.detect_language(F.col("file_path")).alias("language"))
+
+
+@query(f"{_FILES} SELECT file_path, in_test_file FROM ctx")
+def is_test_file(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_path", paths.is_test_file(F.col("file_path")).alias("in_test_file"))
+
+
+@query(f"{_FILES} SELECT file_path, {_MIGRATION} AS is_migration FROM ctx")
+def migration_file(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_path", paths.is_migration_file(F.col("file_path")).alias("is_migration"))
+
+
+@query(f"{_FILES} SELECT file_path, confidence FROM ctx")
+def confidence(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_path", paths.confidence(F.col("file_path")).alias("confidence"))
+
+
+@query(f"{_FILES} SELECT file_path, " + " OR ".join(f"regexp_full_match(file_path, '{paths.glob_regex(g)}')" for g in paths.IGNORED) + " AS ignored FROM ctx")
+def ignored_paths(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_path", paths.is_ignored(F.col("file_path")).alias("ignored"))
+
+
+@query(f"{_FILES} SELECT language, count(*) AS n FROM ctx WHERE language IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(file_path) LIMIT 1")
+def dominant_language(spark, sf_dir):
+    return structure.dominant_language(_files(spark, sf_dir))
+
+
+# --- lines and the rule scan ------------------------------------------------------------------------------------------
+
+@query(f"{_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM plain")
+def lines_explode(spark, sf_dir):
+    return text.explode_lines(_files(spark, sf_dir), "content", "doc_id")
+
+
+@query(f"{_LINES} SELECT file_path, string_agg(printf('%4d | %s', line_no, line), chr(10) ORDER BY line_no) AS numbered FROM (SELECT file_path, line_no, line FROM plain) GROUP BY 1")
+def numbered_source(spark, sf_dir):
+    return text.numbered(text.explode_lines(_files(spark, sf_dir), "content", "file_path"), "file_path")
+
+
+@query(f"{_FILES} SELECT file_path, CAST(length(content) // 4 AS INTEGER) AS tokens FROM files WHERE length(content) // 4 <= 4000")
+def token_budget(spark, sf_dir):
+    return judged.within_budget(_files(spark, sf_dir)).select("file_path", text.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query(f"{_V} SELECT rule_id, count(*) AS n, count(DISTINCT file_path) AS n_files FROM v GROUP BY 1")
+def pattern_scan_hits(spark, sf_dir):
+    return _violations(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path").alias("n_files"))
+
+
+@query(f"{_V} SELECT rule_id, file_path, line_start, col_start, col_end, severity, message, confidence, in_test_file FROM v")
+def pattern_scan_spans(spark, sf_dir):
+    return _violations(spark, sf_dir).select("rule_id", "file_path", "line_start", "col_start", "col_end", "severity", "message", "confidence", "in_test_file")
+
+
+@query(f"{_V} SELECT rule_id, file_path, line_start, snippet FROM v")
+def snippet_redacted(spark, sf_dir):
+    return _violations(spark, sf_dir).select("rule_id", "file_path", "line_start", "snippet")
+
+
+def _redact_sql(column: str) -> str:
+    for p in text.SECRETS:
+        column = f"regexp_replace({column}, {_quoted(p)}, '[REDACTED]', 'g')"
+    return column
+
+
+@query(f"{_LINES} SELECT doc_id, line_no, {_redact_sql('line')} AS redacted FROM lines WHERE contains(line, 'token') OR contains(line, 'key')")
+def redact_secrets(spark, sf_dir):
+    return _marked_lines(spark, sf_dir).filter(F.col("line").contains("token") | F.col("line").contains("key")).select("doc_id", "line_no", text.redact_secrets(F.col("line")).alias("redacted"))
+
+
+@query(f"{_LINES} SELECT count(*) FILTER (WHERE regexp_matches(line, '[0-9]{{16}}')) AS hits, count(*) FILTER (WHERE regexp_matches(line, '[0-9]{{16}}') AND regexp_matches(line, '[0-9a-f]{{32}}', 'i')) AS excluded FROM lines")
+def exclude_patterns(spark, sf_dir):
+    line, rule = F.col("line"), _exposure().rules[0]
+    hit, out = line.rlike(rules.java_regex(rule.patterns[0])), line.rlike(rules.java_regex(rule.exclude_patterns[0]))
+    return _marked_lines(spark, sf_dir).agg(F.count_if(hit).alias("hits"), F.count_if(hit & out).alias("excluded"))
+
+
+def _suppressed_sql(head: str, ids: list[str]) -> str:
+    named = f"regexp_extract(line, '{head}', 1, 'i')"
+    hit = " OR ".join(f"list_contains(list_transform(string_split({named}, ','), lambda x: trim(x)), '{i}')" for i in ids)
+    return f"{_LINES} SELECT doc_id, line_no FROM lines WHERE regexp_matches(line, '{head}', 'i') AND ({named} = '' OR {hit})"
+
+
+@query(_suppressed_sql(r"(?:#|//)\s*noqa(?::\s*([\w/,.\-\s]+))?", ["corpus/exposure/email"]))
+def noqa_suppress(spark, sf_dir):
+    return _marked_lines(spark, sf_dir).filter(scan.noqa_suppresses(F.col("line"), "corpus/exposure/email")).select("doc_id", "line_no")
+
+
+@query(_suppressed_sql(r"(?:#|//)\s*scan:disable(?:=\s*([\w/,.\-\s]+))?", ["corpus/exposure/card-number", "card-number"]))
+def inline_disable(spark, sf_dir):
+    return _marked_lines(spark, sf_dir).filter(scan.directive_suppresses(F.col("line"), "corpus/exposure/card-number")).select("doc_id", "line_no")
+
+
+@query(f"{_V} SELECT severity, in_test_file, count(*) AS n FROM v GROUP BY 1, 2")
+def severity_cap(spark, sf_dir):
+    return _violations(spark, sf_dir).groupBy("severity", "in_test_file").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SEV = "(VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(SEVERITIES)) + ") s(severity, rank)"
+
+
+@query(f"{_V} SELECT s.severity, s.rank, coalesce(n, 0) AS n FROM {_SEV} LEFT JOIN (SELECT severity, count(*) AS n FROM v GROUP BY 1) USING (severity)")
+def by_severity(spark, sf_dir):
+    return scan.by_severity(_violations(spark, sf_dir))
+
+
+@query(f"{_V} SELECT regexp_replace(rule_id, '/[^/]*$', '') AS pack_id, count(*) AS n FROM v GROUP BY 1")
+def by_pack(spark, sf_dir):
+    return scan.by_pack(_violations(spark, sf_dir))
+
+
+@query(f"{_V} SELECT CASE WHEN min({_RANK}) <= 0 THEN 'failed' WHEN min({_RANK}) <= 1 THEN 'warned' ELSE 'passed' END AS status, count(*) AS total_violations FROM v")
+def gate_status(spark, sf_dir):
+    return scan.gate(_violations(spark, sf_dir))
+
+
+_HTML = r"""WITH files AS (SELECT 'pages/' || page_id || '.conf' AS file_path, html AS content FROM pages),
+l AS (SELECT file_path, unnest(regexp_split_to_array(coalesce(content, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) AS line FROM files)
+SELECT file_path, count(*) FILTER (WHERE regexp_matches(line, '[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}', 'i')) AS emails, count(*) FILTER (WHERE regexp_matches(line, 'licen[cs]e|copyright', 'i')) AS licences FROM l GROUP BY 1"""
+
+
+@query(_HTML)
+def pages_scan(spark, sf_dir):
+    lines = text.explode_lines(src.pages_as_files(table(spark, sf_dir, "pages")))
+    return lines.groupBy("file_path").agg(F.count_if(F.col("line").rlike(r"(?iU)[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}")).alias("emails"), F.count_if(F.col("line").rlike(r"(?iU)licen[cs]e|copyright")).alias("licences"))
+
+
+@query("SELECT 'conversations/' || conv_id || '.md' AS file_path, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY conv_id")
+def conversation_files(spark, sf_dir):
+    return src.conversations_as_files(table(spark, sf_dir, "conversations"))
+
+
+# --- baselines and renderings -------------------------------------------------------------------------------------------
+
+@query(f"{_V} SELECT rule_id, file_path, line_start, {_FINGER} AS fingerprint FROM v")
+def fingerprint(spark, sf_dir):
+    return _violations(spark, sf_dir).select("rule_id", "file_path", "line_start", text.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet")).alias("fingerprint"))
+
+
+_ANTI = f"{_V}, k AS (SELECT *, {_FINGER} AS fingerprint FROM v), n AS (SELECT * FROM k WHERE fingerprint NOT IN (SELECT fingerprint FROM k WHERE line_start % 2 = 1))"
+
+
+def _new(spark, sf_dir):
+    v = _violations(spark, sf_dir)
+    return scan.without_known(v, scan.baseline_of(v.filter(F.col("line_start") % 2 == 1)))
+
+
+@query(f"{_ANTI} SELECT rule_id, file_path, line_start, fingerprint FROM n")
+def baseline_anti_join(spark, sf_dir):
+    return _new(spark, sf_dir).select("rule_id", "file_path", "line_start", "fingerprint")
+
+
+@query(f"{_ANTI} SELECT rule_id, count(*) AS n FROM n GROUP BY 1")
+def baseline_new_by_rule(spark, sf_dir):
+    return _new(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_V} SELECT rule_id, CAST(row_number() OVER (ORDER BY f, s, l) - 1 AS INTEGER) AS rule_index FROM (SELECT rule_id, arg_min(file_path, (file_path, rule_seq, line_start)) AS f, arg_min(rule_seq, (file_path, rule_seq, line_start)) AS s, arg_min(line_start, (file_path, rule_seq, line_start)) AS l FROM v GROUP BY 1)")
+def sarif_rule_index(spark, sf_dir):
+    return reports.rule_index(_violations(spark, sf_dir))
+
+
+@query(f"{_V} SELECT place, CAST(place // 50 AS INTEGER) AS batch, file_path AS path, line_start AS start_line, {_case('severity', {_quoted(k): v for k, v in reports.ANNOTATION_LEVEL.items()})} AS annotation_level, '[' || severity || '] ' || rule_name AS title FROM (SELECT *, row_number() OVER (ORDER BY file_path, rule_seq, line_start) - 1 AS place FROM v)")
+def annotation_batches(spark, sf_dir):
+    return reports.annotations(_violations(spark, sf_dir)).select("place", "batch", "path", "start_line", "annotation_level", "title")
+
+
+@query(f"{_V} SELECT file_path, line_start, severity, rule_id, message, fix_hint FROM v WHERE confidence >= 0.5 ORDER BY {_RANK}, file_path, line_start, rule_id LIMIT 40")
+def review_top40(spark, sf_dir):
+    return reports.review_comments(_violations(spark, sf_dir))
+
+
+@query(f"""{_V}, s AS (SELECT *, CASE WHEN confidence < 0.5 THEN 'low' WHEN in_test_file THEN 'test' ELSE 'production' END AS section FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE section WHEN 'production' THEN {_RANK} ELSE 0 END, file_path, rule_seq, line_start) AS place FROM s),
+k AS (SELECT * FROM r WHERE place <= CASE section WHEN 'production' THEN 30 WHEN 'test' THEN 20 ELSE 15 END)
+SELECT section, CAST(place AS INTEGER) AS place, severity, section = 'production' AND severity IN ('CRITICAL', 'HIGH') AND row_number() OVER (PARTITION BY section, severity ORDER BY place) <= 10 AS detailed, rule_id, file_path, line_start FROM k""")
+def comment_budget(spark, sf_dir):
+    return reports.comment_rows(_violations(spark, sf_dir)).select("section", "place", "severity", "detailed", "rule_id", "file_path", "line_start")
+
+
+@query(f"{_V} SELECT '::' || CASE WHEN {_RANK} <= 0 THEN 'error' ELSE 'warning' END || ' file=' || file_path || ',line=' || line_start || '::[' || rule_id || '] ' || left(message, 200) AS ci FROM v")
+def ci_annotations(spark, sf_dir):
+    return reports.ci_lines(_violations(spark, sf_dir)).select("ci")
+
+
+@query(f"{_V} SELECT severity, {_case('severity', {_quoted(k): v for k, v in reports.SARIF_LEVEL.items()})} AS level, count(*) AS n FROM v GROUP BY 1, 2")
+def sarif_levels(spark, sf_dir):
+    v = _violations(spark, sf_dir)
+    return v.groupBy("severity", reports.lookup(reports.SARIF_LEVEL, F.col("severity")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- recorded model answers ---------------------------------------------------------------------------------------------
+
+_CANDIDATES = [("a.py", "p/r1", 3, "x"), ("a.py", "p/r2", 9, "y"), ("tests/a.py", "p/r1", 5, "z"), ("b.py", "p/unknown", 1, "w"), ("b.py", "p/r1", 700, "u")]
+_REVIEWED = [("a.py", "p/r1", 3, "keep", 0.9, 0), ("a.py", "p/r1", 3, "keep", 0.8, 1), ("a.py", "p/r2", 9, "reject", 0.9, 2), ("tests/a.py", "p/r1", 5, "KEEP", None, 3), ("b.py", "p/unknown", 1, "keep", 0.9, 4), ("b.py", "p/r1", 700, "keep", 0.65, 5)]
+
+
+def _values(rows, cols: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else _quoted(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") AS t({cols})"
+
+
+@query(f"""WITH c AS (SELECT * FROM {_values(_CANDIDATES, 'file_path, rule_id, line_start, message')}), r AS (SELECT * FROM {_values(_REVIEWED, 'file_path, rule_id, line_start, verdict, adjusted, seq')})
+SELECT c.file_path, c.rule_id, c.line_start, c.message, CAST(k.confidence AS DOUBLE) AS confidence FROM c JOIN (SELECT file_path, rule_id, line_start, arg_max(coalesce(adjusted, 0.7), seq) AS confidence FROM r WHERE lower(verdict) = 'keep' GROUP BY 1, 2, 3) k USING (file_path, rule_id, line_start)""")
+def critic_semi_join(spark, sf_dir):
+    c = spark.createDataFrame(_CANDIDATES, "file_path string, rule_id string, line_start int, message string")
+    r = spark.createDataFrame(_REVIEWED, "file_path string, rule_id string, line_start int, verdict string, adjusted_confidence double, seq int")
+    return judged.critic_keeps(c, r).select("file_path", "rule_id", "line_start", "message", "confidence")
+
+
+@query(f"""WITH k AS (SELECT * FROM {_values([("a.py", "p/r1", 3, 20, 0.9), ("tests/a.py", "p/r1", 5, 6, 0.9), ("b.py", "p/r1", 700, 900, 0.65), ("b.py", "p/r1", 0, 2, 0.5), ("b.py", "p/x", 1, 1, 0.9)], 'file_path, rule_id, line_start, line_end, conf')}),
+j AS (SELECT file_path, rule_id, greatest(1, least(line_start, 100)) AS s, line_end, CAST(conf AS DOUBLE) AS conf FROM k WHERE rule_id = 'p/r1')
+SELECT file_path, rule_id, CAST(s AS INTEGER) AS line_start, CAST(greatest(s, least(line_end, 100)) AS INTEGER) AS line_end, CASE WHEN {_TEST} THEN least(conf, CAST(0.3 AS DOUBLE)) ELSE conf END AS confidence FROM j WHERE {_TEST} OR conf >= 0.6""")
+def judged_findings(spark, sf_dir):
+    k = spark.createDataFrame([("a.py", "p/r1", 3, 20, 0.9), ("tests/a.py", "p/r1", 5, 6, 0.9), ("b.py", "p/r1", 700, 900, 0.65), ("b.py", "p/r1", 0, 2, 0.5), ("b.py", "p/x", 1, 1, 0.9)], "file_path string, rule_id string, line_start int, line_end int, confidence double")
+    known = spark.createDataFrame([("p/r1", "one", "HIGH", None)], "rule_id string, name string, severity string, fix_hint string")
+    counts = spark.createDataFrame([("a.py", 100), ("b.py", 100), ("tests/a.py", 100)], "file_path string, n_lines int")
+    return judged.findings(k, known, counts).select("file_path", "rule_id", "line_start", "line_end", "confidence")
+
+
+@query(f"""{_V}, n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rule_seq, line_start) - 1 AS idx FROM v)
+SELECT rule_id, file_path, line_start, CASE WHEN idx = 0 THEN greatest(CAST(0.1 AS DOUBLE), confidence - CAST(0.5 AS DOUBLE)) ELSE confidence END AS confidence, CASE WHEN idx = 0 THEN message || ' (sample data)' ELSE message END AS message FROM n""")
+def enhancer_apply(spark, sf_dir):
+    v = _violations(spark, sf_dir)
+    answers = v.select("file_path").distinct().select("file_path", F.lit(0).alias("idx"), F.lit(True).alias("false_positive"), F.lit("sample data").alias("reason"), F.lit(None).cast("string").alias("better_hint"), F.lit(None).cast("string").alias("reference"))
+    return judged.enhance(v, answers).select("rule_id", "file_path", "line_start", "confidence", "message")
+
+
+# --- structure and privacy ----------------------------------------------------------------------------------------------
+
+_MODELS = [("Patient", "m.py", 1, False, False), ("Doctor", "m.py", 20, True, False), ("AuditLog", "m.py", 40, False, False), ("Consent", "m.py", 60, False, True), ("ChildProfile", "m.py", 80, False, False)]
+_FIELDS = [("Patient", "name", "CharField", False), ("Patient", "aadhaar", "EncryptedCharField", True), ("Patient", "date_of_birth", "DateField", False), ("Patient", "expires_at", "DateField", False), ("Doctor", "email", "EmailField", False), ("AuditLog", "at", "DateField", False)]
+_PII = [("Patient", "name", "PII", "name"), ("Patient", "aadhaar", "SENSITIVE_PII", "id"), ("Patient", "date_of_birth", "SENSITIVE_PII", "birth"), ("Doctor", "email", "PII", "mail"), ("AuditLog", "at", "NOT_PII", "time")]
+_ENDPOINTS = [("/patients", ["GET", "POST", "DELETE"], "PatientViewSet", "app/v.py", 5, ["Patient"], ["Patient"], ["Patient"], True, "PatientViewSet"), ("/doctors", ["GET", "POST"], "DoctorView", "app/v.py", 9, ["Doctor"], ["Doctor"], [], False, "DoctorView")]
+_PATHS = [("Visit", "patient", "Patient", "PROTECT", True, "m.py", 3), ("Bill", "patient", "Patient", "CASCADE", False, "m.py", 4)]
+_LIBS = [("sentry_sdk.integrations", None, "s.py", 1, "monitoring"), ("cryptography.fernet", None, "s.py", 2, "encryption")]
+#: What some documents of the made-up tree say besides, so that the searches find something.
+_SAYS = {1: "retention_policy = 30", 2: "DB_HOST = x.rds.amazonaws.com", 3: "AWS_REGION = ap-south-1", 4: "if age >= 18:", 5: "parental_consent = True", 6: "beat_schedule = 1", 7: "incident_response()"}
+
+
+def _code(spark, sf_dir) -> dict[str, DataFrame]:
+    extra = None
+    for k, v in _SAYS.items():
+        extra = F.when(F.col("doc_id") % 61 == k, f"\n{v}") if extra is None else extra.when(F.col("doc_id") % 61 == k, f"\n{v}")
+    files = _files(spark, sf_dir).withColumn("content", F.concat("content", extra.otherwise("")))
+    return {
+        "files": files,
+        "models": spark.createDataFrame([(n, f, line, [], d, s) for n, f, line, d, s in _MODELS], "name string, file string, line int, base_classes array<string>, has_delete_method boolean, has_soft_delete boolean"),
+        "fields": spark.createDataFrame(_FIELDS, "model string, name string, field_type string, is_encrypted boolean"),
+        "endpoints": spark.createDataFrame(_ENDPOINTS, "path string, http_methods array<string>, handler string, file string, line int, models_read array<string>, models_written array<string>, models_deleted array<string>, requires_auth boolean, viewset_class string"),
+        "delete_paths": spark.createDataFrame(_PATHS, "source_model string, field_name string, target_model string, on_delete string, is_blocker boolean, file string, line int"),
+        "libraries": spark.createDataFrame(_LIBS, "module string, alias string, file string, line int, category string"),
+    }
+
+
+def _pii(spark) -> DataFrame:
+    return spark.createDataFrame(_PII, "model string, field string, classification string, reason string")
+
+
+_CODE = f"""WITH base AS (SELECT doc_id, {_PATH} AS file_path, text || {"CASE doc_id % 61 " + " ".join(f"WHEN {k} THEN chr(10) || '{v}'" for k, v in _SAYS.items()) + " ELSE '' END"} AS content FROM documents),
+py AS (SELECT * FROM base WHERE file_path LIKE '%.py'),
+fields AS (SELECT * FROM {_values(_FIELDS, 'model, name, field_type, is_encrypted')}), pii AS (SELECT * FROM {_values(_PII, 'model, field, classification, reason')}),
+personal AS (SELECT DISTINCT model FROM pii WHERE classification IN ('PII', 'SENSITIVE_PII')), models AS (SELECT * FROM {_values(_MODELS, 'name, file, line, has_delete, has_soft')}), libs AS (SELECT * FROM {_values(_LIBS, 'module, alias, file, line, category')})"""
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(map(_quoted, values)) + ")"
+
+
+def _status(df: DataFrame) -> DataFrame:
+    return df.select("section", "status", F.size("blockers").cast("int").alias("n_blockers"))
+
+
+@query(f"""{_CODE}, j AS (SELECT coalesce(f.is_encrypted, FALSE) AS e FROM pii p LEFT JOIN fields f ON f.model = p.model AND f.name = p.field WHERE p.classification IN ('PII', 'SENSITIVE_PII'))
+SELECT '§8(4)' AS section, CASE WHEN count(*) FILTER (NOT e) = 0 THEN 'COMPLIANT' WHEN count(*) FILTER (e) = 0 THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS status, CAST(least(10, count(*) FILTER (NOT e)) AS INTEGER) AS n_blockers FROM j""")
+def encryption_status(spark, sf_dir):
+    return _status(privacy.encryption(_code(spark, sf_dir), _pii(spark)))
+
+
+@query(f"""{_CODE} SELECT '§8(5)' AS section, CASE WHEN n > 0 OR (SELECT count(*) FROM py WHERE {_any('content', privacy.RETENTION_POLICY)}) > 0 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS status, CAST(0 AS INTEGER) AS n_blockers
+FROM (SELECT count(*) AS n FROM fields JOIN personal USING (model) WHERE lower(name) IN {_in(privacy.RETENTION_FIELDS)})""")
+def retention_status(spark, sf_dir):
+    return _status(privacy.retention(_code(spark, sf_dir), _pii(spark)))
+
+
+@query(f"""{_CODE} SELECT file_path, CASE WHEN {" WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.RETENTION_POLICY)} END AS policy, CASE WHEN {" WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.SCHEDULERS)} END AS scheduler
+FROM py WHERE {_any('content', privacy.RETENTION_POLICY + privacy.SCHEDULERS)}""")
+def retention_evidence(spark, sf_dir):
+    found = privacy.evidence(_code(spark, sf_dir)["files"], {"policy": privacy.RETENTION_POLICY, "scheduler": privacy.SCHEDULERS})
+    return found.select("file_path", *[F.regexp_replace(c, r"^\d+: ", "").alias(c) for c in ("policy", "scheduler")])
+
+
+@query(f"""{_CODE} SELECT '§8(6)' AS section, CASE WHEN (SELECT count(*) FROM libs WHERE split_part(module, '.', 1) IN {_in(privacy.ALERTING)}) > 0 OR (SELECT count(*) FROM models WHERE {_any('name', privacy.AUDIT_MODELS)}) > 0 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS status, CAST(0 AS INTEGER) AS n_blockers""")
+def breach_status(spark, sf_dir):
+    return _status(privacy.breach(_code(spark, sf_dir), _pii(spark)))
+
+
+_FIRST_CHILD = "CASE WHEN " + " WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.CHILD) + " END"
+
+
+@query(f"""{_CODE}, f AS (SELECT {_any('content', privacy.AGE_GATE)} AS gate, {_FIRST_CHILD} AS first FROM py),
+n AS (SELECT count(*) FILTER (gate) AS gates, count(*) FILTER (regexp_matches(first, '(parental|guardian).?consent', 'i')) AS parental, (SELECT count(*) FROM fields JOIN personal USING (model) WHERE lower(name) IN {_in(privacy.AGE_FIELDS)}) AS ages FROM f)
+SELECT '§9' AS section, CASE WHEN gates > 0 AND parental > 0 THEN 'PARTIAL' WHEN ages > 0 AND gates = 0 THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS status, CAST(CASE WHEN ages > 0 AND gates = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_blockers FROM n""")
+def children_status(spark, sf_dir):
+    return _status(privacy.children(_code(spark, sf_dir), _pii(spark)))
+
+
+@query(f"""{_CODE}, f AS (SELECT * FROM base WHERE regexp_matches(file_path, '([.]py|[.]ya?ml|[.]toml|[.]ini|[.]env|[.]conf)$', 'i')),
+l AS (SELECT unnest(string_split(content, chr(10))) AS line FROM f),
+r AS (SELECT count(*) FILTER ({_any('line', ['|'.join(privacy.INDIAN_REGIONS)])}) AS home, count(*) FILTER ({_any('line', [privacy.FOREIGN_REGIONS])}) AS abroad FROM l WHERE {_any('line', privacy.REGIONS)}),
+n AS (SELECT count(*) FILTER ({_any('content', privacy.REGIONS + privacy.STORAGE + privacy.DATABASES)}) AS said FROM f)
+SELECT '§11' AS section, CASE WHEN said = 0 THEN 'UNKNOWN' WHEN home > 0 AND abroad = 0 THEN 'COMPLIANT' ELSE 'PARTIAL' END AS status, CAST(CASE WHEN abroad > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_blockers FROM r, n""")
+def localisation_status(spark, sf_dir):
+    return _status(privacy.localisation(_code(spark, sf_dir), _pii(spark)))
+
+
+@query(f"{_CODE} SELECT model FROM personal WHERE model NOT IN ('Patient')")
+def erasure_coverage(spark, sf_dir):
+    code, personal = _code(spark, sf_dir), privacy.pii_models(_pii(spark)).select("model")
+    covered = privacy.touching(code["endpoints"].filter(F.array_contains("http_methods", "DELETE")), personal, "models_deleted").select("model").distinct()
+    return personal.join(covered, "model", "left_anti")
+
+
+@query("SELECT * FROM (VALUES ('§4', 'UNKNOWN', 1), ('§5', 'UNKNOWN', 1), ('§7(3)', 'UNKNOWN', 1)) t(section, status, llm_calls_made)")
+def judged_sections(spark, sf_dir):
+    code, pii = _code(spark, sf_dir), _pii(spark)
+    return privacy.report(code, pii, (privacy.consent, privacy.minimisation, privacy.erasure)).select("section", "status", "llm_calls_made")
+
+
+@query(f"{_CODE} SELECT count(*) AS total, count(*) FILTER (classification = 'PII') AS pii, count(*) FILTER (classification = 'SENSITIVE_PII') AS sensitive, count(*) FILTER (classification = 'INDIRECT') AS indirect, count(*) FILTER (classification NOT IN ('PII', 'SENSITIVE_PII', 'INDIRECT')) AS not_pii, (SELECT count(*) FROM personal) AS pii_models FROM pii")
+def pii_stats(spark, sf_dir):
+    return privacy.pii_stats(_pii(spark))
+
+
+@query(f"{_CODE} SELECT (SELECT count(*) FROM models) AS models, (SELECT count(*) FROM models WHERE has_delete) AS with_delete, (SELECT count(*) FROM models WHERE has_soft) AS with_soft_delete, (SELECT count(*) FROM fields) AS fields, (SELECT count(*) FROM fields WHERE is_encrypted) AS encrypted_fields, CAST(2 AS BIGINT) AS endpoints, CAST(1 AS BIGINT) AS with_auth, (SELECT count(*) FROM libs) AS libraries")
+def codebase_stats(spark, sf_dir):
+    c = _code(spark, sf_dir)
+    return privacy.codebase_stats(c["models"], c["fields"], c["endpoints"], c["libraries"])
+
+
+@query("SELECT customer.c_custkey AS name, coalesce(nullif(list(o.o_orderstatus ORDER BY o.o_orderstatus) FILTER (o.o_orderstatus IS NOT NULL), []), ['none']) AS fields FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) o ON o.o_custkey = customer.c_custkey GROUP BY 1")
+def model_merge(spark, sf_dir):
+    have = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.array_sort(F.collect_set("o_orderstatus")).alias("fields"))
+    other = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.array(F.lit("none")).alias("fields"))
+    return structure.merge_models(have, other)
+
+
+@query("SELECT o_custkey AS name, arg_min(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS line FROM orders GROUP BY 1")
+def model_dedupe_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.lit("orders").alias("file"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("status"))
+    return structure._first(rows, "name").select("name", "status", "line")
+
+
+_MODULES = ["cryptography.fernet", "hashlib", "jwt.api", "jwtx", "boto3", "os.path", "sentry_sdk"]
+
+
+@query("SELECT * FROM (VALUES ('cryptography.fernet', 'encryption'), ('hashlib', 'hashing'), ('jwt.api', 'authentication'), ('boto3', 'cloud'), ('sentry_sdk', 'monitoring')) t(module, category)")
+def library_category(spark, sf_dir):
+    rows = spark.createDataFrame([("a.py", "import", None, m, i, None, None) for i, m in enumerate(_MODULES)], structure.ROW)
+    return structure.libraries(rows).select("module", "category")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, '/api/' || lower(replace(n_name, ' ', '_')) AS path FROM nation")
+def routes_join(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").cast("long").alias("k"), structure.join_route(F.lit("/api/"), F.concat(F.lit("/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("/"))).alias("path"))
+
+
+_CASCADES = ["models.CASCADE", "models.PROTECT", "models.SET_NULL", "DO_NOTHING", "x"]
+
+
+@query("SELECT * FROM (VALUES ('models.CASCADE', 'CASCADE'), ('models.PROTECT', 'PROTECT'), ('models.SET_NULL', 'SET_NULL'), ('DO_NOTHING', 'DO_NOTHING'), ('x', 'UNKNOWN')) t(expression, action)")
+def cascade_parse(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _CASCADES], "expression string").select("expression", structure.cascade(F.col("expression")).alias("action"))
+
+
+@query("SELECT DISTINCT p_type AS name, list_aggregate(list_transform(string_split(regexp_replace(replace(lower(p_type), ' ', '_'), 's+$', ''), '_'), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), 'string_agg', '') AS model FROM part")
+def table_to_model(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_type").distinct()
+    return p.select(F.col("p_type").alias("name"), text.model_from_table(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_"))).alias("model"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS said, CASE WHEN replace(upper(trim(o_orderpriority)), ' ', '_') IN ('PII', 'SENSITIVE_PII', 'INDIRECT', 'NOT_PII') THEN replace(upper(trim(o_orderpriority)), ' ', '_') ELSE 'NOT_PII' END AS class FROM orders")
+def classification_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("said")).distinct().select("said", privacy.normalise_classification(F.col("said")).alias("class"))
+
+
+# --- events -------------------------------------------------------------------------------------------------------------
+
+def _event_json(e: DataFrame) -> DataFrame:
+    action = F.when(F.col("event_type") == "click", "opened").when(F.col("event_type") == "view", "synchronize").when(F.col("event_type") == "signup", "labeled").otherwise("reopened")
+    body = F.struct(action.alias("action"), F.struct((F.col("user_id") % 50).cast("int").alias("number"), F.when(F.col("event_id") % 7 == 0, "closed").otherwise("open").alias("state"), (F.col("event_id") % 5 == 0).alias("draft"), F.struct(F.col("user_id").cast("string").alias("sha")).alias("head")).alias("pull_request"), F.struct(F.lit("o/r").alias("full_name")).alias("repository"), F.struct(F.lit(1).alias("id")).alias("installation"))
+    return e.select("event_id", "ts", F.to_json(body).alias("value"))
+
+
+_WANTED = "event_type <> 'signup' AND event_id % 7 <> 0 AND event_id % 5 <> 0"
+
+
+@query(f"SELECT event_id, coalesce({_WANTED}, FALSE) AS scan FROM events")
+def webhook_should_scan(spark, sf_dir):
+    return stream.parse(_event_json(table(spark, sf_dir, "events"))).select("event_id", stream.should_scan().alias("scan"))
+
+
+@query(f"SELECT 'o/r' AS repo, CAST(user_id % 50 AS INTEGER) AS number, CAST(user_id AS VARCHAR) AS sha, min(ts) AS ts FROM events WHERE {_WANTED} GROUP BY 1, 2, 3")
+def event_dedupe(spark, sf_dir):
+    return stream.to_scan(_event_json(table(spark, sf_dir, "events")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_rates(spark, sf_dir):
+    return stream.rates(table(spark, sf_dir, "events"))
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def installations_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    return reports.latest(e, "user_id", "ts")
+
+
+@query("SELECT event_type AS kind, CASE event_type WHEN 'click' THEN 'scan' WHEN 'view' THEN 'pong' ELSE 'ignored' END AS leads_to, count(*) AS n FROM events GROUP BY 1, 2")
+def event_routing(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "pull_request").when(F.col("event_type") == "view", "ping").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), stream.route(kind, F.lit("created")).alias("leads_to")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_FILES} SELECT file_path, content FROM ctx WHERE doc_id % 3 <> 0 AND language IS NOT NULL")
+def changed_files(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    status = F.when(F.col("doc_id") % 3 == 0, "removed").otherwise("modified")
+    return src.changed_files(f.select(F.col("file_path").alias("filename"), status.alias("status"), F.base64(F.encode("content", "utf-8")).alias("content")))
+
+
+@query(f"{_V} SELECT rule_id, file_path, line_start, {_RANK} AS rank FROM v")
+def severity_ranks(spark, sf_dir):
+    return _violations(spark, sf_dir).select("rule_id", "file_path", "line_start", severity_rank(F.col("severity")).alias("rank"))
+
+
+@query()
+def structure_extract(spark, sf_dir):
+    return structure.extract(_files(spark, sf_dir).select("file_path", "content"))
+
+
+@query()
+def sarif_results(spark, sf_dir):
+    return reports.sarif_results(_violations(spark, sf_dir)).select("result")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
-def queries() -> dict:
-    return {}
 
 
-def oracle_sql() -> dict:
-    return {}
