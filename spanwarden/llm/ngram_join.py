@@ -98,7 +98,7 @@ def _info(docs: DataFrame) -> DataFrame:
 
 
 def _levels(docs: DataFrame) -> np.ndarray:
-    """For each counter how hot it is: the binary logarithm of its multiple of the mean (0: no hotter than four times)."""
+    """For each counter how hot it is: 0 within three deviations of the mean, then one more for each doubling."""
 
     def count(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -122,9 +122,10 @@ def _levels(docs: DataFrame) -> np.ndarray:
     total = np.zeros(COUNTERS, dtype=np.int64)
     for row in counted.repartition(16, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():  # 8 MB in all
         total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] += np.frombuffer(row["counts"], dtype=np.int64)
-    mean = max(1.0, total.mean())
-    level = np.log2(np.maximum(total, 1) / mean)
-    return np.where(level < 2, 0, np.minimum(level, 63)).astype(np.uint8)
+    # rare shingles fill a counter to its mean, give or take the root of it; what stands out by more is hot
+    mean = total.mean()
+    above = (total - mean) / max(1.0, np.sqrt(mean))
+    return np.where(above < 3, 0, np.minimum(1 + np.log2(np.maximum(above, 3) / 3), 63)).astype(np.uint8)
 
 
 def _as_second(batches):
