@@ -64,9 +64,9 @@ def glob_regex(glob: str) -> str:
             out += ".*"
         elif c == "?":
             out += "."
-        elif c == "[" and (end := glob.find("]", i + 1)) >= 0:
-            body = glob[i:end].replace("\\", "\\\\")
-            out += "[" + ("^" + body[1:] if body[:1] == "!" else body) + "]"
+        elif c == "[" and (end := glob.find("]", i + 1 + (glob[i : i + 1] == "!"))) >= 0:
+            body = glob[i:end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out += "[" + ("^" + body[1:] if body[:1] == "!" else "\\" + body if body[:1] == "^" else body) + "]"
             i = end + 1
         else:
             out += "\\" + c if c in r".^$+{}()|\[]" else c
