@@ -52,7 +52,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts hold about ``limit`` bytes, with the texts as UTF-8 (null: empty)."""
-    for batch in batches:
+    for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
         column = batch.column(batch.schema.get_field_index(text))
         texts = column.cast(pa.large_binary()).to_pylist()
         start = size = 0
@@ -66,6 +66,13 @@ def groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = G
             yield batch.slice(start), texts[start:]
 
 
+def modest_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Rows here hold whole texts: fewer of them at a time than Spark's default keep Arrow's buffers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> _U(30))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 DICT_BYTES = 100 << 10
 SAMPLE_ROWS = 256
 PIECE_BYTES = 1024
@@ -42,6 +44,7 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE_BYTES, min_margin: float = MIN_MARGIN, keep: list[Column] | None = None) -> DataFrame:
     """Per row: the kept columns, lang_pred, score, margin, rejected."""
+    modest_batches(docs.sparkSession)
     langs = sorted(dictionaries)
     blobs = [dictionaries[x] for x in langs]
     kept = docs.select(*(keep or [F.col(id_col)]), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("__letters"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, groups, materialize, mix, parts, signed
+from .common import RangeHash, Words, groups, materialize, mix, modest_batches, parts, signed
 from .components import components
 
 SHINGLE = 5
@@ -349,6 +349,7 @@ def _rest(found: DataFrame, labels: DataFrame, sets: DataFrame, near) -> DataFra
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    modest_batches(docs.sparkSession)
     near = _near(percent)
     info = materialize(_info(docs), "sets")
     sketch = [f"s{i}" for i in range(LONGS)]
