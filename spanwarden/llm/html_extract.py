@@ -26,18 +26,20 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 CONTAINERS = frozenset("html body main article section div td blockquote table".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 SKIP_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|topbar|toolbar|masthead|header|footer|foot|sidebar|side|aside|rail|widget|widgets|banner|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|"
-    r"cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|trending|popular|"
-    r"comment|comments|commentlist|disqus|discussion|respond|reply|replies|breadcrumb|breadcrumbs|pagination|pager|hidden|print|skip|form|search)\d*(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|nav(?:bar|igation|links?|menu)|menus?|menu(?:bar|item|list)|topbar|toolbar|masthead|header|footer\w*|foot|sidebar\w*|side|aside|rail|widgets?|banner|ads?|ad(?:box|slot|unit|banner|sense)|adv|advert\w*|sponsor\w*|promo\w*|"
+    r"cookie\w*|consent|gdpr|notices?|notifications?|alerts?|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|share|sharing|share(?:bar|buttons?|links?)|social\w*|related\w*|recommend\w*|trending|popular|"
+    r"comments?|comment(?:list|box|form|section|thread|area)|disqus|discussion|respond|reply|replies|breadcrumbs?|pagination|pager|hidden|form|search)\d*(?=$|[\s_-])",
     re.IGNORECASE,
 )
-#: A class such as "article-header" or "post-header" belongs to the article.
-OWN_NAMES = re.compile(r"(?:article|post|entry|story|page|content)[_-]?(?:header|title|heading)", re.IGNORECASE)
+#: A class such as "article-header" belongs to the article, and "has-sidebar" says nothing of the element itself.
+OWN_NAMES = re.compile(r"(?:article|post|entry|story|page|content)[_-]?(?:header|title|heading)|(?:has|with|no|without)[_-]\w+(?:-\w+)*", re.IGNORECASE)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class _Page(HTMLParser):
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.stack: list[tuple[str, int, bool]] = []  # tag, container, whether it is skipped
         self.parents, self.kinds = [-1], ["root"]
         self.blocks: list[tuple[str, int, int, int]] = []  # text, container, tags, characters in links
@@ -81,6 +83,8 @@ class _Page(HTMLParser):
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.IGNORECASE):
             return True
+        if not self.by_name or tag in HEADINGS:
+            return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         return bool(names.strip()) and bool(SKIP_NAMES.search(OWN_NAMES.sub(" ", names)))
 
@@ -146,11 +150,18 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def extract_text(html: str | None) -> str:
-    page = _Page()
-    page.feed(html or "")
+def _parse(html: str, by_name: bool) -> _Page:
+    page = _Page(by_name)
+    page.feed(html)
     page.close()
     page._flush()
+    return page
+
+
+def extract_text(html: str | None) -> str:
+    page = _parse(html or "", True)
+    if not page.blocks:  # names that hide the whole page are not to be trusted
+        page = _parse(html or "", False)
     blocks = page.blocks
     if not blocks:
         return ""
@@ -163,7 +174,7 @@ def extract_text(html: str | None) -> str:
         while high and at >= 0:
             mass[at] += max(0, len(text) - linked)
             at = page.parents[at]
-    best = {i for i, kind in enumerate(page.kinds) if kind in ("article", "main") and mass[i]}
+    best = {i for i, kind in enumerate(page.kinds) if kind == "article" and mass[i]} or {i for i, kind in enumerate(page.kinds) if kind == "main" and mass[i]}
     named = bool(best)
     if not best:  # the deepest container that holds most of what the clusters hold
         best = {max((i for i in range(len(mass)) if mass[i] >= 0.7 * mass[0]), default=0)}
