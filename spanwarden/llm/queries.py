@@ -12,7 +12,7 @@ from .common import read
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(read(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,21 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT d.doc_id, CASE WHEN len(d.w) < 5 THEN 'all ' || array_to_string(d.w, ' ') ELSE array_to_string(d.w[k.i : k.i + 4], ' ') END AS g
+  FROM d, LATERAL (SELECT unnest(range(1, greatest(len(d.w) - 4, 1) + 1)) AS i) k WHERE len(d.w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.x, p.y FROM p JOIN n nx ON nx.doc_id = p.x JOIN n ny ON ny.doc_id = p.y WHERE 100 * p.c >= 75 * (nx.n + ny.n - p.c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
