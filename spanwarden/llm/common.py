@@ -66,11 +66,9 @@ def groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = G
             yield batch.slice(start), texts[start:]
 
 
-def modest_batches(spark: SparkSession, rows: int = 4000) -> None:
-    """Rows here hold whole texts: fewer of them at a time than Spark's default keep Arrow's buffers small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def modest_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Rows here hold whole texts and sets: smaller Arrow batches than Spark's default of 64 MB bound a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

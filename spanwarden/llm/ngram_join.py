@@ -325,7 +325,7 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) ->
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
+                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = np.concatenate((p, q))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())

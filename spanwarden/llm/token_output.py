@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, modest_batches, parts
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,6 +136,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     ``record`` holds ``n_tokens`` little-endian uint16 ids, padded with the end token to ``seq_len``.
     """
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     coded = _encode(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), tokenizer, seq_len)

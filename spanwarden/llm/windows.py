@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, RangeHash, Words, groups, materialize, mix, parts, signed
+from .common import BYTE_CODES, groups, materialize, mix, modest_batches, parts, RangeHash, signed, Words
 
 GROUP_ROWS = 20_000
 _U = np.uint64
@@ -279,6 +279,7 @@ def repeated_spans(kind: Kind, docs: DataFrame, finish: Callable, schema: str) -
 
     Rows that share an id count as one document; rows without an id are left out of the search.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(_first_seen(kind, _anchors(kind, docs)), "anchors")
     looks = seen.filter("gram IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram")).alias("looks"))
