@@ -119,3 +119,32 @@ def test_templates(spark, empty):
     assert {(r["doc_id"], r["item_id"], r["slot_agreement"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0)}
     assert decontamination.matches(empty, item).count() == 0
     assert decontamination.matches(spark.createDataFrame(said, "doc_id long, text string"), item.filter("false")).count() == 0
+
+
+def test_lm_seats_of_frequent_dishes_vary_as_customers_do():
+    import numpy as np
+
+    theta, d, base, rest, count, n = 1.0, 0.4, 0.3, 8.0, 1000, 3000
+    r, t = np.random.RandomState(3), np.ones(n)
+    for i in range(1, count):
+        new = (theta + d * (rest + t)) * base
+        t += r.random_sample(n) * (new + i - d * t) < new
+    got = lm_score.sample_tables(np.full(n, float(count)), np.full(n, base), theta, d, np.full(n, rest), np.arange(n, dtype=np.int64), 5)
+    assert got.mean() == pytest.approx(t.mean(), rel=0.03) and got.std() == pytest.approx(t.std(), rel=0.08)
+
+
+def test_lm_tables_are_the_parents_customers(spark):
+    counts = spark.createDataFrame([(x + "bc", s, 40.0) for x in "xyz" for s in "de"] + [("\n", "x", 9.0)], "ctx string, sym string, c double")
+    letters = lm_score.Letters(counts, 1)
+    levels = letters.sweep(counts, 1)
+    seats = [{(r["ctx"], r["sym"]): (r["c"], r["tables"]) for r in x.collect()} for x in levels]
+    for below, above in zip(seats, seats[1:]):
+        want = Counter()
+        for (ctx, sym), (_, tables) in below.items():
+            want[ctx[1:], sym] += tables
+        assert want.items() <= {k: c for k, (c, _) in above.items()}.items()
+    assert any(tables > 1 for x in seats[:-1] for _, tables in x.values())
+    total = Counter()
+    for r in letters.state.collect():
+        total[r["ctx"]] += r["p"]
+    assert all(0 < x < 1 for x in total.values())
