@@ -7,7 +7,8 @@ copies in another case. Slot consistency tells it from a chance match: a slot va
 item should meet one value in the document and the other way round; ``slot_agreement`` is the share of slots that do.
 
 A document is contaminated by an item when matched windows make up at least ``min_share`` of the item's and
-``slot_agreement`` reaches ``min_agreement``. An item of 5 to ``window`` - 1 words is one window of all its words; a shorter one
+``slot_agreement`` reaches ``min_agreement``. Both are judged for each occurrence of the item in the document
+and for all of them together, and the best is reported: a document may hold two variants of one item. An item of 5 to ``window`` - 1 words is one window of all its words; a shorter one
 matches nothing. Windows need ``min_literal`` literal words, so runs of names or numbers match nothing.
 
 Null texts match nothing; rows without an id are not checked; rows that repeat an id count as one document; extra
@@ -107,6 +108,24 @@ def _candidates(docs: DataFrame, known: DataFrame, min_share: float) -> DataFram
     return found.filter("n >= needed").select("doc_id").distinct()
 
 
+def _occurrences(pairs: DataFrame) -> DataFrame:
+    """The places of each pair by occurrence, and all of them as one: kind, number, places, n_matched, share.
+
+    Occurrences are read in two ways: places whose offsets (doc_pos minus item_pos) are neighbours, and stretches of
+    the document in which the place in the item does not go back (so words put in between do not part them).
+    """
+    at = pairs.select("doc_id", "item_id", "length", "n_windows", F.explode("places").alias("p"))
+    pair = WindowSpec.partitionBy("doc_id", "item_id")
+    offset, near = F.col("p.doc_pos") - F.col("p.item_pos"), F.floor(F.col("length") / 2)
+    by_offset, by_place = pair.orderBy(offset), pair.orderBy("p.doc_pos", "p.item_pos")
+    at = at.withColumns({"apart": (offset - F.lag(offset).over(by_offset) > near).cast("int"), "back": (F.lag("p.item_pos").over(by_place) - F.col("p.item_pos") > near).cast("int")})
+    at = at.withColumns({"cluster": F.sum(F.coalesce("apart", F.lit(0))).over(by_offset.rangeBetween(WindowSpec.unboundedPreceding, 0)), "stretch": F.sum(F.coalesce("back", F.lit(0))).over(by_place.rowsBetween(WindowSpec.unboundedPreceding, 0))})
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("long").alias("number")) for k, n in enumerate((F.lit(0), F.col("cluster"), F.col("stretch")))])
+    at = at.select("doc_id", "item_id", "length", "n_windows", "p", F.inline(kinds))
+    out = at.groupBy("doc_id", "item_id", "kind", "number").agg(F.first("length").alias("length"), F.first("n_windows").alias("n_windows"), F.count_distinct("p.item_pos").alias("n_matched"), F.collect_set("p").alias("places"))
+    return out.withColumn("share", F.col("n_matched") / F.col("n_windows"))
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_agreement: float = MIN_AGREEMENT, min_literal: int = MIN_LITERAL) -> DataFrame:
     """One row per contaminated (doc_id, item_id): n_matched, n_windows, share, n_slots, slot_agreement."""
     slots = [NUMBER, NAME, UNIT]
@@ -139,19 +158,23 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         F.collect_set(F.struct("item_pos", "doc_pos")).alias("places"),
     )
     pairs = pairs.withColumn("share", F.col("n_matched") / F.col("n_windows")).filter(F.col("share") >= min_share)
+    groups = _occurrences(pairs)
     # the slots: words of the item and of the document at matched places; below an explode each text is split once
-    found = pairs.join(items.select("item_id", F.col("words").alias("kinds"), "raw"), "item_id").join(texts, "doc_id")
-    found = found.withColumn("said", raw_words(F.col("text"))).select("doc_id", "item_id", "length", "kinds", "raw", "said", F.explode("places").alias("p"))
-    found = found.select("doc_id", "item_id", "kinds", "raw", "said", "p", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
+    key = ["doc_id", "item_id", "kind", "number"]
+    found = groups.filter(F.col("share") >= min_share).join(items.select("item_id", F.col("words").alias("kinds"), "raw"), "item_id").join(texts, "doc_id")
+    found = found.withColumn("said", raw_words(F.col("text"))).select(*key, "length", "kinds", "raw", "said", F.explode("places").alias("p"))
+    found = found.select(*key, "kinds", "raw", "said", "p", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
     i, d = F.col("p.item_pos") + F.col("k"), F.col("p.doc_pos") + F.col("k")
-    slots_at = found.filter(F.get("kinds", i - 1).isin(slots)).select("doc_id", "item_id", i.alias("i"), d.alias("d"), F.get("raw", i - 1).alias("a"), F.get("said", d - 1).alias("b")).distinct()
-    values = slots_at.groupBy("doc_id", "item_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    of_a, of_b = WindowSpec.partitionBy("doc_id", "item_id", "a"), WindowSpec.partitionBy("doc_id", "item_id", "b")
+    slots_at = found.filter(F.get("kinds", i - 1).isin(slots)).select(*key, i.alias("i"), d.alias("d"), F.get("raw", i - 1).alias("a"), F.get("said", d - 1).alias("b")).distinct()
+    values = slots_at.groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    of_a, of_b = WindowSpec.partitionBy(*key, "a"), WindowSpec.partitionBy(*key, "b")
     values = values.withColumn("as", F.count(F.lit(1)).over(of_a)).withColumn("bs", F.count(F.lit(1)).over(of_b))
-    agreed = values.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), F.sum(F.when((F.col("as") == 1) & (F.col("bs") == 1), F.col("n")).otherwise(0)).alias("agree"))
-    out = pairs.select("doc_id", "item_id", "n_matched", "n_windows", "share").join(agreed, ["doc_id", "item_id"], "left")
+    agreed = values.groupBy(*key).agg(F.sum("n").alias("n_slots"), F.sum(F.when((F.col("as") == 1) & (F.col("bs") == 1), F.col("n")).otherwise(0)).alias("agree"))
+    out = groups.filter(F.col("share") >= min_share).select(*key, "n_matched", "n_windows", "share").join(agreed, key, "left")
     out = out.select("doc_id", "item_id", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), "share", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.col("agree") / F.col("n_slots"), F.lit(1.0)).alias("slot_agreement"))
-    return out.filter(F.col("slot_agreement") >= min_agreement)
+    columns = out.columns[2:]
+    best = out.filter(F.col("slot_agreement") >= min_agreement).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "slot_agreement", "n_matched", "n_slots", "n_windows")).alias("best"))
+    return best.select("doc_id", "item_id", *[f"best.{c}" for c in columns])
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
