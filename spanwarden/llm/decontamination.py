@@ -6,17 +6,20 @@ re-parameterised question still matches its item. Windows are also joined with n
 copies in another case. Slot consistency tells it from a chance match: a slot value of the
 item should meet one value in the document and the other way round; ``slot_agreement`` is the share of slots that do.
 
-A document is contaminated by an item when matched windows make up at least ``min_share`` of the item's and
+A document is contaminated by an item when ``share`` is at least ``min_share``, or a run of matched windows next to
+each other holds ``min_run`` words, and
 ``slot_agreement`` reaches ``min_agreement``. Both are judged for each occurrence of the item in the document
 and for all of them together, and the best is reported: a document may hold two variants of one item. An item of 5 to ``window`` - 1 words is one window of all its words; a shorter one
-matches nothing. Windows need ``min_literal`` literal words, so runs of names or numbers match nothing.
+matches nothing. ``share`` is the largest of three: matched windows among all, among those that may match as templates (with
+``min_literal`` literal words), and matched words among all words of the item (a changed word takes only itself, not
+the eight windows around it). Windows with fewer literal words match by their very words only.
 
 Null texts match nothing; rows without an id are not checked; rows that repeat an id count as one document; extra
 columns are ignored; empty tables give no matches.
 
 Item windows are broadcast only while their counted number is at most ``BROADCAST_WINDOWS``; beyond it Spark shuffles
 both sides. Documents that lack too many of an item's longest word pairs to
-reach ``min_share`` are left out first (an exact bound, see ``_candidates``); windows of the others are probed in the
+reach ``min_share`` or ``min_run`` are left out first (an exact bound, see ``_candidates``); windows of the others are probed in the
 map stage, and only hits move on.
 """
 
@@ -30,11 +33,13 @@ from .common import SPACE, materialize
 
 WINDOW = 8
 MIN_SHARE = 0.5
+MIN_RUN = 32
 MIN_LITERAL = 4
 MIN_AGREEMENT = 0.5
 BROADCAST_WINDOWS = 500_000
 UNITS = "km kg cm mm mg ml lb lbs oz ft mi mph kmh kph hz khz mhz ghz kb mb gb tb kw kwh mw usd eur gbp inr percent meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram kilograms ounce ounces pound pounds liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents degree degrees"
 SHORTEST = 5
+RUN = 3
 LETTERS = r"^[\p{L}\p{M}]+$"
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
@@ -70,7 +75,7 @@ def raw_words(text: Column) -> Column:
     return _split(_bare(F.lower(_lone_marks_out(text))))
 
 
-def _windows(words: Column, length: int, named: bool) -> Column:
+def _windows(words: Column, length: int, named: bool | str) -> Column:
     """Hashes of all windows; their place is their index."""
     n = F.size(words) - (length - 1)
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(named), F.slice(words, i, length))))
@@ -84,18 +89,21 @@ def _longest_pair(piece: Column, length: Column) -> Column:
     return F.when(longest.isNotNull(), F.xxhash64(longest["a"], longest["b"]))
 
 
-def _candidates(docs: DataFrame, known: DataFrame, min_share: float) -> DataFrame | None:
-    """doc_id of all documents that can reach ``min_share`` of some item; None when that cannot be told by words.
+def _candidates(docs: DataFrame, known: DataFrame, min_share: float, min_run: int) -> DataFrame | None:
+    """doc_id of all documents that can reach ``min_share`` or ``min_run`` of some item; None when that cannot be told by words.
 
     The key of a window is its longest pair of neighbouring literal words of letters only. A document that matches
     enough windows holds their keys, hence at least as many as the most frequent keys of the item that make up those
     windows. Windows without a key are taken as matched.
     """
-    per_key = known.groupBy("item_id", "n_windows", "word").agg(F.count(F.lit(1)).alias("n"))
+    per_key = known.groupBy("item_id", "n_windows", "n_eligible", "length", "word").agg(F.count(F.lit(1)).alias("n"))
     item = WindowSpec.partitionBy("item_id")
     before = F.coalesce(F.sum("n").over(item.orderBy(F.desc("n"), "word").rowsBetween(WindowSpec.unboundedPreceding, -1)), F.lit(0))
     keyless = F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))).over(item), F.lit(0))
-    keys = per_key.withColumn("required", F.ceil(F.col("n_windows") * min_share) - keyless)
+    # the fewest windows that can make up the share of eligible windows, the share of words, or the run
+    words = F.col("n_windows") + F.col("length") - 1
+    fewest = F.least(F.when(F.col("n_eligible") > 0, F.col("n_eligible") * min_share), words * min_share / F.col("length"), F.greatest(F.lit(1), min_run - F.col("length") + 1))
+    keys = per_key.withColumn("required", F.ceil(fewest) - keyless)
     named = keys.filter("word IS NOT NULL").withColumn("needed", (before < F.col("required")).cast("int"))
     named = named.withColumn("needed", F.sum("needed").over(item))
     if keys.filter("required <= 0").limit(1).count():
@@ -108,60 +116,74 @@ def _candidates(docs: DataFrame, known: DataFrame, min_share: float) -> DataFram
     return found.filter("n >= needed").select("doc_id").distinct()
 
 
+def _measured(groups: DataFrame) -> DataFrame:
+    """n_matched and share of some places."""
+    at = lambda p: F.array_distinct(F.transform(p, lambda x: x["item_pos"]))
+    said = F.array_distinct(F.flatten(F.transform(at(F.col("places")), lambda x: F.sequence(x, x + F.col("length") - 1))))
+    eligible = F.size(at(F.filter("places", lambda x: x["eligible"])))
+    share = F.greatest(F.col("n_matched") / F.col("n_windows"), F.when(F.col("n_eligible") > 0, eligible / F.col("n_eligible")), F.size(said) / (F.col("n_windows") + F.col("length") - 1))
+    return groups.withColumn("n_matched", F.size(at(F.col("places"))).cast("long")).withColumn("share", share)
+
+
 def _occurrences(pairs: DataFrame) -> DataFrame:
-    """The places of each pair by occurrence, and all of them as one: kind, number, places, n_matched, share.
+    """The places of each pair by occurrence, and all of them as one: kind, number, places, n_matched, share, run.
 
-    Occurrences are read in two ways: places whose offsets (doc_pos minus item_pos) are neighbours, and stretches of
+    Runs are for ``min_run``. Occurrences are read in two ways: places whose offsets (doc_pos minus item_pos) are neighbours, and stretches of
     the document in which the place in the item does not go back (so words put in between do not part them).
     """
-    at = pairs.select("doc_id", "item_id", "length", "n_windows", F.explode("places").alias("p"))
+    at = pairs.select("doc_id", "item_id", "length", "n_windows", "n_eligible", F.explode("places").alias("p"))
     pair = WindowSpec.partitionBy("doc_id", "item_id")
     offset, near = F.col("p.doc_pos") - F.col("p.item_pos"), F.floor(F.col("length") / 2)
     by_offset, by_place = pair.orderBy(offset), pair.orderBy("p.doc_pos", "p.item_pos")
     at = at.withColumns({"apart": (offset - F.lag(offset).over(by_offset) > near).cast("int"), "back": (F.lag("p.item_pos").over(by_place) - F.col("p.item_pos") > near).cast("int")})
     at = at.withColumns({"cluster": F.sum(F.coalesce("apart", F.lit(0))).over(by_offset.rangeBetween(WindowSpec.unboundedPreceding, 0)), "stretch": F.sum(F.coalesce("back", F.lit(0))).over(by_place.rowsBetween(WindowSpec.unboundedPreceding, 0))})
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("long").alias("number")) for k, n in enumerate((F.lit(0), F.col("cluster"), F.col("stretch")))])
-    at = at.select("doc_id", "item_id", "length", "n_windows", "p", F.inline(kinds))
-    out = at.groupBy("doc_id", "item_id", "kind", "number").agg(F.first("length").alias("length"), F.first("n_windows").alias("n_windows"), F.count_distinct("p.item_pos").alias("n_matched"), F.collect_set("p").alias("places"))
-    return out.withColumn("share", F.col("n_matched") / F.col("n_windows"))
+    # a run: places of one offset without a gap
+    in_offset = WindowSpec.partitionBy("doc_id", "item_id", offset).orderBy("p.doc_pos")
+    at = at.withColumn("gap", F.col("p.doc_pos") - F.dense_rank().over(in_offset))
+    run = F.shiftleft(offset.cast("long"), 32) + F.col("gap")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("long").alias("number")) for k, n in enumerate((F.lit(0), F.col("cluster"), F.col("stretch"), run))])
+    at = at.select("doc_id", "item_id", "length", "n_windows", "n_eligible", "p", F.inline(kinds))
+    out = at.groupBy("doc_id", "item_id", "kind", "number").agg(F.first("length").alias("length"), F.first("n_windows").alias("n_windows"), F.first("n_eligible").alias("n_eligible"), F.collect_set("p").alias("places"))
+    return _measured(out).withColumn("run", F.when(F.col("kind") == RUN, F.col("n_matched") + F.col("length") - 1).otherwise(0))
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_agreement: float = MIN_AGREEMENT, min_literal: int = MIN_LITERAL) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_agreement: float = MIN_AGREEMENT, min_literal: int = MIN_LITERAL, min_run: int = MIN_RUN) -> DataFrame:
     """One row per contaminated (doc_id, item_id): n_matched, n_windows, share, n_slots, slot_agreement."""
     slots = [NUMBER, NAME, UNIT]
     said = F.col(item_text_col)
     items = items.select(F.col(item_col).alias("item_id"), canonical_words(said).alias("words"), canonical_words(said, names=False).alias("plain"), raw_words(said).alias("raw")).filter("item_id IS NOT NULL")
     items = items.withColumn("length", F.least(F.size("words"), F.lit(window))).filter(F.col("length") >= SHORTEST)
     n = F.size("words") - F.col("length") + 1
-    at = items.select("item_id", "words", "plain", "length", n.alias("n_windows"), F.explode(F.sequence(F.lit(1), n)).alias("item_pos"))
+    at = items.select("item_id", "words", "plain", "raw", "length", n.alias("n_windows"), F.explode(F.sequence(F.lit(1), n)).alias("item_pos"))
     literal = lambda piece: F.size(F.filter(piece, lambda w: ~w.isin(slots))) >= F.least(F.lit(min_literal), F.col("length") - 1)
-    at = at.withColumns({c: F.slice(c, F.col("item_pos"), F.col("length")) for c in ("words", "plain")}).withColumns({"by_name": literal(F.col("words")), "by_word": literal(F.col("plain"))})
-    at = materialize(at.filter("by_name OR by_word").withColumn("word", F.when(F.col("by_name"), _longest_pair(F.col("words"), F.col("length"))).otherwise(_longest_pair(F.col("plain"), F.col("length")))), "item-windows")
-    keyed = lambda c, named: at.filter("by_name" if named else "by_word").select(F.xxhash64(F.lit(named), c).alias("key"), "item_id", "item_pos", "length", "n_windows")
-    known = keyed("words", True).unionAll(keyed("plain", False))
-    sizes = {r["length"]: r["count"] for r in known.groupBy("length").count().collect()}  # at most window rows
+    at = at.withColumns({c: F.slice(c, F.col("item_pos"), F.col("length")) for c in ("words", "plain", "raw")}).withColumns({"by_name": literal(F.col("words")), "by_word": literal(F.col("plain"))})
+    at = at.withColumn("n_eligible", F.count_if(F.col("by_name") | F.col("by_word")).over(WindowSpec.partitionBy("item_id")))
+    at = materialize(at.withColumn("word", F.when(F.col("by_name"), _longest_pair(F.col("words"), F.col("length"))).otherwise(_longest_pair(F.col("plain"), F.col("length")))), "item-windows")
+    kinds = {"words": (True, "by_name"), "plain": (False, "by_word"), "raw": ("raw", "NOT by_name AND NOT by_word")}
+    keyed = lambda c: at.filter(kinds[c][1]).select(F.lit(c).alias("by"), F.xxhash64(F.lit(kinds[c][0]), c).alias("key"), "item_id", "item_pos", "length", "n_windows", "n_eligible", (F.lit(c) != "raw").alias("eligible"))
+    known = keyed("words").unionAll(keyed("plain")).unionAll(keyed("raw"))
+    sizes = {(r["length"], r["by"]): r["count"] for r in known.groupBy("length", "by").count().collect()}  # at most three times window rows
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    some = _candidates(texts, at, min_share)
+    some = _candidates(texts, at, min_share, min_run)
     if some is not None:
         texts = materialize(texts.join(some, "doc_id", "left_semi"), "candidates")
-    whole = texts.select("doc_id", canonical_words(F.col("text")).alias("words"), canonical_words(F.col("text"), names=False).alias("plain"))
+    whole = texts.select("doc_id", canonical_words(F.col("text")).alias("words"), canonical_words(F.col("text"), names=False).alias("plain"), raw_words(F.col("text")).alias("raw"))
     hits = None
-    for length in sorted(sizes) or [window]:
-        side = known.filter(F.col("length") == length).drop("length")
-        for column, named in (("words", True), ("plain", False)):
-            probe = whole.select("doc_id", F.posexplode(_windows(F.col(column), length, named)).alias("pos", "key"))
-            found = probe.join(F.broadcast(side) if small else side, "key").select("doc_id", "item_id", (F.col("pos") + 1).alias("doc_pos"), "item_pos", F.lit(length).alias("length"), "n_windows")
-            hits = found if hits is None else hits.unionAll(found)
+    for length, column in sorted(sizes) or [(window, "words")]:
+        side = known.filter((F.col("length") == length) & (F.col("by") == column)).drop("length", "by")
+        probe = whole.select("doc_id", F.posexplode(_windows(F.col(column), length, kinds[column][0])).alias("pos", "key"))
+        found = probe.join(F.broadcast(side) if small else side, "key").select("doc_id", "item_id", (F.col("pos") + 1).alias("doc_pos"), "item_pos", F.lit(length).alias("length"), "n_windows", "n_eligible", "eligible")
+        hits = found if hits is None else hits.unionAll(found)
     pairs = hits.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("item_pos").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.first("length").alias("length"),
-        F.collect_set(F.struct("item_pos", "doc_pos")).alias("places"),
+        F.first("n_windows").alias("n_windows"), F.first("n_eligible").alias("n_eligible"), F.first("length").alias("length"),
+        F.collect_set(F.struct("item_pos", "doc_pos", "eligible")).alias("places"),
     )
-    pairs = pairs.withColumn("share", F.col("n_matched") / F.col("n_windows")).filter(F.col("share") >= min_share)
-    groups = _occurrences(pairs)
+    pairs = _measured(pairs).filter((F.col("share") >= min_share) | (F.col("n_matched") + F.col("length") - 1 >= min_run))
+    groups = materialize(_occurrences(pairs).filter((F.col("share") >= min_share) | (F.col("run") >= min_run)), "occurrences")
     # the slots: words of the item and of the document at matched places; below an explode each text is split once
     key = ["doc_id", "item_id", "kind", "number"]
-    found = groups.filter(F.col("share") >= min_share).join(items.select("item_id", F.col("words").alias("kinds"), "raw"), "item_id").join(texts, "doc_id")
+    found = groups.join(items.select("item_id", F.col("words").alias("kinds"), "raw"), "item_id").join(texts, "doc_id")
     found = found.withColumn("said", raw_words(F.col("text"))).select(*key, "length", "kinds", "raw", "said", F.explode("places").alias("p"))
     found = found.select(*key, "kinds", "raw", "said", "p", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
     i, d = F.col("p.item_pos") + F.col("k"), F.col("p.doc_pos") + F.col("k")
@@ -170,7 +192,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     of_a, of_b = WindowSpec.partitionBy(*key, "a"), WindowSpec.partitionBy(*key, "b")
     values = values.withColumn("as", F.count(F.lit(1)).over(of_a)).withColumn("bs", F.count(F.lit(1)).over(of_b))
     agreed = values.groupBy(*key).agg(F.sum("n").alias("n_slots"), F.sum(F.when((F.col("as") == 1) & (F.col("bs") == 1), F.col("n")).otherwise(0)).alias("agree"))
-    out = groups.filter(F.col("share") >= min_share).select(*key, "n_matched", "n_windows", "share").join(agreed, key, "left")
+    out = groups.select(*key, "n_matched", "n_windows", "share").join(agreed, key, "left")
     out = out.select("doc_id", "item_id", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), "share", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.col("agree") / F.col("n_slots"), F.lit(1.0)).alias("slot_agreement"))
     columns = out.columns[2:]
     best = out.filter(F.col("slot_agreement") >= min_agreement).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "slot_agreement", "n_matched", "n_slots", "n_windows")).alias("best"))
