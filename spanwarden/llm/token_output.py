@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from array import array
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, modest_batches, parts
+from .common import materialize, modest_batches, parts, scratch_root
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,42 +190,50 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return dealt.mapInArrow(pad, "slot long, shard long, doc_id long, seq_no int, n_tokens int, record binary")
 
 
-def write_shards(seqs: DataFrame, path: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Write each shard of ``sequences`` as one fixed-stride file under ``path`` (a URI that all executors reach).
+def _shards(batches, path: str):
+    """Write the shards of a task; of each that is done: shard, file, its rows (slot, doc_id, seq_no, n_tokens), n_bytes, sha256.
 
     A file is written under a name of its own attempt and then renamed, so a retried or duplicated task leaves the
-    same bytes. Returns shard, file, n_records, n_bytes, sha256.
+    same bytes.
     """
+    import os
+    import uuid
 
-    def run(batches):
-        import os
-        import uuid
+    from pyarrow import fs
 
-        from pyarrow import fs
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    now = out = None
+
+    def finish():
+        out.close()
+        store.move(f"{root}/{temp}", f"{root}/{name}")
+        return now, name, rows, size, digest.hexdigest()
+
+    for batch in batches:
+        for slot, shard, doc_id, seq_no, n_tokens, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now:
+                if out:
+                    yield finish()
+                now, name = shard, f"shard-{shard:08d}.bin"
+                temp = f".{name}.{os.getpid()}-{uuid.uuid4().hex}"
+                out, digest, rows, size = store.open_output_stream(f"{root}/{temp}"), hashlib.sha256(), [], 0
+            out.write(record)
+            digest.update(record)
+            rows.append((slot, doc_id, seq_no, n_tokens))
+            size += len(record)
+    if out:
+        yield finish()
 
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        now = out = None
-        done = []
 
-        def finish():
-            out.close()
-            store.move(f"{root}/{temp}", f"{root}/{name}")
-            done.append((now, name, count, size, digest.hexdigest()))
+def write_shards(seqs: DataFrame, path: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Write each shard of ``sequences`` as one fixed-stride file under ``path`` (a URI that all executors reach).
 
-        for batch in batches:
-            for shard, record in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if shard != now:
-                    if out:
-                        finish()
-                    now, name = shard, f"shard-{shard:08d}.bin"
-                    temp = f".{name}.{os.getpid()}-{uuid.uuid4().hex}"
-                    out, digest, count, size = store.open_output_stream(f"{root}/{temp}"), hashlib.sha256(), 0, 0
-                out.write(record)
-                digest.update(record)
-                count, size = count + 1, size + len(record)
-        if out:
-            finish()
+    Returns shard, file, n_records, n_bytes, sha256.
+    """
+
+    def run(batches):
+        done = [(shard, name, len(rows), size, digest) for shard, name, rows, size, digest in _shards(batches, path)]
         names = ["shard", "file", "n_records", "n_bytes", "sha256"]
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=names)
 
@@ -250,8 +259,28 @@ def read_slots(path: str, first: int, count: int, seq_len: int = SEQ_LEN, shard_
         first, count = first + got, count - got
 
 
-def digests(docs: DataFrame, **options) -> DataFrame:
-    """Per sequence: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record_sha256."""
+def digests(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """Write all shards and read them back: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record_sha256 of each record.
+
+    The files go to ``path``, or else to a fresh folder below that of ``spark.checkpoint.dir``, whenever the rows are
+    computed; offsets and hashes are those of the bytes in the files.
+    """
     seqs = sequences(docs, **options)
+    path = path or f"{scratch_root(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
     stride = 2 * options.get("seq_len", SEQ_LEN)
-    return seqs.select("slot", "shard", ((F.col("slot") % options.get("shard_slots", SHARD_SLOTS)) * stride).alias("byte_offset"), "doc_id", "seq_no", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for shard, name, rows, size, _ in _shards(batches, path):
+            with store.open_input_file(f"{root}/{name}") as f:
+                data = f.read()
+            if len(data) != size or size != stride * len(rows):
+                raise OSError(f"{name} holds {len(data)} bytes, not {stride * len(rows)}")
+            slots, ids, nos, lens = zip(*rows, strict=True)
+            at = range(0, size, stride)
+            cols = [(slots, pa.int64()), ([shard] * len(rows), pa.int64()), (list(at), pa.int64()), (ids, pa.int64()), (nos, pa.int32()), (lens, pa.int32()), ([hashlib.sha256(data[i : i + stride]).hexdigest() for i in at], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record_sha256"])
+
+    return seqs.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, record_sha256 string")
