@@ -110,14 +110,17 @@ def _python_rows(path: str, content: str) -> Iterator[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Rows of ``ROW``: one narrow pass over the files, for all languages and kinds."""
+    """Rows of ``ROW``: one narrow pass over the files, for all languages and kinds.
+
+    Python is parsed whole; of other files the first ``MAX_CHARS`` characters are searched, as in the reference.
+    """
 
     def run(batches):
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["file_path"], pdf["content"], strict=True):
                 if content:
-                    rows += (_python_rows if path.endswith(".py") else _regex_rows)(path, content[:MAX_CHARS])
+                    rows += _python_rows(path, content) if path.endswith(".py") else _regex_rows(path, content[:MAX_CHARS])
             out = pd.DataFrame(rows, columns=["file", "kind", "owner", "name", "line", "value", "extra"])
             yield out.astype({"line": "int32"}) if len(out) else out
 
@@ -238,7 +241,7 @@ def unaudited_functions(files: DataFrame, full_id: str, name_regex: str, must_no
 
     py = extract(files.filter(F.col("file_path").endswith(".py"))).filter("kind = 'function'").select(F.col("file").alias("file_path"), "name", F.col("line").alias("line_start"), F.col("value").alias("body"), F.col("extra").cast("int").alias("col"))
     js = files.filter(F.lower("file_path").rlike(r"\.jsx?$")).select("file_path", F.split("content", "\n").alias("lines"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    js = js.select("file_path", F.regexp_extract("text", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1).alias("name"), (F.col("at") + 1).alias("line_start"), F.array_join(F.slice("lines", F.col("at") + 1, 200), "\n").alias("rest"), F.col("text"))
+    js = js.select("file_path", F.regexp_extract("text", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1).alias("name"), (F.col("at") + 1).alias("line_start"), F.array_join(F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n").alias("rest"), F.col("text"))
     # the body ends at the first closing brace that stands as far out as the function
     js = js.filter("name <> ''").select("file_path", "name", "line_start", F.regexp_substr("rest", F.lit(r"(?s)^[^{]*\{.*?(?:\n\}|\}\s*$)")).alias("body"), (F.instr("text", F.concat("name", F.lit("("))) - 1).alias("col"))
     found = py.unionByName(js).filter(F.col("name").rlike(name_regex) & ~F.coalesce(F.col("body"), F.lit("")).rlike(must_not_contain))
