@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schemas import SEVERITIES, severity_rank
+from ..scratch import stored
 
 #: Severity to the levels of the receiving formats.
 SARIF_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
@@ -28,19 +29,22 @@ def _order(v: DataFrame) -> list[str]:
     return ["seq"] if "seq" in v.columns else ["file_path", "line_start", "rule_id"]
 
 
-def with_place(v: DataFrame, name: str, per_bucket: int = 10_000) -> DataFrame:
+def with_place(v: DataFrame, name: str) -> DataFrame:
     """A running number from 0 in the natural order, without one task for all rows.
 
-    Rows are dealt by ranges of the order; ranges are counted and their totals accumulated.
+    Rows are dealt by ranges of the order and stored with the number of their range, so that both readers see the same
+    ranges however the shuffle was planned. Totals of ranges (one row a partition) are accumulated; a window runs
+    inside one range.
     """
     order = _order(v)
-    dealt = v.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = stored(v.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part").orderBy(*order)
     numbered = dealt.withColumn("__in", F.row_number().over(inside) - 1)
-    counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return numbered.join(F.broadcast(counts), "__part").withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__part", "__in", "__before")
+    placed = numbered.join(F.broadcast(counts), "__part", "left")
+    return placed.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__part", "__in", "__before")
 
 
 def rule_index(v: DataFrame) -> DataFrame:

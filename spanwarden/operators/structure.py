@@ -81,7 +81,8 @@ def _python_rows(path: str, content: str) -> Iterator[tuple]:
 
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # too deeply nested source overflows the parser's stack
+        yield path, "error", None, type(e).__name__, 0, None, None
         return
     said = lambda node: ast.unparse(node) if node is not None else ""
     for node in ast.walk(tree):
