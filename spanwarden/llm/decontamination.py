@@ -9,8 +9,9 @@ item should meet one value in the document and the other way round; ``slot_agree
 A document is contaminated by an item when ``share`` is at least ``min_share``, or a run of matched windows next to
 each other holds ``min_run`` words, and
 ``slot_agreement`` reaches ``min_agreement``. Both are judged for each occurrence of the item in the document
-and for all of them together, and the best is reported: a document may hold two variants of one item. An item of 5 to ``window`` - 1 words is one window of all its words; a shorter one
-matches nothing. ``share`` is the largest of three: matched windows among all, among those that may match as templates (with
+and for all of them together, and the best is reported: a document may hold two variants of one item. An item of 5 to ``window`` - 1 words is one window of all its words. A
+shorter one is found where a whole line of a document says its very words (case and outer punctuation aside); its words
+alone, inside a longer line, prove nothing. ``share`` is the largest of three: matched windows among all, among those that may match as templates (with
 ``min_literal`` literal words), and matched words among all words of the item (a changed word takes only itself, not
 the eight windows around it). Windows with fewer literal words match by their very words only.
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as WindowSpec
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, parts
 
 WINDOW = 8
 MIN_SHARE = 0.5
@@ -147,11 +148,23 @@ def _occurrences(pairs: DataFrame) -> DataFrame:
     return _measured(out).withColumn("run", F.when(F.col("kind") == RUN, F.col("n_matched") + F.col("length") - 1).otherwise(0))
 
 
+def _short(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id) of items of under ``SHORTEST`` words as whole lines of documents; None without such items."""
+    said = lambda words: F.xxhash64(F.lit("line"), words)
+    known = items.filter((F.size("raw") > 0) & (F.size("raw") < SHORTEST)).select("item_id", said(F.col("raw")).alias("key"))
+    n = known.count()
+    if not n:
+        return None
+    lines = texts.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", r"[\n\r]+"), lambda line: said(raw_words(line))))).alias("key"))
+    return lines.join(F.broadcast(known) if n <= BROADCAST_WINDOWS else known, "key").select("doc_id", "item_id").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_agreement: float = MIN_AGREEMENT, min_literal: int = MIN_LITERAL, min_run: int = MIN_RUN) -> DataFrame:
     """One row per contaminated (doc_id, item_id): n_matched, n_windows, share, n_slots, slot_agreement."""
     slots = [NUMBER, NAME, UNIT]
     said = F.col(item_text_col)
     items = items.select(F.col(item_col).alias("item_id"), canonical_words(said).alias("words"), canonical_words(said, names=False).alias("plain"), raw_words(said).alias("raw")).filter("item_id IS NOT NULL")
+    all_items, all_texts = items, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.withColumn("length", F.least(F.size("words"), F.lit(window))).filter(F.col("length") >= SHORTEST)
     n = F.size("words") - F.col("length") + 1
     at = items.select("item_id", "words", "plain", "raw", "length", n.alias("n_windows"), F.explode(F.sequence(F.lit(1), n)).alias("item_pos"))
@@ -164,10 +177,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     known = keyed("words").unionAll(keyed("plain")).unionAll(keyed("raw"))
     sizes = {(r["length"], r["by"]): r["count"] for r in known.groupBy("length", "by").count().collect()}  # at most three times window rows
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = all_texts
     some = _candidates(texts, at, min_share, min_run)
     if some is not None:
-        texts = materialize(texts.join(some, "doc_id", "left_semi"), "candidates")
+        texts = materialize(texts.join(some, "doc_id", "left_semi").repartition(parts(docs.sparkSession)), "candidates")
     whole = texts.select("doc_id", canonical_words(F.col("text")).alias("words"), canonical_words(F.col("text"), names=False).alias("plain"), raw_words(F.col("text")).alias("raw"))
     hits = None
     for length, column in sorted(sizes) or [(window, "words")]:
@@ -196,7 +209,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     out = out.select("doc_id", "item_id", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), "share", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.col("agree") / F.col("n_slots"), F.lit(1.0)).alias("slot_agreement"))
     columns = out.columns[2:]
     best = out.filter(F.col("slot_agreement") >= min_agreement).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "slot_agreement", "n_matched", "n_slots", "n_windows")).alias("best"))
-    return best.select("doc_id", "item_id", *[f"best.{c}" for c in columns])
+    best = best.select("doc_id", "item_id", *[f"best.{c}" for c in columns])
+    short = _short(all_texts, all_items)
+    if short is None:
+        return best
+    one = F.lit(1).cast("long")
+    short = short.select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), F.lit(1.0).alias("share"), F.lit(0).cast("long").alias("n_slots"), F.lit(1.0).alias("slot_agreement"))
+    return best.unionByName(short)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Dictionaries come from a bounded sample of labelled rows (``dict_bytes`` a language, taken from the rows with the
 smallest hashes of their ids among at most ``sample_rows`` of each language); a rank limit in Spark keeps that sample
-bounded in every task. Every whole text is then encoded in pieces of ``piece_bytes``, so that its own content does not
+bounded in every task. A row gives one slice of ``slice_chars`` characters, at a place drawn by its id's hash, so that no row fills a
+dictionary alone and shared openings do not fill it either. More than ``max_languages`` labels are an error, since all
+dictionaries are held by every task. Every whole text is then encoded in pieces of ``piece_bytes``, so that its own content does not
 drown the dictionary; letters are lower-cased on both sides. ``score`` is 1 minus the ratio of the winner's size to the runner-up's, scaled to 0..1 by
 ``tanh``; a text is rejected when it has no letter or its relative margin is under ``min_margin``.
 
-Null or letterless text: ``und``, score 0, rejected. No learned language: every row is ``und``. Null labels are not
+Languages of one size tie by name. Bytes that are no UTF-8 are replaced. Null or letterless text: ``und``, score 0, rejected. No learned language: every row is ``und``. Null labels are not
 learned. Rows that repeat are predicted each on its own; extra columns are ignored.
 """
 
@@ -23,18 +25,24 @@ from .common import modest_batches
 DICT_BYTES = 100 << 10
 SAMPLE_ROWS = 256
 PIECE_BYTES = 1024
+SLICE_CHARS = 2000
+MAX_LANGUAGES = 256
 LEVEL = 6
 MIN_MARGIN = 0.0005
 LETTER = r"\p{L}"
 
 
-def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS, slice_chars: int = SLICE_CHARS, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Language to raw-content dictionary. At most ``sample_rows`` rows a language are looked at (the documented bound)."""
     seeded = F.xxhash64(F.lit("language-id"), F.col(id_col))
     learn = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(LETTER))
     first = Window.partitionBy("lang").orderBy("h", "text")
-    # a long text gives one seeded slice to the sample, so that no row fills a dictionary alone
-    cut = learn.select(F.col(lang_col).alias("lang"), seeded.alias("h"), F.substring(F.col(text_col), 1, 2000).alias("text"))
+    text = F.col(text_col)
+    start = F.pmod(seeded, F.greatest(F.length(text) - slice_chars + 1, F.lit(1))).cast("int") + 1
+    cut = learn.select(F.col(lang_col).alias("lang"), seeded.alias("h"), F.substring(text, start, F.lit(slice_chars)).alias("text"))
+    languages = cut.select("lang").distinct().limit(max_languages + 1).count()
+    if languages > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     sample = cut.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_rows)
     taken: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["r"])):
@@ -64,7 +72,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 if not has or not calls:
                     pred.append("und"), score.append(0.0), margin.append(0.0), rejected.append(True)
                     continue
-                text = cell.as_py().decode("utf-8").lower().encode("utf-8")
+                text = cell.as_py().decode("utf-8", "replace").lower().encode("utf-8")
                 sizes = [0] * len(calls)
                 for at in range(0, len(text), piece_bytes):
                     piece = text[at : at + piece_bytes]

@@ -113,10 +113,10 @@ def test_templates(spark, empty):
     said = [
         (1, "Well: Maria Jones bought 7 lb of apples and gave 31 apples to Peter before she counted all the rest again in the evening."),
         (2, "ALICE SMITH BOUGHT 5 KG OF APPLES AND GAVE 12 APPLES TO BOB BEFORE SHE COUNTED ALL THE REST AGAIN IN THE EVENING."),
-        (3, "Maria bought 7 lb of pears and then went home to count what she had left of them"), (4, None), (None, "Alice Smith bought 5 kg of apples and gave 12 apples to Bob before she counted all the rest again in the evening."), (5, "too short"),
+        (3, "Maria bought 7 lb of pears and then went home to count what she had left of them"), (4, None), (None, "Alice Smith bought 5 kg of apples and gave 12 apples to Bob before she counted all the rest again in the evening."), (5, "too short"), (6, "one line\nToo short!\r\nand more"), (7, "this line is too short for that"),
     ]
     got = decontamination.matches(spark.createDataFrame(said, "doc_id long, text string"), item).collect()
-    assert {(r["doc_id"], r["item_id"], r["slot_agreement"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0)}
+    assert {(r["doc_id"], r["item_id"], r["slot_agreement"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (5, 3, 1.0), (6, 3, 1.0)}
     assert decontamination.matches(empty, item).count() == 0
     assert decontamination.matches(spark.createDataFrame(said, "doc_id long, text string"), item.filter("false")).count() == 0
 
