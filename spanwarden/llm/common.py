@@ -27,9 +27,11 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master (tests), an error elsewhere."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_own_scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = spark._own_scratch = "file://" + tempfile.mkdtemp(prefix="spanwarden-")
     return root
 
@@ -39,7 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, and let Spark drop the shuffle files of finished steps."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:
@@ -124,6 +139,25 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed piece."""
+    import zstandard
+
+    head = np.array([a.nbytes for a in arrays], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpack(piece: bytes, *kinds: type) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(piece)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(data, dtype=np.int64, count=len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
+        at += size
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 

@@ -1,11 +1,9 @@
-import math
 import zlib
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanwarden.llm import decontamination, html_extract, language_id, lm_score
+from spanwarden.llm import decontamination, html_extract, language_id
 from spanwarden.llm.common import read
 
 
@@ -65,40 +63,6 @@ def test_language_edges(docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
-def test_lm_scores(docs, rows, empty):
-    got = {r["doc_id"]: r for r in lm_score.score(docs).collect()}
-    tokens = {d: [*(t or "").encode().lower().split(), b"\n"] for d, t, *_ in rows}
-    counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 10 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for d, ws in tokens.items():
-        r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(w in counts for w in ws), n, zlib.crc32(str(d).encode()) % 10 == 0)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert r["score"] < 0 and r["spelled_score"] < 0
-    assert lm_score.score(empty).count() == 0
-
-
-def test_lm_is_a_distribution_and_agrees_with_itself(spark):
-    texts = [(i, f"{a} {b}") for i, (a, b) in enumerate([("ab", "ba"), ("ab", "abba"), ("cab", "ab"), ("ba", "zz")] * 8)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    words = sorted({w for _, t in texts for w in t.split()})
-    probe = spark.createDataFrame([(1000 + i, w) for i, w in enumerate([*words, "unseen"])], "doc_id long, text string")
-    score = lambda: {r["doc_id"]: r["score"] for r in lm_score.score(df.unionByName(probe), held=F.col("doc_id") >= 1000).collect()}
-    one, two = score(), score()
-    assert one == two
-    end = None
-    # each probe is its word and the end token: the sum over all outcomes is the end token's probability
-    total = sum(10 ** one[1000 + i] for i in range(len(words) + 1))
-    empty_text = spark.createDataFrame([(2000, "")], "doc_id long, text string")
-    end = 10 ** {r["doc_id"]: r["score"] for r in lm_score.score(df.unionByName(empty_text), held=F.col("doc_id") >= 1000).collect()}[2000]
-    assert total / end + end == pytest.approx(1.0, abs=0.05)
-
-
-def test_lm_beats_the_base_on_held_out_rows(spark, small):
-    held = [r for r in lm_score.score(read(spark, small, "documents")).collect() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
 def test_decontamination(spark, small):
     docs, items = read(spark, small, "documents"), read(spark, small, "benchmark")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(docs, items).collect()}
@@ -119,32 +83,3 @@ def test_templates(spark, empty):
     assert {(r["doc_id"], r["item_id"], r["slot_agreement"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (5, 3, 1.0), (6, 3, 1.0)}
     assert decontamination.matches(empty, item).count() == 0
     assert decontamination.matches(spark.createDataFrame(said, "doc_id long, text string"), item.filter("false")).count() == 0
-
-
-def test_lm_seats_of_frequent_dishes_vary_as_customers_do():
-    import numpy as np
-
-    theta, d, base, rest, count, n = 1.0, 0.4, 0.3, 8.0, 1000, 3000
-    r, t = np.random.RandomState(3), np.ones(n)
-    for i in range(1, count):
-        new = (theta + d * (rest + t)) * base
-        t += r.random_sample(n) * (new + i - d * t) < new
-    got = lm_score.sample_tables(np.full(n, float(count)), np.full(n, base), theta, d, np.full(n, rest), np.arange(n, dtype=np.int64), 5)
-    assert got.mean() == pytest.approx(t.mean(), rel=0.03) and got.std() == pytest.approx(t.std(), rel=0.08)
-
-
-def test_lm_tables_are_the_parents_customers(spark):
-    counts = spark.createDataFrame([(x + "bc", s, 40.0) for x in "xyz" for s in "de"] + [("\n", "x", 9.0)], "ctx string, sym string, c double")
-    letters = lm_score.Letters(counts, 1)
-    levels = letters.sweep(counts, 1)
-    seats = [{(r["ctx"], r["sym"]): (r["c"], r["tables"]) for r in x.collect()} for x in levels]
-    for below, above in zip(seats, seats[1:]):
-        want = Counter()
-        for (ctx, sym), (_, tables) in below.items():
-            want[ctx[1:], sym] += tables
-        assert want.items() <= {k: c for k, (c, _) in above.items()}.items()
-    assert any(tables > 1 for x in seats[:-1] for _, tables in x.values())
-    total = Counter()
-    for r in letters.state.collect():
-        total[r["ctx"]] += r["p"]
-    assert all(0 < x < 1 for x in total.values())
