@@ -19,7 +19,7 @@ Null texts match nothing; rows without an id are not checked; rows that repeat a
 columns are ignored; empty tables give no matches.
 
 Item windows are broadcast only while their counted number is at most ``BROADCAST_WINDOWS``; beyond it Spark shuffles
-both sides. Documents that lack too many of an item's longest word pairs to
+both sides. Documents that lack too many of an item's longest runs of three or two words to
 reach ``min_share`` or ``min_run`` are left out first (an exact bound, see ``_candidates``); windows of the others are probed in the
 map stage, and only hits move on.
 """
@@ -82,18 +82,22 @@ def _windows(words: Column, length: int, named: bool | str) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(named), F.slice(words, i, length))))
 
 
-def _longest_pair(piece: Column, length: Column) -> Column:
-    """Hash of the longest two neighbouring words of letters only, or null."""
-    size = length - 1
-    pairs = F.zip_with(F.slice(piece, F.lit(1), size), F.slice(piece, F.lit(2), size), lambda a, b: F.struct((F.length(a) + F.length(b)).alias("n"), a.alias("a"), b.alias("b")))
-    longest = F.array_max(F.filter(pairs, lambda p: p["a"].rlike(LETTERS) & p["b"].rlike(LETTERS)))
-    return F.when(longest.isNotNull(), F.xxhash64(longest["a"], longest["b"]))
+def _key(piece: Column, length: Column) -> Column:
+    """Hash of the longest three neighbouring words of letters only, else of the longest two, or null."""
+
+    def longest(k: int) -> Column:
+        at = F.sequence(F.lit(1), length - (k - 1))
+        runs = F.transform(at, lambda i: F.struct(F.aggregate(F.slice(piece, i, k), F.lit(0), lambda n, w: n + F.length(w)).alias("n"), F.slice(piece, i, k).alias("words")))
+        best = F.array_max(F.filter(runs, lambda r: F.forall(r["words"], lambda w: w.rlike(LETTERS))))["words"]
+        return F.when((length >= k) & best.isNotNull(), F.xxhash64(*[best[i] for i in range(k)]))
+
+    return F.coalesce(longest(3), longest(2))
 
 
 def _candidates(docs: DataFrame, known: DataFrame, min_share: float, min_run: int) -> DataFrame | None:
     """doc_id of all documents that can reach ``min_share`` or ``min_run`` of some item; None when that cannot be told by words.
 
-    The key of a window is its longest pair of neighbouring literal words of letters only. A document that matches
+    The key of a window is its longest three (else two) neighbouring literal words of letters only. A document that matches
     enough windows holds their keys, hence at least as many as the most frequent keys of the item that make up those
     windows. Windows without a key are taken as matched.
     """
@@ -111,7 +115,9 @@ def _candidates(docs: DataFrame, known: DataFrame, min_share: float, min_run: in
         return None
     side = named.select("word", "item_id", "needed")
     said = docs.select("doc_id", F.split(F.lower(F.col("text")), r"[^\p{L}\p{M}]+").alias("words"))
-    said = said.select("doc_id", F.explode(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))).alias("word"))
+    pairs = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
+    threes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    said = said.select("doc_id", F.explode(F.concat(threes, pairs)).alias("word"))
     found = said.join(F.broadcast(side) if side.count() <= BROADCAST_WINDOWS else side, "word")
     found = found.groupBy("doc_id", "item_id", "needed").agg(F.count_distinct("word").alias("n"))
     return found.filter("n >= needed").select("doc_id").distinct()
@@ -171,7 +177,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     literal = lambda piece: F.size(F.filter(piece, lambda w: ~w.isin(slots))) >= F.least(F.lit(min_literal), F.col("length") - 1)
     at = at.withColumns({c: F.slice(c, F.col("item_pos"), F.col("length")) for c in ("words", "plain", "raw")}).withColumns({"by_name": literal(F.col("words")), "by_word": literal(F.col("plain"))})
     at = at.withColumn("n_eligible", F.count_if(F.col("by_name") | F.col("by_word")).over(WindowSpec.partitionBy("item_id")))
-    at = materialize(at.withColumn("word", F.when(F.col("by_name"), _longest_pair(F.col("words"), F.col("length"))).otherwise(_longest_pair(F.col("plain"), F.col("length")))), "item-windows")
+    at = materialize(at.withColumn("word", F.when(F.col("by_name"), _key(F.col("words"), F.col("length"))).otherwise(_key(F.col("plain"), F.col("length")))), "item-windows")
     kinds = {"words": (True, "by_name"), "plain": (False, "by_word"), "raw": ("raw", "NOT by_name AND NOT by_word")}
     keyed = lambda c: at.filter(kinds[c][1]).select(F.lit(c).alias("by"), F.xxhash64(F.lit(kinds[c][0]), c).alias("key"), "item_id", "item_pos", "length", "n_windows", "n_eligible", (F.lit(c) != "raw").alias("eligible"))
     known = keyed("words").unionAll(keyed("plain")).unionAll(keyed("raw"))
