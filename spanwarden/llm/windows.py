@@ -3,19 +3,21 @@
 A text is a sequence of symbols (bytes, or 64-bit word hashes). Wanted is every window of ``length`` symbols that also
 starts earlier in the corpus. Rolling hashes of ``gram`` symbols are the triggers: the least one among the
 ``length - gram + 1`` of a window is its anchor, so equal windows have equal anchors at equal places, and about two
-of ``length - gram + 2`` positions are anchors. The anchors cut a text into phrases, and a phrase with its surroundings
-is all the windows that hang on one anchor.
-
-1. ``_anchors``: a row per anchor: hash of the gram, hash of the surroundings, document, position.
-2. ``_first_seen``: rows dealt by the gram's hash and sorted by (gram, surroundings, document, position) form the sorted
-   dictionary of phrases. A row whose whole surroundings occurred earlier is repeated as it stands. Where one gram has
-   several surroundings, the first row of each needs a closer look; a gram with one surrounding needs none.
-3. ``_compare``: those rows bring their symbols (cut from the text at hand), are dealt by gram again, and each of
-   their windows is looked up among the same gram's earlier ones.
-4. ``mark``: the intervals meet their text and are merged.
+of ``length - gram + 2`` positions are anchors. The anchors cut a text into phrases of bounded length, and an anchor with its
+surroundings is all the windows that hang on it.
+
+1. ``_anchors``: a row per anchor: hash of the gram, hash of the surroundings, document, position. Where a task has met the same
+   surroundings in an earlier place, the row is known to be repeated (``sure``) and takes no part in the search.
+2. ``_first_seen``: rows dealt by the gram's hash and sorted by (gram, surroundings, document, position). A row whose whole
+   surroundings occurred earlier is repeated as it stands. Where one gram has several surroundings, the first row of each
+   needs a closer look; a gram with one surrounding needs none.
+3. ``_compare``: those rows bring their symbols (cut from the text at hand) and are dealt by gram again. What is repeated among
+   the rows of a gram is told by the operator: by corpus order (``byte_dedup``) or by greedy factors (``substring_dedup``).
+4. The intervals meet their text and are merged.
 
 Memory: a task holds a batch and, in step 3, the rows of one gram up to ``GROUP_ROWS``; a gram with more goes on as
-one row a window to a Spark aggregation with map-side combining. Hashes have 64 bits; nothing is sampled or capped.
+one row a window to a Spark aggregation with map-side combining. Surroundings are equal when two 64-bit hashes are; windows of
+such large grams when two are; all others are compared symbol by symbol. Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODES, groups, materialize, mix, modest_batches, parts, RangeHash, signed, Words
 
 GROUP_ROWS = 20_000
+HELD_ANCHORS = 400_000
 _U = np.uint64
 
 
@@ -90,13 +93,34 @@ def find_anchors(kind: Kind, symbols: np.ndarray, bounds: np.ndarray) -> tuple[n
 
 
 def _anchors(kind: Kind, docs: DataFrame) -> DataFrame:
+    def reduced(held):
+        """Rows sorted by gram and surroundings; all but the first of equal surroundings are sure to be repeated."""
+        gram, around, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((pos, doc, around, gram))
+        gram, around, doc, pos = gram[order], around[order], doc[order], pos[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        sure = doc != doc[first]
+        if kind.own:
+            sure |= pos != pos[first]
+        gram = np.where(sure, mix(around ^ mix(doc.view(np.uint64))), gram)  # a sure row may go anywhere
+        return pa.RecordBatch.from_arrays([signed(gram), signed(around), pa.array(doc), pa.array(pos), pa.array(sure)], names=["gram", "around", "doc_id", "pos", "sure"])
+
     def run(batches):
+        held, n = [], 0
         for batch, texts in groups(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             text, at, gram, around = find_anchors(kind, *kind.symbols(texts))
-            yield pa.RecordBatch.from_arrays([signed(gram), signed(around), pa.array(ids[text], pa.int64()), pa.array(at.astype(np.int32))], names=["gram", "around", "doc_id", "pos"])
+            held.append((gram, around, ids[text].astype(np.int64), at.astype(np.int32)))
+            n += len(gram)
+            if n >= HELD_ANCHORS:
+                yield reduced(held)
+                held, n = [], 0
+        if held:
+            yield reduced(held)
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "gram long, around long, doc_id long, pos int")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "gram long, around long, doc_id long, pos int, sure boolean")
 
 
 def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -111,6 +135,13 @@ def _first_seen(kind: Kind, rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            sure = batch.column(4)
+            known = batch.filter(sure)
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), pa.nulls(known.num_rows, pa.int64())], names=["doc_id", "pos", "gram"])
+                batch = batch.filter(pa.compute.invert(sure))
+                if not batch.num_rows:
+                    continue
             gram, around, doc, pos = _columns(batch, 4)
             ahead = held is not None
             if ahead:
@@ -212,38 +243,23 @@ def _window_hashes(kind: Kind, batch: pa.RecordBatch) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(starts), np.concatenate(keys)
 
 
-def _compare(kind: Kind, rows: DataFrame) -> DataFrame:
-    """Intervals [a, b) that are repeated (key null), or windows (a: start, key) of grams with too many rows for one task's memory."""
+def _compare(kind: Kind, rows: DataFrame, judge: Callable) -> DataFrame:
+    """Intervals [a, b) that are repeated (key null), or windows (a: start, gram, key) of grams with too many rows for one task's memory."""
 
     def settle(batch: pa.RecordBatch):
-        doc = batch.column(1).to_numpy(zero_copy_only=False)
-        row, start, key = _window_hashes(kind, batch)
-        order = np.lexsort((row, key))  # rows are in order of document and position
-        key, row, start = key[order], row[order], start[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, dtype=np.int64)
-        hit = ~new if kind.own else doc[row] != doc[row[first]]
-        if kind.own:
-            hit &= (doc[row] != doc[row[first]]) | (start != start[first])
-        row, start = row[hit], start[hit].astype(np.int64)
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        # neighbouring starts of one row make one interval
-        cut = np.ones(len(row), dtype=bool)
-        cut[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-        a = np.flatnonzero(cut)
-        b = np.append(a[1:], len(row)) - 1 if len(a) else a
-        return out(doc[row[a]], start[a], start[b] + kind.length, None)
-
-    def out(doc, a, b, key):
-        keys = pa.nulls(len(doc), pa.int64()) if key is None else signed(key)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), keys], names=["doc_id", "a", "b", "key"])
+        gram, doc, pos, lhs, rhs = _columns(batch, 5)
+        raw = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64 if kind.unit == "word" else np.uint8)
+        rows, start, end = judge(kind, gram, doc, pos.astype(np.int64), lhs, rhs, raw.reshape(len(gram), kind.reach + kind.length - 1))
+        return out(doc[rows], start, end, None, None)
+
+    def out(doc, a, b, gram, key):
+        grams, keys = (pa.nulls(len(doc), pa.int64()),) * 2 if key is None else (pa.array(gram), signed(key))
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), grams, keys], names=["doc_id", "a", "b", "gram", "key"])
 
     def windows(batch):
         doc = batch.column(1).to_numpy(zero_copy_only=False)
         row, start, key = _window_hashes(kind, batch)
-        return out(doc[row], start, start + kind.length, key)
+        return out(doc[row], start, start + kind.length, batch.column(0).to_numpy(zero_copy_only=False)[row], key)
 
     def run(batches):
         held, many = None, None  # rows of the gram at the end of the last batch; a gram that has too many
@@ -271,31 +287,44 @@ def _compare(kind: Kind, rows: DataFrame) -> DataFrame:
         if held is not None:
             yield settle(held)
 
-    return rows.repartition(parts(rows.sparkSession), "gram").sortWithinPartitions("gram", "doc_id", "pos").mapInArrow(run, "doc_id long, a int, b int, key long")
+    return rows.repartition(parts(rows.sparkSession), "gram").sortWithinPartitions("gram", "doc_id", "pos").mapInArrow(run, "doc_id long, a int, b int, gram long, key long")
 
 
-def repeated_spans(kind: Kind, docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
+def repeated_spans(kind: Kind, docs: DataFrame, judge: Callable, finish: Callable, schema: str) -> DataFrame:
     """``docs``: doc_id, text. ``finish(batches)`` gets doc_id, text and the list of repeated intervals (a, b); may reach over the end.
 
-    Rows that share an id count as one document; rows without an id are left out of the search.
+    ``judge(kind, gram, doc, pos, lhs, rhs, cells)`` gets whole grams, rows in order of gram, document and position, with ``lhs`` symbols of the
+    text before and ``rhs`` from the anchor on, and gives the rows and intervals that occur earlier. Rows that share an id count as one
+    document; rows without an id are left out of the search.
     """
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(_first_seen(kind, _anchors(kind, docs)), "anchors")
     looks = seen.filter("gram IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram")).alias("looks"))
-    compared = materialize(_compare(kind, _with_symbols(kind, docs.join(looks, "doc_id", "left").select("doc_id", "text", "looks"))), "windows")
+    compared = materialize(_compare(kind, _with_symbols(kind, docs.join(looks, "doc_id", "left").select("doc_id", "text", "looks")), judge), "windows")
     reach, length = kind.reach, kind.length
     whole = seen.filter("gram IS NULL").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (reach - 1)).alias("a"), (F.col("pos") + length).alias("b"))
     # grams with too many rows: the first start of each window by a Spark aggregation
-    many = compared.filter("key IS NOT NULL").select("key", "doc_id", "a", "b")
-    firsts = many.groupBy("key").agg(F.min(F.struct("doc_id", "a")).alias("first"))
+    many = compared.filter("key IS NOT NULL").select("gram", "key", "doc_id", "a", "b")
+    firsts = many.groupBy("gram", "key").agg(F.min(F.struct("doc_id", "a")).alias("first"))
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.lit(kind.own) & (F.col("a") != F.col("first.a")))
-    more = many.join(firsts, "key").filter(later).select("doc_id", "a", "b")
+    more = many.join(firsts, ["gram", "key"]).filter(later).select("doc_id", "a", "b")
     spans = compared.filter("key IS NULL").select("doc_id", "a", "b").unionAll(whole).unionAll(more)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
 
 
+def sorted_rows(groups_: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by group and then by their bytes, and with how many bytes each row agrees with the one before (-1: another group)."""
+    group = np.cumsum(np.diff(groups_, prepend=groups_[:1]) != 0).astype(">u4")  # the rows come with groups together
+    whole = np.concatenate((group.view(np.uint8).reshape(len(group), 4), cells), axis=1)
+    order = np.argsort(np.ascontiguousarray(whole).view(f"S{whole.shape[1]}").ravel(), kind="stable")
+    here = whole[order]
+    differ = here[1:] != here[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), whole.shape[1]) - 4
+    return order, np.concatenate(([-1], np.where(common < 0, -1, common)))
+
+
 def covered(n: int, spans: list | None) -> np.ndarray:
     """Mask of the symbols that the intervals cover."""
     step = np.zeros(n + 1, dtype=np.int32)
