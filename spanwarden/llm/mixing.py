@@ -1,16 +1,20 @@
 """Mixing sources to target weights by min-cost flow over membership patterns.
 
-Documents are aggregated by the pattern of sources they belong to (an array; the query uses one source each). The flow
+Documents are aggregated by the pattern of sources they belong to (an array; a plain source is a pattern of one). The flow
 network has one node a pattern and one a source: a pattern offers its words once at cost 0, a second time at cost 1, a
 third at cost 2 (convex repetition costs), and every source draws its quota. Only pattern totals reach the driver; their
-number is checked against ``MAX_PATTERNS``. Selection is seeded: within a pattern whole documents are taken in the
-order of a keyed hash until the fractional round is filled; whole rounds take every document.
+number is checked against ``MAX_PATTERNS``.
+
+Selection is seeded: whole rounds take every document of a pattern; for the fractional round documents are met in the order of a
+keyed hash, and one is taken while it fits into what is left. The first that does not fit ends a stretch; behind it only documents
+that fit go on, for ``STRETCHES`` stretches. A stretch is a few numbers a pattern (from where, to where, greatest size), so taking is a test of
+each row by itself and no text is moved.
 
 The running totals are distributed: hash order is cut into ``BUCKETS`` ranges, totals of ranges are accumulated, and a
-window runs inside one (pattern, range) only, so a hot source is spread over all ranges.
+window runs inside the one range of a pattern that holds the end of a stretch, so a hot source is spread over all ranges.
 
-Null text has size 0; a null source is a source of its own, last in order. Documents of size 0 take 0. Repeated ids tie
-on the hash and follow each other by size. An empty table gives an empty result.
+Null text has size 0; a null source, an empty array and an array of nulls are one source of their own, last in order. Documents of size 0 take
+0. Rows that repeat an id are taken or left together where their sizes are equal. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialize, release, word_count
 
 MAX_REPEATS = 3
 MAX_PATTERNS = 1_000_000
 BUCKETS = 4096
+STRETCHES = 5
+BROADCAST_PATTERNS = 50_000
 
 
 def source_targets(sizes: dict[str | None, int], max_repeats: int = MAX_REPEATS, weights: tuple[float, ...] = (1, 2, 3)) -> dict[str | None, float]:
@@ -56,11 +62,6 @@ def route(patterns: dict[tuple, int], targets: dict, max_repeats: int = MAX_REPE
     for p in patterns:
         for s in p:
             members.setdefault(s, []).append(p)
-    if all(len(p) == 1 for p in patterns):  # no overlap: each source draws on its own pattern
-        for p, size in patterns.items():
-            if take := min(need.get(p[0], 0), max_repeats * size):
-                flow[p, p[0]] = take
-        return flow
     for level in range(max_repeats):  # all words at one repetition cost before any at the next: convex costs
         cap = {p: (level + 1) * size for p, size in patterns.items()}
         for s in sorted(need, key=lambda x: (x is None, str(x))):
@@ -98,18 +99,55 @@ def route(patterns: dict[tuple, int], targets: dict, max_repeats: int = MAX_REPE
     return flow
 
 
+def _stretches(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """key, stretches (after, until, most): the documents of a pattern that its fractional round takes.
+
+    ``rows``: key, at (the place in hash order), size. ``rest``: key, left, the words that are wanted.
+    """
+    place = "struct<h:bigint,k:bigint,size:bigint>"
+    state = rest.select("key", "left", F.lit(None).cast(place).alias("after"))
+    out = None
+    for number in range(STRETCHES):
+        state = materialize(state, "mix-rest")
+        fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("after").isNull() | (F.col("at") > F.col("after")))
+        open_ = rows.join(F.broadcast(state) if state.count() <= BROADCAST_PATTERNS else state, "key").filter(fits)
+        open_ = open_.withColumn("bucket", F.shiftright(F.col("at.h"), 52))  # BUCKETS ranges of the hash, in order
+        before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = open_.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        end = ranges.filter(F.col("before") + F.col("words") > F.col("left")).groupBy("key").agg(F.min(F.struct("bucket", "before")).alias("end"))
+        end = end.select("key", "end.bucket", "end.before")
+        within = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        inside = open_.join(end, ["key", "bucket"]).withColumn("seen", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        edge = inside.filter(F.col("seen") + F.col("size") > F.col("left")).groupBy("key").agg(F.min(F.struct("at", "seen")).alias("edge"))
+        # rows that tie with the edge stay out with it
+        taken = inside.join(edge, "key").filter(F.col("at") < F.col("edge.at")).groupBy("key").agg(F.max(F.col("seen") + F.col("size")).alias("taken"))
+        edge = edge.join(taken, "key", "left").join(end, "key").select("key", F.col("edge.at").alias("until"), F.coalesce("taken", "before").alias("taken"))
+        done = state.join(edge, "key", "left")
+        stretch = done.select("key", F.lit(number).alias("number"), "after", "until", F.col("left").alias("most"))
+        out = stretch if out is None else out.unionAll(stretch)
+        state = done.filter("until IS NOT NULL").select("key", (F.col("left") - F.col("taken")).alias("left"), F.col("until").alias("after"))
+    return out.groupBy("key").agg(F.collect_list(F.struct("after", "until", "most")).alias("stretches"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies (and the ``keep`` columns of the input).
 
     ``source_col`` may be a string or an array of strings (overlapping sources).
     """
     array = dict(docs.dtypes)[source_col].startswith("array")
-    pattern = F.array_sort(F.array_distinct(F.col(source_col))) if array else F.array(F.col(source_col).cast("string"))
+    alone = F.array(F.lit(None).cast("string"))
+    pattern = F.array_sort(F.array_distinct(F.col(source_col).cast("array<string>"))) if array else F.array(F.col(source_col).cast("string"))
+    pattern = F.filter(pattern, lambda x: x.isNotNull()) if array else pattern
+    pattern = F.when(F.coalesce(F.size(pattern), F.lit(0)) > 0, pattern).otherwise(alone)
     rows = docs.select(F.col(id_col).alias("doc_id"), pattern.alias("__pattern"), word_count(text_col).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    totals = rows.groupBy("__pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    place = F.struct(F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"), F.xxhash64(F.lit(~seed), F.col("doc_id")).alias("k"), F.col("size"))
+    rows = rows.withColumns({"key": F.to_json(F.struct("__pattern")), "at": place})
+    sizes_only = materialize(rows.select("key", "__pattern", "at", "size"), "mix-sizes")
+    totals = sizes_only.groupBy("__pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = {tuple(r["__pattern"] or (None,)): r["words"] for r in totals}
+    patterns = {tuple(r["__pattern"]): r["words"] for r in totals}
     sizes: dict[str | None, int] = {}
     for p, words in patterns.items():
         for s in p:
@@ -118,29 +156,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if any(len(p) > 1 for p in patterns):  # shared words count once in the total that is handed out
         scale = sum(patterns.values()) / max(1.0, sum(targets.values()))
         targets = {s: t * min(1.0, scale) for s, t in targets.items()}
-    flow = route(patterns, targets, max_repeats)
     drawn: dict[tuple, int] = dict.fromkeys(patterns, 0)
-    for (p, _), words in flow.items():
+    for (p, _), words in route(patterns, targets, max_repeats).items():
         drawn[p] += words
     plan = [
         (list(p), float(sum(targets[s] for s in p)), int(sum(sizes[s] for s in p)), drawn[p] // words if words else 0, drawn[p] % words if words else 0)
         for p, words in patterns.items()
     ]
-    spark = docs.sparkSession
-    quota = spark.createDataFrame(plan, "__pattern array<string>, target double, source_size long, __rounds long, __rest long")
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.withColumn("__pattern", F.coalesce(F.when(F.size("__pattern") > 0, F.col("__pattern")), F.array(F.lit(None).cast("string"))))
-    ranked = rows.withColumn("__h", h).withColumn("__bucket", F.pmod(F.shiftright(F.col("__h"), 40), F.lit(BUCKETS)))
-    ranges = ranked.groupBy("__pattern", "__bucket").agg(F.sum("size").alias("__words"))
-    before = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0)))
-    key = F.to_json(F.struct(F.col("__pattern"))).alias("__key")
-    quota = quota.select(key, "target", "source_size", "__rounds", "__rest")
-    ranges = ranges.select(key, "__bucket", "__before").join(quota, "__key")
-    within = Window.partitionBy("__key", "__bucket").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranked.withColumn("__key", key).join(ranges, ["__key", "__bucket"])
-    out = out.withColumn("__seen", F.col("__before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # the document at the edge goes to the nearer side
-    extra = (2 * F.col("__seen") + F.col("size") <= 2 * F.col("__rest")) & (F.col("__rest") > 0) & (F.col("size") > 0)
-    copies = F.when(F.col("size") > 0, F.col("__rounds") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", F.col("size"), "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"__keep_{c}").alias(c if c not in ("size", "source_size", "target", "taken", "copies", "doc_id") else f"{c}_in") for c in keep])
+    quota = docs.sparkSession.createDataFrame(plan, "__pattern array<string>, target double, source_size long, rounds long, left long")
+    quota = quota.withColumn("key", F.to_json(F.struct("__pattern"))).drop("__pattern")
+    quota = quota.join(_stretches(sizes_only.select("key", "at", "size"), quota.filter(F.col("left") > 0).select("key", "left")), "key", "left").drop("left")
+    quota = materialize(quota, "mix-quota")
+    release(sizes_only)
+    out = rows.join(F.broadcast(quota) if len(plan) <= BROADCAST_PATTERNS else quota, "key")
+    at, size = F.col("at"), F.col("size")
+    taken = F.exists("stretches", lambda s: (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at < s["until"])) & (size <= s["most"]))
+    copies = F.when(size > 0, F.col("rounds") + F.coalesce(taken, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+    own = ("size", "source_size", "target", "taken", "copies", "doc_id")
+    return out.select("doc_id", size, "source_size", "target", (size * copies).alias("taken"), copies.alias("copies"), *[F.col(f"__keep_{c}").alias(f"{c}_in" if c in own else c) for c in keep])

@@ -69,6 +69,22 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id)
 """
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT d.doc_id, s.i, substr(d.h, 2 * s.i + 1, 200) AS win FROM d, LATERAL (SELECT unnest(range(0, length(d.h) // 2 - 99)) AS i) s),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+cut AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM run),
+kept AS (
+  SELECT d.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(d.h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(d.h), 2 * max(b) + 1) AS h
+  FROM gap JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -108,4 +124,4 @@ SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles,
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_byte_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL}

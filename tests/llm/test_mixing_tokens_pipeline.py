@@ -18,9 +18,27 @@ def test_targets():
 
 def test_flow_of_overlapping_sources():
     flow = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 10.0, "b": 10.0})
-    assert flow == {(("a",), "a"): 10, (("a", "b"), "b"): 10} or sum(flow.values()) == 20
-    drawn = {p: sum(v for (q, _), v in flow.items() if q == p) for p in ((("a",)), ("a", "b"))}
-    assert drawn == {("a",): 10, ("a", "b"): 10}  # nothing is repeated while unused words are left
+    assert flow == {(("a",), "a"): 10, (("a", "b"), "b"): 10}  # nothing is repeated while unused words are left
+    # "a" comes first and could take the shared words, but then "b" would have none: they are rerouted
+    flow = mixing.route({("a", "b"): 10, ("a", "c"): 10}, {"a": 10.0, "b": 10.0, "c": 0.0})
+    assert {k: v for k, v in flow.items() if v} == {(("a", "b"), "b"): 10, (("a", "c"), "a"): 10}
+    # repetition starts only when all words are used, and no pattern is used more than three times
+    flow = mixing.route({("a",): 10, ("b",): 10}, {"a": 25.0, "b": 40.0})
+    assert flow == {(("a",), "a"): 25, (("b",), "b"): 30}
+
+
+def test_rows_without_a_source_are_one_source(spark):
+    rows = [(1, "a b c", None), (2, "a b c", []), (3, "a b", [None]), (4, "x y", ["s"]), (5, None, ["s"])]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()}
+    assert {i: r["source_size"] for i, r in got.items()} == {1: 8, 2: 8, 3: 8, 4: 2, 5: 2} and got[5]["taken"] == 0
+
+
+def test_documents_behind_the_edge_fill_the_rest(spark):
+    rows = [(i, "w " * (400 if i % 10 == 0 else 1 + i % 7), "s" if i % 2 else "t") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in (0, 1):
+        mine = [r for r in got if r["doc_id"] % 2 == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 8
 
 
 def test_mix(spark, docs, rows, empty):
