@@ -3,11 +3,15 @@
 One pass of the standard library's streaming parser cuts a page into blocks (the "lines" of the ratio method) and keeps
 a tree of their containers. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are marked by tag, role, class and id. The ratio of text to tags of every block is smoothed with a
-Gaussian kernel, blocks above one standard deviation form the content clusters, and the clusters vote for the container
-that is the article; all its unmarked blocks are returned, short ones too.
-
-Null or empty html gives an empty text. Broken nesting is repaired as the events arrive. Rows that repeat are extracted
-each on its own; pages are independent, so nothing is shuffled and a lost task is simply run again.
+Gaussian kernel, and blocks above one standard deviation form the content clusters. The clusters vote for the deepest container that holds
+most of their text. Where that lies in an article or main element, or consists of articles, those are the article and all their
+unmarked blocks are returned, short ones too. Elsewhere nothing but the ratios tells: what stands between the first and the last
+cluster is the article, with the headings and unlinked lines right before it; blocks made of links go.
+
+Null or empty html gives an empty text. Broken nesting is repaired as the events arrive; a marked section is skipped, an unclosed comment
+ends with the page, a tag with an unclosed quote ends at its first ">". Very long pages are parsed whole, in memory of a few times their
+length. Rows that repeat are extracted each on its own; other columns of the input are ignored whatever their names; an empty table gives an
+empty result. Pages are independent, so nothing is shuffled and a lost task is simply run again.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ class _Page(HTMLParser):
         self.by_name = by_name
         self.stack: list[tuple[str, int, bool]] = []  # tag, container, whether it is skipped
         self.parents, self.kinds = [-1], ["root"]
-        self.blocks: list[tuple[str, int, int, int]] = []  # text, container, tags, characters in links
+        self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, container, tags, characters in links, whether a heading
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -53,7 +57,7 @@ class _Page(HTMLParser):
         if self.text:
             said = " ".join("".join(self.text).split())
             if said:
-                self.blocks.append((said, self._state()[0], self.tags, self.linked))
+                self.blocks.append((said, self._state()[0], self.tags, self.linked, any(t in HEADINGS for t, _, _ in self.stack[-3:])))
                 self.tags = 0
             self.text, self.linked = [], 0
 
@@ -88,6 +92,27 @@ class _Page(HTMLParser):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         return bool(names.strip()) and bool(SKIP_NAMES.search(OWN_NAMES.sub(" ", names)))
 
+    def parse_marked_section(self, i, report=1):
+        """The parser knows a few names of such sections and stops at others: all are skipped here."""
+        ends = [at + len(mark) for mark in ("]]>", "]>", ">") if (at := self.rawdata.find(mark, i + 3)) >= 0]
+        return ends[0] if ends else -1
+
+    def finish(self) -> None:
+        """What the parser still holds at the end of the page is text, or markup that never closed."""
+        while self.rawdata.startswith("<") and not self.cdata_elem:
+            held, self.rawdata = self.rawdata, ""
+            tag, end = re.match(r"</?([a-zA-Z][^\s/>]*)", held), held.find(">")
+            if held.startswith(("<!", "<?")) or (tag and end < 0):
+                break
+            if tag:
+                (self.handle_endtag if held[1] == "/" else lambda name: self.handle_starttag(name, []))(tag[1].lower())
+                self.feed(held[end + 1 :])
+            else:
+                self.handle_data("<")
+                self.feed(held[1:])
+        self.close()
+        self._flush()
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCK_TAGS:
@@ -153,11 +178,26 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 def _parse(html: str, by_name: bool) -> _Page:
     page = _Page(by_name)
     page.feed(html)
-    page.close()
-    page._flush()
+    page.finish()
     return page
 
 
+def _article(page: _Page, mass: list[float]) -> tuple[set[int], bool]:
+    """The containers of the article, and whether the page names them: where the clusters' text is."""
+    deepest = max((i for i in range(len(mass)) if mass[i] >= 0.7 * mass[0]), default=0)
+    for kind in ("article", "main"):
+        at, around = deepest, None
+        while at >= 0:
+            around = at if page.kinds[at] == kind else around
+            at = page.parents[at]
+        if around is not None:
+            return {around}, True
+        named = {i for i, k in enumerate(page.kinds) if k == kind and mass[i]}
+        if named and sum(mass[i] for i in named) >= 0.7 * mass[0]:
+            return named, True
+    return {deepest}, False
+
+
 def extract_text(html: str | None) -> str:
     page = _parse(html or "", True)
     if not page.blocks:  # names that hide the whole page are not to be trusted
@@ -165,24 +205,31 @@ def extract_text(html: str | None) -> str:
     blocks = page.blocks
     if not blocks:
         return ""
-    ratios = smooth([len(text) / max(1, tags) for text, _, tags, _ in blocks])
+    own = [len(text) / max(1, tags) for text, _, tags, _, _ in blocks]
+    ratios = smooth(own)
     mean = sum(ratios) / len(ratios)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    content = [r >= min(deviation, mean) for r in ratios]
+    least = min(deviation, mean)
+    content = [r >= least for r in ratios]
     mass = [0.0] * len(page.parents)
-    for (text, at, _, linked), high in zip(blocks, content, strict=True):
+    for (text, at, _, linked, _), high in zip(blocks, content, strict=True):
         while high and at >= 0:
             mass[at] += max(0, len(text) - linked)
             at = page.parents[at]
-    best = {i for i, kind in enumerate(page.kinds) if kind == "article" and mass[i]} or {i for i, kind in enumerate(page.kinds) if kind == "main" and mass[i]}
-    named = bool(best)
-    if not best:  # the deepest container that holds most of what the clusters hold
-        best = {max((i for i in range(len(mass)) if mass[i] >= 0.7 * mass[0]), default=0)}
+    best, named = _article(page, mass)
     inside = [False] * len(page.parents)
     for i, parent in enumerate(page.parents):  # parents come before their children
         inside[i] = i in best or (parent >= 0 and inside[parent])
-    chosen = [text for (text, at, _, linked), high in zip(blocks, content, strict=True) if inside[at] and (named or high or linked <= 0.6 * len(text))]
-    return "\n\n".join(chosen)
+    chosen = [i for i, block in enumerate(blocks) if inside[block[1]]]
+    if not named:
+        links = [linked > 0.6 * len(text) for text, _, _, linked, _ in blocks]
+        high = [i for i in chosen if content[i] and own[i] >= least and not links[i]]  # smoothing lifts the cluster's neighbours, too
+        first, last = (high[0], high[-1]) if high else (0, len(blocks))
+        before = [i for i in chosen if i < first]
+        while before and not links[before[-1]] and (blocks[before[-1]][4] or blocks[before[-1]][3] == 0):
+            first = before.pop()
+        chosen = [i for i in chosen if first <= i <= last and not links[i]]
+    return "\n\n".join(blocks[i][0] for i in chosen)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -20,6 +20,28 @@ def test_pages(html, want):
     assert html_extract.extract_text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<![foo[bar]]>x", "x"), ("a<!-- x", "a"), ('<p>one</p><b title="x>two</b><p>three</p>', "one\n\ntwo\n\nthree"), ("<p>a < b</p><![CDATA[z]]>", "a < b"), ("<p>x</p><scr", "x"), ("<p>5 &lt 6 &am", "5 < 6 &am"), ("<" * 50 + "p", None),
+])
+def test_faulty_markup_is_not_text(html, want):
+    got = html_extract.extract_text(html)
+    assert want is None or got == want
+
+
+def test_ratios_choose_where_nothing_is_named(monkeypatch):
+    links = lambda k: "".join(f'<div><a href="/{k}{i}">Topic {k} {i}</a></div>' for i in range(12))
+    said = [f"Sentence number {i} of a report that runs on for quite some time, with clauses, and an end." for i in range(9)]
+    teasers = "".join(f"<div><span><b>{i}</b></span><i>More</i><i>soon</i></div>" for i in range(8))
+    text = "<h2>The report</h2>" + "".join(f"<div>{s}</div>" for s in said[:5]) + "<div>Short.</div>" + "".join(f"<div>{s}</div>" for s in said[5:])
+    page = f"<body><div>{links('a')}</div><div>{text}</div><div>{teasers}</div><div>{links('b')}</div></body>"
+    want = "\n\n".join(["The report", *said[:5], "Short.", *said[5:]])
+    assert html_extract.extract_text(page) == want
+    flat = page.replace("<body><div>", "<body>").replace("</div></body>", "</body>").replace("</div><div><h2>", "<h2>").replace("</div><div><div>", "<div>")
+    assert html_extract.extract_text(flat) == want
+    monkeypatch.setattr(html_extract, "smooth", lambda values: [1.0] * len(values))
+    assert html_extract.extract_text(flat) != want
+
+
 def test_page_table(spark, small):
     import html as h
     import re
