@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,15 +47,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, column: str, values: tuple[int, ...]) -> list[DataFrame]:
+    """``materialize`` into one table for each value of a column, which can be released one by one."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    there = spark.read.schema(df.schema).parquet(path)
+    out = []
+    for v in values:
+        table = there.filter(F.col(column) == v).drop(column)
+        table._scratch = f"{path}/{column}={v}"
+        out.append(table)
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more, and let Spark drop the shuffle files of finished steps."""
     for df in tables:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            jvm.System.gc()
+        context = df.sparkSession.sparkContext
+        if path := getattr(df, "_scratch", None):
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector
 
 
 def parts(spark: SparkSession) -> int:
