@@ -7,27 +7,58 @@ relational work on them (classification, merge, dedupe, joins of routes and view
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fixed
+
 ROW = "file string, kind string, owner string, name string, line int, value string, extra string"
-MAX_CHARS = 512_000
-
-#: Per suffix: how a model starts, how its body ends, and how a field looks inside (groups: name, type).
-MODEL_SYNTAX: dict[str, tuple[tuple[str, str], ...]] = {
-    ".prisma": ((r"^model\s+(?P<name>\w+)\s*\{(?P<body>[^}]*)", r"^[ \t]*(?P<name>\w+)[ \t]+(?P<type>\w+(?:\[\])?\??)"),),
-    ".js": ((r"class\s+(?P<name>\w+)\s+extends\s+(?:\w+\.)?Model\s*\{(?P<body>.{0,5000})", r"(?P<name>\w+)\s*:\s*\{?\s*(?:type\s*:\s*)?(?:DataTypes|Sequelize)\.(?P<type>\w+)"), (r"(?P<name>\w+)\.init\(\s*\{(?P<body>.{0,5000}?)\}\s*,\s*\{", r"(?P<name>\w+)\s*:\s*\{?\s*(?:type\s*:\s*)?(?:DataTypes|Sequelize)\.(?P<type>\w+)"), (r"mongoose\.model\(\s*['\"](?P<name>\w+)['\"](?P<body>)", r"(?!)")),
-    ".ts": ((r"@Entity\([^)]*\)\s*(?:export\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)[^{]*\{(?P<body>.{0,5000}?)\n\}", r"@\w*Column\w*\([^)]*\)\s*(?:public\s+|private\s+)?(?P<name>\w+)[!?]?\s*:\s*(?P<type>\w+)"),),
-    ".java": ((r"@Entity\b.{0,300}?\bclass\s+(?P<name>\w+)[^{]*\{(?P<body>.{0,8000})", r"(?:private|protected|public)\s+(?P<type>[A-Z]\w*|int|long|double|float|boolean)(?:<[^>]*>)?\s+(?P<name>\w+)\s*[;=]"),),
-    ".rb": ((r"^\s*class\s+(?P<name>\w+)\s*<\s*[\w:]+(?P<body>.{0,5000}?)^end", r"\b(?P<type>belongs_to|has_many|has_one)\s+:(?P<name>\w+)(?P<extra>[^\n]*)"), (r"create_table\s+\"(?P<name>\w+)\"(?P<body>.*?)^\s*end", r"t\.(?P<type>\w+)\s+\"(?P<name>\w+)\"")),
-    ".go": ((r"type\s+(?P<name>\w+)\s+struct\s*\{(?P<body>[^}]*(?:gorm|json):[^}]*)\}", r"^[ \t]*(?P<name>[A-Z]\w*)[ \t]+(?P<type>[\w.*\[\]]+)"),),
-    ".php": ((r"class\s+(?P<name>\w+)\s+extends\s+(?:Model|Authenticatable)\b(?P<body>.{0,5000})", r"['\"](?P<name>\w+)['\"]\s*=>\s*['\"](?P<type>\w+)"), (r"Schema::create\(\s*['\"](?P<name>\w+)['\"](?P<body>.*?)\}\s*\)", r"\$table->(?P<type>\w+)\(\s*['\"](?P<name>\w+)")),
-    ".cs": ((r"class\s+(?P<name>\w+)[^{]*\{(?P<body>(?:(?!\n\}).)*\{\s*get;(?:(?!\n\}).)*)", r"public\s+(?P<type>[\w<>?]+)\s+(?P<name>\w+)\s*\{\s*get;"),),
-    ".rs": ((r"#\[derive\([^)]*(?:Queryable|FromRow|DeriveEntityModel)[^)]*\)\][^{;]*struct\s+(?P<name>\w+)\s*\{(?P<body>[^}]*)", r"(?:pub\s+)?(?P<name>\w+)\s*:\s*(?P<type>[\w<>:]+)"),),
-}
+
+
+@dataclass(frozen=True)
+class Syntax:
+    """How a model starts, where its body ends (``{`` its closing brace, else a pattern, None: it has none), what the body must hold,
+    and how a field looks inside (groups: name, type, extra)."""
+
+    head: str
+    body: str | None
+    field: str
+    must: str = ""
+
+
+_COLUMN = r"(?P<name>\w+)\s*:\s*\{?\s*(?:type\s*:\s*)?(?:DataTypes|Sequelize)\.(?P<type>\w+)"
+MODEL_SYNTAX: dict[str, tuple[Syntax, ...]] = {
+    ".prisma": (Syntax(r"^model\s+(?P<name>\w+)\s*\{", "{", r"^[ \t]*(?P<name>\w+)[ \t]+(?P<type>\w+(?:\[\])?\??)"),),
+    ".js": (
+        Syntax(r"class\s+(?P<name>\w+)\s+extends\s+(?:\w+\.)?Model\s*\{", "{", _COLUMN),
+        Syntax(r"(?P<name>\w+)\.init\(\s*\{", "{", _COLUMN),
+        Syntax(r"mongoose\.model\(\s*['\"](?P<name>\w+)['\"]", None, r"(?!)"),
+    ),
+    ".ts": (Syntax(r"@Entity\([^)]*\)\s*(?:export\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)", "{", r"@\w*Column\w*\([^)]*\)\s*(?:public\s+|private\s+)?(?P<name>\w+)[!?]?\s*:\s*(?P<type>\w+)"),),
+    ".java": (
+        Syntax(
+            r"@Entity\b(?:(?!@Entity\b).)*?\bclass\s+(?P<name>\w+)", "{",
+            r"(?:private|protected|public)\s+(?P<type>[A-Z]\w*|int|long|double|float|boolean)(?:<[^>]*>)?\s+(?P<name>\w+)\s*[;=]",
+        ),
+    ),
+    ".rb": (
+        Syntax(r"^\s*class\s+(?P<name>\w+)\s*<\s*[\w:]+", r"^end", r"\b(?P<type>belongs_to|has_many|has_one)\s+:(?P<name>\w+)(?P<extra>[^\n]*)"),
+        Syntax(r"create_table\s+\"(?P<name>\w+)\"", r"^\s*end", r"t\.(?P<type>\w+)\s+\"(?P<name>\w+)\""),
+    ),
+    ".go": (Syntax(r"type\s+(?P<name>\w+)\s+struct\s*\{", "{", r"^[ \t]*(?P<name>[A-Z]\w*)[ \t]+(?P<type>[\w.*\[\]]+)", r"(?:gorm|json):"),),
+    ".php": (
+        Syntax(r"class\s+(?P<name>\w+)\s+extends\s+(?:Model|Authenticatable)\b", "{", r"['\"](?P<name>\w+)['\"]\s*=>\s*['\"](?P<type>\w+)"),
+        Syntax(r"Schema::create\(\s*['\"](?P<name>\w+)['\"]", "{", r"\$table->(?P<type>\w+)\(\s*['\"](?P<name>\w+)"),
+    ),
+    ".cs": (Syntax(r"class\s+(?P<name>\w+)", "{", r"public\s+(?P<type>[\w<>?\[\]]+)\s+(?P<name>\w+)\s*\{\s*get;", r"\{\s*get;"),),
+    ".rs": (Syntax(r"#\[derive\([^)]*(?:Queryable|FromRow|DeriveEntityModel)[^)]*\)\][^{;]*struct\s+(?P<name>\w+)", "{", r"(?:pub\s+)?(?P<name>\w+)\s*:\s*(?P<type>[\w<>:]+)"),),
+}
 MODEL_SYNTAX[".tsx"], MODEL_SYNTAX[".jsx"] = MODEL_SYNTAX[".ts"], MODEL_SYNTAX[".js"]
 #: Per suffix: routes (groups: verb, path, handler; a prefix is found once a file).
 ROUTE_SYNTAX: dict[str, tuple[str | None, str]] = {
@@ -39,40 +70,46 @@ ROUTE_SYNTAX: dict[str, tuple[str | None, str]] = {
     ".php": (None, r"Route::(?P<verb>get|post|put|patch|delete|any)\(\s*['\"](?P<path>[^'\"]+)['\"]\s*,\s*(?P<handler>[^)\n]*)"),
     ".cs": (r"\[Route\(\s*\"(?P<path>[^\"]*)\"", r"\[Http(?P<verb>Get|Post|Put|Patch|Delete)(?:\(\s*\"(?P<path>[^\"]*)\"\s*\))?\][^{;]*?\b(?P<handler>\w+)\s*\("),
 }
-#: Module prefix to the kind of protection that it stands for.
-PYTHON_LIBRARIES = {"cryptography": "encryption", "Crypto": "encryption", "nacl": "encryption", "django_cryptography": "encryption", "encrypted_model_fields": "encryption", "hashlib": "hashing", "bcrypt": "hashing", "argon2": "hashing", "passlib": "hashing", "jwt": "authentication", "rest_framework_simplejwt": "authentication", "oauthlib": "authentication", "allauth": "authentication", "sentry_sdk": "monitoring", "logging": "logging", "structlog": "logging", "auditlog": "audit", "simple_history": "audit", "ssl": "transport", "django_otp": "authentication", "guardian": "authorization", "celery": "scheduling", "boto3": "cloud", "requests": "http"}
-OTHER_LIBRARIES: dict[str, dict[str, str]] = {
-    ".js": {"bcrypt": "hashing", "jsonwebtoken": "authentication", "passport": "authentication", "helmet": "transport", "crypto": "encryption", "winston": "logging", "@sentry": "monitoring", "argon2": "hashing", "express-rate-limit": "rate-limiting"},
-    ".java": {"org.springframework.security": "authentication", "javax.crypto": "encryption", "io.jsonwebtoken": "authentication", "org.slf4j": "logging", "io.sentry": "monitoring", "org.bouncycastle": "encryption"},
-    ".rb": {"devise": "authentication", "bcrypt": "hashing", "lockbox": "encryption", "paper_trail": "audit"},
-    ".go": {"golang.org/x/crypto": "encryption", "github.com/golang-jwt": "authentication", "crypto/tls": "transport", "go.uber.org/zap": "logging"},
-    ".php": {"Illuminate\\\\Support\\\\Facades\\\\Crypt": "encryption", "Illuminate\\\\Support\\\\Facades\\\\Hash": "hashing", "Laravel\\\\Sanctum": "authentication", "Sentry": "monitoring"},
-    ".cs": {"Microsoft.AspNetCore.Identity": "authentication", "System.Security.Cryptography": "encryption", "Serilog": "logging", "Microsoft.AspNetCore.Authorization": "authorization"},
-}
-OTHER_LIBRARIES[".ts"] = OTHER_LIBRARIES[".js"]
-
 
 def _suffix(path: str) -> str:
     return "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
 
+def _body(content: str, head: re.Match, end: str | None) -> tuple[int, int]:
+    """Where the body of a model starts and ends, however long it is."""
+    if end is None:
+        return head.end(), head.end()
+    if end != "{":
+        last = re.compile(end, re.M).search(content, head.end())
+        return head.end(), last.start() if last else len(content)
+    start = content.find("{", head.end() - 1)
+    depth = 0
+    for brace in re.compile(r"[{}]").finditer(content, start) if start >= 0 else ():
+        depth += 1 if brace[0] == "{" else -1
+        if not depth:
+            return start + 1, brace.start()
+    return (start + 1, len(content)) if start >= 0 else (head.end(), head.end())
+
+
 def _regex_rows(path: str, content: str) -> Iterator[tuple]:
     s = _suffix(path)
-    line = lambda at: content.count("\n", 0, at) + 1
-    for head, field in MODEL_SYNTAX.get(s, ()):
-        for m in re.finditer(head, content, re.S | re.M):
+    breaks = [m.start() for m in re.finditer("\n", content)]
+    line = lambda at: bisect_left(breaks, at) + 1
+    for syntax in MODEL_SYNTAX.get(s, ()):
+        for m in re.finditer(syntax.head, content, re.S | re.M):
+            start, end = _body(content, m, syntax.body)
+            body = content[start:end]
+            if syntax.must and not re.search(syntax.must, body):
+                continue
             yield path, "model", None, m["name"], line(m.start()), None, None
-            for f in re.finditer(field, m["body"], re.M):
+            for f in re.finditer(syntax.field, body, re.M):
                 more = f.groupdict()
-                yield path, "field", m["name"], more["name"], line(m.start("body") + f.start()), more.get("type"), more.get("extra")
+                yield path, "field", m["name"], more["name"], line(start + f.start()), more.get("type"), more.get("extra")
     if s in ROUTE_SYNTAX:
         prefix, route = ROUTE_SYNTAX[s]
         base = re.search(prefix, content, re.S) if prefix else None
         for m in re.finditer(route, content, re.M):
             yield path, "route", base["path"] if base else None, m["path"] or "", line(m.start()), m["verb"].upper(), m["handler"]
-    for module, category in OTHER_LIBRARIES.get(s, {}).items():
-        if m := re.search(r"""(?:import|require|use|using|from|gem)\b[^\n]*?['"\s(]""" + (module if "\\\\" in module else re.escape(module)), content):
-            yield path, "library", None, module.replace("\\\\", "\\"), line(m.start()), category, None
 
 
 def _python_rows(path: str, content: str) -> Iterator[tuple]:
@@ -110,10 +147,11 @@ def _python_rows(path: str, content: str) -> Iterator[tuple]:
             yield path, "import", None, node.module, node.lineno, None, None
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Rows of ``ROW``: one narrow pass over the files, for all languages and kinds.
 
-    Python is parsed whole; of other files the first ``MAX_CHARS`` characters are searched, as in the reference.
+    Whole files are read; ``max_chars`` leaves what comes later out of files that are not Python. A file that cannot be parsed gives one
+    row of kind "error".
     """
 
     def run(batches):
@@ -121,7 +159,7 @@ def extract(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(pdf["file_path"], pdf["content"], strict=True):
                 if content:
-                    rows += _python_rows(path, content) if path.endswith(".py") else _regex_rows(path, content[:MAX_CHARS])
+                    rows += _python_rows(path, content) if path.endswith(".py") else _regex_rows(path, content[:max_chars])
             out = pd.DataFrame(rows, columns=["file", "kind", "owner", "name", "line", "value", "extra"])
             yield out.astype({"line": "int32"}) if len(out) else out
 
@@ -135,7 +173,6 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
 
 #: What a Django model's base holds, and what keeps a class from being one.
 MODEL_BASES, NOT_MODELS = r"(?:^|[.,])(?:\w*Model|AbstractUser|AbstractBaseUser|PolymorphicModel|Base|SQLModel|DeclarativeBase)(?:,|$)", r"BaseModel|Serializer|Form|Admin|View|Manager|Filter|Permission|Schema|TestCase|Enum"
-ENCRYPTED_FIELD = r"^Encrypted\w*$"
 
 
 def _option(name: str) -> Column:
@@ -152,37 +189,64 @@ def models(rows: DataFrame) -> DataFrame:
     return _first(out, "name")
 
 
+def _mapped(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())), key)
+
+
+def python_type(suffix: Column, field_type: Column, nullable: Column) -> Column:
+    """The Python type of a field. Outside Django an unknown type stands for itself."""
+    generic = F.regexp_replace(field_type, r"\??(?:\[\])?\??$", "")
+    bare = {"prisma": generic, "java": F.trim(F.substring_index(field_type, "<", 1)), "rust": F.trim(F.regexp_replace(F.replace(field_type, F.lit("Option<")), ">+$", ""))}
+    django = _mapped(fixed.FIELD_TYPES["django"], field_type)
+    out = F.when(suffix == ".py", F.when(nullable, F.concat(django, F.lit(" | None"))).otherwise(django))
+    for end, language in fixed.TYPES_OF_SUFFIX.items():
+        if language != "django":
+            said = bare.get(language, field_type)
+            out = out.when(suffix == end, F.coalesce(_mapped(fixed.FIELD_TYPES[language], said), said))
+    return out
+
+
 def fields(rows: DataFrame) -> DataFrame:
-    f = rows.filter("kind = 'field'")
-    null = _option("null")
+    """model, name, field_type, python_type, is_nullable, is_encrypted, max_length, related_model, on_delete, file, line."""
+    f = rows.filter((F.col("kind") == "field") & ~F.coalesce(F.col("value"), F.lit("")).isin("belongs_to", "has_many", "has_one"))
+    nullable = F.coalesce((_option("null") == "True") | F.col("value").endswith("?"), F.lit(False))
+    suffix = F.lower(F.regexp_extract("file", r"(\.[^./]+)$", 1))
+    relation = F.col("value").isin("ForeignKey", "OneToOneField", "ManyToManyField")
     return f.select(
-        F.col("owner").alias("model"), "name", F.col("value").alias("field_type"), ((null == "True") | F.col("value").endswith("?")).alias("is_nullable"), F.col("value").rlike(ENCRYPTED_FIELD).alias("is_encrypted"),
-        F.try_to_number(_option("max_length"), F.lit("9999999999")).cast("int").alias("max_length"), F.when(F.col("value").isin("ForeignKey", "OneToOneField", "ManyToManyField"), F.regexp_extract(F.regexp_replace("extra", "['\"]", ""), r"^(?:to=)?([\w.]+)", 1)).alias("related_model"),
+        F.col("owner").alias("model"), "name", F.col("value").alias("field_type"), python_type(suffix, F.col("value"), nullable).alias("python_type"), nullable.alias("is_nullable"),
+        F.coalesce(F.col("value").isin(*fixed.ENCRYPTED_FIELDS), F.lit(False)).alias("is_encrypted"),
+        F.try_to_number(_option("max_length"), F.lit("9999999999")).cast("int").alias("max_length"),
+        F.when(relation, F.regexp_extract(F.regexp_replace("extra", "['\"]", ""), r"^(?:to=)?([\w.]+)", 1)).alias("related_model"),
         F.when(_option("on_delete") != "", F.upper(F.regexp_extract(_option("on_delete"), r"(\w+)$", 1))).alias("on_delete"), "file", "line",
-    ).dropDuplicates(["file", "model", "name"])
-
-
-#: The cascade actions in the order in which they are looked for.
-CASCADES = ("CASCADE", "PROTECT", "RESTRICT", "SET_NULL", "SET_DEFAULT", "DO_NOTHING")
+    ).dropDuplicates(["file", "model", "name"])
 
 
 def cascade(expression: Column) -> Column:
     out = None
-    for c in CASCADES:
+    for c in fixed.CASCADES:
         hit = F.upper(expression).contains(c)
         out = F.when(hit, c) if out is None else out.when(hit, c)
     return out.otherwise("UNKNOWN")
 
 
+def title(name: Column) -> Column:
+    """Every run of letters with a capital first letter and the others small."""
+    pieces = F.regexp_extract_all(name, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.array_join(F.transform(pieces, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+
+
+def associated_model(association: Column) -> Column:
+    return title(F.regexp_replace(association, "s+$", ""))
+
+
 def delete_paths(rows: DataFrame) -> DataFrame:
-    """Foreign keys of Django and associations of Rails as edges."""
-    f = fields(rows).filter("related_model IS NOT NULL")
-    django = f.select(F.col("model").alias("source_model"), F.col("name").alias("field_name"), F.substring_index("related_model", ".", -1).alias("target_model"), cascade(F.coalesce("on_delete", F.lit(""))).alias("on_delete"), "file", "line")
+    """Foreign keys of Django with an action, and associations of Rails with a dependent option, as edges; PROTECT blocks."""
+    f = fields(rows).filter("related_model IS NOT NULL AND on_delete IS NOT NULL")
+    django = f.select(F.col("model").alias("source_model"), F.col("name").alias("field_name"), F.substring_index("related_model", ".", -1).alias("target_model"), cascade(F.col("on_delete")).alias("on_delete"), "file", "line")
     rails = rows.filter((F.col("kind") == "field") & F.col("file").endswith(".rb") & F.col("value").isin("belongs_to", "has_many", "has_one"))
-    target = F.initcap(F.regexp_replace("name", "s+$", ""))
-    rails = rails.select(F.col("owner").alias("source_model"), F.col("name").alias("field_name"), target.alias("target_model"), F.when(F.col("extra").contains("dependent: :destroy"), "CASCADE").when(F.col("extra").contains("restrict"), "RESTRICT").when(F.col("extra").contains("nullify"), "SET_NULL").otherwise("UNKNOWN").alias("on_delete"), "file", "line")
-    out = django.unionByName(rails)
-    return out.withColumn("is_blocker", F.col("on_delete").isin("PROTECT", "RESTRICT", "DO_NOTHING"))
+    dependent = F.regexp_extract("extra", r"dependent:\s*:(\w+)", 1)
+    rails = rails.filter(dependent != "").select(F.col("owner").alias("source_model"), F.col("name").alias("field_name"), associated_model(F.col("name")).alias("target_model"), F.coalesce(_mapped(fixed.DEPENDENT, dependent), F.lit("UNKNOWN")).alias("on_delete"), "file", "line")
+    return django.unionByName(rails).withColumn("is_blocker", F.col("on_delete") == "PROTECT")
 
 
 def join_route(prefix: Column, path: Column) -> Column:
@@ -209,17 +273,43 @@ def endpoints(rows: DataFrame) -> DataFrame:
     return other.unionByName(fast).unionByName(django)
 
 
-def libraries(rows: DataFrame) -> DataFrame:
-    """Imports of known libraries, by exact name or dotted prefix (the first entry wins); one row a module and file."""
-    table = list(PYTHON_LIBRARIES.items())
+def security_category(module: Column) -> Column:
+    """Category of a Python module: a known library by its whole name or its dotted beginning, whatever the case; the first entry wins."""
+    name = F.replace(F.lower(module), F.lit("-"), F.lit("_"))
     out = None
-    for module, kind in table:
-        hit = (F.col("name") == module) | F.startswith(F.col("name"), F.lit(module + "."))
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    python = rows.filter("kind = 'import'").withColumn("category", out).filter("category IS NOT NULL")
-    rest = rows.filter("kind = 'library'").withColumn("category", F.col("value"))
-    both = python.unionByName(rest).select(F.col("name").alias("module"), F.col("owner").alias("alias"), "file", "line", "category")
-    return _first(both, "module", "file").select("module", "alias", "file", "line", "category")
+    for library, category in fixed.SECURITY_LIBRARIES.items():
+        known = library.lower().replace("-", "_")
+        hit = (name == known) | F.startswith(name, F.lit(known + "."))
+        out = F.when(hit, category) if out is None else out.when(hit, category)
+    return out
+
+
+def line_of(content: Column, at: Column) -> Column:
+    """Number of the line that holds the character ``at``."""
+    before = F.substring(content, F.lit(1), at - 1)
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
+def import_patterns(files: DataFrame) -> DataFrame:
+    """module, file, line, category: the first place of each import pattern in every file, by constant regexes in one projection."""
+    c, found = F.col("content"), []
+    for pattern, category, name in fixed.IMPORT_PATTERNS:
+        row = F.struct(F.lit(name).alias("module"), line_of(c, F.regexp_instr(c, F.lit(pattern))).alias("line"), F.lit(category).alias("category"))
+        found.append(F.when(c.rlike(pattern), row))
+    some = files.filter(c.rlike("|".join(f"(?:{p})" for p, _, _ in fixed.IMPORT_PATTERNS)))
+    rows = some.select(F.col("file_path").alias("file"), F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    # two patterns may name one library
+    return _first(rows.select("module", "file", "line", "category"), "module", "file").select("module", "file", "line", "category")
+
+
+def libraries(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """module, alias, file, line, category: known Python imports by name, and with ``files`` other languages' by pattern."""
+    python = rows.filter("kind = 'import'").withColumn("category", security_category(F.col("name"))).filter("category IS NOT NULL")
+    python = _first(python.select(F.col("name").alias("module"), F.col("owner").alias("alias"), "file", "line", "category"), "module", "file").select("module", "alias", "file", "line", "category")
+    if files is None:
+        return python
+    other = import_patterns(files.filter(~F.col("file_path").endswith(".py")))
+    return python.unionByName(other.withColumn("alias", F.lit(None).cast("string")))
 
 
 def merge_models(found: DataFrame, other: DataFrame) -> DataFrame:
@@ -241,10 +331,10 @@ def unaudited_functions(files: DataFrame, full_id: str, name_regex: str, must_no
     from ..functions import paths, text
 
     py = extract(files.filter(F.col("file_path").endswith(".py"))).filter("kind = 'function'").select(F.col("file").alias("file_path"), "name", F.col("line").alias("line_start"), F.col("value").alias("body"), F.col("extra").cast("int").alias("col"))
-    js = files.filter(F.lower("file_path").rlike(r"\.jsx?$")).select("file_path", F.split("content", "\n").alias("lines"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    js = js.select("file_path", F.regexp_extract("text", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1).alias("name"), (F.col("at") + 1).alias("line_start"), F.array_join(F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n").alias("rest"), F.col("text"))
-    # the body ends at the first closing brace that stands as far out as the function
-    js = js.filter("name <> ''").select("file_path", "name", "line_start", F.regexp_substr("rest", F.lit(r"(?s)^[^{]*\{.*?(?:\n\}|\}\s*$)")).alias("body"), (F.instr("text", F.concat("name", F.lit("("))) - 1).alias("col"))
+    js = files.filter(F.lower("file_path").rlike(r"\.jsx?$")).select("file_path", F.explode(F.regexp_extract_all("content", F.lit(r"(?ms)(^[ \t]*(?:export[ \t]+)?(?:async[ \t]+)?function\b.*?(?=^[ \t]*(?:export[ \t]+)?(?:async[ \t]+)?function\b|\z))"), 1)).alias("rest"), "content")
+    # a piece goes from one function's header to the next one's; the body ends at the first closing brace that stands as far out as the function
+    js = js.withColumn("name", F.regexp_extract("rest", r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", 1)).filter("name <> ''")
+    js = js.select("file_path", "name", line_of(F.col("content"), F.instr("content", F.col("rest"))).alias("line_start"), F.regexp_substr("rest", F.lit(r"(?s)^[^{]*\{.*?(?:\n\}|\}\s*$)")).alias("body"), (F.instr(F.substring_index("rest", "\n", 1), F.concat("name", F.lit("("))) - 1).alias("col"))
     found = py.unionByName(js).filter(F.col("name").rlike(name_regex) & ~F.coalesce(F.col("body"), F.lit("")).rlike(must_not_contain))
     p, test = F.col("file_path"), paths.is_test_file(F.col("file_path"))
     line1 = F.element_at(F.split("body", "\n"), 1)
@@ -257,21 +347,56 @@ def unaudited_functions(files: DataFrame, full_id: str, name_regex: str, must_no
     )
 
 
+def dependency_names(files: DataFrame) -> DataFrame:
+    """package, version: what the manifests at the root name, in lower case with underscores; the last version that is given counts."""
+    order = {"pyproject.toml": 0, "requirements.txt": 1, "Pipfile": 2, "setup.cfg": 3}
+    rows = files.filter(F.col("file_path").isin(*order)).withColumns({"content": F.lower("content"), "seq": _mapped(order, F.col("file_path"))})
+    pattern = F.lit(r"""(?m)['"]([\w\-.]+)['"]|^([\w\-.]+)\s*[=><!]""")
+    names = rows.select("seq", F.lit(-1).alias("at"), F.explode(F.concat(F.regexp_extract_all("content", pattern, 1), F.regexp_extract_all("content", pattern, 2))).alias("package"), F.lit("").alias("version"))
+    lines = rows.select("seq", F.posexplode(F.split("content", "\r?\n")).alias("at", "l")).withColumn("l", F.trim("l"))
+    found = r"^([\w\-.]+)\s*[=><!~^]+\s*([\w.]+)"
+    versions = lines.select("seq", "at", F.regexp_extract("l", found, 1).alias("package"), F.regexp_extract("l", found, 2).alias("version"))
+    both = names.unionByName(versions).withColumn("package", F.replace("package", F.lit("-"), F.lit("_"))).filter("package <> ''")
+    return both.groupBy("package").agg(F.max_by("version", F.struct("seq", "at")).alias("version"))
+
+
 def framework(files: DataFrame) -> DataFrame:
-    """One row: django, fastapi, flask or unknown, from dependency manifests."""
-    said = files.filter(F.col("file_path").rlike(r"(?:^|/)(?:pyproject\.toml|requirements[^/]*\.txt|Pipfile|setup\.cfg)$"))
-    hit = lambda p: F.coalesce(F.bool_or(F.lower("content").rlike(p)), F.lit(False)).alias(p)
-    flags = said.agg(*[hit(p) for p in ("django", "fastapi", "flask")])
-    return flags.select(F.when(F.col("django"), "django").when(F.col("fastapi"), "fastapi").when(F.col("flask"), "flask").otherwise("unknown").alias("framework"))
+    """One row: primary, version, orm, has_drf, has_celery, has_jwt, has_oauth, auth_middleware, settings_files, global_auth_required.
+
+    Packages are compared as manifests are read, with underscores; where no manifest tells, an import in a Python file does.
+    """
+    deps = dependency_names(files).select(F.collect_list(F.struct("package", "version")).alias("l")).select(F.map_from_entries("l").alias("d"))
+    has = lambda *names: F.exists(F.array(*map(F.lit, names)), lambda n: F.map_contains_key("d", n))
+    python = files.filter(F.col("file_path").endswith(".py") & ~F.col("file_path").rlike("(?:^|/)(?:" + "|".join(re.escape(d) for d in fixed.PYTHON_SKIP_DIRS) + ")/"))
+    known = ("django", "fastapi", "flask")
+    imports = python.agg(*[F.coalesce(F.bool_or(F.col("content").contains(f"from {k}") | F.col("content").contains(f"import {k}")), F.lit(False)).alias(f"imports_{k}") for k in known])
+    settings = python.filter(F.col("file_path").rlike(r"(?:^|/)settings[^/]*\.py$|(?:^|/)settings/"))
+    first = settings.orderBy("file_path").limit(10)  # a project's few settings files
+    global_auth = F.col("content").contains("IsAuthenticated") & F.col("content").contains("DEFAULT_PERMISSION_CLASSES")
+    said = first.agg(
+        F.array_sort(F.collect_list("file_path")).alias("settings_files"), F.coalesce(F.bool_or(global_auth), F.lit(False)).alias("global_auth_required"),
+        F.array_compact(F.array(*[F.when(F.coalesce(F.bool_or(F.col("content").contains(a)), F.lit(False)), a) for a in fixed.AUTHENTICATION])).alias("auth_middleware"),
+    )
+    primary = F.when(has("django"), "django").when(has("fastapi"), "fastapi").when(has("flask"), "flask")
+    seen = F.when(F.col("imports_django"), "django").when(F.col("imports_fastapi"), "fastapi").when(F.col("imports_flask"), "flask").otherwise("unknown")
+    orm = F.when(primary == "django", "django-orm").when((primary == "fastapi") & has("sqlalchemy"), "sqlalchemy").when((primary == "fastapi") & has("tortoise-orm"), "tortoise-orm").when((primary == "flask") & has("sqlalchemy"), "sqlalchemy")
+    one = deps.join(imports, F.lit(True)).join(said, F.lit(True))  # one row each
+    return one.select(
+        F.coalesce(primary, seen).alias("primary"), F.try_element_at("d", primary).alias("version"), orm.alias("orm"), ((primary == "django") & has("djangorestframework")).alias("has_drf"), has("celery").alias("has_celery"),
+        has(*fixed.JWT_PACKAGES).alias("has_jwt"), has(*fixed.OAUTH_PACKAGES).alias("has_oauth"), "auth_middleware", "settings_files", "global_auth_required",
+    ).withColumn("has_drf", F.coalesce("has_drf", F.lit(False)))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """file_path, package, version from requirement lists and package.json."""
-    py = files.filter(F.col("file_path").rlike(r"(?:^|/)requirements[^/]*\.txt$")).select("file_path", F.explode(F.split("content", "\n")).alias("l"))
-    py = py.select("file_path", F.lower(F.regexp_extract("l", r"^\s*([A-Za-z][\w.-]*)", 1)).alias("package"), F.regexp_extract("l", r"[=~<>!]=\s*([\w.]+)", 1).alias("version")).filter("package <> ''")
+    """file_path, package, version from Python manifests anywhere in the tree, package.json and .csproj."""
+    py = files.filter(F.col("file_path").rlike(r"(?:^|/)(?:requirements[^/]*\.txt|Pipfile|pyproject\.toml|setup\.cfg)$")).select("file_path", F.explode(F.split("content", "\n")).alias("l"))
+    py = py.select("file_path", F.lower(F.regexp_extract("l", r"^\s*['\"]?([A-Za-z][\w.-]*)(?:\[[^\]]*\])?['\"]?\s*(?:[=~<>!^]|$)", 1)).alias("package"), F.regexp_extract("l", r"[=~<>!^]+\s*['\"]?[~^<>=]*([\d][\w.]*)", 1).alias("version")).filter("package <> ''")
     parsed = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
     js = files.filter(F.col("file_path").rlike(r"(?:^|/)package\.json$")).select("file_path", F.explode(F.map_concat(*[F.coalesce(parsed[k], F.create_map().cast("map<string,string>")) for k in ("dependencies", "devDependencies")])).alias("package", "version"))
-    return py.unionByName(js.withColumn("version", F.regexp_replace("version", r"^[\^~>=<]+", "")))
+    js = js.withColumn("version", F.regexp_replace("version", r"^[\^~>=<]+", ""))
+    reference = r"""<PackageReference\s+Include="([^"]+)"(?:\s+Version="([^"]*)")?"""
+    cs = files.filter(F.col("file_path").endswith(".csproj")).select("file_path", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(reference), 1).alias("package"), F.regexp_extract_all("content", F.lit(reference), 2).alias("version"))).alias("r"))
+    return py.unionByName(js).unionByName(cs.select("file_path", "r.package", "r.version"))
 
 
 def code_tables(files: DataFrame) -> dict[str, DataFrame]:
@@ -286,4 +411,4 @@ def code_tables(files: DataFrame) -> dict[str, DataFrame]:
     none = F.array().cast("array<string>")
     has = lambda *v: F.arrays_overlap("http_methods", F.array(*map(F.lit, v)))
     e = e.withColumns({"models_read": F.when(has("GET", "ANY"), F.coalesce("found", none)).otherwise(none), "models_written": F.when(has("POST", "PUT", "PATCH", "ANY"), F.coalesce("found", none)).otherwise(none), "models_deleted": F.when(has("DELETE"), F.coalesce("found", none)).otherwise(none)}).drop("found")
-    return {"files": files, "models": names, "fields": fields(rows), "endpoints": e, "delete_paths": delete_paths(rows), "libraries": libraries(rows)}
+    return {"files": files, "models": names, "fields": fields(rows), "endpoints": e, "delete_paths": delete_paths(rows), "libraries": libraries(rows, files)}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import privacy, reports, structure
+from ..operators import fixed, privacy, reports, structure
 from ..operators import scan as ops
 from ..operators.rules import Pack, RuleLoadError, load_pack, load_pack_directory
 from ..schemas import SEVERITIES
@@ -54,7 +54,7 @@ def test_pack(spark: SparkSession, pack: Pack, dirty: str, clean: str) -> DataFr
 
 
 def compliance(spark: SparkSession, path: str, pii: DataFrame) -> DataFrame:
-    files = src.read_tree(spark, str(Path(path).resolve()), suffixes=(), skip_dirs=("__pycache__", "node_modules", "venv", "vendor"))
+    files = src.read_tree(spark, str(Path(path).resolve()), suffixes=(), skip_dirs=fixed.SKIP_DIRS)
     return privacy.report(structure.code_tables(files), pii)
 
 
