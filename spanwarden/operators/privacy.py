@@ -18,6 +18,9 @@ RETENTION_FIELDS = ("expires_at", "expiry_date", "expiry", "retention_period", "
 RETENTION_POLICY = (r"retention.?policy|data.?retention", r"auto.?purge|auto.?delete|auto.?cleanup", r"scheduled.?deletion|periodic.?deletion", r"cleanup.?task|purge.?task|delete.?old|remove.?expired", r"RETENTION_DAYS|RETENTION_PERIOD|DATA_TTL")
 SCHEDULERS = (r"celery.?beat|periodic.?task|crontab|beat_schedule", r"@periodic_task|@app\.task.*schedule")
 ALERTING = ("sentry_sdk", "sentry", "raven", "pagerduty", "opsgenie", "datadog", "newrelic", "rollbar", "bugsnag", "airbrake")
+MANAGEMENT = (r"class Command\(BaseCommand\)", r"management/commands/")
+NOTIFICATION = (r"send_mail|EmailMessage|notify_admins",)
+EXTERNAL_CALLS = (r"https?://[a-zA-Z0-9.-]+\.(?:com|io|net|org)/api", r"EXTERNAL_API|THIRD_PARTY_URL|WEBHOOK_URL")
 BREACH = (r"breach", r"incident.?response", r"data.?breach.?notif", r"notify.?board|notify.?dpa|notify.?authority", r"BreachNotification|DataBreach")
 AUDIT_MODELS = (r"AuditLog|audit_log", r"AccessLog|access_log", r"DataAccessLog", r"security_event|SecurityEvent")
 AGE_FIELDS = ("date_of_birth", "dob", "birth_date", "birthdate", "age", "year_of_birth", "birth_year")
@@ -30,6 +33,14 @@ FOREIGN_REGIONS = r"us-east|us-west|eu-west|eu-central|ap-northeast|ap-southeast
 STORAGE = (r"S3Boto3Storage|AWS_S3|boto3|s3_bucket", r"google.cloud.storage|GCS_BUCKET", r"azure.storage.blob|AZURE_CONTAINER", r"DEFAULT_FILE_STORAGE|STATICFILES_STORAGE")
 DATABASES = (r"DATABASE_URL|DB_HOST|DATABASES", r"\.rds\.amazonaws\.com", r"\.sql\.gcp\.", r"\.database\.azure\.com", r"\.mongodb\.net")
 
+CLASSES = ("PII", "SENSITIVE_PII", "INDIRECT", "NOT_PII")
+#: What a recorded classification says of a batch of models.
+ANSWER = (
+    "models array<struct<model_name:string,fields:array<struct<field_name:string,classification:string,reason:string>>>>, "
+    "aadhaar_fields array<string>, financial_fields array<string>, health_fields array<string>, children_data_risk boolean"
+)
+MODELS_A_BATCH = 25
+
 Section = Callable[[dict[str, DataFrame], DataFrame], DataFrame]
 
 
@@ -60,6 +71,71 @@ def normalise_classification(c: Column) -> Column:
     return F.when(said.isin("PII", "SENSITIVE_PII", "INDIRECT", "NOT_PII"), said).otherwise("NOT_PII")
 
 
+def cache_key(root: Column, sha: Column) -> Column:
+    """16 hex digits that name a repository at a commit."""
+    return F.substring(F.sha2(F.concat(root, F.lit(":"), F.coalesce(sha, F.lit("unknown"))), 256), 1, 16)
+
+
+def field_line(fields: DataFrame) -> Column:
+    """A field as it is shown to a classifier: type, length, whether it may be null, what it points to, whether it is encrypted."""
+    action = F.coalesce(F.concat(F.lit(" (on_delete="), "on_delete", F.lit(")")), F.lit("")) if "on_delete" in fields.columns else F.lit("")
+    marks = (
+        F.coalesce(F.concat(F.lit(" max_length="), F.col("max_length").cast("string")), F.lit("")),
+        F.when(F.col("is_nullable"), " nullable").otherwise(""),
+        F.coalesce(F.concat(F.lit(" -> "), "related_model", action), F.lit("")),
+        F.when(F.col("is_encrypted"), " [ENCRYPTED]").otherwise(""),
+    )
+    return F.concat(F.lit("- "), "name", F.lit(": "), "field_type", *marks)
+
+
+def model_batches(models: DataFrame, fields: DataFrame, size: int = MODELS_A_BATCH) -> DataFrame:
+    """batch (from 1), place, model, said: the models that have fields, in the order of their files, so many to a batch."""
+    from .reports import with_place
+
+    said = fields.select(F.col("model").alias("rule_id"), "file", F.struct("line", field_line(fields).alias("l")).alias("l"))
+    said = said.groupBy("rule_id", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["l"]), "\n").alias("said"))
+    rows = models.select(F.col("name").alias("rule_id"), "file", F.col("line").alias("line_start")).join(said, ["rule_id", "file"]).withColumnRenamed("file", "file_path")
+    return with_place(rows, "place").select((F.floor(F.col("place") / size) + 1).cast("int").alias("batch"), "place", F.col("rule_id").alias("model"), "said")
+
+
+def prompts(batches: DataFrame) -> DataFrame:
+    """batch, prompt: one text a batch, of a bounded number of models."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "model", "said"))), lambda x: F.concat(F.lit("## "), x["model"], F.lit("\n"), x["said"]))
+    return batches.groupBy("batch").agg(F.array_join(lines, "\n\n").alias("prompt"))
+
+
+def classified(answers: DataFrame, models: DataFrame, fields: DataFrame) -> DataFrame:
+    """model, field, classification, reason, file, field_type: the recorded answers (``answer``: JSON) met with the code.
+
+    Answers that are no JSON say nothing; unknown classes are NOT_PII; models and fields that the code does not have keep empty file and type.
+    """
+    said = answers.select(F.explode(F.from_json("answer", ANSWER)["models"]).alias("m")).select(F.col("m.model_name").alias("model"), F.explode("m.fields").alias("f")).filter("model <> ''")
+    said = said.select("model", F.coalesce("f.field_name", F.lit("")).alias("field"), normalise_classification(F.coalesce("f.classification", F.lit("NOT_PII"))).alias("classification"), F.coalesce("f.reason", F.lit("")).alias("reason"))
+    of_model = models.groupBy(F.col("name").alias("model")).agg(F.min("file").alias("file"))
+    of_field = fields.groupBy("model", F.col("name").alias("field")).agg(F.min_by("field_type", F.struct("file", "line")).alias("field_type"))
+    out = said.join(of_model, "model", "left").join(of_field, ["model", "field"], "left")
+    return out.select("model", "field", "classification", "reason", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("field_type", F.lit("")).alias("field_type"))
+
+
+def special_fields(answers: DataFrame) -> DataFrame:
+    """kind (aadhaar, financial, health), field: what the batches name together."""
+    a = answers.select(F.from_json("answer", ANSWER).alias("a"))
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"a.{k}_fields").alias("l")) for k in ("aadhaar", "financial", "health")])
+    return a.select(F.inline(lists)).select("kind", F.explode("l").alias("field")).distinct()
+
+
+def children_risk(answers: DataFrame) -> DataFrame:
+    """One row: whether any batch sees a risk."""
+    return answers.agg(F.coalesce(F.bool_or(F.from_json("answer", ANSWER)["children_data_risk"]), F.lit(False)).alias("children_data_risk"))
+
+
+def special_unencrypted(special: DataFrame, fields: DataFrame) -> DataFrame:
+    """The named fields ("Model.field" or "field") that the code keeps in the clear."""
+    plain = fields.filter(~F.col("is_encrypted")).select(F.concat("model", F.lit("."), "name").alias("full"), F.col("name").alias("bare"))
+    named = plain.select(F.explode(F.array("full", "bare")).alias("field")).distinct()
+    return special.join(named, "field", "left_semi")
+
+
 def pii_stats(pii: DataFrame) -> DataFrame:
     c = F.col("classification")
     return pii.agg(F.count(F.lit(1)).alias("total"), F.count_if(c == "PII").alias("pii"), F.count_if(c == "SENSITIVE_PII").alias("sensitive"), F.count_if(c == "INDIRECT").alias("indirect"), F.count_if(~c.isin("PII", "SENSITIVE_PII", "INDIRECT")).alias("not_pii"), F.count_distinct(F.when(c.isin(*PERSONAL), F.col("model"))).alias("pii_models"))
@@ -86,9 +162,11 @@ def _join(*one_row: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, F.lit(True)), one_row)
 
 
-def _some(column: Column, n: int) -> Column:
-    """At most n values, smallest first, gathered with a bound: aggregates keep sets of distinct names only."""
-    return F.slice(F.array_sort(F.collect_set(column)), 1, n)
+def _some(rows: DataFrame, column: Column | str, n: int, name: str) -> DataFrame:
+    """One row: at most n distinct values, the smallest first; no task ever holds more."""
+    value = F.col(column) if isinstance(column, str) else column
+    top = rows.select(value.alias("v")).filter("v IS NOT NULL").distinct().orderBy("v").limit(n)
+    return top.agg(F.array_sort(F.collect_list("v")).alias(name))
 
 
 def _models(pii: DataFrame) -> DataFrame:
@@ -100,34 +178,37 @@ def encryption(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     personal = pii.filter(F.col("classification").isin(*PERSONAL)).select("model", F.col("field").alias("name"))
     joined = personal.join(last, ["model", "name"], "left").withColumn("is_encrypted", F.coalesce("is_encrypted", F.lit(False)))
     name = F.concat("model", F.lit("."), "name")
-    stats = joined.agg(F.count(F.lit(1)).alias("n_models"), F.count_if("is_encrypted").alias("yes"), F.count_if(~F.col("is_encrypted")).alias("no"), _some(F.when(~F.col("is_encrypted"), name), 10).alias("plain"), _some(F.when(F.col("is_encrypted"), name), 10).alias("safe"))
+    stats = joined.agg(F.count(F.lit(1)).alias("n_models"), F.count_if("is_encrypted").alias("yes"), F.count_if(~F.col("is_encrypted")).alias("no"))
+    stats = _join(stats, _some(joined.filter(~F.col("is_encrypted")), name, 10, "plain"), _some(joined.filter("is_encrypted"), name, 10, "safe"))
     status = F.when(F.col("no") == 0, "COMPLIANT").when(F.col("yes") == 0, "NON_COMPLIANT").otherwise("PARTIAL")
     return section(stats, "§8(4)", "Encryption of personal data", status, F.transform("safe", lambda x: F.concat(F.lit("encrypted: "), x)), F.transform("plain", lambda x: F.concat(F.lit("not encrypted: "), x)), F.when(F.col("no") > 0, F.array(F.lit("Encrypt personal fields at rest."))).otherwise(F.array().cast("array<string>")))
 
 
 def retention(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
-    fields = code["fields"].join(pii_models(pii).select("model"), "model", "left_semi").filter(F.lower("name").isin(*RETENTION_FIELDS)).agg(F.count(F.lit(1)).alias("fields"), _some(F.concat("model", F.lit("."), "name"), 10).alias("named"))
-    seen = evidence(code["files"], {"policy": RETENTION_POLICY, "scheduler": SCHEDULERS}).agg(F.count("policy").alias("policies"), F.count("scheduler").alias("schedulers"), _some(F.concat("file_path", F.lit(":"), "policy"), 5).alias("said"))
-    stats = _join(_models(pii), fields, seen)
+    fields = code["fields"].join(pii_models(pii).select("model"), "model", "left_semi").filter(F.lower("name").isin(*RETENTION_FIELDS))
+    found = evidence(code["files"], {"policy": RETENTION_POLICY, "scheduler": SCHEDULERS, "command": MANAGEMENT})
+    seen = found.agg(F.count("policy").alias("policies"), F.count("scheduler").alias("schedulers"), F.count("command").alias("commands"))
+    stats = _join(_models(pii), fields.agg(F.count(F.lit(1)).alias("fields")), seen, _some(fields, F.concat("model", F.lit("."), "name"), 10, "named"), _some(found, F.concat("file_path", F.lit(":"), "policy"), 5, "said"), _some(found, F.concat("file_path", F.lit(":"), "command"), 5, "commanded"))
     status = F.when((F.col("fields") > 0) | (F.col("policies") > 0), "PARTIAL").otherwise("NON_COMPLIANT")
-    return section(stats, "§8(5)", "Data retention", status, F.concat("named", "said"), F.when((F.col("fields") == 0) & (F.col("policies") == 0), F.array(F.lit("No retention limit was found."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("Give personal records an end date and purge them on a schedule.")))
+    return section(stats, "§8(5)", "Data retention", status, F.concat("named", "said", "commanded"), F.when((F.col("fields") == 0) & (F.col("policies") == 0), F.array(F.lit("No retention limit was found."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("Give personal records an end date and purge them on a schedule.")))
 
 
 def breach(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
-    alerting = code["libraries"].filter(F.substring_index("module", ".", 1).isin(*ALERTING)).agg(F.count(F.lit(1)).alias("alerting"), _some(F.col("module"), 5).alias("alerts"))
-    seen = evidence(code["files"], {"breach": BREACH}).agg(F.count("breach").alias("breach"), _some(F.concat("file_path", F.lit(":"), "breach"), 5).alias("said"))
-    audits = code["models"].filter(F.col("name").rlike("(?i)" + "|".join(AUDIT_MODELS))).agg(F.count(F.lit(1)).alias("audits"), _some(F.col("name"), 5).alias("logs"))
-    stats = _join(_models(pii), alerting, seen, audits)
+    alerts = code["libraries"].filter(F.substring_index("module", ".", 1).isin(*ALERTING))
+    found = evidence(code["files"], {"breach": BREACH, "mail": NOTIFICATION})
+    audits = code["models"].filter(F.col("name").rlike("(?i)" + "|".join(AUDIT_MODELS)))
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    stats = _join(_models(pii), count(alerts, "alerting"), found.agg(F.count("breach").alias("breach"), F.count("mail").alias("mails")), count(audits, "audits"), _some(alerts, "module", 5, "alerts"), _some(found, F.concat("file_path", F.lit(":"), "breach"), 5, "said"), _some(audits, "name", 5, "logs"))
     status = F.when((F.col("alerting") > 0) | (F.col("audits") > 0), "PARTIAL").otherwise("NON_COMPLIANT")
-    return section(stats, "§8(6)", "Breach notification", status, F.concat("alerts", "logs", "said"), F.when((F.col("alerting") == 0) & (F.col("audits") == 0), F.array(F.lit("No alerting and no audit log was found."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("Tell the authority and the persons concerned of a breach, and keep audit logs.")))
+    return section(stats, "§8(6)", "Breach notification", status, F.concat("alerts", "logs", "said", F.when(F.col("mails") > 0, F.array(F.lit("Messages can be sent."))).otherwise(F.array().cast("array<string>"))), F.when((F.col("alerting") == 0) & (F.col("audits") == 0), F.array(F.lit("No alerting and no audit log was found."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("Tell the authority and the persons concerned of a breach, and keep audit logs.")))
 
 
 def children(code: dict[str, DataFrame], pii: DataFrame, risk: bool = False) -> DataFrame:
-    fields = code["fields"].join(pii_models(pii).select("model"), "model", "left_semi").filter(F.lower("name").isin(*AGE_FIELDS)).agg(F.count(F.lit(1)).alias("ages"), _some(F.concat("model", F.lit("."), "name"), 10).alias("named"))
+    fields = code["fields"].join(pii_models(pii).select("model"), "model", "left_semi").filter(F.lower("name").isin(*AGE_FIELDS))
     child = code["models"].filter(F.lower("name").rlike("child|minor|student|pupil")).agg(F.count(F.lit(1)).alias("child_models"))
     # a file counts for parental consent only where no earlier family of words is found in it
     seen = evidence(code["files"], {"first": CHILD, "gate": AGE_GATE}).agg(F.count("gate").alias("gates"), F.count_if(F.col("first").rlike("(?i): .*(parental|guardian).?consent")).alias("parental"))
-    stats = _join(_models(pii), fields, child, seen)
+    stats = _join(_models(pii), fields.agg(F.count(F.lit(1)).alias("ages")), child, seen, _some(fields, F.concat("model", F.lit("."), "name"), 10, "named"))
     nothing = (F.col("ages") == 0) & (F.col("child_models") == 0) & F.lit(not risk)
     status = F.when(nothing, "COMPLIANT").when((F.col("gates") > 0) & (F.col("parental") > 0), "PARTIAL").when((F.col("ages") > 0) & (F.col("gates") == 0), "NON_COMPLIANT").otherwise("PARTIAL")
     return section(stats, "§9", "Data of children", status, F.col("named"), F.when((F.col("ages") > 0) & (F.col("gates") == 0), F.array(F.lit("Ages are kept but never checked."))).otherwise(F.array().cast("array<string>")), F.when(nothing, F.array().cast("array<string>")).otherwise(F.array(F.lit("Check ages and ask for a parent's consent."))))
@@ -140,18 +221,27 @@ def localisation(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     any_of = lambda ps: c.rlike("|".join(f"(?i:{p})" for p in ps))
     flags = files.agg(
         F.count_if(any_of(REGIONS)).alias("regions"), F.count_if(any_of(STORAGE)).alias("storage"), F.count_if(any_of(DATABASES)).alias("databases"), F.count_if(line("|".join(INDIAN_REGIONS))).alias("home"), F.count_if(line(FOREIGN_REGIONS)).alias("foreign"),
-        _some(F.when(any_of(REGIONS), F.col("file_path")), 15).alias("said"),
     )
-    stats = _join(_models(pii), flags)
+    calls = code["files"].filter(F.col("file_path").endswith(".py") & any_of(EXTERNAL_CALLS))
+    stats = _join(_models(pii), flags, _some(files.filter(any_of(REGIONS)), "file_path", 15, "said"), _some(calls, "file_path", 5, "calls"))
     status = F.when((F.col("regions") == 0) & (F.col("storage") == 0) & (F.col("databases") == 0), "UNKNOWN").when((F.col("home") > 0) & (F.col("foreign") == 0), "COMPLIANT").otherwise("PARTIAL")
-    return section(stats, "§11", "Data localisation", status, F.transform("said", lambda x: F.concat(F.lit("region: "), x)), F.when(F.col("foreign") > 0, F.array(F.lit("A region abroad is configured."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("State where personal data is stored.")))
+    return section(stats, "§11", "Data localisation", status, F.concat(F.transform("said", lambda x: F.concat(F.lit("region: "), x)), F.transform("calls", lambda x: F.concat(F.lit("calls another service: "), x))), F.when(F.col("foreign") > 0, F.array(F.lit("A region abroad is configured."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("State where personal data is stored.")))
+
+
+def named_in(rows: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows joined with every name that stands somewhere in their ``column``, whatever the case: all substrings of the (short) column
+    are joined by hash with the names, so neither side is broadcast nor met pair by pair."""
+    low = F.lower(F.col(column))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - i + 1, F.lit(1))), lambda n: F.substring(low, i, n))))
+    return rows.withColumn("__part", F.explode(F.array_distinct(parts))).join(names.withColumn("__part", F.lower(F.col(name))), "__part").drop("__part")
 
 
 def touching(endpoints: DataFrame, personal: DataFrame, column: str) -> DataFrame:
     """(endpoint row, model): by exact name in ``column``, and by the model's name inside the view's name."""
     e = endpoints.withColumn("eid", F.xxhash64("path", "handler", "file", "line"))
     exact = e.select("eid", "path", "http_methods", F.explode(column).alias("model")).join(personal, "model").select("eid", "path", "http_methods", "model", F.lit("name").alias("how"))
-    inside = e.filter("viewset_class IS NOT NULL").join(F.broadcast(personal), F.lower("viewset_class").contains(F.lower(F.col("model")))).select("eid", "path", "http_methods", "model", F.lit("view").alias("how"))
+    inside = named_in(e.filter("viewset_class IS NOT NULL"), "viewset_class", personal, "model").select("eid", "path", "http_methods", "model", F.lit("view").alias("how"))
     return exact.unionByName(inside)
 
 
@@ -166,26 +256,29 @@ def erasure(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | No
     personal = pii_models(pii).select("model")
     deletes = code["endpoints"].filter(F.array_contains("http_methods", "DELETE"))
     covered = touching(deletes, personal, "models_deleted").select("model").distinct()
-    missing = personal.join(covered, "model", "left_anti").agg(F.count(F.lit(1)).alias("missing"), _some(F.col("model"), 10).alias("without"))
-    blockers = code["delete_paths"].filter("is_blocker").join(personal, F.col("target_model") == F.col("model"), "left_semi").agg(_some(F.concat("source_model", F.lit("."), "field_name", F.lit(" keeps "), "target_model"), 10).alias("kept"))
+    missing = personal.join(covered, "model", "left_anti")
+    blocking = code["delete_paths"].filter("is_blocker").join(personal, F.col("target_model") == F.col("model"), "left_semi")
+    soft = code["models"].filter("has_soft_delete").join(personal, F.col("name") == F.col("model"), "left_semi").agg(F.count(F.lit(1)).alias("soft"))
+    hard = code["models"].filter("has_delete_method").join(personal, F.col("name") == F.col("model"), "left_semi").agg(F.count(F.lit(1)).alias("hard"))
     cascades = code["delete_paths"].filter(F.col("on_delete") == "CASCADE").join(personal, F.col("target_model") == F.col("model"), "left_semi").agg(F.count(F.lit(1)).alias("cascades"))
-    stats = _verdict(verdicts, "§7(3)", _join(_models(pii), missing, blockers, cascades))
-    return section(stats, "§7(3)", "Erasure", F.col("verdict"), F.array(F.concat(F.col("cascades").cast("string"), F.lit(" cascading paths"))), F.concat(F.transform("without", lambda x: F.concat(F.lit("no DELETE for "), x)), F.col("kept")), F.array(F.lit("Offer deletion for every personal model.")), 1)
+    stats = _join(_models(pii), cascades, soft, hard, _some(missing, "model", 10, "without"), _some(blocking, F.concat("source_model", F.lit("."), "field_name", F.lit(" keeps "), "target_model"), 10, "kept"))
+    stats = _verdict(verdicts, "§7(3)", stats)
+    return section(stats, "§7(3)", "Erasure", F.col("verdict"), F.array(F.concat(F.col("cascades").cast("string"), F.lit(" cascading paths")), F.concat(F.col("soft").cast("string"), F.lit(" models deleted softly, "), F.col("hard").cast("string"), F.lit(" by a method of their own"))), F.concat(F.transform("without", lambda x: F.concat(F.lit("no DELETE for "), x)), F.col("kept")), F.array(F.lit("Offer deletion for every personal model.")), 1)
 
 
 def consent(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     personal = pii_models(pii).select("model")
-    collecting = touching(code["endpoints"].filter(F.arrays_overlap("http_methods", F.array(F.lit("POST"), F.lit("ANY")))), personal, "models_written").select("path").distinct().agg(F.count(F.lit(1)).alias("collecting"), _some(F.col("path"), 5).alias("paths"))
+    collecting = touching(code["endpoints"].filter(F.arrays_overlap("http_methods", F.array(F.lit("POST"), F.lit("ANY")))), personal, "models_written").select("path").distinct()
     models = code["models"].filter(F.lower("name").contains("consent")).agg(F.count(F.lit(1)).alias("models"))
     handlers = code["endpoints"].select(F.col("file").alias("file_path")).distinct()
     words = code["files"].join(handlers, "file_path", "left_semi").agg(F.sum(reduce(lambda a, b: a + b, [F.regexp_count("content", F.lit(f"(?i){p}")) for p in CONSENT])).alias("words"))
-    stats = _verdict(verdicts, "§4", _join(_models(pii), collecting, models, words))
+    stats = _verdict(verdicts, "§4", _join(_models(pii), models, words, _some(collecting, "path", 5, "paths")))
     return section(stats, "§4", "Consent", F.col("verdict"), F.array(F.concat(F.coalesce("words", F.lit(0)).cast("string"), F.lit(" mentions in handlers")), F.concat(F.col("models").cast("string"), F.lit(" consent models"))), F.transform("paths", lambda x: F.concat(F.lit("collects: "), x)), F.array(F.lit("Ask for consent before collecting.")), 1)
 
 
 def minimisation(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    per = pii_models(pii).agg(F.count(F.lit(1)).alias("n_models"), _some(F.concat("model", F.lit(": "), F.col("n_fields").cast("string")), 10).alias("counts"))
-    return section(_verdict(verdicts, "§5", per), "§5", "Minimisation", F.col("verdict"), F.col("counts"), F.array().cast("array<string>"), F.array(F.lit("Keep only the fields that are needed.")), 1)
+    counts = _some(pii_models(pii), F.concat("model", F.lit(": "), F.col("n_fields").cast("string")), 10, "counts")
+    return section(_verdict(verdicts, "§5", _join(_models(pii), counts)), "§5", "Minimisation", F.col("verdict"), F.col("counts"), F.array().cast("array<string>"), F.array(F.lit("Keep only the fields that are needed.")), 1)
 
 
 ALL: tuple[Section, ...] = (consent, minimisation, erasure, encryption, retention, breach, children, localisation)

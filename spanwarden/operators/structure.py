@@ -404,9 +404,10 @@ def code_tables(files: DataFrame) -> dict[str, DataFrame]:
     rows = extract(files).persist()
     names = models(rows)
     e = endpoints(rows)
-    touched = names.select("name").withColumn("lower", F.lower("name"))
+    from .privacy import named_in
+
     # the models of a view: those whose name stands in its name
-    linked = e.filter("viewset_class IS NOT NULL").select("viewset_class").distinct().join(F.broadcast(touched), F.lower("viewset_class").contains(F.col("lower"))).groupBy("viewset_class").agg(F.array_sort(F.collect_set("name")).alias("found"))
+    linked = named_in(e.filter("viewset_class IS NOT NULL").select("viewset_class").distinct(), "viewset_class", names.select("name"), "name").groupBy("viewset_class").agg(F.array_sort(F.collect_set("name")).alias("found"))
     e = e.join(linked, "viewset_class", "left")
     none = F.array().cast("array<string>")
     has = lambda *v: F.arrays_overlap("http_methods", F.array(*map(F.lit, v)))

@@ -55,6 +55,36 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", path.alias("file_path"), F.col("text").alias("content"))
 
 
+#: What ``documents_as_code`` picks from, by the document's number.
+CODE_LIBRARIES = ("cryptography.fernet", "hashlib", "jwt.api", "jwtx", "os.path", "sentry_sdk", "Django.contrib.auth", "boto3")
+CODE_FIELDS = ("CharField", "EncryptedCharField", "EmailField", "JSONField", "OddField")
+CODE_ACTIONS = ("CASCADE", "PROTECT", "SET_NULL", "DO_NOTHING", "RESTRICT", "SET_DEFAULT")
+CODE_DEPENDENTS = ("destroy", "delete_all", "nullify", "restrict_with_error", "touch")
+CODE_COLUMNS = ("STRING", "JSONB", "GEOMETRY")
+CODE_JAVA = ("String", "BigDecimal", "Address")
+CODE_PRISMA = ("Json", "Decimal", "Blob")
+
+
+def documents_as_code(documents: DataFrame) -> DataFrame:
+    """doc_id, file_path, content: for every document a source file (Python, Ruby, JavaScript, Java, Prisma or a list of requirements)
+    whose names and choices follow from its number and length."""
+    d, turn = F.col("doc_id"), F.floor(F.col("doc_id") / 6)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (turn % len(values)).cast("int") + 1)
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    null = F.when(turn % 2 == 0, "True").otherwise("False")
+    contents = (
+        join("import ", pick(CODE_LIBRARIES), "\nfrom django.db import models\n\n\nclass M", d, "(models.Model):\n    name = models.", pick(CODE_FIELDS), "(max_length=", F.coalesce("n_chars", F.lit(0)) % 200 + 1, ", null=", null, ")\n    owner = models.ForeignKey('M", d + 6, "', on_delete=models.", pick(CODE_ACTIONS), ")\n\n    def delete(self):\n        return None\n"),
+        join("class M", d, " < ApplicationRecord\n  has_many :m", d, "_items, dependent: :", pick(CODE_DEPENDENTS), "\nend\n"),
+        join("const x = require('", F.when(turn % 2 == 0, "bcrypt").otherwise("cors"), "')\napp.get('/m", d, "/', list", d, ")\nM", d, ".init({\n  email: DataTypes.", pick(CODE_COLUMNS), ",\n}, { sequelize })\n"),
+        join("import org.slf4j.Logger;\n@Entity\npublic class M", d, " {\n  private ", pick(CODE_JAVA), " code;\n}\n"),
+        join("model M", d, " {\n  id Int\n  note ", pick(CODE_PRISMA), "?\n}\n"),
+        join("flask>=2.", d % 10, "\nrequests==1.", d % 7, ".0\n"),
+    )
+    names = (join("app/m", d, ".py"), join("app/m", d, ".rb"), join("app/m", d, ".js"), join("app/M", d, ".java"), join("m", d, ".prisma"), join("svc", d, "/requirements.txt"))
+    of = lambda values: F.element_at(F.array(*values), (d % 6).cast("int") + 1)
+    return documents.select("doc_id", of(names).alias("file_path"), of(contents).alias("content"))
+
+
 def pages_as_files(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".conf")).alias("file_path"), F.col("html").alias("content"))
 
