@@ -192,9 +192,9 @@ def _redact_sql(column: str) -> str:
     return column
 
 
-@query(f"{_LINES} SELECT doc_id, line_no, {_redact_sql('line')} AS redacted FROM lines WHERE contains(line, 'token') OR contains(line, 'key')")
+@query(f"{_LINES} SELECT doc_id, line_no, {_redact_sql('line')} AS redacted FROM lines")
 def redact_secrets(spark, sf_dir):
-    return _marked_lines(spark, sf_dir).filter(F.col("line").contains("token") | F.col("line").contains("key")).select("doc_id", "line_no", text.redact_secrets(F.col("line")).alias("redacted"))
+    return _marked_lines(spark, sf_dir).select("doc_id", "line_no", text.redact_secrets(F.col("line")).alias("redacted"))
 
 
 @query(f"{_LINES} SELECT count(*) FILTER (WHERE regexp_matches(line, '[0-9]{{16}}')) AS hits, count(*) FILTER (WHERE regexp_matches(line, '[0-9]{{16}}') AND regexp_matches(line, '[0-9a-f]{{32}}', 'i')) AS excluded FROM lines")
@@ -320,30 +320,42 @@ def sarif_levels(spark, sf_dir):
 
 # --- recorded model answers ---------------------------------------------------------------------------------------------
 
-_CANDIDATES = [("a.py", "p/r1", 3, "x"), ("a.py", "p/r2", 9, "y"), ("tests/a.py", "p/r1", 5, "z"), ("b.py", "p/unknown", 1, "w"), ("b.py", "p/r1", 700, "u")]
-_REVIEWED = [("a.py", "p/r1", 3, "keep", 0.9, 0), ("a.py", "p/r1", 3, "keep", 0.8, 1), ("a.py", "p/r2", 9, "reject", 0.9, 2), ("tests/a.py", "p/r1", 5, "KEEP", None, 3), ("b.py", "p/unknown", 1, "keep", 0.9, 4), ("b.py", "p/r1", 700, "keep", 0.65, 5)]
-
-
 def _values(rows, cols: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else _quoted(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + f") AS t({cols})"
 
 
-@query(f"""WITH c AS (SELECT * FROM {_values(_CANDIDATES, 'file_path, rule_id, line_start, message')}), r AS (SELECT * FROM {_values(_REVIEWED, 'file_path, rule_id, line_start, verdict, adjusted, seq')})
-SELECT c.file_path, c.rule_id, c.line_start, c.message, CAST(k.confidence AS DOUBLE) AS confidence FROM c JOIN (SELECT file_path, rule_id, line_start, arg_max(coalesce(adjusted, 0.7), seq) AS confidence FROM r WHERE lower(verdict) = 'keep' GROUP BY 1, 2, 3) k USING (file_path, rule_id, line_start)""")
+def _candidates(spark, sf_dir) -> DataFrame:
+    """A finding of one of four rules for every line of the corpus."""
+    lines = text.explode_lines(_files(spark, sf_dir), "content", "file_path")
+    return lines.select("file_path", F.concat(F.lit("p/r"), (F.col("line_no") % 4).cast("string")).alias("rule_id"), F.col("line_no").alias("line_start"), "line_no")
+
+
+_ALL_LINES = f"{_LINES}, c AS (SELECT file_path, 'p/r' || (line_no % 4) AS rule_id, CAST(line_no AS INTEGER) AS line_start, line_no FROM plain)"
+
+
+@query(f"""{_ALL_LINES}, r AS (
+ SELECT file_path, rule_id, line_start, CASE line_no % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' ELSE 'KEEP' END AS verdict, CASE WHEN line_no % 2 = 0 THEN CAST(0.65 AS DOUBLE) END AS adjusted, 0 AS seq FROM c
+ UNION ALL SELECT file_path, rule_id, line_start, 'keep', CAST(0.9 AS DOUBLE), 1 FROM c WHERE line_no % 5 = 0)
+SELECT c.file_path, c.rule_id, c.line_start, k.confidence FROM c JOIN (SELECT file_path, rule_id, line_start, arg_max(coalesce(adjusted, CAST(0.7 AS DOUBLE)), seq) AS confidence FROM r WHERE lower(verdict) = 'keep' GROUP BY 1, 2, 3) k USING (file_path, rule_id, line_start)""")
 def critic_semi_join(spark, sf_dir):
-    c = spark.createDataFrame(_CANDIDATES, "file_path string, rule_id string, line_start int, message string")
-    r = spark.createDataFrame(_REVIEWED, "file_path string, rule_id string, line_start int, verdict string, adjusted_confidence double, seq int")
-    return judged.critic_keeps(c, r).select("file_path", "rule_id", "line_start", "message", "confidence")
+    c = _candidates(spark, sf_dir)
+    verdict = F.when(F.col("line_no") % 3 == 0, "keep").when(F.col("line_no") % 3 == 1, "reject").otherwise("KEEP")
+    first = c.select("file_path", "rule_id", "line_start", verdict.alias("verdict"), F.when(F.col("line_no") % 2 == 0, F.lit(0.65)).alias("adjusted_confidence"), F.lit(0).alias("seq"))
+    second = c.filter(F.col("line_no") % 5 == 0).select("file_path", "rule_id", "line_start", F.lit("keep").alias("verdict"), F.lit(0.9).alias("adjusted_confidence"), F.lit(1).alias("seq"))
+    return judged.critic_keeps(c, first.unionByName(second)).select("file_path", "rule_id", "line_start", "confidence")
 
 
-@query(f"""WITH k AS (SELECT * FROM {_values([("a.py", "p/r1", 3, 20, 0.9), ("tests/a.py", "p/r1", 5, 6, 0.9), ("b.py", "p/r1", 700, 900, 0.65), ("b.py", "p/r1", 0, 2, 0.5), ("b.py", "p/x", 1, 1, 0.9)], 'file_path, rule_id, line_start, line_end, conf')}),
-j AS (SELECT file_path, rule_id, greatest(1, least(line_start, 100)) AS s, line_end, CAST(conf AS DOUBLE) AS conf FROM k WHERE rule_id = 'p/r1')
-SELECT file_path, rule_id, CAST(s AS INTEGER) AS line_start, CAST(greatest(s, least(line_end, 100)) AS INTEGER) AS line_end, CASE WHEN {_TEST} THEN least(conf, CAST(0.3 AS DOUBLE)) ELSE conf END AS confidence FROM j WHERE {_TEST} OR conf >= 0.6""")
+@query(f"""{_ALL_LINES}, n AS (SELECT file_path, max(line_no) AS n FROM plain GROUP BY 1),
+k AS (SELECT file_path, rule_id, 2 * line_no - 3 AS a, line_no + 5 AS b, CASE line_no % 3 WHEN 0 THEN CAST(0.9 AS DOUBLE) WHEN 1 THEN CAST(0.65 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS conf FROM c WHERE rule_id <> 'p/r3'),
+j AS (SELECT file_path, rule_id, greatest(1, least(a, n)) AS s, b, n, CASE WHEN {_TEST} THEN least(conf, CAST(0.3 AS DOUBLE)) WHEN {_MIGRATION} THEN least(conf, CAST(0.4 AS DOUBLE)) ELSE conf END AS confidence FROM k JOIN n USING (file_path) WHERE {_TEST} OR {_MIGRATION} OR conf >= 0.6)
+SELECT file_path, rule_id, CAST(s AS INTEGER) AS line_start, CAST(greatest(s, least(b, n)) AS INTEGER) AS line_end, confidence FROM j""")
 def judged_findings(spark, sf_dir):
-    k = spark.createDataFrame([("a.py", "p/r1", 3, 20, 0.9), ("tests/a.py", "p/r1", 5, 6, 0.9), ("b.py", "p/r1", 700, 900, 0.65), ("b.py", "p/r1", 0, 2, 0.5), ("b.py", "p/x", 1, 1, 0.9)], "file_path string, rule_id string, line_start int, line_end int, confidence double")
-    known = spark.createDataFrame([("p/r1", "one", "HIGH", None)], "rule_id string, name string, severity string, fix_hint string")
-    counts = spark.createDataFrame([("a.py", 100), ("b.py", 100), ("tests/a.py", 100)], "file_path string, n_lines int")
-    return judged.findings(k, known, counts).select("file_path", "rule_id", "line_start", "line_end", "confidence")
+    c = _candidates(spark, sf_dir)
+    score = F.when(F.col("line_no") % 3 == 0, F.lit(0.9)).when(F.col("line_no") % 3 == 1, F.lit(0.65)).otherwise(F.lit(0.5))
+    kept = c.select("file_path", "rule_id", (2 * F.col("line_no") - 3).alias("line_start"), (F.col("line_no") + 5).alias("line_end"), score.alias("confidence"))
+    known = spark.createDataFrame([(f"p/r{i}", "one", "HIGH", None) for i in range(3)], "rule_id string, name string, severity string, fix_hint string")
+    counts = c.groupBy("file_path").agg(F.max("line_no").alias("n_lines"))
+    return judged.findings(kept, known, counts).select("file_path", "rule_id", "line_start", "line_end", "confidence")
 
 
 @query(f"""{_V}, n AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rule_seq, line_start) - 1 AS idx FROM v)
@@ -356,114 +368,274 @@ def enhancer_apply(spark, sf_dir):
 
 # --- structure and privacy ----------------------------------------------------------------------------------------------
 
-_MODELS = [("Patient", "m.py", 1, False, False), ("Doctor", "m.py", 20, True, False), ("AuditLog", "m.py", 40, False, False), ("Consent", "m.py", 60, False, True), ("ChildProfile", "m.py", 80, False, False)]
-_FIELDS = [("Patient", "name", "CharField", False), ("Patient", "aadhaar", "EncryptedCharField", True), ("Patient", "date_of_birth", "DateField", False), ("Patient", "expires_at", "DateField", False), ("Doctor", "email", "EmailField", False), ("AuditLog", "at", "DateField", False)]
-_PII = [("Patient", "name", "PII", "name"), ("Patient", "aadhaar", "SENSITIVE_PII", "id"), ("Patient", "date_of_birth", "SENSITIVE_PII", "birth"), ("Doctor", "email", "PII", "mail"), ("AuditLog", "at", "NOT_PII", "time")]
-_ENDPOINTS = [("/patients", ["GET", "POST", "DELETE"], "PatientViewSet", "app/v.py", 5, ["Patient"], ["Patient"], ["Patient"], True, "PatientViewSet"), ("/doctors", ["GET", "POST"], "DoctorView", "app/v.py", 9, ["Doctor"], ["Doctor"], [], False, "DoctorView")]
-_PATHS = [("Visit", "patient", "Patient", "PROTECT", True, "m.py", 3), ("Bill", "patient", "Patient", "CASCADE", False, "m.py", 4)]
-_LIBS = [("sentry_sdk.integrations", None, "s.py", 1, "monitoring"), ("cryptography.fernet", None, "s.py", 2, "encryption")]
 #: What some documents of the made-up tree say besides, so that the searches find something.
-_SAYS = {1: "retention_policy = 30", 2: "DB_HOST = x.rds.amazonaws.com", 3: "AWS_REGION = ap-south-1", 4: "if age >= 18:", 5: "parental_consent = True", 6: "beat_schedule = 1", 7: "incident_response()"}
+_SAYS = {1: "retention_policy = 30", 2: "DB_HOST = x.rds.amazonaws.com", 3: "AWS_REGION = ap-south-1", 4: "if age >= 18:", 5: "parental_consent = True", 6: "beat_schedule = 1", 7: "incident_response()", 8: "class Command(BaseCommand): send_mail()", 9: "WEBHOOK_URL = 1"}
+
+
+def _sql_pick(values) -> str:
+    return f"CASE turn % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def _map_sql(column: str, table: dict[str, str], otherwise: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {otherwise} END"
+
+
+_TREE = f"""WITH base AS (SELECT doc_id AS d, doc_id // 6 AS turn, doc_id % 6 AS k, coalesce(n_chars, 0) AS n, 'M' || doc_id AS model FROM documents),
+py AS (SELECT *, 'app/m' || d || '.py' AS file, {_sql_pick(src.CODE_LIBRARIES)} AS lib, {_sql_pick(src.CODE_FIELDS)} AS ftype, {_sql_pick(src.CODE_ACTIONS)} AS act, turn % 2 = 0 AS nul FROM base WHERE k = 0),
+rb AS (SELECT *, 'app/m' || d || '.rb' AS file, {_sql_pick(src.CODE_DEPENDENTS)} AS dep FROM base WHERE k = 1),
+js AS (SELECT *, 'app/m' || d || '.js' AS file, {_sql_pick(src.CODE_COLUMNS)} AS ftype, CASE WHEN turn % 2 = 0 THEN 'bcrypt' ELSE 'cors' END AS lib FROM base WHERE k = 2),
+java AS (SELECT *, 'app/M' || d || '.java' AS file, {_sql_pick(src.CODE_JAVA)} AS ftype FROM base WHERE k = 3),
+prisma AS (SELECT *, 'm' || d || '.prisma' AS file, {_sql_pick(src.CODE_PRISMA)} AS ftype FROM base WHERE k = 4),
+fields AS (
+ SELECT model, 'name' AS name, ftype AS field_type, {_map_sql("ftype", {k: v for k, v in structure.fixed.FIELD_TYPES["django"].items() if k in src.CODE_FIELDS}, "NULL")} || CASE WHEN nul THEN ' | None' ELSE '' END AS python_type, nul AS is_nullable, ftype = 'EncryptedCharField' AS is_encrypted, CAST(n % 200 + 1 AS INTEGER) AS max_length, NULL AS related_model, NULL AS on_delete, file, 6 AS line FROM py
+ UNION ALL SELECT model, 'owner', 'ForeignKey', 'int', FALSE, FALSE, NULL, 'M' || (d + 6), act, file, 7 FROM py
+ UNION ALL SELECT model, 'email', ftype, {_map_sql("ftype", structure.fixed.FIELD_TYPES["sequelize"], "ftype")}, FALSE, FALSE, NULL, NULL, NULL, file, 4 FROM js
+ UNION ALL SELECT model, 'code', ftype, {_map_sql("ftype", structure.fixed.FIELD_TYPES["java"], "ftype")}, FALSE, FALSE, NULL, NULL, NULL, file, 4 FROM java
+ UNION ALL SELECT model, 'id', 'Int', 'int', FALSE, FALSE, NULL, NULL, NULL, file, 2 FROM prisma
+ UNION ALL SELECT model, 'note', ftype || '?', {_map_sql("ftype", structure.fixed.FIELD_TYPES["prisma"], "ftype")}, TRUE, FALSE, NULL, NULL, NULL, file, 3 FROM prisma),
+paths AS (
+ SELECT model AS source_model, 'owner' AS field_name, 'M' || (d + 6) AS target_model, act AS on_delete, act = 'PROTECT' AS is_blocker, file, 7 AS line FROM py
+ UNION ALL SELECT model, 'm' || d || '_items', 'M' || d || '_Item', {_map_sql("dep", structure.fixed.DEPENDENT, "'UNKNOWN'")}, dep LIKE 'restrict%', file, 2 FROM rb),
+libs AS (
+ SELECT lib AS module, file, 1 AS line, CASE lib WHEN 'cryptography.fernet' THEN 'encryption' WHEN 'hashlib' THEN 'hashing' WHEN 'jwt.api' THEN 'auth' WHEN 'sentry_sdk' THEN 'logging' ELSE 'auth' END AS category FROM py WHERE lib IN ('cryptography.fernet', 'hashlib', 'jwt.api', 'sentry_sdk', 'Django.contrib.auth')
+ UNION ALL SELECT lib, file, 1, CASE lib WHEN 'bcrypt' THEN 'hashing' ELSE 'security' END FROM js
+ UNION ALL SELECT 'slf4j', file, 1, 'logging' FROM java),
+models AS (SELECT model AS name, file, 5 AS line, TRUE AS has_delete FROM py UNION ALL SELECT model, file, 1, FALSE FROM rb UNION ALL SELECT model, file, 3, FALSE FROM js UNION ALL SELECT model, file, 2, FALSE FROM java UNION ALL SELECT model, file, 1, FALSE FROM prisma),
+said AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'PII' WHEN 1 THEN 'SENSITIVE_PII' ELSE 'NOT_PII' END AS class FROM py WHERE turn % 7 <> 3),
+pii AS (SELECT model, 'name' AS field, class AS classification FROM said UNION ALL SELECT model, 'owner', 'INDIRECT' FROM said UNION ALL SELECT 'X' || d, 'gone', 'PII' FROM said WHERE turn % 5 = 0),
+personal AS (SELECT DISTINCT model FROM pii WHERE classification IN ('PII', 'SENSITIVE_PII')),
+tree AS (SELECT {_PATH} AS file_path, text || {"CASE doc_id % 61 " + " ".join(f"WHEN {k} THEN chr(10) || '{v}'" for k, v in _SAYS.items()) + " ELSE '' END"} AS content FROM documents),
+tpy AS (SELECT * FROM tree WHERE file_path LIKE '%.py')"""
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    return src.documents_as_code(table(spark, sf_dir, "documents")).select("file_path", "content")
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """A recorded classification for every Python model of the tree; some are no JSON, some name a model that is not there."""
+    d, turn = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 6)
+    said = F.element_at(F.array(*map(F.lit, ("pii", "Sensitive PII", "not_pii", "weird"))), (turn % 4).cast("int") + 1)
+    field = lambda name, c: F.struct(F.lit(name).alias("field_name"), c.alias("classification"), F.lit("r").alias("reason"))
+    model = lambda name, *fields: F.struct(name.alias("model_name"), F.array(*fields).alias("fields"))
+    own = model(F.concat(F.lit("M"), d), field("name", said), field("owner", F.lit("indirect")))
+    gone = model(F.concat(F.lit("X"), d), field("gone", F.lit("PII")))
+    models = F.when(turn % 5 == 0, F.array(own, gone)).otherwise(F.array(own))
+    special = F.when(turn % 3 == 0, F.array(F.concat(F.lit("M"), d, F.lit(".name")))).otherwise(F.array().cast("array<string>"))
+    answer = F.to_json(F.struct(models.alias("models"), special.alias("aadhaar_fields"), (turn % 11 == 0).alias("children_data_risk")))
+    rows = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 6 == 0)
+    return rows.select(F.when(turn % 7 == 3, "sorry, I cannot").otherwise(answer).alias("answer"))
 
 
 def _code(spark, sf_dir) -> dict[str, DataFrame]:
+    code = structure.code_tables(_tree(spark, sf_dir))
     extra = None
     for k, v in _SAYS.items():
         extra = F.when(F.col("doc_id") % 61 == k, f"\n{v}") if extra is None else extra.when(F.col("doc_id") % 61 == k, f"\n{v}")
-    files = _files(spark, sf_dir).withColumn("content", F.concat("content", extra.otherwise("")))
-    return {
-        "files": files,
-        "models": spark.createDataFrame([(n, f, line, [], d, s) for n, f, line, d, s in _MODELS], "name string, file string, line int, base_classes array<string>, has_delete_method boolean, has_soft_delete boolean"),
-        "fields": spark.createDataFrame(_FIELDS, "model string, name string, field_type string, is_encrypted boolean"),
-        "endpoints": spark.createDataFrame(_ENDPOINTS, "path string, http_methods array<string>, handler string, file string, line int, models_read array<string>, models_written array<string>, models_deleted array<string>, requires_auth boolean, viewset_class string"),
-        "delete_paths": spark.createDataFrame(_PATHS, "source_model string, field_name string, target_model string, on_delete string, is_blocker boolean, file string, line int"),
-        "libraries": spark.createDataFrame(_LIBS, "module string, alias string, file string, line int, category string"),
-    }
-
-
-def _pii(spark) -> DataFrame:
-    return spark.createDataFrame(_PII, "model string, field string, classification string, reason string")
+    return code | {"files": _files(spark, sf_dir).withColumn("content", F.concat("content", extra.otherwise("")))}
 
 
-_CODE = f"""WITH base AS (SELECT doc_id, {_PATH} AS file_path, text || {"CASE doc_id % 61 " + " ".join(f"WHEN {k} THEN chr(10) || '{v}'" for k, v in _SAYS.items()) + " ELSE '' END"} AS content FROM documents),
-py AS (SELECT * FROM base WHERE file_path LIKE '%.py'),
-fields AS (SELECT * FROM {_values(_FIELDS, 'model, name, field_type, is_encrypted')}), pii AS (SELECT * FROM {_values(_PII, 'model, field, classification, reason')}),
-personal AS (SELECT DISTINCT model FROM pii WHERE classification IN ('PII', 'SENSITIVE_PII')), models AS (SELECT * FROM {_values(_MODELS, 'name, file, line, has_delete, has_soft')}), libs AS (SELECT * FROM {_values(_LIBS, 'module, alias, file, line, category')})"""
+def _pii(spark, sf_dir, code) -> DataFrame:
+    return privacy.classified(_answers(spark, sf_dir), code["models"], code["fields"]).select("model", "field", "classification", "reason")
 
 
 def _in(values) -> str:
     return "(" + ", ".join(map(_quoted, values)) + ")"
 
 
-def _status(df: DataFrame) -> DataFrame:
-    return df.select("section", "status", F.size("blockers").cast("int").alias("n_blockers"))
+@query(f"""{_TREE}
+SELECT file, 'import' AS kind, NULL AS owner, lib AS name, 1 AS line, NULL AS value, NULL AS extra FROM py
+UNION ALL SELECT file, 'import', NULL, 'django.db', 2, NULL, NULL FROM py
+UNION ALL SELECT file, 'class', NULL, model, 5, 'models.Model', 'delete' FROM py
+UNION ALL SELECT file, 'field', model, 'name', 6, ftype, 'max_length=' || (n % 200 + 1) || '|null=' || CASE WHEN nul THEN 'True' ELSE 'False' END FROM py
+UNION ALL SELECT file, 'field', model, 'owner', 7, 'ForeignKey', chr(39) || 'M' || (d + 6) || chr(39) || '|on_delete=models.' || act FROM py
+UNION ALL SELECT file, 'function', NULL, 'delete', 9, '    def delete(self):' || chr(10) || '        return None', '8' FROM py
+UNION ALL SELECT file, 'model', NULL, model, 1, NULL, NULL FROM rb
+UNION ALL SELECT file, 'field', model, 'm' || d || '_items', 2, 'has_many', ', dependent: :' || dep FROM rb
+UNION ALL SELECT file, 'model', NULL, model, 3, NULL, NULL FROM js
+UNION ALL SELECT file, 'field', model, 'email', 4, ftype, NULL FROM js
+UNION ALL SELECT file, 'route', NULL, '/m' || d || '/', 2, 'GET', 'list' || d FROM js
+UNION ALL SELECT file, 'model', NULL, model, 2, NULL, NULL FROM java
+UNION ALL SELECT file, 'field', model, 'code', 4, ftype, NULL FROM java
+UNION ALL SELECT file, 'model', NULL, model, 1, NULL, NULL FROM prisma
+UNION ALL SELECT file, 'field', model, 'id', 2, 'Int', NULL FROM prisma
+UNION ALL SELECT file, 'field', model, 'note', 3, ftype || '?', NULL FROM prisma""")
+def structure_extract(spark, sf_dir):
+    return structure.extract(_tree(spark, sf_dir))
+
+
+@query(f"{_TREE} SELECT name, file, CAST(line AS INTEGER) AS line, has_delete AS has_delete_method FROM models")
+def models_of_code(spark, sf_dir):
+    return structure.models(structure.extract(_tree(spark, sf_dir))).select("name", "file", "line", "has_delete_method")
+
+
+@query(f"{_TREE} SELECT model, name, field_type, python_type, is_nullable, is_encrypted, max_length, related_model, on_delete, file, CAST(line AS INTEGER) AS line FROM fields")
+def field_types(spark, sf_dir):
+    return structure.fields(structure.extract(_tree(spark, sf_dir)))
+
+
+@query(f"{_TREE} SELECT source_model, field_name, target_model, on_delete, is_blocker, file, CAST(line AS INTEGER) AS line FROM paths")
+def cascade_parse(spark, sf_dir):
+    return structure.delete_paths(structure.extract(_tree(spark, sf_dir)))
+
+
+@query(f"{_TREE} SELECT module, file, CAST(line AS INTEGER) AS line, category FROM libs")
+def library_category(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return structure.libraries(structure.extract(tree), tree).select("module", "file", "line", "category")
+
+
+@query(f"{_TREE} SELECT '/m' || d AS path, 'GET' AS methods, 'list' || d AS handler, file, CAST(2 AS INTEGER) AS line FROM js")
+def routes_of_code(spark, sf_dir):
+    return structure.endpoints(structure.extract(_tree(spark, sf_dir))).select("path", F.array_join("http_methods", ",").alias("methods"), "handler", "file", "line")
+
+
+@query("SELECT 'svc' || doc_id || '/requirements.txt' AS file_path, p.package, CASE p.package WHEN 'flask' THEN '2.' || (doc_id % 10) ELSE '1.' || (doc_id % 7) || '.0' END AS version FROM documents, (VALUES ('flask'), ('requests')) p(package) WHERE doc_id % 6 = 5")
+def dependency_versions(spark, sf_dir):
+    return structure.dependencies(_tree(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT 'requirements.txt' AS f, min(doc_id) AS k FROM documents) SELECT 'django' AS "primary", '4.' || k AS version, 'django-orm' AS orm, TRUE AS has_drf, TRUE AS has_celery, TRUE AS has_jwt, FALSE AS has_oauth, 'JWTAuthentication' AS auth, 'app/settings_' || k || '.py' AS settings, TRUE AS global_auth_required FROM d""")
+def framework_details(spark, sf_dir):
+    """A manifest and a settings file beside the tree, both named after the least document."""
+    k = table(spark, sf_dir, "documents").agg(F.min("doc_id").cast("string").alias("k"))
+    manifest = k.select(F.lit("requirements.txt").alias("file_path"), F.concat(F.lit("Django>=4."), "k", F.lit("\ndjangorestframework==3\ncelery=5\npyjwt > 2\n")).alias("content"))
+    settings = k.select(F.concat(F.lit("app/settings_"), "k", F.lit(".py")).alias("file_path"), F.lit("DEFAULT_PERMISSION_CLASSES = [IsAuthenticated]\nx = JWTAuthentication").alias("content"))
+    out = structure.framework(_tree(spark, sf_dir).unionByName(manifest).unionByName(settings))
+    return out.select("primary", "version", "orm", "has_drf", "has_celery", "has_jwt", "has_oauth", F.array_join("auth_middleware", ",").alias("auth"), F.array_join("settings_files", ",").alias("settings"), "global_auth_required")
+
+
+@query(f"""{_TREE}, m AS (SELECT *, row_number() OVER (ORDER BY file, line, name) - 1 AS place FROM (SELECT * FROM models WHERE name IN (SELECT model FROM fields)))
+SELECT CAST(place // 25 + 1 AS INTEGER) AS batch, place, name AS model FROM m""")
+def model_batches(spark, sf_dir):
+    rows = structure.extract(_tree(spark, sf_dir))
+    return privacy.model_batches(structure.models(rows), structure.fields(rows)).select("batch", "place", "model")
+
+
+@query(f"""{_TREE} SELECT p.model, p.field, p.classification, coalesce(m.file, '') AS file, coalesce(f.field_type, '') AS field_type
+FROM pii p LEFT JOIN models m ON m.name = p.model LEFT JOIN fields f ON f.model = p.model AND f.name = p.field""")
+def pii_classified(spark, sf_dir):
+    rows = structure.extract(_tree(spark, sf_dir))
+    return privacy.classified(_answers(spark, sf_dir), structure.models(rows), structure.fields(rows)).select("model", "field", "classification", "file", "field_type")
+
+
+@query(f"{_TREE} SELECT 'aadhaar' AS kind, model || '.name' AS field FROM said WHERE turn % 3 = 0 AND ftype <> 'EncryptedCharField'")
+def special_unencrypted(spark, sf_dir):
+    fields = structure.fields(structure.extract(_tree(spark, sf_dir)))
+    return privacy.special_unencrypted(privacy.special_fields(_answers(spark, sf_dir)), fields)
+
+
+@query("SELECT doc_id, substr(sha256(source || ':' || coalesce(lang, 'unknown')), 1, 16) AS key FROM documents")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", privacy.cache_key(F.col("source"), F.col("lang")).alias("key"))
+
+
+@query(f"{_TREE} SELECT count(*) AS total, count(*) FILTER (classification = 'PII') AS pii, count(*) FILTER (classification = 'SENSITIVE_PII') AS sensitive, count(*) FILTER (classification = 'INDIRECT') AS indirect, count(*) FILTER (classification = 'NOT_PII') AS not_pii, (SELECT count(*) FROM personal) AS pii_models FROM pii")
+def pii_stats(spark, sf_dir):
+    return privacy.pii_stats(_pii(spark, sf_dir, _code(spark, sf_dir)))
+
+
+@query(f"{_TREE} SELECT (SELECT count(*) FROM models) AS models, (SELECT count(*) FROM models WHERE has_delete) AS with_delete, CAST(0 AS BIGINT) AS with_soft_delete, (SELECT count(*) FROM fields) AS fields, (SELECT count(*) FROM fields WHERE is_encrypted) AS encrypted_fields, (SELECT count(*) FROM js) AS endpoints, CAST(0 AS BIGINT) AS with_auth, (SELECT count(*) FROM libs) AS libraries")
+def codebase_stats(spark, sf_dir):
+    c = _code(spark, sf_dir)
+    return privacy.codebase_stats(c["models"], c["fields"], c["endpoints"], c["libraries"])
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("section", "status", F.array_join("evidence", "|").alias("evidence"), F.array_join("blockers", "|").alias("blockers"))
+
+
+def _section(f, spark, sf_dir) -> DataFrame:
+    code = _code(spark, sf_dir)
+    return _shown(f(code, _pii(spark, sf_dir, code)))
+
+
+def _least(what: str, rows: str, n: int) -> str:
+    return f"(SELECT coalesce(string_agg(v, '|' ORDER BY v), '') FROM (SELECT DISTINCT {what} AS v FROM {rows} ORDER BY 1 LIMIT {n}))"
+
 
+def _both(*lists: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(lists) + "], lambda x: x <> ''), '|')"
 
-@query(f"""{_CODE}, j AS (SELECT coalesce(f.is_encrypted, FALSE) AS e FROM pii p LEFT JOIN fields f ON f.model = p.model AND f.name = p.field WHERE p.classification IN ('PII', 'SENSITIVE_PII'))
-SELECT '§8(4)' AS section, CASE WHEN count(*) FILTER (NOT e) = 0 THEN 'COMPLIANT' WHEN count(*) FILTER (e) = 0 THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS status, CAST(least(10, count(*) FILTER (NOT e)) AS INTEGER) AS n_blockers FROM j""")
+
+def _hits(patterns) -> str:
+    """The first pattern's leftmost match as "line: match"."""
+    out = ""
+    for p in patterns:
+        m = f"regexp_extract(content, '{p}', 0, 'i')"
+        before = f"left(content, strpos(content, {m}) - 1)"
+        out += f" WHEN regexp_matches(content, '{p}', 'i') THEN (length({before}) - length(replace({before}, chr(10), '')) + 1) || ': ' || {m}"
+    return f"CASE{out} END"
+
+
+@query(f"""{_TREE}, j AS (SELECT p.model || '.' || p.field AS f, coalesce(f.is_encrypted, FALSE) AS e FROM pii p LEFT JOIN fields f ON f.model = p.model AND f.name = p.field WHERE p.classification IN ('PII', 'SENSITIVE_PII'))
+SELECT '§8(4)' AS section, CASE WHEN count(*) FILTER (NOT e) = 0 THEN 'COMPLIANT' WHEN count(*) FILTER (e) = 0 THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS status, {_least("'encrypted: ' || f", "j WHERE e", 10)} AS evidence, {_least("'not encrypted: ' || f", "j WHERE NOT e", 10)} AS blockers FROM j""")
 def encryption_status(spark, sf_dir):
-    return _status(privacy.encryption(_code(spark, sf_dir), _pii(spark)))
+    return _section(privacy.encryption, spark, sf_dir)
 
 
-@query(f"""{_CODE} SELECT '§8(5)' AS section, CASE WHEN n > 0 OR (SELECT count(*) FROM py WHERE {_any('content', privacy.RETENTION_POLICY)}) > 0 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS status, CAST(0 AS INTEGER) AS n_blockers
-FROM (SELECT count(*) AS n FROM fields JOIN personal USING (model) WHERE lower(name) IN {_in(privacy.RETENTION_FIELDS)})""")
+@query(f"""{_TREE}, h AS (SELECT file_path, {_hits(privacy.RETENTION_POLICY)} AS policy, {_hits(privacy.MANAGEMENT).replace(chr(92) + "(", "[(]").replace(chr(92) + ")", "[)]")} AS command FROM tpy)
+SELECT '§8(5)' AS section, CASE WHEN (SELECT count(policy) FROM h) > 0 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS status, {_both(_least("file_path || ':' || policy", "h WHERE policy IS NOT NULL", 5), _least("file_path || ':' || command", "h WHERE command IS NOT NULL", 5))} AS evidence,
+ CASE WHEN (SELECT count(policy) FROM h) > 0 THEN '' ELSE 'No retention limit was found.' END AS blockers""")
 def retention_status(spark, sf_dir):
-    return _status(privacy.retention(_code(spark, sf_dir), _pii(spark)))
+    return _section(privacy.retention, spark, sf_dir)
 
 
-@query(f"""{_CODE} SELECT file_path, CASE WHEN {" WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.RETENTION_POLICY)} END AS policy, CASE WHEN {" WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.SCHEDULERS)} END AS scheduler
-FROM py WHERE {_any('content', privacy.RETENTION_POLICY + privacy.SCHEDULERS)}""")
+@query(f"""{_TREE} SELECT file_path, {_hits(privacy.RETENTION_POLICY)} AS policy, {_hits(privacy.SCHEDULERS)} AS scheduler
+FROM tpy WHERE {_any('content', privacy.RETENTION_POLICY + privacy.SCHEDULERS)}""")
 def retention_evidence(spark, sf_dir):
-    found = privacy.evidence(_code(spark, sf_dir)["files"], {"policy": privacy.RETENTION_POLICY, "scheduler": privacy.SCHEDULERS})
-    return found.select("file_path", *[F.regexp_replace(c, r"^\d+: ", "").alias(c) for c in ("policy", "scheduler")])
+    return privacy.evidence(_code(spark, sf_dir)["files"], {"policy": privacy.RETENTION_POLICY, "scheduler": privacy.SCHEDULERS})
 
 
-@query(f"""{_CODE} SELECT '§8(6)' AS section, CASE WHEN (SELECT count(*) FROM libs WHERE split_part(module, '.', 1) IN {_in(privacy.ALERTING)}) > 0 OR (SELECT count(*) FROM models WHERE {_any('name', privacy.AUDIT_MODELS)}) > 0 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS status, CAST(0 AS INTEGER) AS n_blockers""")
+@query(f"""{_TREE}, h AS (SELECT file_path, {_hits(privacy.BREACH)} AS breach, regexp_matches(content, '{privacy.NOTIFICATION[0]}', 'i') AS mail FROM tpy)
+SELECT '§8(6)' AS section, 'PARTIAL' AS status, {_both(_least("module", f"libs WHERE split_part(module, '.', 1) IN {_in(privacy.ALERTING)}", 5), _least("file_path || ':' || breach", "h WHERE breach IS NOT NULL", 5), "(SELECT CASE WHEN count(*) > 0 THEN 'Messages can be sent.' ELSE '' END FROM h WHERE mail)")} AS evidence, '' AS blockers""")
 def breach_status(spark, sf_dir):
-    return _status(privacy.breach(_code(spark, sf_dir), _pii(spark)))
+    return _section(privacy.breach, spark, sf_dir)
 
 
 _FIRST_CHILD = "CASE WHEN " + " WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.CHILD) + " END"
 
 
-@query(f"""{_CODE}, f AS (SELECT {_any('content', privacy.AGE_GATE)} AS gate, {_FIRST_CHILD} AS first FROM py),
-n AS (SELECT count(*) FILTER (gate) AS gates, count(*) FILTER (regexp_matches(first, '(parental|guardian).?consent', 'i')) AS parental, (SELECT count(*) FROM fields JOIN personal USING (model) WHERE lower(name) IN {_in(privacy.AGE_FIELDS)}) AS ages FROM f)
-SELECT '§9' AS section, CASE WHEN gates > 0 AND parental > 0 THEN 'PARTIAL' WHEN ages > 0 AND gates = 0 THEN 'NON_COMPLIANT' ELSE 'PARTIAL' END AS status, CAST(CASE WHEN ages > 0 AND gates = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_blockers FROM n""")
+@query(f"""{_TREE}, f AS (SELECT {_any('content', privacy.AGE_GATE)} AS gate, {_FIRST_CHILD} AS first FROM tpy),
+n AS (SELECT count(*) FILTER (gate) AS gates, count(*) FILTER (regexp_matches(first, '(parental|guardian).?consent', 'i')) AS parental FROM f)
+SELECT '§9' AS section, CASE WHEN gates > 0 AND parental > 0 THEN 'PARTIAL' ELSE 'PARTIAL' END AS status, '' AS evidence, '' AS blockers FROM n""")
 def children_status(spark, sf_dir):
-    return _status(privacy.children(_code(spark, sf_dir), _pii(spark)))
+    code = _code(spark, sf_dir)
+    pii = _pii(spark, sf_dir, code)
+    return _shown(privacy.children(code, pii, risk=True))
 
 
-@query(f"""{_CODE}, f AS (SELECT * FROM base WHERE regexp_matches(file_path, '([.]py|[.]ya?ml|[.]toml|[.]ini|[.]env|[.]conf)$', 'i')),
+@query(f"""{_TREE}, f AS (SELECT * FROM tree WHERE regexp_matches(file_path, '([.]py|[.]ya?ml|[.]toml|[.]ini|[.]env|[.]conf)$', 'i')),
 l AS (SELECT unnest(string_split(content, chr(10))) AS line FROM f),
 r AS (SELECT count(*) FILTER ({_any('line', ['|'.join(privacy.INDIAN_REGIONS)])}) AS home, count(*) FILTER ({_any('line', [privacy.FOREIGN_REGIONS])}) AS abroad FROM l WHERE {_any('line', privacy.REGIONS)}),
 n AS (SELECT count(*) FILTER ({_any('content', privacy.REGIONS + privacy.STORAGE + privacy.DATABASES)}) AS said FROM f)
-SELECT '§11' AS section, CASE WHEN said = 0 THEN 'UNKNOWN' WHEN home > 0 AND abroad = 0 THEN 'COMPLIANT' ELSE 'PARTIAL' END AS status, CAST(CASE WHEN abroad > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_blockers FROM r, n""")
+SELECT '§11' AS section, CASE WHEN said = 0 THEN 'UNKNOWN' WHEN home > 0 AND abroad = 0 THEN 'COMPLIANT' ELSE 'PARTIAL' END AS status,
+ {_both(_least("'region: ' || file_path", "f WHERE " + _any("content", privacy.REGIONS), 15), _least("'calls another service: ' || file_path", "tpy WHERE " + _any("content", [p.replace("(?:", "(") for p in privacy.EXTERNAL_CALLS]), 5))} AS evidence,
+ CASE WHEN abroad > 0 THEN 'A region abroad is configured.' ELSE '' END AS blockers FROM r, n""")
 def localisation_status(spark, sf_dir):
-    return _status(privacy.localisation(_code(spark, sf_dir), _pii(spark)))
+    return _section(privacy.localisation, spark, sf_dir)
 
 
-@query(f"{_CODE} SELECT model FROM personal WHERE model NOT IN ('Patient')")
+@query(f"{_TREE} SELECT model FROM personal")
 def erasure_coverage(spark, sf_dir):
-    code, personal = _code(spark, sf_dir), privacy.pii_models(_pii(spark)).select("model")
+    """Personal models that no DELETE endpoint covers: in this tree all of them."""
+    code = _code(spark, sf_dir)
+    personal = privacy.pii_models(_pii(spark, sf_dir, code)).select("model")
     covered = privacy.touching(code["endpoints"].filter(F.array_contains("http_methods", "DELETE")), personal, "models_deleted").select("model").distinct()
     return personal.join(covered, "model", "left_anti")
 
 
-@query("SELECT * FROM (VALUES ('§4', 'UNKNOWN', 1), ('§5', 'UNKNOWN', 1), ('§7(3)', 'UNKNOWN', 1)) t(section, status, llm_calls_made)")
-def judged_sections(spark, sf_dir):
-    code, pii = _code(spark, sf_dir), _pii(spark)
-    return privacy.report(code, pii, (privacy.consent, privacy.minimisation, privacy.erasure)).select("section", "status", "llm_calls_made")
+_KEPT = "paths WHERE is_blocker AND target_model IN (SELECT model FROM personal)"
 
 
-@query(f"{_CODE} SELECT count(*) AS total, count(*) FILTER (classification = 'PII') AS pii, count(*) FILTER (classification = 'SENSITIVE_PII') AS sensitive, count(*) FILTER (classification = 'INDIRECT') AS indirect, count(*) FILTER (classification NOT IN ('PII', 'SENSITIVE_PII', 'INDIRECT')) AS not_pii, (SELECT count(*) FROM personal) AS pii_models FROM pii")
-def pii_stats(spark, sf_dir):
-    return privacy.pii_stats(_pii(spark))
-
-
-@query(f"{_CODE} SELECT (SELECT count(*) FROM models) AS models, (SELECT count(*) FROM models WHERE has_delete) AS with_delete, (SELECT count(*) FROM models WHERE has_soft) AS with_soft_delete, (SELECT count(*) FROM fields) AS fields, (SELECT count(*) FROM fields WHERE is_encrypted) AS encrypted_fields, CAST(2 AS BIGINT) AS endpoints, CAST(1 AS BIGINT) AS with_auth, (SELECT count(*) FROM libs) AS libraries")
-def codebase_stats(spark, sf_dir):
-    c = _code(spark, sf_dir)
-    return privacy.codebase_stats(c["models"], c["fields"], c["endpoints"], c["libraries"])
+@query(f"""{_TREE}
+SELECT '§4' AS section, 'UNKNOWN' AS status, '0 mentions in handlers|0 consent models' AS evidence, '' AS blockers
+UNION ALL SELECT '§5', 'UNKNOWN', {_least("model || ': ' || n", "(SELECT model, count(*) AS n FROM pii WHERE classification IN ('PII', 'SENSITIVE_PII') GROUP BY 1)", 10)}, ''
+UNION ALL SELECT '§7(3)', 'UNKNOWN', (SELECT count(*) FROM paths WHERE on_delete = 'CASCADE' AND target_model IN (SELECT model FROM personal)) || ' cascading paths|0 models deleted softly, ' || (SELECT count(*) FROM models WHERE has_delete AND name IN (SELECT model FROM personal)) || ' by a method of their own',
+ {_both(_least("'no DELETE for ' || model", "personal", 10), _least("source_model || '.' || field_name || ' keeps ' || target_model", _KEPT, 10))}""")
+def judged_sections(spark, sf_dir):
+    code = _code(spark, sf_dir)
+    return _shown(privacy.report(code, _pii(spark, sf_dir, code), (privacy.consent, privacy.minimisation, privacy.erasure)))
 
 
 @query("SELECT customer.c_custkey AS name, coalesce(nullif(list(o.o_orderstatus ORDER BY o.o_orderstatus) FILTER (o.o_orderstatus IS NOT NULL), []), ['none']) AS fields FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) o ON o.o_custkey = customer.c_custkey GROUP BY 1")
@@ -479,29 +651,12 @@ def model_dedupe_first(spark, sf_dir):
     return structure._first(rows, "name").select("name", "status", "line")
 
 
-_MODULES = ["cryptography.fernet", "hashlib", "jwt.api", "jwtx", "boto3", "os.path", "sentry_sdk"]
-
-
-@query("SELECT * FROM (VALUES ('cryptography.fernet', 'encryption'), ('hashlib', 'hashing'), ('jwt.api', 'authentication'), ('boto3', 'cloud'), ('sentry_sdk', 'monitoring')) t(module, category)")
-def library_category(spark, sf_dir):
-    rows = spark.createDataFrame([("a.py", "import", None, m, i, None, None) for i, m in enumerate(_MODULES)], structure.ROW)
-    return structure.libraries(rows).select("module", "category")
-
-
 @query("SELECT CAST(n_nationkey AS BIGINT) AS k, '/api/' || lower(replace(n_name, ' ', '_')) AS path FROM nation")
 def routes_join(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     return n.select(F.col("n_nationkey").cast("long").alias("k"), structure.join_route(F.lit("/api/"), F.concat(F.lit("/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("/"))).alias("path"))
 
 
-_CASCADES = ["models.CASCADE", "models.PROTECT", "models.SET_NULL", "DO_NOTHING", "x"]
-
-
-@query("SELECT * FROM (VALUES ('models.CASCADE', 'CASCADE'), ('models.PROTECT', 'PROTECT'), ('models.SET_NULL', 'SET_NULL'), ('DO_NOTHING', 'DO_NOTHING'), ('x', 'UNKNOWN')) t(expression, action)")
-def cascade_parse(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _CASCADES], "expression string").select("expression", structure.cascade(F.col("expression")).alias("action"))
-
-
 @query("SELECT DISTINCT p_type AS name, list_aggregate(list_transform(string_split(regexp_replace(replace(lower(p_type), ' ', '_'), 's+$', ''), '_'), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), 'string_agg', '') AS model FROM part")
 def table_to_model(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_type").distinct()
@@ -563,11 +718,6 @@ def severity_ranks(spark, sf_dir):
     return _violations(spark, sf_dir).select("rule_id", "file_path", "line_start", severity_rank(F.col("severity")).alias("rank"))
 
 
-@query()
-def structure_extract(spark, sf_dir):
-    return structure.extract(_files(spark, sf_dir).select("file_path", "content"))
-
-
 @query()
 def sarif_results(spark, sf_dir):
     return reports.sarif_results(_violations(spark, sf_dir)).select("result")
@@ -579,6 +729,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-
-
