@@ -7,8 +7,10 @@ key. A range partition by slot then lays slots into shards of ``shard_slots`` re
 record of slot s starts at byte ``(s % shard_slots) * stride`` of shard ``s // shard_slots``, so a reader resumes
 anywhere with one seek.
 
-Numbering is distributed: ranges of ids carry their totals, the running total of ranges is a table of at most
-``RANGES`` rows, and a window runs within one range only. The ids are written once, compressed, to the shared folder.
+Numbering is distributed: the documents' counts (no texts) are dealt by ranges of the ids that hold about equally many, whatever the ids are,
+and stored with the number of their range; the running total of ranges has one row a partition, and a window runs within one
+range only. The ids are written once, compressed, to the shared folder. The tokenizer's file is read by the driver and sent to the executors
+by Spark.
 
 Null and empty texts give one sequence of end tokens. Rows that repeat an id get sequences of their own (numbered by
 text among themselves); null ids come first. An empty table gives no rows.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import uuid
 from array import array
@@ -25,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +38,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN = 512
 SHARD_SLOTS = 4096
-RANGES = 4096
 CACHE_ENTRIES = 500_000
 UNEVEN = re.compile(r" \s|\s ")
 
@@ -116,11 +119,13 @@ def _encode(docs: DataFrame, path: str, seq_len: int) -> DataFrame:
     """doc_id, h (of the text), n_seqs, packed (the ids with the end token, compressed)."""
     cols = docs.select("doc_id", "h", "text")
     schema = cols.selectExpr("doc_id", "h", "0L AS n_seqs", "X'' AS packed").schema
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches):
         import zstandard
 
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         end = array("H", [enc.end]).tobytes()
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         for batch in batches:
@@ -143,13 +148,13 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     coded = _encode(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), tokenizer, seq_len)
     coded = materialize(coded.withColumn("uid", F.monotonically_increasing_id()), "token-ids")  # written once, so uid and ids stay as they are
     counts = coded.select("uid", "doc_id", "h", "n_seqs")
-    lo, hi, total = counts.agg(F.min("doc_id"), F.max("doc_id"), F.sum("n_seqs")).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // RANGES + 1)
-    counts = counts.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)), F.lit(-1)).cast("int"))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.groupBy("bucket").agg(F.sum("n_seqs").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0))).select("bucket", "start")
-    inside = Window.partitionBy("bucket").orderBy("doc_id", "h", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.join(F.broadcast(starts), "bucket")  # at most RANGES + 2 rows
+    order = ("doc_id", "h", "uid")
+    counts = materialize(counts.repartitionByRange(parts(spark), *order).withColumn("range", F.spark_partition_id()), "token-counts")
+    total = counts.agg(F.sum("n_seqs")).first()[0]
+    running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("range").agg(F.sum("n_seqs").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0))).select("range", "start")
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.join(F.broadcast(starts), "range")  # one row a partition
     numbered = numbered.select("uid", (F.col("start") + F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).alias("first"))
     joined = coded.select("uid", "doc_id", "packed").join(numbered, "uid").select("doc_id", "first", "packed")
     n, stride = int(total or 0), 2 * seq_len
@@ -177,11 +182,13 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     # slots fill [0, N) evenly, so equal ranges need no sampling pass
     dealt = cut_rows.repartitionById(ranges, F.floor(F.col("shard") * F.lit(ranges) / F.lit(shards)).cast("int")).sortWithinPartitions("slot")
 
+    with open(tokenizer, "rb") as f:
+        end = array("H", [sum(1 for _ in f)]).tobytes()  # the end token follows the ranks
+
     def pad(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        end = array("H", [encoder(tokenizer).end]).tobytes()
         for batch in batches:
             for piece in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
                 records = [(raw := unpack(x)) + end * ((stride - len(raw)) // 2) for x in piece.column(4).to_pylist()]
