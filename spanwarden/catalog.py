@@ -485,7 +485,7 @@ def library_category(spark, sf_dir):
     return structure.libraries(structure.extract(tree), tree).select("module", "file", "line", "category")
 
 
-@query(f"{_TREE} SELECT '/m' || d AS path, 'GET' AS methods, 'list' || d AS handler, file, CAST(2 AS INTEGER) AS line FROM js")
+@query(f"{_TREE} SELECT '/m' || d || '/' AS path, 'GET' AS methods, 'list' || d AS handler, file, CAST(2 AS INTEGER) AS line FROM js")
 def routes_of_code(spark, sf_dir):
     return structure.endpoints(structure.extract(_tree(spark, sf_dir))).select("path", F.array_join("http_methods", ",").alias("methods"), "handler", "file", "line")
 

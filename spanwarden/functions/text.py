@@ -68,7 +68,7 @@ def token_estimate(content: Column) -> Column:
 
 def model_from_table(table: Column) -> Column:
     """customer_orders -> CustomerOrder."""
-    return F.array_join(F.transform(F.split(F.regexp_replace(table, "s+$", ""), "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), "")
+    return F.array_join(F.transform(F.split(F.regexp_replace(table, "s+$", ""), "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
 
 
 def percent(x: Column) -> Column:

@@ -309,3 +309,40 @@ def report_markdown(sections: DataFrame) -> str:
     for r in sections.collect():
         lines += [f"### {r['section']} {r['title']}: {r['status']}", *[f"- {x}" for x in r["evidence"][:5 if r["status"] == "COMPLIANT" else 10]], *[f"- blocked: {x}" for x in r["blockers"][:10]], *[f"- to do: {x}" for x in r["remediation"][:5]]]
     return "\n".join(lines)
+
+
+#: How a status is marked in the text report.
+MARKS = {"COMPLIANT": "[PASS]", "PARTIAL": "[WARN]", "NON_COMPLIANT": "[FAIL]", "UNKNOWN": "[????]"}
+WIDTH = 72
+
+
+def report_text(sections: DataFrame, root: str, sha: str | None = None, elapsed: float = 0.0) -> str:
+    """The report for a terminal; a section is one row, so there are as many rows as sections."""
+    rows, rule = sections.orderBy("section").collect(), "=" * WIDTH
+    calls = sum(r["llm_calls_made"] for r in rows)
+    out = [rule, "  COMPLIANCE REPORT", rule, f"  Repository: {root}", *([f"  Commit:     {sha[:12]}"] if sha else []), f"  Sections:   {len(rows)}  |  LLM calls: {calls}  |  Time: {elapsed:.1f}s", rule, ""]
+    for r in rows:
+        out += [f"{MARKS.get(r['status'], '?')} {r['section'] + ' ' + r['title']:<50} {r['status']}", "-" * WIDTH]
+        for n, (name, lines) in enumerate((("Evidence", r["evidence"]), ("Blockers", r["blockers"]), ("Remediation", r["remediation"]))):
+            if lines:
+                out += [*([""] if n else []), f"  {name}:", *(f"    - {x}" for x in lines)]
+        out += ["", ""]
+    out += [rule, "  SUMMARY", rule]
+    for status in MARKS:
+        if n := sum(r["status"] == status for r in rows):
+            out.append(f"  {MARKS[status]} {status}: {n}")
+    return "\n".join([*out, f"  Total LLM calls: {calls}", f"  Total time: {elapsed:.1f}s", rule])
+
+
+def save_classification(pii: DataFrame, path: str, root: str, sha: str | None) -> None:
+    """Keep a classification for a repository at a commit; without a commit nothing is kept."""
+    if sha:
+        pii.withColumns({"key": cache_key(F.lit(root), F.lit(sha))}).write.mode("append").partitionBy("key").parquet(path)
+
+
+def load_classification(spark: SparkSession, path: str, root: str, sha: str | None) -> DataFrame | None:
+    """What was kept for this commit, read from its own folder only; None when there is nothing."""
+    if not sha or not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return None
+    rows = spark.read.parquet(path).filter(F.col("key") == cache_key(F.lit(root), F.lit(sha))).drop("key").distinct()
+    return rows if rows.limit(1).count() else None

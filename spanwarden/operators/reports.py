@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,12 +63,15 @@ def sarif_results(v: DataFrame) -> DataFrame:
     return v.join(F.broadcast(rule_index(v)), "rule_id").select(*_order(v), F.to_json(body).alias("result"))
 
 
-def sarif_document(v: DataFrame, tool: str, version: str, run_id: str) -> str:
-    """The whole document, for one repository's violations; larger sets stay in ``sarif_results``."""
-    rules = v.join(F.broadcast(rule_index(v)), "rule_id").groupBy("rule_index", "rule_id").agg(F.first("rule_name").alias("name"), F.first("severity").alias("severity"), F.first("fix_hint").alias("hint")).orderBy("rule_index")
-    described = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["name"]}, "defaultConfiguration": {"level": SARIF_LEVEL[r["severity"]]}} | ({"help": {"text": r["hint"]}} if r["hint"] else {}) for r in rules.collect()]
-    results = [json.loads(r["result"]) for r in sarif_results(v).orderBy(*_order(v)).toLocalIterator()]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": described}}, "automationDetails": {"id": run_id}, "results": results}]})
+def sarif_document(v: DataFrame, tool: str, version: str, run_id: str) -> Iterator[str]:
+    """The document in pieces, rules first and then a partition of results at a time."""
+    rules = v.join(F.broadcast(rule_index(v)), "rule_id").groupBy("rule_index", "rule_id").agg(F.first("rule_name").alias("name"), F.first("severity").alias("severity"), F.first("fix_hint").alias("hint"), F.first(F.get("references", F.lit(0))).alias("link")).orderBy("rule_index")
+    described = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["name"]}, "defaultConfiguration": {"level": SARIF_LEVEL[r["severity"]]}} | ({"help": {"text": r["hint"]}} if r["hint"] else {}) | ({"helpUri": r["link"]} if r["link"] else {}) for r in rules.collect()]
+    run = {"tool": {"driver": {"name": tool, "version": version, "rules": described}}, "automationDetails": {"id": run_id}}
+    yield '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [' + json.dumps(run)[:-1] + ', "results": ['
+    for i, r in enumerate(sarif_results(v).orderBy(*_order(v)).toLocalIterator()):
+        yield (", " if i else "") + r["result"]
+    yield "]}]}"
 
 
 def sarif_transport(document: str) -> str:
@@ -140,20 +144,24 @@ def ci_lines(v: DataFrame, fail_on: str = "CRITICAL") -> DataFrame:
     return v.select(*_order(v), F.concat(F.lit("::"), kind, F.lit(" file="), "file_path", F.lit(",line="), F.col("line_start").cast("string"), F.lit("::["), "rule_id", F.lit("] "), F.substring("message", 1, 200)).alias("ci"))
 
 
-def baseline_document(v: DataFrame, created: str) -> str:
+def baseline_document(v: DataFrame, created: str) -> Iterator[str]:
+    """The document in pieces, a partition of violations at a time: the driver never holds them all."""
     from .scan import baseline_of
 
-    rows = [r.asDict() for r in baseline_of(v).collect()]
-    return json.dumps({"version": 1, "created": created, "total": len(rows), "violations": rows})
+    yield json.dumps({"version": 1, "created": created, "total": v.count()})[:-1] + ', "violations": ['
+    for i, r in enumerate(baseline_of(v).toLocalIterator()):
+        yield (", " if i else "") + json.dumps(r.asDict())
+    yield "]}"
 
 
 def result_json(v: DataFrame) -> DataFrame:
     return v.select(F.to_json(F.struct(*[c for c in v.columns if c != "seq"])).alias("violation"))
 
 
-def terminal_table(v: DataFrame, top: int = 1000) -> str:
-    rows = v.orderBy(*_order(v)).limit(top).collect()
-    return "\n".join(f"{i:>4}  {r['severity']:<8}  {r['file_path']}:{r['line_start']}  {r['rule_id']}  {r['message']}" for i, r in enumerate(rows, 1))
+def terminal_table(v: DataFrame) -> Iterator[str]:
+    """A line a violation, in order and all of them, a partition at a time."""
+    for i, r in enumerate(v.orderBy(*_order(v)).toLocalIterator(), 1):
+        yield f"{i:>4}  {r['severity']:<8}  {r['file_path']}:{r['line_start']}  {r['rule_id']}  {r['message']}"
 
 
 def append_run(summary: DataFrame, path: str) -> None:

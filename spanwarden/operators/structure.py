@@ -60,6 +60,11 @@ MODEL_SYNTAX: dict[str, tuple[Syntax, ...]] = {
     ".rs": (Syntax(r"#\[derive\([^)]*(?:Queryable|FromRow|DeriveEntityModel)[^)]*\)\][^{;]*struct\s+(?P<name>\w+)", "{", r"(?:pub\s+)?(?P<name>\w+)\s*:\s*(?P<type>[\w<>:]+)"),),
 }
 MODEL_SYNTAX[".tsx"], MODEL_SYNTAX[".jsx"] = MODEL_SYNTAX[".ts"], MODEL_SYNTAX[".js"]
+#: Per suffix: routes that stand for a whole resource (group: path), each with its verbs and actions.
+RESOURCE_SYNTAX = {
+    ".rb": (r"resources?\s+:(?P<path>\w+)", (("GET", "index"), ("GET", "show"), ("POST", "create"), ("PUT", "update"), ("PATCH", "update"), ("DELETE", "destroy"))),
+    ".php": (r"Route::(?:api)?[Rr]esource\s*\(\s*['\"](?P<path>[^'\"]+)['\"]", tuple((v, "resource") for v in ("GET", "POST", "PUT", "PATCH", "DELETE"))),
+}
 #: Per suffix: routes (groups: verb, path, handler; a prefix is found once a file).
 ROUTE_SYNTAX: dict[str, tuple[str | None, str]] = {
     ".js": (None, r"\b(?:app|router)\.(?P<verb>get|post|put|patch|delete|all)\(\s*['\"`](?P<path>[^'\"`]+)['\"`]\s*,\s*(?:[\w.]+\s*,\s*)*(?P<handler>[\w.]*)"),
@@ -110,6 +115,11 @@ def _regex_rows(path: str, content: str) -> Iterator[tuple]:
         base = re.search(prefix, content, re.S) if prefix else None
         for m in re.finditer(route, content, re.M):
             yield path, "route", base["path"] if base else None, m["path"] or "", line(m.start()), m["verb"].upper(), m["handler"]
+    if s in RESOURCE_SYNTAX:
+        pattern, actions = RESOURCE_SYNTAX[s]
+        for m in re.finditer(pattern, content):
+            for verb, action in actions:
+                yield path, "route", None, f"/{m['path']}", line(m.start()), verb, f"{m['path']}#{action}"
 
 
 def _python_rows(path: str, content: str) -> Iterator[tuple]:
@@ -124,7 +134,12 @@ def _python_rows(path: str, content: str) -> Iterator[tuple]:
     said = lambda node: ast.unparse(node) if node is not None else ""
     for node in ast.walk(tree):
         if isinstance(node, ast.ClassDef):
-            yield path, "class", None, node.name, node.lineno, ",".join(map(said, node.bases)), ",".join(f.name for f in node.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef))
+            bases = ",".join(map(said, node.bases))
+            yield path, "class", None, node.name, node.lineno, bases, ",".join(f.name for f in node.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef))
+            if "View" in bases:  # what the view's code names: a model, or an attribute of what is named like one but for an s
+                names = {x.id for x in ast.walk(node) if isinstance(x, ast.Name)}
+                owners = {x.value.id + "s" for x in ast.walk(node) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name)}
+                yield path, "names", None, node.name, node.lineno, ",".join(sorted(names)), ",".join(sorted(owners))
             for item in node.body:
                 target = item.targets[0] if isinstance(item, ast.Assign) else item.target if isinstance(item, ast.AnnAssign) else None
                 if isinstance(target, ast.Name) and isinstance(item.value, ast.Call):
@@ -255,22 +270,50 @@ def join_route(prefix: Column, path: Column) -> Column:
     return clean
 
 
-def endpoints(rows: DataFrame) -> DataFrame:
-    """Routes of all languages; Django's registrations meet their views (a router without one offers all five verbs)."""
+def route_path(file: Column, prefix: Column, path: Column) -> Column:
+    """A route below its controller's prefix, as each framework joins them; other routes are whole already."""
+    before = F.regexp_replace(F.coalesce(prefix, F.lit("")), "^/+|/+$", "")
+    joined = F.concat(F.lit("/"), before, F.lit("/"), path)
+    plain = F.coalesce(F.nullif(F.regexp_replace(joined, "/+$", ""), F.lit("")), F.lit("/"))
+    spring = F.concat(F.lit("/"), F.regexp_replace(joined, "^/+|/+$", ""))
+    return F.when(file.rlike(r"\.(?:tsx?|cs)$"), plain).when(file.endswith(".java"), spring).otherwise(path)
+
+
+def endpoints(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Routes of all languages; Django's registrations meet their views (a router without one offers all five verbs).
+
+    ``names`` (name) are models: the result then has models_read, models_written and models_deleted, for views the models that
+    their code names, for FastAPI those in the annotations of their arguments.
+    """
+    none = F.lit(None).cast("string")
     r = rows.filter("kind = 'route'")
-    verb = F.when(F.col("value").isin("ALL", "HANDLEFUNC"), "ANY").otherwise(F.col("value"))
-    other = r.select(join_route(F.col("owner"), F.col("name")).alias("path"), F.array(verb).alias("http_methods"), F.col("extra").alias("handler"), "file", "line", F.lit(None).cast("string").alias("viewset_class"), F.lit(False).alias("requires_auth"))
+    verb = F.when(F.col("value").isin("ALL", "ANY", "HANDLE", "HANDLEFUNC"), "ANY").otherwise(F.col("value"))
+    other = r.select(route_path(F.col("file"), F.col("owner"), F.col("name")).alias("path"), F.array(verb).alias("http_methods"), F.col("extra").alias("handler"), "file", "line", none.alias("viewset_class"), F.lit(False).alias("requires_auth"), none.alias("said"))
     fast = rows.filter((F.col("kind") == "decorated") & F.col("value").isin("GET", "POST", "PUT", "PATCH", "DELETE"))
-    fast = fast.select(join_route(F.lit(""), F.col("name")).alias("path"), F.array("value").alias("http_methods"), F.col("owner").alias("handler"), "file", "line", F.lit(None).cast("string").alias("viewset_class"), F.col("extra").rlike("(?i)depends.*(user|auth|token)").alias("requires_auth"))
+    fast = fast.select(F.col("name").alias("path"), F.array("value").alias("http_methods"), F.col("owner").alias("handler"), "file", "line", none.alias("viewset_class"), F.col("extra").rlike("(?i)depends.*(user|auth|token)").alias("requires_auth"), F.substring_index("extra", "|", 1).alias("said"))
     views = rows.filter((F.col("kind") == "class") & F.col("value").rlike("View")).groupBy(F.col("name").alias("view")).agg(F.max(F.struct("file", "extra", "value")).alias("v"))
-    verbs = F.filter(F.array(*[F.when(F.array_contains(F.split("v.extra", ","), k), v) for k, v in {"list": "GET", "retrieve": "GET", "get": "GET", "create": "POST", "post": "POST", "update": "PUT", "put": "PUT", "partial_update": "PATCH", "patch": "PATCH", "destroy": "DELETE", "delete": "DELETE"}.items()]), lambda x: x.isNotNull())
+    actions = {"list": "GET", "create": "POST", "retrieve": "GET", "update": "PUT", "partial_update": "PATCH", "destroy": "DELETE", "get": "GET", "post": "POST", "put": "PUT", "patch": "PATCH", "delete": "DELETE"}
+    verbs = F.array_compact(F.array(*[F.when(F.array_contains(F.split("v.extra", ","), k), v) for k, v in actions.items()]))
     auth = rows.filter((F.col("kind") == "attribute") & (F.col("name") == "permission_classes")).groupBy(F.col("owner").alias("view")).agg(F.bool_or(F.col("value").contains("IsAuthenticated") | F.col("value").contains("IsAdmin")).alias("auth"))
     urls = rows.filter("kind = 'url'").withColumn("view", F.col("value")).join(views, "view", "left").join(auth, "view", "left")
     router = F.col("owner") == "register"
-    default = F.when(router, F.array(*map(F.lit, ("GET", "POST", "PUT", "PATCH", "DELETE")))).otherwise(F.array(F.lit("ANY")))
-    full = F.when(F.col("v.value").contains("ModelViewSet"), default).otherwise(F.array_distinct(F.coalesce(verbs, F.array().cast("array<string>"))))
-    django = urls.select(join_route(F.lit(""), F.col("name")).alias("path"), F.when(F.col("v").isNull() | (F.size(full) == 0), default).otherwise(full).alias("http_methods"), F.col("view").alias("handler"), F.coalesce("v.file", "file").alias("file"), "line", F.col("view").alias("viewset_class"), F.coalesce("auth", F.lit(False)).alias("requires_auth"))
-    return other.unionByName(fast).unionByName(django)
+    five = F.array(*map(F.lit, ("GET", "POST", "PUT", "PATCH", "DELETE")))
+    default = F.when(router, five).otherwise(F.array(F.lit("ANY")))
+    full = F.when(F.col("v.value").contains("ModelViewSet"), five).otherwise(F.array_distinct(F.coalesce(verbs, F.array().cast("array<string>"))))
+    path = F.when(router, F.concat(F.lit("/"), "name", F.lit("/"))).otherwise(F.col("name"))
+    django = urls.select(path.alias("path"), F.when(F.col("v").isNull() | (F.size(full) == 0), default).otherwise(full).alias("http_methods"), F.col("view").alias("handler"), F.coalesce("v.file", "file").alias("file"), "line", F.col("view").alias("viewset_class"), F.coalesce("auth", F.lit(False)).alias("requires_auth"), none.alias("said"))
+    out = other.unionByName(fast).unionByName(django)
+    if names is None:
+        return out.drop("said")
+    said = rows.filter("kind = 'names'").select(F.col("name").alias("viewset_class"), F.explode(F.array_union(F.split("value", ","), F.split("extra", ","))).alias("name"))
+    in_view = said.join(names.select("name").distinct(), "name").groupBy("viewset_class").agg(F.array_sort(F.collect_set("name")).alias("in_view"))
+    annotated = out.filter("said <> ''").select("said").distinct()
+    words = annotated.select("said", F.explode(F.array_distinct(F.split("said", r"\W+"))).alias("name"))
+    in_said = words.join(names.select("name").distinct(), "name").groupBy("said").agg(F.array_sort(F.collect_set("name")).alias("in_said"))
+    out = out.join(in_view, "viewset_class", "left").join(in_said, "said", "left")
+    empty = F.array().cast("array<string>")
+    found = lambda *v: F.when(F.arrays_overlap("http_methods", F.array(*map(F.lit, v))), F.coalesce("in_view", empty)).otherwise(empty)
+    return out.withColumns({"models_read": F.array_union(found("GET", "ANY"), F.coalesce("in_said", empty)), "models_written": found("POST", "PUT", "PATCH", "ANY"), "models_deleted": found("DELETE")}).drop("said", "in_view", "in_said")
 
 
 def security_category(module: Column) -> Column:
@@ -403,13 +446,5 @@ def code_tables(files: DataFrame) -> dict[str, DataFrame]:
     """All structural tables from one extraction that is kept for its readers."""
     rows = extract(files).persist()
     names = models(rows)
-    e = endpoints(rows)
-    from .privacy import named_in
-
-    # the models of a view: those whose name stands in its name
-    linked = named_in(e.filter("viewset_class IS NOT NULL").select("viewset_class").distinct(), "viewset_class", names.select("name"), "name").groupBy("viewset_class").agg(F.array_sort(F.collect_set("name")).alias("found"))
-    e = e.join(linked, "viewset_class", "left")
-    none = F.array().cast("array<string>")
-    has = lambda *v: F.arrays_overlap("http_methods", F.array(*map(F.lit, v)))
-    e = e.withColumns({"models_read": F.when(has("GET", "ANY"), F.coalesce("found", none)).otherwise(none), "models_written": F.when(has("POST", "PUT", "PATCH", "ANY"), F.coalesce("found", none)).otherwise(none), "models_deleted": F.when(has("DELETE"), F.coalesce("found", none)).otherwise(none)}).drop("found")
+    e = endpoints(rows, names)
     return {"files": files, "models": names, "fields": fields(rows), "endpoints": e, "delete_paths": delete_paths(rows), "libraries": libraries(rows, files)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -23,6 +24,25 @@ PACKS = Path(__file__).resolve().parent.parent / "packs"
 DEFAULTS = {"fail_on": "CRITICAL", "warn_on": "HIGH", "enable_llm": False, "ignore": {"paths": list(paths.IGNORED)}}
 
 
+def write(pieces: Iterable[str], path: str | None, after: str = "") -> None:
+    """Pieces as they come, to a file or the terminal."""
+    out = open(path, "w") if path else sys.stdout
+    try:
+        for piece in pieces:
+            out.write(piece + after)
+        out.write("\n")
+    finally:
+        if path:
+            out.close()
+
+
+def result_document(v: DataFrame, s: dict) -> Iterator[str]:
+    yield json.dumps({"summary": s})[:-1] + ', "violations": ['
+    for i, r in enumerate(reports.result_json(v).toLocalIterator()):
+        yield (", " if i else "") + r["violation"]
+    yield "]}"
+
+
 def load_config(path: str | None) -> dict:
     """Defaults with the file's values; an unreadable file leaves the defaults."""
     out = dict(DEFAULTS)
@@ -103,12 +123,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             pack = load_pack(a.pack)
             files = src.read_file(spark, a.file).withColumn("file_path", F.lit(Path(a.file).name))
             v = ops.scan(files, [pack]).filter(F.col("rule_id") == f"{pack.id}/{a.rule}")
-            print(reports.terminal_table(v))
+            write(reports.terminal_table(v), None, "\n")
             return 0
         if a.command == "compliance":
             pii = spark.read.parquet(a.pii) if a.pii else spark.createDataFrame([], "model string, field string, classification string, reason string")
             report = compliance(spark, a.path, pii)
-            print(reports.result_json(report).toPandas().to_json(orient="records") if a.format == "json" else privacy.report_markdown(report))
+            print(reports.result_json(report).toPandas().to_json(orient="records") if a.format == "json" else privacy.report_text(report, a.path) if a.format == "table" else privacy.report_markdown(report))
             return int(report.filter("status = 'NON_COMPLIANT'").count() > 0)
         packs = load_pack_directory(a.packs_dir)
         config = load_config(a.config)
@@ -117,14 +137,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             v = ops.without_known(v, src.read_baseline(spark, a.baseline))
         v = v.persist()
         if a.command == "baseline":
-            Path(a.output or ".baseline.json").write_text(reports.baseline_document(v, datetime.now(UTC).isoformat()))
+            write(reports.baseline_document(v, datetime.now(UTC).isoformat()), a.output or ".baseline.json")
             return 0
         s = summary(v, files, packs, a.fail_on, a.fail_on if a.command == "ci" else a.warn_on)
         if a.command == "ci":
             for r in reports.ci_lines(v, a.fail_on).orderBy("seq").toLocalIterator():
                 print(r["ci"])
-        text_ = {"json": lambda: json.dumps({"summary": s, "violations": [json.loads(r["violation"]) for r in reports.result_json(v).collect()]}), "sarif": lambda: reports.sarif_document(v, "spanwarden", "1", "scan"), "table": lambda: reports.terminal_table(v)}[a.format]()
-        Path(a.output).write_text(text_) if a.output else print(text_)
+        pieces = {"json": lambda: result_document(v, s), "sarif": lambda: reports.sarif_document(v, "spanwarden", "1", "scan"), "table": lambda: reports.terminal_table(v)}[a.format]()
+        write(pieces, a.output, "\n" if a.format == "table" else "")
         return int(s["overall_status"] == "failed")
     except RuleLoadError as e:
         print(e, file=sys.stderr)

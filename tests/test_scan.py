@@ -77,14 +77,14 @@ def test_pack_errors_speak(tmp_path, body, part):
 def test_baseline_gate_and_renderings(spark, tmp_path):
     v = scan.scan(frame(spark, DIRTY), PACKS).persist()
     assert scan.without_known(v, scan.baseline_of(v)).count() == 0
-    (tmp_path / "b.json").write_text(reports.baseline_document(v, "now"))
+    (tmp_path / "b.json").write_text("".join(reports.baseline_document(v, "now")))
     assert scan.without_known(v, src.read_baseline(spark, str(tmp_path / "b.json"))).count() == 0
     (tmp_path / "bad.json").write_text("{")
     assert src.read_baseline(spark, str(tmp_path / "bad.json")).count() == 0
     assert src.read_baseline(spark, str(tmp_path / "none.json")).count() == 0
     assert scan.gate(v).first()["status"] == "failed"
     assert scan.gate(v.filter("false")).first()["status"] == "passed"
-    doc = json.loads(reports.sarif_document(v, "t", "1", "r"))
+    doc = json.loads("".join(reports.sarif_document(v, "t", "1", "r")))
     run = doc["runs"][0]
     assert len(run["results"]) == v.count() and all(run["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] for r in run["results"])
     many = v.crossJoin(spark.range(20)).withColumn("seq", F.struct("seq.*", "id")) if v.count() >= 6 else v
