@@ -718,7 +718,15 @@ def severity_ranks(spark, sf_dir):
     return _violations(spark, sf_dir).select("rule_id", "file_path", "line_start", severity_rank(F.col("severity")).alias("rank"))
 
 
-@query()
+def _sarif_sql(fixes: str) -> str:
+    region = "{'startLine': line_start, 'endLine': line_start, 'startColumn': col_start, 'endColumn': col_end, 'snippet': {'text': snippet}}"
+    place = "{'physicalLocation': {'artifactLocation': {'uri': replace(file_path, chr(92), '/'), 'uriBaseId': '%SRCROOT%'}, 'region': " + region + "}}"
+    level = _case("severity", {_quoted(k): v for k, v in reports.SARIF_LEVEL.items()})
+    return "CAST(to_json({'ruleId': rule_id, 'ruleIndex': rule_index, 'level': " + level + ", 'message': {'text': message}, 'locations': [" + place + "]" + fixes + "}) AS VARCHAR)"
+
+
+@query(f"""{_V}, i AS (SELECT rule_id, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS rule_index FROM (SELECT rule_id, min((file_path, rule_seq, line_start)) AS first FROM v GROUP BY 1))
+SELECT CASE WHEN fix_hint IS NULL THEN {_sarif_sql("")} ELSE {_sarif_sql(", 'fixes': [{'description': {'text': fix_hint}}]")} END AS result FROM v JOIN i USING (rule_id)""")
 def sarif_results(spark, sf_dir):
     return reports.sarif_results(_violations(spark, sf_dir)).select("result")
 
