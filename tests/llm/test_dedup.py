@@ -125,3 +125,23 @@ def test_rows_without_or_with_one_id(spark):
     odd = spark.createDataFrame([(None, t), (None, t), (1, t), (1, t), (2, t)], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substring_dedup.dedup_words(odd).collect()) == [("1", 0), ("1", 0), ("2", 60), ("None", 0), ("None", 0)]
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in byte_dedup.dedup_bytes(odd).collect()) == [("1", 0), ("1", 0), ("2", len(t)), ("None", 0), ("None", 0)]
+
+
+def test_texts_longer_than_a_slice(spark):
+    import random
+
+    from spanwarden.llm.common import GROUP_BYTES
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(r.choice(words) for _ in range(220_000))
+    assert len(long) > GROUP_BYTES
+    rows = [(1, long), (2, long[:400_000] + " new " + long[600_000:700_000]), (3, long), (4, "short " * 30), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.dedup_words(df).collect()}
+    assert got == word_truth(rows, 13)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], len(x["removed"]), x["kept_sha256"]) for x in byte_dedup.dedup_bytes(df).collect()}
+    assert got == byte_truth(rows, 100)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_classes(df).collect()}
+    assert got == classes(rows)
+    assert {x["doc_id"]: x["keep_id"] for x in exact_dedup.exact_dedup(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

@@ -57,6 +57,28 @@ def test_mix(spark, docs, rows, empty):
     assert sum(r["taken"] for r in mixing.mix(both).collect()) == pytest.approx(sum(size.values()), rel=0.2)
 
 
+def test_selection_is_that_of_one_pass_in_hash_order(spark, small):
+    docs = read(spark, small, "documents").select("doc_id", "text", "source")
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    order = docs.select("doc_id", "source", F.xxhash64(F.lit(1), F.col("doc_id")).alias("h"), F.xxhash64(F.lit(~1), F.col("doc_id")).alias("k")).collect()
+    for source in {r["source"] for r in order}:
+        mine = sorted((r["h"], r["k"], got[r["doc_id"]]["size"], r["doc_id"]) for r in order if r["source"] == source)
+        total, target = sum(x[2] for x in mine), round(got[mine[0][3]]["target"])
+        rounds, left = divmod(target, total) if total else (0, 0)
+        if rounds == 3:
+            left = 0
+        most, seen, stretch, taken = left, 0, 0, set()
+        for _, _, size, doc in mine:
+            if not size or size > most or stretch == mixing.STRETCHES:
+                continue
+            if seen + size > most:
+                most, seen, stretch = most - seen, 0, stretch + 1
+                continue
+            seen += size
+            taken.add(doc)
+        assert {d: got[d]["copies"] for _, _, _, d in mine} == {d: (rounds + (d in taken)) * (size > 0) for _, _, size, d in mine}
+
+
 def test_feistel():
     for n in (1, 2, 3, 1000, 4096):
         assert sorted(token_output.Feistel(n, 7).slots(np.arange(n)).tolist()) == list(range(n))
