@@ -19,6 +19,8 @@ from ..scratch import stored
 SARIF_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
 ANNOTATION_LEVEL = {"CRITICAL": "failure", "HIGH": "failure", "MEDIUM": "warning", "LOW": "warning", "INFO": "notice"}
 CONCLUSION = {"passed": "success", "warned": "neutral", "failed": "failure"}
+SEVERITY_MARK = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🔵", "INFO": "⚪"}
+STATUS_MARK = {"passed": "✅", "warned": "⚠️", "failed": "❌"}
 BATCH, REVIEW_TOP, COMMENT_TOP, DETAILS, SUMMARY_CHARS = 50, 40, 30, 10, 65_000
 
 
@@ -82,6 +84,7 @@ def annotations(v: DataFrame) -> DataFrame:
     return with_place(v, "place").select(
         "place", F.floor(F.col("place") / BATCH).cast("int").alias("batch"), F.replace(F.col("file_path"), F.lit("\\"), F.lit("/")).alias("path"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"),
         lookup(ANNOTATION_LEVEL, F.col("severity")).alias("annotation_level"), F.concat(F.lit("["), "severity", F.lit("] "), "rule_name").alias("title"), "message",
+        F.concat(F.lit("Fix: "), F.nullif("fix_hint", F.lit(""))).alias("raw_details"),
     )
 
 
@@ -90,26 +93,56 @@ def annotation_batches(v: DataFrame) -> DataFrame:
     return a.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(*a.columns))).alias("annotations"))
 
 
-def check_run(v: DataFrame, status: str, summary: str, head_sha: str, name: str = "scan") -> dict:
-    first = [r.asDict() for r in annotations(v).filter(F.col("place") < BATCH).orderBy("place").drop("place", "batch").collect()]
-    return {"name": name, "head_sha": head_sha, "status": "completed", "conclusion": CONCLUSION[status], "output": {"title": name, "summary": summary[:SUMMARY_CHARS], "annotations": first}}
+def summary_text(summary: dict, duration_ms: int = 0) -> str:
+    """The counts of a scan as tables; what is over the receiver's limit is cut off, with a note."""
+    tables = [("Severity Breakdown", "Severity", "Count", summary["by_severity"]), ("By Pack", "Pack", "Violations", summary["by_pack"])]
+    out = [f"## Scan: {summary['overall_status'].upper()}", "", f"**Files scanned:** {summary['total_files_scanned']}", f"**Total violations:** {summary['total_violations']}", f"**Duration:** {duration_ms}ms"]
+    for title, key, value, counts in tables:
+        if title == "Severity Breakdown" or counts:
+            out += ["", f"### {title}", "", f"| {key} | {value} |", "|---|---|", *(f"| {k} | {n} |" for k, n in counts.items() if n or title == "By Pack")]
+    said = "\n".join(out)
+    return said if len(said) <= SUMMARY_CHARS else said[:SUMMARY_CHARS] + "\n\n... (truncated)"
 
 
-def review_comments(v: DataFrame, threshold: float = 0.5, top: int = REVIEW_TOP) -> DataFrame:
+def check_run_start(head_sha: str, started_at: str, name: str = "scan") -> dict:
+    return {"name": name, "head_sha": head_sha, "status": "in_progress", "started_at": started_at}
+
+
+def check_run(v: DataFrame, summary: dict, completed_at: str, duration_ms: int = 0, name: str = "scan") -> dict:
+    """What completes a check run: the first batch of annotations and the summary; ``annotation_batches`` has the others."""
+    first = [{k: x for k, x in r.asDict().items() if x is not None} for r in annotations(v).filter(F.col("place") < BATCH).orderBy("place").drop("place", "batch").collect()]
+    output = {"title": f"{name}: {summary['total_violations']} violation(s) found", "summary": summary_text(summary, duration_ms), "annotations": first}
+    return {"status": "completed", "conclusion": CONCLUSION.get(summary["overall_status"], "neutral"), "completed_at": completed_at, "output": output}
+
+
+def inline_comment(v: DataFrame) -> Column:
+    """The body of a violation's comment in a review."""
+    links = F.array_join(F.transform(F.slice("references", 1, 3), lambda r: F.concat(F.lit("[ref]("), r, F.lit(")"))), " · ")
+    head = F.concat(lookup(SEVERITY_MARK, F.col("severity")), F.lit(" **"), "severity", F.lit("**"), F.when(F.col("in_test_file"), " `TEST`").otherwise(""), F.lit(": "), "rule_name")
+    hint = F.when(F.coalesce("fix_hint", F.lit("")) != "", F.concat(F.lit("\n\n💡 **Fix:** "), "fix_hint")).otherwise("")
+    more = F.when(F.size("references") > 0, F.concat(F.lit("\n\n📚 "), links)).otherwise("")
+    foot = F.concat(F.lit("\n\n<sub>Rule: `"), "rule_id", F.lit("` · Confidence: "), text.percent(F.col("confidence")), F.lit("</sub>"))
+    return F.concat(head, F.lit("\n\n"), "message", hint, more, foot)
+
+
+def review_comments(v: DataFrame, threshold: float = 0.5, top: int = REVIEW_TOP, body: bool = False) -> DataFrame:
     """The comments that a review shows: the most severe confident violations."""
     rank = severity_rank(F.col("severity"))
-    return v.filter(F.col("confidence") >= threshold).orderBy(rank, "file_path", "line_start", *[c for c in ("rule_id",) if c in v.columns]).limit(top).select("file_path", "line_start", "severity", "rule_id", "message", "fix_hint")
+    return v.filter(F.col("confidence") >= threshold).orderBy(rank, "file_path", "line_start", *[c for c in ("rule_id",) if c in v.columns]).limit(top).select("file_path", "line_start", "severity", "rule_id", "message", "fix_hint", *([inline_comment(v).alias("body")] if body else []))
 
 
 def review_payload(v: DataFrame, commit: str, threshold: float = 0.5, top: int = REVIEW_TOP) -> dict | None:
-    rows = review_comments(v, threshold, top).collect()
+    rows = review_comments(v, threshold, top, body=True).collect()
     if not rows:
         return None
-    serious = any(r["severity"] in SEVERITIES[:2] for r in rows)
-    counts = {r["severity"]: r["n"] for r in v.filter(F.col("confidence") >= threshold).groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tests = v.filter("in_test_file").count()
-    body = "; ".join(f"{counts[s]} {s}" for s in SEVERITIES if s in counts) + (f"; {sum(counts.values()) - len(rows)} more not shown" if sum(counts.values()) > len(rows) else "") + (f"; {tests} in test files" if tests else "")
-    return {"commit_id": commit, "event": "REQUEST_CHANGES" if serious else "COMMENT", "body": body, "comments": [{"path": r["file_path"], "line": r["line_start"], "body": f"**{r['severity']}** {r['message']}" + (f"\n\nFix: {r['fix_hint']}" if r["fix_hint"] else "")} for r in rows]}
+    sure = v.filter(F.col("confidence") >= threshold)
+    counts = {r["severity"]: r["n"] for r in sure.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, tests = sum(counts.values()), sure.filter("in_test_file").count()
+    said = ["## Review", "", f"Found **{total}** violation(s) above confidence threshold:", *(f"- {SEVERITY_MARK[s]} **{s}**: {counts[s]}" for s in SEVERITIES if s in counts)]
+    said += ["", f"*{total - len(rows)} additional violation(s) omitted; the check run has all.*"] if total > len(rows) else []
+    said += ["", f"{tests} of these are in test files (marked with `TEST`)."] if tests else []
+    event = "REQUEST_CHANGES" if any(r["severity"] in SEVERITIES[:2] for r in rows) else "COMMENT"
+    return {"commit_id": commit, "event": event, "body": "\n".join(said), "comments": [{"path": r["file_path"].replace("\\", "/"), "line": r["line_start"], "body": r["body"]} for r in rows]}
 
 
 def comment_rows(v: DataFrame, budget: int = COMMENT_TOP) -> DataFrame:
@@ -128,12 +161,12 @@ def comment_rows(v: DataFrame, budget: int = COMMENT_TOP) -> DataFrame:
 
 def comment(v: DataFrame, status: str) -> str:
     counts = {r["section"]: r["n"] for r in v.groupBy(F.when(F.col("confidence") < 0.5, "low").when(F.col("in_test_file"), "test").otherwise("production").alias("section")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    lines, last = [f"## Scan {status}", f"{sum(counts.values())} findings"], None
+    lines, last = [f"## {STATUS_MARK.get(status, '')} Scan {status}", f"{sum(counts.values())} findings"], None
     for r in comment_rows(v).orderBy("section", "place").collect():
         if r["section"] != last:
             last = r["section"]
             lines += ["", f"### {last} ({counts[last]})"]
-        lines.append(f"- **{r['severity']}** `{r['file_path']}:{r['line_start']}` {r['message']}")
+        lines.append(f"- {SEVERITY_MARK[r['severity']]} **{r['severity']}** `{r['file_path']}:{r['line_start']}` {r['message']}")
         if r["detailed"]:
             lines += [f"  > `{r['snippet']}`", *([f"  > {r['fix_hint']}"] if r["fix_hint"] else [])]
     return "\n".join(lines)
