@@ -7,7 +7,7 @@ import hmac
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PULL_REQUEST_EVENT
@@ -15,6 +15,12 @@ from ..schemas import PULL_REQUEST_EVENT
 MAX_BODY = 10 * 1024 * 1024
 
 
+def deliveries(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
+    """value, ts: deliveries that a receiver drops as files (one JSON body each) in a folder, as a stream; ``ts`` is the file's time."""
+    raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_a_batch).load(folder)
+    return raw.select("value", F.col("_metadata.file_modification_time").alias("ts"))
+
+
 def parse(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.withColumn("event", F.from_json(F.col(column).cast("string"), PULL_REQUEST_EVENT))
 

@@ -153,3 +153,14 @@ def test_report_text(spark):
     rows = spark.createDataFrame([("§9", "Children", "PARTIAL", ["e"], [], ["do"], 1)], "section string, title string, status string, evidence array<string>, blockers array<string>, remediation array<string>, llm_calls_made int")
     said = privacy.report_text(rows, "/repo", "0123456789abcdef")
     assert "[WARN] §9 Children" in said and "  Commit:     0123456789ab\n" in said and "    - e" in said and "Blockers" not in said and said.endswith("=" * 72)
+
+
+def test_deliveries_from_a_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, sha in enumerate("aab"):
+        body = {"action": "opened", "pull_request": {"number": 1, "state": "open", "draft": False, "head": {"sha": sha}}, "repository": {"full_name": "o/r"}, "installation": {"id": 1}}
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(body, indent=1))
+    seen = []
+    q = events.run(events.to_scan(events.deliveries(spark, str(tmp_path / "in"))), lambda df, n: seen.extend(r["sha"] for r in df.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert sorted(seen) == ["a", "b"]
