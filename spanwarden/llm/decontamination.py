@@ -18,8 +18,8 @@ the eight windows around it). Windows with fewer literal words match by their ve
 Null texts match nothing; rows without an id are not checked; rows that repeat an id count as one document; extra
 columns are ignored; empty tables give no matches.
 
-Item windows are broadcast only while their counted number is at most ``BROADCAST_WINDOWS``; beyond it Spark shuffles
-both sides. Documents that lack too many of an item's longest runs of three or two words to
+Item windows, and the ids of candidates, are broadcast only while their counted number is at most ``BROADCAST_WINDOWS``; beyond it Spark
+shuffles both sides. Documents that lack too many of an item's longest runs of three or two words to
 reach ``min_share`` or ``min_run`` are left out first (an exact bound, see ``_candidates``); windows of the others are probed in the
 map stage, and only hits move on.
 """
@@ -186,7 +186,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     texts = all_texts
     some = _candidates(texts, at, min_share, min_run)
     if some is not None:
-        texts = materialize(texts.join(some, "doc_id", "left_semi").repartition(parts(docs.sparkSession)), "candidates")
+        some = materialize(some, "candidate-ids")
+        few = F.broadcast(some) if some.count() <= BROADCAST_WINDOWS else some
+        texts = materialize(texts.join(few, "doc_id", "left_semi").repartition(parts(docs.sparkSession)), "candidates")
     whole = texts.select("doc_id", canonical_words(F.col("text")).alias("words"), canonical_words(F.col("text"), names=False).alias("plain"), raw_words(F.col("text")).alias("raw"))
     hits = None
     for length, column in sorted(sizes) or [(window, "words")]:
