@@ -105,3 +105,29 @@ def test_templates(spark, empty):
     assert {(r["doc_id"], r["item_id"], r["slot_agreement"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (5, 3, 1.0), (6, 3, 1.0)}
     assert decontamination.matches(empty, item).count() == 0
     assert decontamination.matches(spark.createDataFrame(said, "doc_id long, text string"), item.filter("false")).count() == 0
+
+
+def test_pages_with_clashing_columns_and_a_very_long_page(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i} says a few words.</p>" for i in range(40_000)) + "</article>"
+    rows = [(1, "u", long, "x", 5), (1, "u", "<p>y", "x", None), (None, None, "<p>z", None, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r["n_chars"], r["text"][:11]) for r in html_extract.extract(df).collect())
+    assert got == [(1, "y"), (1, "z"), (sum(len(f"Paragraph {i} says a few words.") + 2 for i in range(40_000)) - 2, "Paragraph 0")]
+
+
+def test_contaminated_documents_with_clashing_columns(spark):
+    text = "Alice Smith bought 5 kg of apples and gave 12 apples to Bob before she counted all the rest again in the evening."
+    rows = [(1, text, 7, "k", ["w"]), (2, "nothing of the kind", 8, None, None), (1, text, 9, "k", None), (None, text, 1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id long, key string, words array<string>")
+    items = spark.createDataFrame([(3, text, "x"), (4, text, "y")], "item_id long, text string, doc_id string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.matches(df, items).collect()} == {(1, 3), (1, 4)}
+    kept = decontamination.clean(df, items)
+    assert kept.columns == df.columns and sorted(str(r["item_id"]) for r in kept.collect()) == ["1", "8"]
+
+
+def test_languages_tie_by_name(spark):
+    rows = [(i, f"same words here {i % 4}", "b" if i % 2 else "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionary = {"b": b"same words here", "a": b"same words here"}
+    assert {r["lang_pred"] for r in language_id.classify(df, dictionary).collect()} == {"a"}
+    assert {r["margin"] for r in language_id.classify(df, dictionary).collect()} == {0.0}
