@@ -61,16 +61,21 @@ def materialize_by(df: DataFrame, name: str, column: str, values: tuple[int, ...
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: its cleaner follows the collectors of Python and the JVM."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more, and let Spark drop the shuffle files of finished steps."""
+    """Delete tables of ``materialize`` that nothing reads any more, and tidy up."""
     for df in tables:
         context = df.sparkSession.sparkContext
         if path := getattr(df, "_scratch", None):
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector
+        tidy(tables[0].sparkSession)
 
 
 def parts(spark: SparkSession) -> int:
