@@ -7,12 +7,13 @@ key. A range partition by slot then lays slots into shards of ``shard_slots`` re
 record of slot s starts at byte ``(s % shard_slots) * stride`` of shard ``s // shard_slots``, so a reader resumes
 anywhere with one seek.
 
-Numbering is distributed: documents are dealt by ranges of the ids that hold about equally many, whatever the ids are, and encoded in the order
-of their range, counting as they go; the ids are written once, compressed, to the shared folder, with the number of the range and
-the count within it. The running total of ranges has one row a partition, so no document has to be found again. The tokenizer's file is
-read by the driver and sent to the executors by Spark.
+Numbering is distributed: the documents' counts (no texts) are dealt by ranges of the ids that hold about equally many, whatever the ids are,
+and stored with the number of their range; the running total of ranges has one row a partition, and a window runs within one
+range only. The place of each document, two numbers, then meets its ids: broadcast while there are at most ``BROADCAST_DOCS`` documents, by a
+shuffle join beyond. The ids are written once, compressed, to the shared folder. The tokenizer's file is read by the driver and sent to the executors
+by Spark.
 
-Null and empty texts give one sequence of end tokens. Rows that repeat an id get sequences of their own (numbered by the hash of the
+Null and empty texts give one sequence of end tokens. Rows that repeat an id get sequences of their own (numbered by
 text among themselves); null ids come first. An empty table gives no rows.
 """
 
@@ -32,13 +33,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, modest_batches, parts, scratch_root, tidy
+from .common import materialize, modest_batches, parts, scratch_root
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN = 512
 SHARD_SLOTS = 4096
 CACHE_ENTRIES = 500_000
+BROADCAST_DOCS = 2_000_000
 UNEVEN = re.compile(r" \s|\s ")
 
 
@@ -116,9 +118,9 @@ class Feistel:
 
 
 def _encode(docs: DataFrame, path: str, seq_len: int) -> DataFrame:
-    """doc_id, range, first (sequences before it in its task), n_seqs, packed (the ids with the end token, compressed)."""
-    cols = docs.select("doc_id", "range", "text")
-    schema = cols.selectExpr("doc_id", "range", "0L AS first", "0L AS n_seqs", "X'' AS packed").schema
+    """doc_id, h (of the text), n_seqs, packed (the ids with the end token, compressed)."""
+    cols = docs.select("doc_id", "h", "text")
+    schema = cols.selectExpr("doc_id", "h", "0L AS n_seqs", "X'' AS packed").schema
     docs.sparkSession.sparkContext.addFile(path)
     name = os.path.basename(path)
 
@@ -128,14 +130,11 @@ def _encode(docs: DataFrame, path: str, seq_len: int) -> DataFrame:
         enc = encoder(SparkFiles.get(name))
         end = array("H", [enc.end]).tobytes()
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-        before = 0
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids = [enc.encode(t or "") + end for t in part.column(2).to_pylist()]
-                n = np.array([-(-len(x) // (2 * seq_len)) for x in ids], dtype=np.int64)
-                first = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(first), pa.array(n), pa.array([pack(x) for x in ids], pa.binary())], names=schema.names)
+                n = [-(-len(x) // (2 * seq_len)) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], names=schema.names)
 
     return cols.mapInArrow(run, schema)
 
@@ -148,15 +147,20 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = ("doc_id", "h")  # rows that tie are the same
-    dealt = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    coded = materialize(_encode(dealt.withColumn("range", F.spark_partition_id()), tokenizer, seq_len), "token-ids")
-    tidy(spark)
-    totals = coded.groupBy("range").agg(F.sum("n_seqs").alias("n"))
-    total = totals.agg(F.sum("n")).first()[0]
+    coded = _encode(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), tokenizer, seq_len)
+    coded = materialize(coded.withColumn("uid", F.monotonically_increasing_id()), "token-ids")  # written once, so uid and ids stay as they are
+    counts = coded.select("uid", "doc_id", "h", "n_seqs")
+    order = ("doc_id", "h", "uid")
+    counts = materialize(counts.repartitionByRange(parts(spark), *order).withColumn("range", F.spark_partition_id()), "token-counts")
+    total = counts.agg(F.sum("n_seqs")).first()[0]
     running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("range", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))  # one row a partition
-    joined = coded.join(F.broadcast(starts), "range").select("doc_id", (F.col("start") + F.col("first")).alias("first"), "packed")
+    starts = counts.groupBy("range").agg(F.sum("n_seqs").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0))).select("range", "start")
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.join(F.broadcast(starts), "range")  # one row a partition
+    numbered = numbered.select("uid", (F.col("start") + F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).alias("first"))
+    numbered = materialize(numbered, "token-places")  # two numbers a document
+    few = F.broadcast(numbered) if numbered.count() <= BROADCAST_DOCS else numbered
+    joined = coded.select("uid", "doc_id", "packed").join(few, "uid").select("doc_id", "first", "packed")
     n, stride = int(total or 0), 2 * seq_len
 
     def cut(batches):
