@@ -82,27 +82,28 @@ def observed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _half_keys(words: DataFrame) -> DataFrame:
-    """Four rows a word: block (the shorter length), p and s (letters shared at both ends), before, key, word, n."""
+    """Four rows a word: block (the shorter length), path (of cuts), p and s (letters shared at both ends), before, key, word, n."""
     size = F.length("word")
     rows = words.select("word", "n", F.explode(F.array(size, size - 1)).alias("block"))
     rows = rows.select("word", "n", "block", F.floor(F.col("block") / 2).cast("int").alias("half"))
     return _keyed(rows.select("word", "n", "block", F.explode(F.array(
-        F.struct(F.col("half").alias("p"), F.lit(0).alias("s"), F.lit(ALWAYS).alias("before")),
-        F.struct(F.lit(0).alias("p"), F.col("half").alias("s"), F.col("half").alias("before")),
+        F.struct(F.lit("l").alias("path"), F.col("half").alias("p"), F.lit(0).alias("s"), F.lit(ALWAYS).alias("before")),
+        F.struct(F.lit("r").alias("path"), F.lit(0).alias("p"), F.col("half").alias("s"), F.col("half").alias("before")),
     )).alias("c")).select("word", "n", "block", "c.*"))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """The group of a row. ``before``: only pairs that first differ before this letter count here."""
+    """The group of a row: the cuts that led to it (two ways may share the same ends) and its ends. ``before``: only pairs that first differ
+    before this letter count here."""
     ends = F.concat(F.col("word").substr(F.lit(1), F.col("p")), F.lit("|"), F.col("word").substr(F.length("word") - F.col("s") + 1, F.col("s")))
-    return rows.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), F.col("p").cast("string"), ends))
+    return rows.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "path", ends))
 
 
 def _cut_again(rows: DataFrame) -> DataFrame:
     """Each row twice, sharing half of what is left between its ends at the left or at the right."""
     more = F.floor((F.col("block") - F.col("p") - F.col("s")) / 2).cast("int")
-    left = F.struct((F.col("p") + more).alias("p"), F.col("s").alias("s"), F.col("before").alias("before"))
-    right = F.struct(F.col("p").alias("p"), (F.col("s") + more).alias("s"), F.least(F.col("before"), F.col("p") + more).alias("before"))
+    left = F.struct(F.concat("path", F.lit("l")).alias("path"), (F.col("p") + more).alias("p"), F.col("s").alias("s"), F.col("before").alias("before"))
+    right = F.struct(F.concat("path", F.lit("r")).alias("path"), F.col("p").alias("p"), (F.col("s") + more).alias("s"), F.least(F.col("before"), F.col("p") + more).alias("before"))
     return _keyed(rows.select("word", "n", "block", F.explode(F.array(left, right)).alias("c")).select("word", "n", "block", "c.*"))
 
 

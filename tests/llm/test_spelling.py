@@ -61,7 +61,8 @@ def made(seed=1, n=80):
         return w
 
     rows = [(i, r.choice([" ", ", ", "1"]).join(spelt(stems[min(r.randrange(16), r.randrange(16))]) for _ in range(r.randint(0, 150)))) for i in range(n)]
-    return [*rows, (900, None), (901, ""), (None, "Concentration concentratiom " * 3), (902, "a" * 3000 + " " + "a" * 3001 + " " + "a" * 3000 + " " + "a" * 3001), (902, "concentration"), (903, "漢字 _x9 " * 4)]
+    chain = "chained " * 2 + "chainedb " * 25 + "chainedbd " * 300
+    return [*rows, (950, chain), (900, None), (901, ""), (None, "Concentration concentratiom " * 3), (902, "a" * 3000 + " " + "a" * 3001 + " " + "a" * 3000 + " " + "a" * 3001), (902, "concentration"), (903, "漢字 _x9 " * 4)]
 
 
 def result(df):
