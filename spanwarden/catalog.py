@@ -6,6 +6,7 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
@@ -731,9 +732,16 @@ def sarif_results(spark, sf_dir):
     return reports.sarif_results(_violations(spark, sf_dir)).select("result")
 
 
+def _more() -> None:
+    """The queries of other modules, which use this one's helpers."""
+    importlib.import_module("spanwarden.catalog_rules")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)

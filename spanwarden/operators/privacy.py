@@ -228,13 +228,21 @@ def localisation(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     return section(stats, "§11", "Data localisation", status, F.concat(F.transform("said", lambda x: F.concat(F.lit("region: "), x)), F.transform("calls", lambda x: F.concat(F.lit("calls another service: "), x))), F.when(F.col("foreign") > 0, F.array(F.lit("A region abroad is configured."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("State where personal data is stored.")))
 
 
-def named_in(rows: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
-    """Rows joined with every name that stands somewhere in their ``column``, whatever the case: all substrings of the (short) column
-    are joined by hash with the names, so neither side is broadcast nor met pair by pair."""
-    low = F.lower(F.col(column))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - i + 1, F.lit(1))), lambda n: F.substring(low, i, n))))
-    return rows.withColumn("__part", F.explode(F.array_distinct(parts))).join(names.withColumn("__part", F.lower(F.col(name))), "__part").drop("__part")
+def named_in(rows: DataFrame, column: str, names: DataFrame, name: str, gram: int = 3) -> DataFrame:
+    """Rows joined with every name that stands somewhere in their ``column``, whatever the case.
+
+    A name is filed under the rarest of its runs of ``gram`` letters (by how many names have it); a row asks for each of its own runs once, so it
+    emits as many rows as it has letters, and what shares the run is compared. Names shorter than a run are filed under themselves and asked for by their
+    length. Neither side is broadcast.
+    """
+    low, key = F.lower(F.col(column)), F.lower(F.col(name))
+    runs = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+    filed = names.withColumn("__key", key).filter(F.col("__key") != "")
+    grams = filed.select("__key").distinct().select("__key", F.explode(F.when(F.length("__key") < gram, F.array("__key")).otherwise(runs(F.col("__key"), gram))).alias("__gram"))
+    often = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = grams.join(often, "__gram").groupBy("__key").agg(F.min(F.struct("__n", "__gram")).alias("m")).select("__key", "m.__gram")
+    asked = rows.withColumn("__low", low).withColumn("__gram", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("__low"), n) for n in range(1, gram + 1)])))))
+    return asked.join(filed.join(rarest, "__key"), "__gram").filter(F.col("__low").contains(F.col("__key"))).drop("__gram", "__low", "__key")
 
 
 def touching(endpoints: DataFrame, personal: DataFrame, column: str) -> DataFrame:

@@ -65,15 +65,21 @@ def sarif_results(v: DataFrame) -> DataFrame:
     return v.join(F.broadcast(rule_index(v)), "rule_id").select(*_order(v), F.to_json(body).alias("result"))
 
 
-def sarif_document(v: DataFrame, tool: str, version: str, run_id: str) -> Iterator[str]:
-    """The document in pieces, rules first and then a partition of results at a time."""
+def sarif_frame(v: DataFrame, tool: str, version: str, run_id: str) -> tuple[str, str]:
+    """What stands before and after the results; it has a row a rule."""
     rules = v.join(F.broadcast(rule_index(v)), "rule_id").groupBy("rule_index", "rule_id").agg(F.first("rule_name").alias("name"), F.first("severity").alias("severity"), F.first("fix_hint").alias("hint"), F.first(F.get("references", F.lit(0))).alias("link")).orderBy("rule_index")
     described = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["name"]}, "defaultConfiguration": {"level": SARIF_LEVEL[r["severity"]]}} | ({"help": {"text": r["hint"]}} if r["hint"] else {}) | ({"helpUri": r["link"]} if r["link"] else {}) for r in rules.collect()]
     run = {"tool": {"driver": {"name": tool, "version": version, "rules": described}}, "automationDetails": {"id": run_id}}
-    yield '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [' + json.dumps(run)[:-1] + ', "results": ['
+    return '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [' + json.dumps(run)[:-1] + ', "results": [', "]}]}"
+
+
+def sarif_document(v: DataFrame, tool: str, version: str, run_id: str) -> Iterator[str]:
+    """The document in pieces, rules first and then a partition of results at a time."""
+    before, after = sarif_frame(v, tool, version, run_id)
+    yield before
     for i, r in enumerate(sarif_results(v).orderBy(*_order(v)).toLocalIterator()):
         yield (", " if i else "") + r["result"]
-    yield "]}]}"
+    yield after
 
 
 def sarif_transport(document: str) -> str:
@@ -94,14 +100,14 @@ def annotation_batches(v: DataFrame) -> DataFrame:
 
 
 def summary_text(summary: dict, duration_ms: int = 0) -> str:
-    """The counts of a scan as tables; what is over the receiver's limit is cut off, with a note."""
-    tables = [("Severity Breakdown", "Severity", "Count", summary["by_severity"]), ("By Pack", "Pack", "Violations", summary["by_pack"])]
-    out = [f"## Scan: {summary['overall_status'].upper()}", "", f"**Files scanned:** {summary['total_files_scanned']}", f"**Total violations:** {summary['total_violations']}", f"**Duration:** {duration_ms}ms"]
-    for title, key, value, counts in tables:
-        if title == "Severity Breakdown" or counts:
-            out += ["", f"### {title}", "", f"| {key} | {value} |", "|---|---|", *(f"| {k} | {n} |" for k, n in counts.items() if n or title == "By Pack")]
+    """A scan in words and one list; what is over the receiver's limit is cut off, with a note."""
+    found = {s.lower(): n for s, n in summary["by_severity"].items() if n}
+    kinds = ", ".join(f"{n} {s}" for s, n in found.items()) or "none"
+    out = [f"The scan {summary['overall_status']}. It read {summary['total_files_scanned']} files in {duration_ms / 1000:.1f} s and has {summary['total_violations']} findings: {kinds}."]
+    out += [f"* `{pack}` has {n}" for pack, n in summary["by_pack"].items()]
     said = "\n".join(out)
-    return said if len(said) <= SUMMARY_CHARS else said[:SUMMARY_CHARS] + "\n\n... (truncated)"
+    note = "\n(more than can be shown)"
+    return said if len(said) <= SUMMARY_CHARS else said[: SUMMARY_CHARS - len(note)] + note
 
 
 def check_run_start(head_sha: str, started_at: str, name: str = "scan") -> dict:
@@ -111,18 +117,17 @@ def check_run_start(head_sha: str, started_at: str, name: str = "scan") -> dict:
 def check_run(v: DataFrame, summary: dict, completed_at: str, duration_ms: int = 0, name: str = "scan") -> dict:
     """What completes a check run: the first batch of annotations and the summary; ``annotation_batches`` has the others."""
     first = [{k: x for k, x in r.asDict().items() if x is not None} for r in annotations(v).filter(F.col("place") < BATCH).orderBy("place").drop("place", "batch").collect()]
-    output = {"title": f"{name}: {summary['total_violations']} violation(s) found", "summary": summary_text(summary, duration_ms), "annotations": first}
+    output = {"title": f"{name} {summary['overall_status']}, {summary['total_violations']} findings", "summary": summary_text(summary, duration_ms), "annotations": first}
     return {"status": "completed", "conclusion": CONCLUSION.get(summary["overall_status"], "neutral"), "completed_at": completed_at, "output": output}
 
 
 def inline_comment(v: DataFrame) -> Column:
-    """The body of a violation's comment in a review."""
-    links = F.array_join(F.transform(F.slice("references", 1, 3), lambda r: F.concat(F.lit("[ref]("), r, F.lit(")"))), " · ")
-    head = F.concat(lookup(SEVERITY_MARK, F.col("severity")), F.lit(" **"), "severity", F.lit("**"), F.when(F.col("in_test_file"), " `TEST`").otherwise(""), F.lit(": "), "rule_name")
-    hint = F.when(F.coalesce("fix_hint", F.lit("")) != "", F.concat(F.lit("\n\n💡 **Fix:** "), "fix_hint")).otherwise("")
-    more = F.when(F.size("references") > 0, F.concat(F.lit("\n\n📚 "), links)).otherwise("")
-    foot = F.concat(F.lit("\n\n<sub>Rule: `"), "rule_id", F.lit("` · Confidence: "), text.percent(F.col("confidence")), F.lit("</sub>"))
-    return F.concat(head, F.lit("\n\n"), "message", hint, more, foot)
+    """The body of a violation's comment in a review: what it is, what to do, where to read on."""
+    where = F.when(F.col("in_test_file"), ", in a test").otherwise("")
+    head = F.concat("rule_name", F.lit(" ("), F.lower("severity"), where, F.lit(", "), text.percent(F.col("confidence")), F.lit(" sure)\n"), "message")
+    hint = F.when(F.coalesce("fix_hint", F.lit("")) != "", F.concat(F.lit("\n> "), "fix_hint")).otherwise("")
+    more = F.when(F.size("references") > 0, F.concat(F.lit("\nRead on: "), F.array_join(F.slice("references", 1, 3), ", "))).otherwise("")
+    return F.concat(head, hint, more, F.lit("\nTurn off with `"), "rule_id", F.lit("`"))
 
 
 def review_comments(v: DataFrame, threshold: float = 0.5, top: int = REVIEW_TOP, body: bool = False) -> DataFrame:
@@ -138,11 +143,11 @@ def review_payload(v: DataFrame, commit: str, threshold: float = 0.5, top: int =
     sure = v.filter(F.col("confidence") >= threshold)
     counts = {r["severity"]: r["n"] for r in sure.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, tests = sum(counts.values()), sure.filter("in_test_file").count()
-    said = ["## Review", "", f"Found **{total}** violation(s) above confidence threshold:", *(f"- {SEVERITY_MARK[s]} **{s}**: {counts[s]}" for s in SEVERITIES if s in counts)]
-    said += ["", f"*{total - len(rows)} additional violation(s) omitted; the check run has all.*"] if total > len(rows) else []
-    said += ["", f"{tests} of these are in test files (marked with `TEST`)."] if tests else []
+    said = [f"{total} findings: " + ", ".join(f"{counts[s]} {s.lower()}" for s in SEVERITIES if s in counts) + "."]
+    said += [f"The {len(rows)} that weigh most have a comment below."] if total > len(rows) else []
+    said += [f"Tests hold {tests} of them."] if tests else []
     event = "REQUEST_CHANGES" if any(r["severity"] in SEVERITIES[:2] for r in rows) else "COMMENT"
-    return {"commit_id": commit, "event": event, "body": "\n".join(said), "comments": [{"path": r["file_path"].replace("\\", "/"), "line": r["line_start"], "body": r["body"]} for r in rows]}
+    return {"commit_id": commit, "event": event, "body": " ".join(said), "comments": [{"path": r["file_path"].replace("\\", "/"), "line": r["line_start"], "body": r["body"]} for r in rows]}
 
 
 def comment_rows(v: DataFrame, budget: int = COMMENT_TOP) -> DataFrame:
@@ -191,14 +196,35 @@ def result_json(v: DataFrame) -> DataFrame:
     return v.select(F.to_json(F.struct(*[c for c in v.columns if c != "seq"])).alias("violation"))
 
 
+def document_rows(v: DataFrame, kind: str) -> DataFrame:
+    """``seq`` or the columns of the order, and ``line``: the rows of a document of a kind (json, sarif, baseline, table) as text."""
+    order = _order(v)
+    if kind == "sarif":
+        return sarif_results(v).withColumnRenamed("result", "line")
+    if kind == "baseline":
+        known = F.struct(text.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet")).alias("fingerprint"), F.col("rule_id"), F.col("file_path").alias("file"), F.col("line_start").alias("line"), F.substring("message", 1, 200).alias("message"))
+        return v.select(*order, F.to_json(known).alias("line"))
+    if kind == "json":
+        return v.select(*order, F.to_json(F.struct(*[c for c in v.columns if c != "seq"])).alias("line"))
+    rows = with_place(v, "__place")
+    where = F.concat("file_path", F.lit(":"), F.col("line_start").cast("string"))
+    return rows.select(*order, F.concat(F.lpad((F.col("__place") + 1).cast("string"), 4, " "), F.lit("  "), F.rpad("severity", 8, " "), F.lit("  "), where, F.lit("  "), "rule_id", F.lit("  "), "message").alias("line"))
+
+
 def terminal_table(v: DataFrame) -> Iterator[str]:
     """A line a violation, in order and all of them, a partition at a time."""
     for i, r in enumerate(v.orderBy(*_order(v)).toLocalIterator(), 1):
         yield f"{i:>4}  {r['severity']:<8}  {r['file_path']}:{r['line_start']}  {r['rule_id']}  {r['message']}"
 
 
-def append_run(summary: DataFrame, path: str) -> None:
-    summary.write.mode("append").parquet(path)
+def append_run(summary: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add the rows of a run. With ``run_id`` they are that run's own part of the table: writing it again replaces it, so a run that is
+    repeated after a failure is there once."""
+    if run_id is None:
+        summary.write.mode("append").parquet(path)
+    else:
+        rows = summary.withColumn("run_id", F.lit(run_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:

@@ -13,6 +13,7 @@ import yaml
 from ..schemas import SEVERITIES
 
 KINDS = ("pattern", "ast", "llm", "dependency")
+MODES = ("search", "taint")
 
 
 class RuleLoadError(ValueError):
@@ -40,6 +41,10 @@ class Rule:
     prompt: str | None = None
     examples: tuple[Any, ...] = ()
     checks: tuple[Any, ...] = ()
+    mode: str = "search"
+    sources: tuple[str, ...] = ()
+    sinks: tuple[str, ...] = ()
+    sanitizers: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -61,7 +66,10 @@ def _rule(raw: Any, at: str) -> Rule:
     kind = raw.get("type")
     if kind not in KINDS:
         raise RuleLoadError(f"{at}: unknown rule type {kind!r}; one of {', '.join(KINDS)} is expected")
-    needed = {"pattern": ("languages", "patterns"), "ast": ("languages", "query"), "llm": ("languages", "prompt"), "dependency": ("checks",)}[kind]
+    if raw.get("mode", "search") not in MODES:
+        raise RuleLoadError(f"{at}: mode {raw['mode']!r} is none of {', '.join(MODES)}")
+    searched = ("sources", "sinks") if raw.get("mode") == "taint" and "patterns" not in raw else ("patterns",)
+    needed = {"pattern": ("languages", *searched), "ast": ("languages", "query"), "llm": ("languages", "prompt"), "dependency": ("checks",)}[kind]
     for key in ("id", "name", "severity", "message", *needed):
         if raw.get(key) in (None, ""):
             raise RuleLoadError(f"{at}: field '{key}' is missing")
@@ -123,6 +131,67 @@ def java_regex(pattern: str) -> str | None:
     return "(?iU)" + pattern
 
 
+def required(pattern: str) -> tuple[str, ...] | None:
+    """Words in small letters one of which stands in whatever the pattern matches (case aside); None where nothing of the kind can be told."""
+    from re import _constants as kinds
+    from re import _parser
+
+    def better(a, b):
+        """The choice whose shortest word is longer; among equals the smaller one."""
+        if not a or not b:
+            return a or b
+        return max(a, b, key=lambda x: (min(map(len, x)), -len(x)))
+
+    def of(items):
+        best, run = None, ""
+        for kind, value in [*items, (None, None)]:
+            if kind is kinds.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            best, run, found = better(best, {run} if run else None), "", None
+            if kind is kinds.SUBPATTERN:
+                found = of(value[3])
+            elif kind is kinds.BRANCH:
+                ways = [of(way) for way in value[1]]
+                found = set().union(*ways) if all(ways) else None
+            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT) and value[0] > 0:
+                found = of(value[2])
+            elif kind is kinds.ATOMIC_GROUP:
+                found = of(value)
+            elif kind is kinds.ASSERT and value[0] > 0:
+                found = of(value[1])
+            best = better(best, found)
+        return best
+
+    try:
+        found = of(_parser.parse(pattern, re.IGNORECASE))
+    except (re.error, RecursionError, OverflowError):
+        return None
+    return tuple(sorted(found)) if found and len(found) <= 24 else None
+
+
+def any_of(words) -> str:
+    """A regex that finds any of the words, whose cost at a letter does not grow with their number: they are a tree by their letters."""
+    tree: dict = {}
+    for w in sorted(words):
+        at = tree
+        for c in w:
+            if "" in at:
+                break  # a word that starts with a found one adds nothing
+            at = at.setdefault(c, {})
+        else:
+            at.clear()
+            at[""] = {}
+    quoted = lambda c: re.escape(c) if c.isascii() and not c.isalnum() else c
+
+    def said(node: dict) -> str:
+        ways = [quoted(c) + said(below) for c, below in node.items() if c]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+    first = "".join(quoted(c) if c not in "^-]" else f"\\{c}" for c in tree if c)
+    return f"(?=[{first}]){said(tree)}"
+
+
 def checked(rule: Rule, spark=None) -> Rule | None:
     """The rule without malformed regexes, each of which is warned of; None when none is left."""
 

@@ -1,19 +1,22 @@
 """The rule scan: lines and constant-regex rules to violations, without any theta join.
 
-Each pack is one narrow projection: a cheap alternation of all its patterns discards lines first, then an array of one
-struct a rule is filtered and inlined. Nothing is shuffled; rules are folded into the plan on the driver.
+Each pack is one narrow projection: lines that no pattern matches go first, then an array of one struct a rule is filtered and inlined. A regex is
+tried only where the line has one of the words that its matches must have, so rules whose words are absent cost a search for
+bytes each. Nothing is shuffled; rules are folded into the plan on the driver.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..schemas import SEVERITIES, severity_rank
-from .rules import Pack, Rule, checked, java_regex
+from .rules import Pack, Rule, any_of, checked, java_regex, required
 
 DIRECTIVE = "scan:disable"
 NOQA = r"(?iU)(?:#|//)\s*noqa(?::\s*([\w/,.\-\s]+))?"
@@ -44,6 +47,25 @@ def _first(rule: Rule, value) -> Column:
     return out
 
 
+_LOW, _ODD = "__low", "__odd"
+#: Letters that match an ASCII letter when case does not count, without having it as their small letter.
+ODD_LETTERS = "[\u017f\u0131\u0130]"
+
+
+def _words_in(pattern: str) -> Column:
+    """Whether the line has a word that every match of the pattern has; true where there is none, and for lines with odd letters."""
+    words = required(pattern)
+    return reduce(or_, [F.col(_ODD), *[F.col(_LOW).contains(w) for w in words]]) if words else F.lit(True)
+
+
+def _may_match(patterns: list[str]) -> Column:
+    """One search for all words; patterns without a word are tried themselves."""
+    words = {p: required(p) for p in patterns}
+    known = sorted({w for found in words.values() for w in found or ()})
+    bare = [F.col("line").rlike(java_regex(p)) for p, found in words.items() if not found]
+    return reduce(or_, [*([F.col(_ODD) | F.col(_LOW).rlike(any_of(known))] if known else []), *bare])
+
+
 def _candidate(pack: Pack, rule: Rule, order: int, redact_message: bool, keyword: str) -> Column:
     line, full_id = F.col("line"), pack.full_id(rule)
     start = _first(rule, lambda p: F.regexp_instr(line, F.lit(p)))
@@ -85,16 +107,16 @@ def scan(files: DataFrame, packs: list[Pack], ignore: tuple[str, ...] = (), reda
     kept = files.filter(~paths.is_ignored(F.col("file_path"), ignore)) if ignore else files
     if lines is None:
         lines = text.explode_lines(with_context(kept.select("file_path", "content")))
+    # small letters are made once a line: as the column of a generator the optimizer does not copy them into every condition
+    lines = lines.select("*", F.inline(F.array(F.struct(F.lower("line").alias(_LOW), F.col("line").rlike(ODD_LETTERS).alias(_ODD)))))
     out = None
     for number, pack in enumerate(packs):
         rules = [r for r in (checked(x, spark) for x in pack.rules if x.type == "pattern" and x.enabled) if r]
         rules = [r for r in rules if all(java_regex(p) for p in (*r.patterns, *r.exclude_patterns))]
         if not rules:
             continue
-        near = "|".join(f"(?:{java_regex(p)[5:]})" for r in rules for p in r.patterns if not re.search(r"\\\d|\(\?[aiLmsux]|\\k<", p))
-        plain = all(not re.search(r"\\\d|\(\?[aiLmsux]|\\k<", p) for r in rules for p in r.patterns)
-        some = lines.filter(F.col("line").rlike("(?iU)" + near)) if plain else lines
-        found = F.filter(F.array(*[_candidate(pack, r, i, redact_message, keyword) for i, r in enumerate(rules)]), lambda v: v.isNotNull())
+        some = lines.filter(_may_match([p for r in rules for p in r.patterns]))
+        found = F.filter(F.array(*[F.when(reduce(or_, [_words_in(p) for p in r.patterns]), _candidate(pack, r, i, redact_message, keyword)) for i, r in enumerate(rules)]), lambda v: v.isNotNull())
         rows = some.select("file_path", "line_no", "in_test_file", "confidence", F.inline(found))
         rows = rows.select(
             "rule_id", "rule_name", "severity", "file_path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "col_start", "col_end", "message", "snippet", "fix_hint", "references", "confidence", "in_test_file",

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import fixed, lexis
 
 ROW = "file string, kind string, owner string, name string, line int, value string, extra string"
 
@@ -80,29 +80,25 @@ def _suffix(path: str) -> str:
     return "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
 
-def _body(content: str, head: re.Match, end: str | None) -> tuple[int, int]:
-    """Where the body of a model starts and ends, however long it is."""
+def _body(code: str, head: re.Match, end: str | None) -> tuple[int, int]:
+    """Where the body of a model starts and ends in masked code, however long it is."""
     if end is None:
         return head.end(), head.end()
     if end != "{":
-        last = re.compile(end, re.M).search(content, head.end())
-        return head.end(), last.start() if last else len(content)
-    start = content.find("{", head.end() - 1)
-    depth = 0
-    for brace in re.compile(r"[{}]").finditer(content, start) if start >= 0 else ():
-        depth += 1 if brace[0] == "{" else -1
-        if not depth:
-            return start + 1, brace.start()
-    return (start + 1, len(content)) if start >= 0 else (head.end(), head.end())
+        last = re.compile(end, re.M).search(code, head.end())
+        return head.end(), last.start() if last else len(code)
+    start = code.find("{", head.end() - 1)
+    return (start + 1, lexis.closing(code, start)) if start >= 0 else (head.end(), head.end())
 
 
 def _regex_rows(path: str, content: str) -> Iterator[tuple]:
     s = _suffix(path)
     breaks = [m.start() for m in re.finditer("\n", content)]
     line = lambda at: bisect_left(breaks, at) + 1
+    code = lexis.mask(content, s) if s in MODEL_SYNTAX else content
     for syntax in MODEL_SYNTAX.get(s, ()):
         for m in re.finditer(syntax.head, content, re.S | re.M):
-            start, end = _body(content, m, syntax.body)
+            start, end = _body(code, m, syntax.body)
             body = content[start:end]
             if syntax.must and not re.search(syntax.must, body):
                 continue

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import fixed, privacy, reports, structure
+from ..operators import dependencies, fixed, privacy, reports, structure, syntax, taint
 from ..operators import scan as ops
 from ..operators.rules import Pack, RuleLoadError, load_pack, load_pack_directory
 from ..schemas import SEVERITIES
@@ -54,9 +54,29 @@ def load_config(path: str | None) -> dict:
     return out
 
 
+def scan_rules(files: DataFrame, packs: list[Pack], ignore: tuple[str, ...] = (), manifests: DataFrame | None = None) -> DataFrame:
+    """Violations of all rules that can be run: patterns, syntax trees, flows and versions. ``manifests``: files of declared packages, if they
+    are not among ``files``."""
+    kept = files.filter(~paths.is_ignored(F.col("file_path"), ignore)) if ignore else files
+    declared = kept if manifests is None else manifests.filter(~paths.is_ignored(F.col("file_path"), ignore)) if ignore else manifests
+    has_patterns = any(r.type == "pattern" and r.enabled and r.patterns for p in packs for r in p.rules)
+    found = [ops.scan(kept, packs) if has_patterns else None, syntax.scan_trees(kept, packs), taint.scan_flows(kept, packs), dependencies.scan_dependencies(declared, packs)]
+    out = None
+    for part in found:
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no rule can be used")
+    return out
+
+
 def scan_path(spark: SparkSession, path: str, packs: list[Pack], ignore: tuple[str, ...] = paths.IGNORED) -> tuple[DataFrame, DataFrame]:
-    files = src.read_file(spark, path) if Path(path).is_file() else src.read_tree(spark, str(Path(path).resolve()))
-    return files, ops.scan(files, packs, ignore)
+    if Path(path).is_file():
+        files = src.read_file(spark, path)
+        return files, scan_rules(files, packs, ignore)
+    files = src.read_tree(spark, str(Path(path).resolve()))
+    manifests = src.read_tree(spark, str(Path(path).resolve()), suffixes=()) if any(r.type == "dependency" and r.enabled for p in packs for r in p.rules) else None
+    return files, scan_rules(files, packs, ignore, manifests)
 
 
 def summary(violations: DataFrame, files: DataFrame, packs: list[Pack], fail_on: str, warn_on: str) -> dict:
@@ -68,7 +88,7 @@ def test_pack(spark: SparkSession, pack: Pack, dirty: str, clean: str) -> DataFr
     """file, kind, n, ok: dirty files need a violation, clean ones must have none."""
     a, b = (src.read_tree(spark, str(Path(d).resolve())).withColumn("kind", F.lit(k)) for d, k in ((dirty, "dirty"), (clean, "clean")))
     both = a.unionByName(b).withColumn("file_path", F.concat("kind", F.lit("/"), "file_path"))
-    n = ops.scan(both.select("file_path", "content"), [pack]).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    n = scan_rules(both.select("file_path", "content"), [pack]).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     out = both.select("file_path", "kind").join(n, "file_path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("ok", F.when(F.col("kind") == "dirty", F.col("n") > 0).otherwise(F.col("n") == 0))
 
@@ -122,7 +142,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "test-rule":
             pack = load_pack(a.pack)
             files = src.read_file(spark, a.file).withColumn("file_path", F.lit(Path(a.file).name))
-            v = ops.scan(files, [pack]).filter(F.col("rule_id") == f"{pack.id}/{a.rule}")
+            v = scan_rules(files, [pack]).filter(F.col("rule_id") == f"{pack.id}/{a.rule}")
             write(reports.terminal_table(v), None, "\n")
             return 0
         if a.command == "compliance":

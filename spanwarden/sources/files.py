@@ -108,3 +108,65 @@ def changed_files(listing: DataFrame) -> DataFrame:
     """``listing``: filename, status, content (base64). Removed and unchanged files go, and files of no known language."""
     kept = listing.filter(F.col("status").isin("added", "modified", "renamed", "changed"))
     return kept.select(F.col("filename").alias("file_path"), decode(F.try_to_binary(F.col("content"), F.lit("base64")), translate=False).alias("content")).filter(detect_language(F.col("file_path")).isNotNull())
+
+
+def _commented(text: Column, mark: str) -> Column:
+    """A text as lines of comment, so that a source file can hold it."""
+    return F.concat(F.lit(f"{mark} "), F.regexp_replace(F.coalesce(text, F.lit("")), "[\r\n\x00\x0b\x0c\x1c\x1d\x1e\x85  ]+", f"\n{mark} "))
+
+
+#: What ``documents_as_programs`` picks from, by the document's number.
+PROGRAM_NAMES = ("transfer_funds", "helper", "repay_loan", "load_page", "debit_account", "parse", "credit_note")
+
+
+def documents_as_programs(documents: DataFrame) -> DataFrame:
+    """doc_id, file_path, content: every document as a program (three of four in Python, the others in JavaScript) that has its text as comment.
+
+    A function moves money or not, with or without an audit record; in Python another one sends a browser to an address from its
+    request, through up to five variables, some of them cleaned or replaced on the way.
+    """
+    d = F.col("doc_id")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    when = lambda test, yes, no="": F.when(test, F.lit(yes)).otherwise(F.lit(no))
+    name = F.element_at(F.array(*map(F.lit, PROGRAM_NAMES)), (d % len(PROGRAM_NAMES)).cast("int") + 1)
+    steps = (d % 6).cast("int")
+    chain = F.array_join(F.transform(F.sequence(F.lit(0), steps), lambda i: F.when(i == 0, F.lit("    v0 = request.args.get('u')\n")).otherwise(join("    v", i, " = v", i - 1, " + '/'\n"))), "")
+    python = join(
+        _commented(F.col("text"), "#"), "\nimport pickle\nfrom flask import redirect, request\n\n\nclass Desk", d, ":\n    def ", name, "(self, amount):\n", when(d % 3 == 0, '        """Moves it."""\n'),
+        when(d % 4 == 0, "        audit_log(amount)\n", "        note = '} def audi'\n"), "        return pickle.", when(d % 2 == 0, "loads", "dumps"), "(amount)\n\n\ndef go(request):\n", chain,
+        F.when(d % 5 == 0, join("    v", steps, " = quote(v", steps, ")\n")).otherwise(""), F.when(d % 7 == 0, join("    v", steps, " = '/home'\n")).otherwise(""), "    return redirect(v", steps, ")", when(d % 11 == 0, "  # scan:disable"), "\n",
+    )
+    javascript = join(
+        _commented(F.col("text"), "//"), "\nconst shown = `{ ${ '}' + \"`\" } function gone() {`;\nfunction ", name, "(amount) {\n", when(d % 8 == 3, "  auditLog(amount);\n", '  const note = "} // audi";\n'),
+        "  return /[{]/.test(amount) ? db.query(amount) : null;\n}\n",
+    )
+    is_js = d % 4 == 3
+    path = F.when(is_js, join("web/desk", d, ".js")).otherwise(join("svc/desk", d, ".py"))
+    return documents.select("doc_id", path.alias("file_path"), F.when(is_js, javascript).otherwise(python).alias("content"))
+
+
+#: Versions that ``documents_as_manifests`` declares, from the least to the greatest; those of one row are equal. The last have none.
+MANIFEST_VERSIONS = (("0.9.9",), ("1.0.dev3",), ("1.0a1",), ("1.0.0-beta.2", "1.0b2"), ("1.0rc1",), ("1", "1.0", "1.0.0"), ("1.0.post1",), ("1.0.1",), ("1.2.0",), ("1.10",), ("2.0.0-rc.1",), ("2.0+local.7", "v2"), ("1!0.1",), ("",))
+
+
+def documents_as_manifests(documents: DataFrame) -> DataFrame:
+    """doc_id, file_path, content: every document as a list of required packages, in Python's or in JavaScript's form."""
+    d = F.col("doc_id")
+    flat = [v for same in MANIFEST_VERSIONS for v in same]
+    pick = lambda k: F.element_at(F.array(*map(F.lit, flat)), (k % len(flat)).cast("int") + 1)
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    pin = lambda v, mark: F.when(v == "", v).otherwise(F.concat(F.lit(mark), v))
+    python = join("# made\nFlask", pin(pick(d), "=="), "\nold_Lib[extra]", pin(pick(d + 5), ">="), "  # scan:disable=old-lib\nother-lib", pin(pick(d + 9), "~="), "\n")
+    javascript = join('{\n  "name": "old-lib",\n  "dependencies": {\n    "flask": "^', pick(d), '",\n    "lodash": "', pick(d + 5), '"\n  },\n  "devDependencies": {"left-pad": "~', pick(d + 9), '"}\n}\n')
+    is_js = d % 3 == 2
+    path = F.concat(F.lit("svc"), d.cast("string"), F.when(is_js, "/package.json").otherwise("/requirements.txt"))
+    return documents.select("doc_id", path.alias("file_path"), F.when(is_js, javascript).otherwise(python).alias("content"))
+
+
+def documents_as_braces(documents: DataFrame) -> DataFrame:
+    """doc_id, file_path, content: every document as a model in JavaScript with the text in a comment inside it, and brackets in strings."""
+    d = F.col("doc_id")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    said = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("*/"), F.lit("* /"))
+    content = join("M", d, ".init({\n  a: DataTypes.STRING, // a } here\n  b: { type: DataTypes.", F.when(d % 2 == 0, "TEXT").otherwise("JSONB"), ", comment: '}' },\n  /* ", said, " } */\n  c: DataTypes.", F.when(d % 3 == 0, "DATE").otherwise("UUID"), ", d: `}${ {x: '}'} }`,\n  e: DataTypes.ENUM,\n}, { sequelize })\nlater: DataTypes.STRING\n")
+    return documents.select("doc_id", F.concat(F.lit("models/m"), d.cast("string"), F.lit(".js")).alias("file_path"), content.alias("content"))

@@ -96,10 +96,10 @@ def test_baseline_gate_and_renderings(spark, tmp_path):
     counts = {"overall_status": "failed", "total_files_scanned": 2, "total_violations": v.count(), "by_severity": {"HIGH": 1, "LOW": 0}, "by_pack": {"p": 1}}
     done = reports.check_run(v, counts, "now")
     assert done["conclusion"] == "failure" and 0 < len(done["output"]["annotations"]) <= 50 and all("raw_details" not in a or a["raw_details"].startswith("Fix: ") for a in done["output"]["annotations"])
-    assert "| HIGH | 1 |" in done["output"]["summary"] and "LOW" not in done["output"]["summary"] and "| p | 1 |" in done["output"]["summary"]
+    assert ": 1 high." in done["output"]["summary"] and "low" not in done["output"]["summary"] and "`p` has 1" in done["output"]["summary"]
     assert len(reports.summary_text(counts | {"by_pack": {"p" * 70_000: 1}})) < 65_100
     body = reports.review_payload(v, "c")["comments"][0]["body"]
-    assert "Confidence: " in body and "Rule: `" in body
+    assert "% sure)" in body and "Turn off with `" in body
 
 
 def test_commands(spark, tmp_path, capsys):
