@@ -486,11 +486,6 @@ def library_category(spark, sf_dir):
     return structure.libraries(structure.extract(tree), tree).select("module", "file", "line", "category")
 
 
-@query(f"{_TREE} SELECT '/m' || d || '/' AS path, 'GET' AS methods, 'list' || d AS handler, file, CAST(2 AS INTEGER) AS line FROM js")
-def routes_of_code(spark, sf_dir):
-    return structure.endpoints(structure.extract(_tree(spark, sf_dir))).select("path", F.array_join("http_methods", ",").alias("methods"), "handler", "file", "line")
-
-
 @query("SELECT 'svc' || doc_id || '/requirements.txt' AS file_path, p.package, CASE p.package WHEN 'flask' THEN '2.' || (doc_id % 10) ELSE '1.' || (doc_id % 7) || '.0' END AS version FROM documents, (VALUES ('flask'), ('requests')) p(package) WHERE doc_id % 6 = 5")
 def dependency_versions(spark, sf_dir):
     return structure.dependencies(_tree(spark, sf_dir))
@@ -575,37 +570,12 @@ def encryption_status(spark, sf_dir):
     return _section(privacy.encryption, spark, sf_dir)
 
 
-@query(f"""{_TREE}, h AS (SELECT file_path, {_hits(privacy.RETENTION_POLICY)} AS policy, {_hits(privacy.MANAGEMENT).replace(chr(92) + "(", "[(]").replace(chr(92) + ")", "[)]")} AS command FROM tpy)
-SELECT '§8(5)' AS section, CASE WHEN (SELECT count(policy) FROM h) > 0 THEN 'PARTIAL' ELSE 'NON_COMPLIANT' END AS status, {_both(_least("file_path || ':' || policy", "h WHERE policy IS NOT NULL", 5), _least("file_path || ':' || command", "h WHERE command IS NOT NULL", 5))} AS evidence,
- CASE WHEN (SELECT count(policy) FROM h) > 0 THEN '' ELSE 'No retention limit was found.' END AS blockers""")
-def retention_status(spark, sf_dir):
-    return _section(privacy.retention, spark, sf_dir)
-
-
 @query(f"""{_TREE} SELECT file_path, {_hits(privacy.RETENTION_POLICY)} AS policy, {_hits(privacy.SCHEDULERS)} AS scheduler
 FROM tpy WHERE {_any('content', privacy.RETENTION_POLICY + privacy.SCHEDULERS)}""")
 def retention_evidence(spark, sf_dir):
     return privacy.evidence(_code(spark, sf_dir)["files"], {"policy": privacy.RETENTION_POLICY, "scheduler": privacy.SCHEDULERS})
 
 
-@query(f"""{_TREE}, h AS (SELECT file_path, {_hits(privacy.BREACH)} AS breach, regexp_matches(content, '{privacy.NOTIFICATION[0]}', 'i') AS mail FROM tpy)
-SELECT '§8(6)' AS section, 'PARTIAL' AS status, {_both(_least("module", f"libs WHERE split_part(module, '.', 1) IN {_in(privacy.ALERTING)}", 5), _least("file_path || ':' || breach", "h WHERE breach IS NOT NULL", 5), "(SELECT CASE WHEN count(*) > 0 THEN 'Messages can be sent.' ELSE '' END FROM h WHERE mail)")} AS evidence, '' AS blockers""")
-def breach_status(spark, sf_dir):
-    return _section(privacy.breach, spark, sf_dir)
-
-
-_FIRST_CHILD = "CASE WHEN " + " WHEN ".join(f"regexp_matches(content, '{p}', 'i') THEN regexp_extract(content, '{p}', 0, 'i')" for p in privacy.CHILD) + " END"
-
-
-@query(f"""{_TREE}, f AS (SELECT {_any('content', privacy.AGE_GATE)} AS gate, {_FIRST_CHILD} AS first FROM tpy),
-n AS (SELECT count(*) FILTER (gate) AS gates, count(*) FILTER (regexp_matches(first, '(parental|guardian).?consent', 'i')) AS parental FROM f)
-SELECT '§9' AS section, CASE WHEN gates > 0 AND parental > 0 THEN 'PARTIAL' ELSE 'PARTIAL' END AS status, '' AS evidence, '' AS blockers FROM n""")
-def children_status(spark, sf_dir):
-    code = _code(spark, sf_dir)
-    pii = _pii(spark, sf_dir, code)
-    return _shown(privacy.children(code, pii, risk=True))
-
-
 @query(f"""{_TREE}, f AS (SELECT * FROM tree WHERE regexp_matches(file_path, '([.]py|[.]ya?ml|[.]toml|[.]ini|[.]env|[.]conf)$', 'i')),
 l AS (SELECT unnest(string_split(content, chr(10))) AS line FROM f),
 r AS (SELECT count(*) FILTER ({_any('line', ['|'.join(privacy.INDIAN_REGIONS)])}) AS home, count(*) FILTER ({_any('line', [privacy.FOREIGN_REGIONS])}) AS abroad FROM l WHERE {_any('line', privacy.REGIONS)}),
@@ -617,28 +587,6 @@ def localisation_status(spark, sf_dir):
     return _section(privacy.localisation, spark, sf_dir)
 
 
-@query(f"{_TREE} SELECT model FROM personal")
-def erasure_coverage(spark, sf_dir):
-    """Personal models that no DELETE endpoint covers: in this tree all of them."""
-    code = _code(spark, sf_dir)
-    personal = privacy.pii_models(_pii(spark, sf_dir, code)).select("model")
-    covered = privacy.touching(code["endpoints"].filter(F.array_contains("http_methods", "DELETE")), personal, "models_deleted").select("model").distinct()
-    return personal.join(covered, "model", "left_anti")
-
-
-_KEPT = "paths WHERE is_blocker AND target_model IN (SELECT model FROM personal)"
-
-
-@query(f"""{_TREE}
-SELECT '§4' AS section, 'UNKNOWN' AS status, '0 mentions in handlers|0 consent models' AS evidence, '' AS blockers
-UNION ALL SELECT '§5', 'UNKNOWN', {_least("model || ': ' || n", "(SELECT model, count(*) AS n FROM pii WHERE classification IN ('PII', 'SENSITIVE_PII') GROUP BY 1)", 10)}, ''
-UNION ALL SELECT '§7(3)', 'UNKNOWN', (SELECT count(*) FROM paths WHERE on_delete = 'CASCADE' AND target_model IN (SELECT model FROM personal)) || ' cascading paths|0 models deleted softly, ' || (SELECT count(*) FROM models WHERE has_delete AND name IN (SELECT model FROM personal)) || ' by a method of their own',
- {_both(_least("'no DELETE for ' || model", "personal", 10), _least("source_model || '.' || field_name || ' keeps ' || target_model", _KEPT, 10))}""")
-def judged_sections(spark, sf_dir):
-    code = _code(spark, sf_dir)
-    return _shown(privacy.report(code, _pii(spark, sf_dir, code), (privacy.consent, privacy.minimisation, privacy.erasure)))
-
-
 @query("SELECT customer.c_custkey AS name, coalesce(nullif(list(o.o_orderstatus ORDER BY o.o_orderstatus) FILTER (o.o_orderstatus IS NOT NULL), []), ['none']) AS fields FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) o ON o.o_custkey = customer.c_custkey GROUP BY 1")
 def model_merge(spark, sf_dir):
     have = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.array_sort(F.collect_set("o_orderstatus")).alias("fields"))
@@ -735,6 +683,7 @@ def sarif_results(spark, sf_dir):
 def _more() -> None:
     """The queries of other modules, which use this one's helpers."""
     importlib.import_module("spanwarden.catalog_rules")
+    importlib.import_module("spanwarden.catalog_services")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

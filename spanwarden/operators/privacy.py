@@ -24,6 +24,7 @@ EXTERNAL_CALLS = (r"https?://[a-zA-Z0-9.-]+\.(?:com|io|net|org)/api", r"EXTERNAL
 BREACH = (r"breach", r"incident.?response", r"data.?breach.?notif", r"notify.?board|notify.?dpa|notify.?authority", r"BreachNotification|DataBreach")
 AUDIT_MODELS = (r"AuditLog|audit_log", r"AccessLog|access_log", r"DataAccessLog", r"security_event|SecurityEvent")
 AGE_FIELDS = ("date_of_birth", "dob", "birth_date", "birthdate", "age", "year_of_birth", "birth_year")
+CHILD_MODELS = ("child", "minor", "juvenile", "kid", "infant", "pediatric", "paediatric")
 CHILD = (r"child|minor|juvenile|under.?age|underage", r"parental.?consent|guardian.?consent", r"age.?gate|age.?check|age.?verif|verify.?age|min.?age", r"is.?child|is.?minor")
 AGE_GATE = (r"age\s*[<>=!]+\s*1[0-8]", r"years?\s*[<>=!]+\s*1[0-8]", r"MIN_AGE|MINIMUM_AGE|CHILD_AGE", r"if.*age.*(?:18|fourteen|sixteen|thirteen)", r"timedelta.*days.*(?:6570|6574)")
 CONSENT = (r"consent", r"data_processing_consent", r"consent_given", r"has_consented", r"consent_required", r"ConsentMiddleware", r"require_consent")
@@ -33,6 +34,8 @@ FOREIGN_REGIONS = r"us-east|us-west|eu-west|eu-central|ap-northeast|ap-southeast
 STORAGE = (r"S3Boto3Storage|AWS_S3|boto3|s3_bucket", r"google.cloud.storage|GCS_BUCKET", r"azure.storage.blob|AZURE_CONTAINER", r"DEFAULT_FILE_STORAGE|STATICFILES_STORAGE")
 DATABASES = (r"DATABASE_URL|DB_HOST|DATABASES", r"\.rds\.amazonaws\.com", r"\.sql\.gcp\.", r"\.database\.azure\.com", r"\.mongodb\.net")
 
+SETTINGS_PATH = r"(?:^|/)settings[^/]*[.]py$|(?:^|/)settings/(?:.*/)?[^/]*[.]py$"
+
 CLASSES = ("PII", "SENSITIVE_PII", "INDIRECT", "NOT_PII")
 #: What a recorded classification says of a batch of models.
 ANSWER = (
@@ -184,34 +187,76 @@ def encryption(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     return section(stats, "§8(4)", "Encryption of personal data", status, F.transform("safe", lambda x: F.concat(F.lit("encrypted: "), x)), F.transform("plain", lambda x: F.concat(F.lit("not encrypted: "), x)), F.when(F.col("no") > 0, F.array(F.lit("Encrypt personal fields at rest."))).otherwise(F.array().cast("array<string>")))
 
 
+def _lines(*parts: tuple[Column, Column | str]) -> Column:
+    """An array of those texts whose condition holds."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(said) if isinstance(said, str) else said) for test, said in parts])).cast("array<string>")
+
+
+def _each(column: str, before: str) -> Column:
+    return F.transform(column, lambda x: F.concat(F.lit(before), x))
+
+
+def _of_personal(rows: DataFrame, pii: DataFrame, column: str) -> DataFrame:
+    return rows.join(pii_models(pii).select(F.col("model").alias("__model")), F.col(column) == F.col("__model"), "left_semi")
+
+
 def retention(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
-    fields = code["fields"].join(pii_models(pii).select("model"), "model", "left_semi").filter(F.lower("name").isin(*RETENTION_FIELDS))
+    """Fields that end a record, policies and schedules in the code, commands of administration, soft deletes."""
+    dated = code["fields"].filter(F.lower("name").isin(*RETENTION_FIELDS))
+    fields = _of_personal(dated, pii, "model")
     found = evidence(code["files"], {"policy": RETENTION_POLICY, "scheduler": SCHEDULERS, "command": MANAGEMENT})
-    seen = found.agg(F.count("policy").alias("policies"), F.count("scheduler").alias("schedulers"), F.count("command").alias("commands"))
-    stats = _join(_models(pii), fields.agg(F.count(F.lit(1)).alias("fields")), seen, _some(fields, F.concat("model", F.lit("."), "name"), 10, "named"), _some(found, F.concat("file_path", F.lit(":"), "policy"), 5, "said"), _some(found, F.concat("file_path", F.lit(":"), "command"), 5, "commanded"))
+    found = found.withColumn("command", F.when(F.col("file_path").contains("management/commands/"), F.col("command")))
+    seen = found.agg(F.count("policy").alias("policies"), F.count("scheduler").alias("schedulers"))
+    soft = _of_personal(code["models"].filter("has_soft_delete"), pii, "name")
+    full = F.concat("model", F.lit("."), "name")
+    at = lambda column: F.concat("file_path", F.lit(":"), column)
+    stats = _join(_models(pii), fields.agg(F.count(F.lit(1)).alias("fields")), seen, _some(fields, full, 10, "named"), _some(dated, full, 5, "elsewhere"), _some(found, at("policy"), 5, "said"), _some(found, at("scheduler"), 5, "scheduled"), _some(found.filter("command IS NOT NULL"), "file_path", 5, "commanded"), _some(soft, "name", 10, "soft"))
+    none, unpurged = F.col("fields") == 0, (F.col("schedulers") == 0) & (F.col("policies") == 0)
     status = F.when((F.col("fields") > 0) | (F.col("policies") > 0), "PARTIAL").otherwise("NON_COMPLIANT")
-    return section(stats, "§8(5)", "Data retention", status, F.concat("named", "said", "commanded"), F.when((F.col("fields") == 0) & (F.col("policies") == 0), F.array(F.lit("No retention limit was found."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("Give personal records an end date and purge them on a schedule.")))
+    said = F.concat(_each("named", "ends: "), F.when(none, _each("elsewhere", "ends elsewhere: ")).otherwise(F.array().cast("array<string>")), _each("said", "policy: "), _each("scheduled", "schedule: "), _each("commanded", "command: "), _each("soft", "deleted softly: "))
+    blockers = _lines((none, "No personal model has a field that ends its records."), (unpurged, "Nothing purges old records."))
+    return section(stats, "§8(5)", "Data retention", status, said, blockers, _lines((none, "Give personal records an end date."), (F.col("schedulers") == 0, "Purge them on a schedule.")))
 
 
 def breach(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
-    alerts = code["libraries"].filter(F.substring_index("module", ".", 1).isin(*ALERTING))
+    """Alerting libraries and settings, words of a breach in the code, models of an audit log, ways to send messages."""
+    alerts = code["libraries"].filter(F.lower(F.substring_index("module", ".", 1)).isin(*ALERTING)).select(F.concat("module", F.lit(" in "), "file").alias("alert"))
+    settings = code["files"].filter(F.col("file_path").rlike(SETTINGS_PATH) & F.col("content").rlike("(?i)SENTRY_DSN|sentry_sdk[.]init|PAGERDUTY|OPSGENIE|DATADOG"))
+    alerts = alerts.unionByName(settings.select(F.concat(F.lit("configured in "), "file_path").alias("alert")))
     found = evidence(code["files"], {"breach": BREACH, "mail": NOTIFICATION})
     audits = code["models"].filter(F.col("name").rlike("(?i)" + "|".join(AUDIT_MODELS)))
+    logging = code["libraries"].filter(F.col("category") == "logging")
     count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
-    stats = _join(_models(pii), count(alerts, "alerting"), found.agg(F.count("breach").alias("breach"), F.count("mail").alias("mails")), count(audits, "audits"), _some(alerts, "module", 5, "alerts"), _some(found, F.concat("file_path", F.lit(":"), "breach"), 5, "said"), _some(audits, "name", 5, "logs"))
-    status = F.when((F.col("alerting") > 0) | (F.col("audits") > 0), "PARTIAL").otherwise("NON_COMPLIANT")
-    return section(stats, "§8(6)", "Breach notification", status, F.concat("alerts", "logs", "said", F.when(F.col("mails") > 0, F.array(F.lit("Messages can be sent."))).otherwise(F.array().cast("array<string>"))), F.when((F.col("alerting") == 0) & (F.col("audits") == 0), F.array(F.lit("No alerting and no audit log was found."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("Tell the authority and the persons concerned of a breach, and keep audit logs.")))
+    stats = _join(
+        _models(pii), count(alerts, "alerting"), found.agg(F.count("breach").alias("breach"), F.count("mail").alias("mails")), count(audits, "audits"), count(logging, "logging"),
+        _some(alerts, "alert", 5, "alerts"), _some(found, F.concat("file_path", F.lit(":"), "breach"), 5, "said"), _some(audits, "name", 5, "logs"),
+    )
+    watched, named = F.col("alerting") > 0, F.col("breach") > 0
+    status = F.when(watched | (F.col("audits") > 0), "PARTIAL").otherwise("NON_COMPLIANT")
+    more = _lines((F.col("logging") > 0, F.concat(F.col("logging").cast("string"), F.lit(" imports of logging"))), (F.col("mails") > 0, "Messages can be sent."))
+    blockers = _lines((~named, "Nothing in the code handles a breach."), (~watched, "No alerting: a breach may go unseen."))
+    todo = _lines((~watched, "Connect an alerting service."), (~named, "Tell the authority and the people concerned."), (F.col("audits") == 0, "Keep an audit log of what is read."))
+    return section(stats, "§8(6)", "Breach notification", status, F.concat(_each("alerts", "alerting: "), _each("logs", "audit log: "), _each("said", "breach: "), more), blockers, todo)
 
 
 def children(code: dict[str, DataFrame], pii: DataFrame, risk: bool = False) -> DataFrame:
-    fields = code["fields"].join(pii_models(pii).select("model"), "model", "left_semi").filter(F.lower("name").isin(*AGE_FIELDS))
-    child = code["models"].filter(F.lower("name").rlike("child|minor|student|pupil")).agg(F.count(F.lit(1)).alias("child_models"))
+    """Fields of age, models of children, checks of age and parents' consent in the code. ``risk``: a classification saw one."""
+    fields = _of_personal(code["fields"].filter(F.lower("name").isin(*AGE_FIELDS)), pii, "model")
+    child = code["models"].filter(F.lower("name").rlike("|".join(CHILD_MODELS)))
     # a file counts for parental consent only where no earlier family of words is found in it
-    seen = evidence(code["files"], {"first": CHILD, "gate": AGE_GATE}).agg(F.count("gate").alias("gates"), F.count_if(F.col("first").rlike("(?i): .*(parental|guardian).?consent")).alias("parental"))
-    stats = _join(_models(pii), fields.agg(F.count(F.lit(1)).alias("ages")), child, seen, _some(fields, F.concat("model", F.lit("."), "name"), 10, "named"))
-    nothing = (F.col("ages") == 0) & (F.col("child_models") == 0) & F.lit(not risk)
-    status = F.when(nothing, "COMPLIANT").when((F.col("gates") > 0) & (F.col("parental") > 0), "PARTIAL").when((F.col("ages") > 0) & (F.col("gates") == 0), "NON_COMPLIANT").otherwise("PARTIAL")
-    return section(stats, "§9", "Data of children", status, F.col("named"), F.when((F.col("ages") > 0) & (F.col("gates") == 0), F.array(F.lit("Ages are kept but never checked."))).otherwise(F.array().cast("array<string>")), F.when(nothing, F.array().cast("array<string>")).otherwise(F.array(F.lit("Check ages and ask for a parent's consent."))))
+    seen = evidence(code["files"], {"first": CHILD, "gate": AGE_GATE})
+    parental = F.col("first").rlike("(?i): .*(?:parental|guardian)")
+    at = lambda column: F.concat("file_path", F.lit(":"), column)
+    stats = _join(
+        _models(pii), fields.agg(F.count(F.lit(1)).alias("ages")), child.agg(F.count(F.lit(1)).alias("child_models")), seen.agg(F.count("gate").alias("gates"), F.count_if(parental).alias("parental")),
+        _some(fields, F.concat("model", F.lit("."), "name"), 10, "named"), _some(child, "name", 10, "kids"), _some(seen, at("gate"), 5, "gated"), _some(seen.filter(parental), "file_path", 5, "asked"), _some(seen.filter(~parental), at("first"), 5, "said"),
+    )
+    collects = (F.col("ages") > 0) | (F.col("child_models") > 0) | F.lit(risk)
+    unchecked, unasked = (F.col("ages") > 0) & (F.col("gates") == 0), collects & (F.col("parental") == 0)
+    status = F.when(~collects, "COMPLIANT").when((F.col("gates") > 0) & (F.col("parental") > 0), "PARTIAL").when(unchecked, "NON_COMPLIANT").otherwise("PARTIAL")
+    said = F.concat(_each("named", "age: "), _each("kids", "model: "), _each("gated", "check: "), _each("asked", "parents asked: "), _each("said", "mention: "), _lines((F.lit(risk), "A classification sees a risk to children.")))
+    blockers = _lines((unchecked, "Ages are kept but never checked."), (unasked, "No parent's consent is asked for."))
+    return section(stats, "§9", "Data of children", status, said, blockers, _lines((unchecked, "Check ages where people register."), (unasked, "Ask for a parent's consent."), (collects, "Do not track or target children.")))
 
 
 def localisation(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
@@ -245,11 +290,22 @@ def named_in(rows: DataFrame, column: str, names: DataFrame, name: str, gram: in
     return asked.join(filed.join(rarest, "__key"), "__gram").filter(F.col("__low").contains(F.col("__key"))).drop("__gram", "__low", "__key")
 
 
-def touching(endpoints: DataFrame, personal: DataFrame, column: str) -> DataFrame:
-    """(endpoint row, model): by exact name in ``column``, and by the model's name inside the view's name."""
-    e = endpoints.withColumn("eid", F.xxhash64("path", "handler", "file", "line"))
-    exact = e.select("eid", "path", "http_methods", F.explode(column).alias("model")).join(personal, "model").select("eid", "path", "http_methods", "model", F.lit("name").alias("how"))
-    inside = named_in(e.filter("viewset_class IS NOT NULL"), "viewset_class", personal, "model").select("eid", "path", "http_methods", "model", F.lit("view").alias("how"))
+def _related(endpoints: DataFrame) -> DataFrame:
+    """Endpoints with ``eid`` and ``related``: all models that they read, write or delete."""
+    empty = F.array().cast("array<string>")
+    both = F.array_union(F.array_union(F.coalesce("models_deleted", empty), F.coalesce("models_written", empty)), F.coalesce("models_read", empty))
+    return endpoints.withColumns({"eid": F.xxhash64("path", "handler", "file", "line", F.array_join("http_methods", ",")), "related": both})
+
+
+def touching(endpoints: DataFrame, personal: DataFrame, fallback: bool = False) -> DataFrame:
+    """eid, path, file, requires_auth, model, how: endpoints with the personal models that they touch, by name in what they read, write or delete, or
+    by the model's name inside the view's name. ``fallback``: by the view only where no name was found; else both give rows."""
+    e = _related(endpoints)
+    kept = ("eid", "path", "file", "requires_auth")
+    exact = e.select(*kept, F.explode("related").alias("model")).join(personal, "model", "left_semi").select(*kept, "model", F.lit("name").alias("how"))
+    rest = e.filter("viewset_class IS NOT NULL")
+    rest = rest.join(exact.select("eid").distinct(), "eid", "left_anti") if fallback else rest
+    inside = named_in(rest.select(*kept, "viewset_class"), "viewset_class", personal, "model").select(*kept, "model", F.lit("view").alias("how"))
     return exact.unionByName(inside)
 
 
@@ -261,27 +317,46 @@ def _verdict(verdicts: DataFrame | None, name: str, stats: DataFrame) -> DataFra
 
 
 def erasure(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """DELETE endpoints of personal models, models without one, what blocks or follows a deletion, and how models are deleted."""
     personal = pii_models(pii).select("model")
-    deletes = code["endpoints"].filter(F.array_contains("http_methods", "DELETE"))
-    covered = touching(deletes, personal, "models_deleted").select("model").distinct()
-    missing = personal.join(covered, "model", "left_anti")
-    blocking = code["delete_paths"].filter("is_blocker").join(personal, F.col("target_model") == F.col("model"), "left_semi")
-    soft = code["models"].filter("has_soft_delete").join(personal, F.col("name") == F.col("model"), "left_semi").agg(F.count(F.lit(1)).alias("soft"))
-    hard = code["models"].filter("has_delete_method").join(personal, F.col("name") == F.col("model"), "left_semi").agg(F.count(F.lit(1)).alias("hard"))
-    cascades = code["delete_paths"].filter(F.col("on_delete") == "CASCADE").join(personal, F.col("target_model") == F.col("model"), "left_semi").agg(F.count(F.lit(1)).alias("cascades"))
-    stats = _join(_models(pii), cascades, soft, hard, _some(missing, "model", 10, "without"), _some(blocking, F.concat("source_model", F.lit("."), "field_name", F.lit(" keeps "), "target_model"), 10, "kept"))
+    deletes = touching(code["endpoints"].filter(F.array_contains("http_methods", "DELETE")), personal)
+    missing = personal.join(deletes.select("model").distinct(), "model", "left_anti")
+    paths = _of_personal(code["delete_paths"], pii, "target_model")
+    models = _of_personal(code["models"], pii, "name")
+    stats = _join(
+        _models(pii), deletes.agg(F.count(F.lit(1)).alias("deletes"), F.count_if(~F.coalesce("requires_auth", F.lit(False))).alias("open")), paths.agg(F.count_if(F.col("on_delete") == "CASCADE").alias("cascades")),
+        models.agg(F.count_if("has_soft_delete").alias("soft"), F.count_if("has_delete_method").alias("hard")), _some(missing, "model", 10, "without"), _some(deletes, "path", 10, "paths"), _some(models.filter("has_soft_delete"), "name", 10, "softly"),
+        _some(paths.filter("is_blocker"), F.concat("source_model", F.lit("."), "field_name", F.lit(" keeps "), "target_model"), 10, "kept"),
+    )
     stats = _verdict(verdicts, "§7(3)", stats)
-    return section(stats, "§7(3)", "Erasure", F.col("verdict"), F.array(F.concat(F.col("cascades").cast("string"), F.lit(" cascading paths")), F.concat(F.col("soft").cast("string"), F.lit(" models deleted softly, "), F.col("hard").cast("string"), F.lit(" by a method of their own"))), F.concat(F.transform("without", lambda x: F.concat(F.lit("no DELETE for "), x)), F.col("kept")), F.array(F.lit("Offer deletion for every personal model.")), 1)
+    number = lambda c, said: F.concat(F.col(c).cast("string"), F.lit(said))
+    counts = F.array(number("deletes", " ways to delete personal models"), number("open", " of them open to all"), number("cascades", " cascading paths"), number("hard", " models with a method of their own"))
+    said = F.concat(counts, _each("paths", "DELETE "), _each("softly", "deleted softly: "), _each("without", "no DELETE for "))
+    todo = _lines((F.size("without") > 0, "Offer deletion for every personal model."), (F.size("kept") > 0, "Delete or anonymise what keeps a record before the record."), (F.col("soft") > 0, "Purge what is deleted softly."))
+    return section(stats, "§7(3)", "Erasure", F.col("verdict"), said, F.col("kept"), todo, 1)
 
 
 def consent(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Models of consent, endpoints that take personal data in, and mentions of consent in the files of these endpoints and in settings."""
     personal = pii_models(pii).select("model")
-    collecting = touching(code["endpoints"].filter(F.arrays_overlap("http_methods", F.array(F.lit("POST"), F.lit("ANY")))), personal, "models_written").select("path").distinct()
-    models = code["models"].filter(F.lower("name").contains("consent")).agg(F.count(F.lit(1)).alias("models"))
-    handlers = code["endpoints"].select(F.col("file").alias("file_path")).distinct()
-    words = code["files"].join(handlers, "file_path", "left_semi").agg(F.sum(reduce(lambda a, b: a + b, [F.regexp_count("content", F.lit(f"(?i){p}")) for p in CONSENT])).alias("words"))
-    stats = _verdict(verdicts, "§4", _join(_models(pii), models, words, _some(collecting, "path", 5, "paths")))
-    return section(stats, "§4", "Consent", F.col("verdict"), F.array(F.concat(F.coalesce("words", F.lit(0)).cast("string"), F.lit(" mentions in handlers")), F.concat(F.col("models").cast("string"), F.lit(" consent models"))), F.transform("paths", lambda x: F.concat(F.lit("collects: "), x)), F.array(F.lit("Ask for consent before collecting.")), 1)
+    posts = code["endpoints"].filter(F.arrays_overlap("http_methods", F.array(F.lit("POST"), F.lit("ANY"))))
+    collecting = touching(posts, personal, fallback=True)
+    models = code["models"].filter(F.lower("name").contains("consent"))
+    handlers = collecting.select(F.col("file").alias("file_path")).distinct()
+    mentions = reduce(lambda a, b: a + b, [F.regexp_count("content", F.lit(f"(?i){p}")) for p in CONSENT])
+    middleware = F.col("content").rlike("(?i)consent_?middleware")
+    said = code["files"].join(handlers, "file_path", "left_semi").select("file_path", mentions.alias("n"), middleware.alias("middleware"))
+    settings = code["files"].filter(F.col("file_path").rlike(SETTINGS_PATH) & F.col("content").rlike("(?i)ConsentMiddleware|consent_required")).select("file_path", F.lit(1).alias("n"), F.lit(True).alias("middleware"))
+    words = said.unionByName(settings).filter("n > 0")
+    stats = _join(
+        _models(pii), models.agg(F.count(F.lit(1)).alias("models")), collecting.agg(F.count_distinct("eid").alias("posts")), words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.bool_or("middleware"), F.lit(False)).alias("middleware")),
+        _some(models, "name", 10, "names"), _some(collecting, F.concat("path", F.lit(" takes "), "model"), 5, "paths"), _some(words, F.concat("file_path", F.lit(": "), F.col("n").cast("string")), 10, "mentions"),
+    )
+    stats = _verdict(verdicts, "§4", stats)
+    number = lambda c, said: F.concat(F.col(c).cast("string"), F.lit(said))
+    evidence_ = F.concat(F.array(number("models", " models of consent"), number("posts", " endpoints take personal data"), number("words", " mentions of consent")), _each("names", "model: "), _each("paths", ""), _each("mentions", "mentions in "), _lines((F.col("middleware"), "Consent is asked for on the way in.")))
+    blockers = _lines(((F.col("posts") > 0) & (F.col("words") == 0), "Personal data is taken in where consent is never mentioned."))
+    return section(stats, "§4", "Consent", F.col("verdict"), evidence_, blockers, _lines((F.col("models") == 0, "Keep a record of consent."), (F.col("words") == 0, "Ask for consent before collecting.")), 1)
 
 
 def minimisation(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:

@@ -399,10 +399,15 @@ def dependency_names(files: DataFrame) -> DataFrame:
     return both.groupBy("package").agg(F.max_by("version", F.struct("seq", "at")).alias("version"))
 
 
-def framework(files: DataFrame) -> DataFrame:
-    """One row: primary, version, orm, has_drf, has_celery, has_jwt, has_oauth, auth_middleware, settings_files, global_auth_required.
+SETTINGS_READ, SETTINGS_SHOWN = 8, 10
 
-    Packages are compared as manifests are read, with underscores; where no manifest tells, an import in a Python file does.
+
+def framework(files: DataFrame, settings_read: int | None = SETTINGS_READ, settings_shown: int | None = SETTINGS_SHOWN) -> DataFrame:
+    """One row: primary, version, orm, has_drf, has_celery, has_jwt, has_oauth, auth_middleware, settings_files, n_settings, global_auth_required.
+
+    Packages are compared as manifests are read, with underscores; where no manifest tells, an import in a Python file does. Of the settings files, in
+    the order of their paths, the first ``settings_read`` are searched and the first ``settings_shown`` are named (None: all). Classes of
+    sign-in are in the order in which the files name them.
     """
     deps = dependency_names(files).select(F.collect_list(F.struct("package", "version")).alias("l")).select(F.map_from_entries("l").alias("d"))
     has = lambda *names: F.exists(F.array(*map(F.lit, names)), lambda n: F.map_contains_key("d", n))
@@ -410,19 +415,19 @@ def framework(files: DataFrame) -> DataFrame:
     known = ("django", "fastapi", "flask")
     imports = python.agg(*[F.coalesce(F.bool_or(F.col("content").contains(f"from {k}") | F.col("content").contains(f"import {k}")), F.lit(False)).alias(f"imports_{k}") for k in known])
     settings = python.filter(F.col("file_path").rlike(r"(?:^|/)settings[^/]*\.py$|(?:^|/)settings/"))
-    first = settings.orderBy("file_path").limit(10)  # a project's few settings files
+    firsts = lambda n: settings if n is None else settings.orderBy("file_path").limit(n)
     global_auth = F.col("content").contains("IsAuthenticated") & F.col("content").contains("DEFAULT_PERMISSION_CLASSES")
-    said = first.agg(
-        F.array_sort(F.collect_list("file_path")).alias("settings_files"), F.coalesce(F.bool_or(global_auth), F.lit(False)).alias("global_auth_required"),
-        F.array_compact(F.array(*[F.when(F.coalesce(F.bool_or(F.col("content").contains(a)), F.lit(False)), a) for a in fixed.AUTHENTICATION])).alias("auth_middleware"),
-    )
+    found = [F.struct(F.min(F.when(F.col("content").contains(a), F.col("file_path"))).alias("file"), F.lit(i).alias("i"), F.lit(a).alias("name")) for i, a in enumerate(fixed.AUTHENTICATION)]
+    read = firsts(settings_read).agg(F.coalesce(F.bool_or(global_auth), F.lit(False)).alias("global_auth_required"), F.array(*found).alias("found"))
+    read = read.select("global_auth_required", F.transform(F.array_sort(F.filter("found", lambda x: x["file"].isNotNull())), lambda x: x["name"]).alias("auth_middleware"))
+    said = read.join(firsts(settings_shown).agg(F.array_sort(F.collect_list("file_path")).alias("settings_files")), F.lit(True)).join(settings.agg(F.count(F.lit(1)).alias("n_settings")), F.lit(True))
     primary = F.when(has("django"), "django").when(has("fastapi"), "fastapi").when(has("flask"), "flask")
     seen = F.when(F.col("imports_django"), "django").when(F.col("imports_fastapi"), "fastapi").when(F.col("imports_flask"), "flask").otherwise("unknown")
     orm = F.when(primary == "django", "django-orm").when((primary == "fastapi") & has("sqlalchemy"), "sqlalchemy").when((primary == "fastapi") & has("tortoise-orm"), "tortoise-orm").when((primary == "flask") & has("sqlalchemy"), "sqlalchemy")
     one = deps.join(imports, F.lit(True)).join(said, F.lit(True))  # one row each
     return one.select(
         F.coalesce(primary, seen).alias("primary"), F.try_element_at("d", primary).alias("version"), orm.alias("orm"), ((primary == "django") & has("djangorestframework")).alias("has_drf"), has("celery").alias("has_celery"),
-        has(*fixed.JWT_PACKAGES).alias("has_jwt"), has(*fixed.OAUTH_PACKAGES).alias("has_oauth"), "auth_middleware", "settings_files", "global_auth_required",
+        has(*fixed.JWT_PACKAGES).alias("has_jwt"), has(*fixed.OAUTH_PACKAGES).alias("has_oauth"), "auth_middleware", "settings_files", "n_settings", "global_auth_required",
     ).withColumn("has_drf", F.coalesce("has_drf", F.lit(False)))
 
 
