@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, modest_batches, parts, scratch_root
+from .common import give_back, materialize, modest_batches, pack, parts, release, scratch_root, unpack
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,11 +139,9 @@ def _encode(docs: DataFrame, path: str, seq_len: int) -> DataFrame:
     return cols.mapInArrow(run, schema)
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = 1) -> DataFrame:
-    """One row per sequence, dealt out by ranges of slots and sorted by slot inside each: slot, shard, doc_id, seq_no, n_tokens, record.
-
-    ``record`` holds ``n_tokens`` little-endian uint16 ids, padded with the end token to ``seq_len``.
-    """
+def _dealt(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, seq_len: int, shard_slots: int, key: int) -> tuple[DataFrame, list[DataFrame]]:
+    """slot, doc_id, seq_no, n_tokens, packed (the ids, compressed, without padding), shard: dealt by ranges of slots and sorted by slot inside each;
+    and the stored tables that it reads."""
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -159,6 +157,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     numbered = counts.join(F.broadcast(starts), "range")  # one row a partition
     numbered = numbered.select("uid", (F.col("start") + F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).alias("first"))
     numbered = materialize(numbered, "token-places")  # two numbers a document
+    release(counts)
     few = F.broadcast(numbered) if numbered.count() <= BROADCAST_DOCS else numbered
     joined = coded.select("uid", "doc_id", "packed").join(few, "uid").select("doc_id", "first", "packed")
     n, stride = int(total or 0), 2 * seq_len
@@ -185,9 +184,22 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     ranges = min(parts(spark), shards)
     # slots fill [0, N) evenly, so equal ranges need no sampling pass
     dealt = cut_rows.repartitionById(ranges, F.floor(F.col("shard") * F.lit(ranges) / F.lit(shards)).cast("int")).sortWithinPartitions("slot")
+    return dealt, [coded, numbered]
+
 
+def _end_token(tokenizer: str) -> bytes:
+    """The end token as it stands in a record; it follows the ranks."""
     with open(tokenizer, "rb") as f:
-        end = array("H", [sum(1 for _ in f)]).tobytes()  # the end token follows the ranks
+        return array("H", [sum(1 for _ in f)]).tobytes()
+
+
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = 1) -> DataFrame:
+    """One row per sequence, dealt out by ranges of slots and sorted by slot inside each: slot, shard, doc_id, seq_no, n_tokens, record.
+
+    ``record`` holds ``n_tokens`` little-endian uint16 ids, padded with the end token to ``seq_len``.
+    """
+    dealt, _ = _dealt(docs, id_col, text_col, tokenizer, seq_len, shard_slots, key)
+    end, stride = _end_token(tokenizer), 2 * seq_len
 
     def pad(batches):
         import zstandard
@@ -201,40 +213,38 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return dealt.mapInArrow(pad, "slot long, shard long, doc_id long, seq_no int, n_tokens int, record binary")
 
 
-def _shards(batches, path: str):
-    """Write the shards of a task; of each that is done: shard, file, its rows (slot, doc_id, seq_no, n_tokens), n_bytes, sha256.
+def _whole_shards(dealt: DataFrame) -> DataFrame:
+    """shard, rows (slots, ids, numbers, lengths), ids (the token ids of its sequences one after the other): a row a shard."""
 
-    A file is written under a name of its own attempt and then renamed, so a retried or duplicated task leaves the
-    same bytes.
-    """
-    import os
-    import uuid
+    def run(batches):
+        import zstandard
 
-    from pyarrow import fs
+        unpack_, pack_ = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        now, held = None, []
 
-    store, root = fs.FileSystem.from_uri(path)
-    store.create_dir(root, recursive=True)
-    now = out = None
-
-    def finish():
-        out.close()
-        store.move(f"{root}/{temp}", f"{root}/{name}")
-        return now, name, rows, size, digest.hexdigest()
-
-    for batch in batches:
-        for slot, shard, doc_id, seq_no, n_tokens, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != now:
-                if out:
-                    yield finish()
-                now, name = shard, f"shard-{shard:08d}.bin"
-                temp = f".{name}.{os.getpid()}-{uuid.uuid4().hex}"
-                out, digest, rows, size = store.open_output_stream(f"{root}/{temp}"), hashlib.sha256(), [], 0
-            out.write(record)
-            digest.update(record)
-            rows.append((slot, doc_id, seq_no, n_tokens))
-            size += len(record)
-    if out:
-        yield finish()
+        def done():
+            slots, ids, known, nos, lens = (np.concatenate([h[i] for h in held]) for i in range(5))
+            rows = pack(slots, ids, known, nos, lens)
+            data = pack_(b"".join(b for h in held for b in h[5]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([rows], pa.binary()), pa.array([data], pa.binary())], names=["shard", "rows", "ids"])
+
+        for batch in batches:
+            shards = batch.column(5).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(shards, prepend=shards[:1] - 1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(shards)], strict=True):
+                if int(shards[a]) != now:
+                    if held:
+                        yield done()
+                    now = int(shards[a])
+                part = batch.slice(a, b - a)
+                ids = part.column(1)
+                held.append((part.column(0).to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False), [unpack_(x) for x in part.column(4).to_pylist()]))
+        if held:
+            yield done()
+        give_back()
+
+    return dealt.mapInArrow(run, "shard long, rows binary, ids binary")
 
 
 def write_shards(seqs: DataFrame, path: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -270,28 +280,44 @@ def read_slots(path: str, first: int, count: int, seq_len: int = SEQ_LEN, shard_
         first, count = first + got, count - got
 
 
-def digests(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, shard_slots: int = SHARD_SLOTS, key: int = 1) -> DataFrame:
     """Write all shards and read them back: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record_sha256 of each record.
 
     The files go to ``path``, or else to a fresh folder below that of ``spark.checkpoint.dir``, whenever the rows are
-    computed; offsets and hashes are those of the bytes in the files.
+    computed; offsets and hashes are those of the bytes in the files. The sequences are stored once more in their order, a row a shard and without
+    padding, so that the ids by document and what was shuffled are gone before the shards are written.
     """
-    seqs = sequences(docs, **options)
+    dealt, read = _dealt(docs, id_col, text_col, tokenizer, seq_len, shard_slots, key)
+    whole = materialize(_whole_shards(dealt), "token-shards")
+    del dealt  # what it shuffled goes with it
+    release(*read)
     path = path or f"{scratch_root(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    stride = 2 * options.get("seq_len", SEQ_LEN)
+    end, stride = _end_token(tokenizer), 2 * seq_len
 
     def run(batches):
+        import zstandard
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        for shard, name, rows, size, _ in _shards(batches, path):
-            with store.open_input_file(f"{root}/{name}") as f:
-                data = f.read()
-            if len(data) != size or size != stride * len(rows):
-                raise OSError(f"{name} holds {len(data)} bytes, not {stride * len(rows)}")
-            slots, ids, nos, lens = zip(*rows, strict=True)
-            at = range(0, size, stride)
-            cols = [(slots, pa.int64()), ([shard] * len(rows), pa.int64()), (list(at), pa.int64()), (ids, pa.int64()), (nos, pa.int32()), (lens, pa.int32()), ([hashlib.sha256(data[i : i + stride]).hexdigest() for i in at], pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record_sha256"])
-
-    return seqs.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, record_sha256 string")
+        store.create_dir(root, recursive=True)
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for shard, rows, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                slots, docs_, known, nos, lens = unpack(rows.as_py(), np.int64, np.int64, np.uint8, np.int32, np.int32)
+                data, ends = expand(ids.as_py()), 2 * np.cumsum(lens, dtype=np.int64)
+                name = f"shard-{shard:08d}.bin"
+                temp = f".{name}.{os.getpid()}-{uuid.uuid4().hex}"
+                with store.open_output_stream(f"{root}/{temp}") as out:
+                    for a, b in zip((ends - 2 * lens).tolist(), ends.tolist(), strict=True):
+                        out.write(data[a:b] + end * ((stride - (b - a)) // 2))
+                store.move(f"{root}/{temp}", f"{root}/{name}")
+                with store.open_input_file(f"{root}/{name}") as f:
+                    data = f.read()
+                if len(data) != stride * len(slots):
+                    raise OSError(f"{name} holds {len(data)} bytes, not {stride * len(slots)}")
+                at = np.arange(len(slots), dtype=np.int64) * stride
+                hashes = [hashlib.sha256(data[i : i + stride]).hexdigest() for i in at.tolist()]
+                cols = [pa.array(slots), pa.array(np.full(len(slots), shard, dtype=np.int64)), pa.array(at), pa.array(docs_, mask=known == 0), pa.array(nos), pa.array(lens), pa.array(hashes, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record_sha256"])
+
+    return whole.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, record_sha256 string")
