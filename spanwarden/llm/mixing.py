@@ -7,7 +7,7 @@ number is checked against ``MAX_PATTERNS``.
 
 Selection is seeded: whole rounds take every document of a pattern; for the fractional round documents are met in the order of a
 keyed hash, and one is taken while it fits into what is left. The first that does not fit ends a stretch; behind it only documents
-that fit go on, for ``STRETCHES`` stretches. A stretch is a few numbers a pattern (from where, to where, greatest size), so taking is a test of
+that fit go on, for ``STRETCHES`` stretches, and one last document is taken if it brings the pattern nearer to its words, be it over them. A stretch is a few numbers a pattern (from where, to where, greatest size), so taking is a test of
 each row by itself and no text is moved.
 
 The running totals are distributed: hash order is cut into ``BUCKETS`` ranges, totals of ranges are accumulated, and a
@@ -19,7 +19,7 @@ Null text has size 0; a null source, an empty array and an array of nulls are on
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,25 +62,44 @@ def route(patterns: dict[tuple, int], targets: dict, max_repeats: int = MAX_REPE
     for p in patterns:
         for s in p:
             members.setdefault(s, []).append(p)
+    # lends[s][other]: the patterns that s shares with another source which draws from them, so that it may draw elsewhere instead
+    lends: dict[object, dict[object, dict[tuple, None]]] = {s: {} for s in need}
+
+    def change(p: tuple, s: object, by: int) -> None:
+        before = flow.get((p, s), 0)
+        flow[p, s] = before + by
+        if (before > 0) != (before + by > 0):
+            for other in p:
+                if other != s:
+                    held = lends[other].setdefault(s, {})
+                    if by > 0:
+                        held[p] = None
+                    else:
+                        held.pop(p, None)
+
     for level in range(max_repeats):  # all words at one repetition cost before any at the next: convex costs
         cap = {p: (level + 1) * size for p, size in patterns.items()}
+        first = dict.fromkeys(need, 0)  # of each source, its first pattern that may have room: none gets room back within a level
+
+        def room(s: object, cap=cap, first=first) -> tuple | None:
+            own = members.get(s, ())
+            while first[s] < len(own) and used[own[first[s]]] >= cap[own[first[s]]]:
+                first[s] += 1
+            return own[first[s]] if first[s] < len(own) else None
+
         for s in sorted(need, key=lambda x: (x is None, str(x))):
             while need[s] > 0:
-                # cheapest residual path from a pattern with room to source s
-                heap, seen, back, tick = [(0, 0, s)], {s}, {}, 0
-                found = None
-                while heap and found is None:
-                    d, _, at = heapq.heappop(heap)
-                    for p in members.get(at, ()):
-                        if used[p] < cap[p]:
-                            found = (p, at)
-                            break
-                        for other in p:
-                            if other not in seen and flow.get((p, other), 0) > 0:
-                                seen.add(other)
-                                back[other] = (p, at)
-                                tick += 1
-                                heapq.heappush(heap, (d + 1, tick, other))
+                # the shortest way from a pattern with room to source s, over sources that draw elsewhere
+                ways, back, found = deque([s]), {s: None}, None
+                while ways:
+                    at = ways.popleft()
+                    if (p := room(at)) is not None:
+                        found = (p, at)
+                        break
+                    for other, shared in lends[at].items():
+                        if shared and other not in back:
+                            back[other] = (next(iter(shared)), at)
+                            ways.append(other)
                 if found is None:
                     break
                 p, at = found
@@ -90,13 +109,29 @@ def route(patterns: dict[tuple, int], targets: dict, max_repeats: int = MAX_REPE
                     path.append((via, node, nxt))
                     push = min(push, flow[via, node])
                     node = nxt
-                flow[p, at] = flow.get((p, at), 0) + push
+                change(p, at, push)
                 used[p] += push
                 for via, donor, taker in path:
-                    flow[via, donor] -= push
-                    flow[via, taker] = flow.get((via, taker), 0) + push
+                    change(via, donor, -push)
+                    change(via, taker, push)
                 need[s] -= push
-    return flow
+    return {k: n for k, n in flow.items() if n}
+
+
+def _taken(at, size):
+    """Whether one of the stretches takes a document, or it is the one that brings its pattern nearest."""
+    by_stretch = F.exists("stretches", lambda s: (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at < s["until"])) & (size <= s["most"]))
+    return F.coalesce(by_stretch, F.lit(False))
+
+
+def _nearest(rows: DataFrame, quota: DataFrame) -> DataFrame:
+    """key, extra: of each pattern the untaken document that brings its words nearest to what is wanted, if one does; it may overshoot by less than is missing."""
+    quota = quota.filter("left > 0").select("key", "left", "stretches")
+    flagged = rows.join(F.broadcast(quota) if quota.count() <= BROADCAST_PATTERNS else quota, "key").filter("size > 0").withColumn("in", _taken(F.col("at"), F.col("size")))
+    rest = flagged.groupBy("key").agg((F.first("left") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))), F.lit(0))).alias("rest")).filter("rest > 0")
+    rest = materialize(rest, "mix-rest")
+    fits = flagged.filter(~F.col("in")).join(F.broadcast(rest) if rest.count() <= BROADCAST_PATTERNS else rest, "key").filter("size < 2 * rest")
+    return fits.groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), F.col("at"))).alias("m")).select("key", F.col("m.at").alias("extra"))
 
 
 def _stretches(rows: DataFrame, rest: DataFrame) -> DataFrame:
@@ -165,12 +200,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ]
     quota = docs.sparkSession.createDataFrame(plan, "__pattern array<string>, target double, source_size long, rounds long, left long")
     quota = quota.withColumn("key", F.to_json(F.struct("__pattern"))).drop("__pattern")
-    quota = quota.join(_stretches(sizes_only.select("key", "at", "size"), quota.filter(F.col("left") > 0).select("key", "left")), "key", "left").drop("left")
-    quota = materialize(quota, "mix-quota")
+    sized = sizes_only.select("key", "at", "size")
+    quota = materialize(quota.join(_stretches(sized, quota.filter(F.col("left") > 0).select("key", "left")), "key", "left"), "mix-quota")
+    quota = materialize(quota.join(_nearest(sized, quota), "key", "left").drop("left"), "mix-quota")
     release(sizes_only)
     out = rows.join(F.broadcast(quota) if len(plan) <= BROADCAST_PATTERNS else quota, "key")
     at, size = F.col("at"), F.col("size")
-    taken = F.exists("stretches", lambda s: (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at < s["until"])) & (size <= s["most"]))
-    copies = F.when(size > 0, F.col("rounds") + F.coalesce(taken, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+    taken = _taken(at, size) | F.coalesce(at == F.col("extra"), F.lit(False))
+    copies = F.when(size > 0, F.col("rounds") + taken.cast("long")).otherwise(F.lit(0)).cast("long")
     own = ("size", "source_size", "target", "taken", "copies", "doc_id")
     return out.select("doc_id", size, "source_size", "target", (size * copies).alias("taken"), copies.alias("copies"), *[F.col(f"__keep_{c}").alias(f"{c}_in" if c in own else c) for c in keep])
