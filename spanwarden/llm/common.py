@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -100,9 +101,19 @@ def groups(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = G
             size += len(t)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+    give_back()
 
 
-def modest_batches(spark: SparkSession, limit: str = "8m") -> None:
+def give_back() -> None:
+    """At a task's end: memory that it freed goes back to the system, since the worker waits for its next task with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def modest_batches(spark: SparkSession, limit: str = "4m") -> None:
     """Rows here hold whole texts and sets: smaller Arrow batches than Spark's default of 64 MB bound a task's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 
 def _forest(batches):
@@ -32,6 +32,7 @@ def _forest(batches):
             yield flush()
             parent.clear()
     yield flush()
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, groups, materialize, mix, modest_batches, parts, signed
+from .common import RangeHash, Words, give_back, groups, materialize, mix, modest_batches, parts, signed
 from .components import components
 
 SHINGLE = 5
@@ -253,6 +253,7 @@ def _bucket_pairs(keys: DataFrame) -> DataFrame:
                 held_key = held_ids = np.zeros(0, dtype=np.int64)
         if len(held_key):
             yield from settle(held_key, held_ids)
+        give_back()
 
     return keys.repartition(parts(keys.sparkSession), "key").sortWithinPartitions("key", "cold", "id").mapInArrow(run, "a long, b long, key long")
 
@@ -331,6 +332,7 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) ->
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
