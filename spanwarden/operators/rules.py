@@ -84,8 +84,13 @@ def load_pack(path: str | Path) -> Pack:
     path = Path(path)
     if not path.is_file():
         raise RuleLoadError(f"{path}: no such file")
+    return pack_of_text(path.read_text(encoding="utf-8"), str(path))
+
+
+def pack_of_text(said: str, path: str) -> Pack:
+    """A pack from its YAML; ``path`` is named in errors."""
     try:
-        raw = yaml.safe_load(path.read_text(encoding="utf-8"))
+        raw = yaml.safe_load(said)
     except yaml.YAMLError as e:
         raise RuleLoadError(f"{path}: not valid YAML: {e}") from e
     if not isinstance(raw, dict):
