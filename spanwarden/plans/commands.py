@@ -18,6 +18,7 @@ from ..operators import dependencies, fixed, privacy, reports, structure, syntax
 from ..operators import scan as ops
 from ..operators.rules import Pack, RuleLoadError, load_pack, load_pack_directory
 from ..schemas import SEVERITIES
+from ..sinks import documents
 from ..sources import files as src
 
 PACKS = Path(__file__).resolve().parent.parent / "packs"
@@ -36,6 +37,14 @@ def write(pieces: Iterable[str], path: str | None, after: str = "") -> None:
             out.close()
 
 
+def save(v: DataFrame, kind: str, path: str, s: dict | None = None) -> None:
+    """A document of all violations as one file, written by the tasks: the driver holds its head only."""
+    frames = {"json": lambda: (json.dumps({"summary": s})[:-1] + ', "violations": [', "]}\n"), "sarif": lambda: tuple(reports.sarif_frame(v, "spanwarden", "1", "scan")), "table": lambda: ("", "\n"), "baseline": lambda: (json.dumps({"version": 1, "created": datetime.now(UTC).isoformat(), "total": v.count()})[:-1] + ', "violations": [', "]}\n")}
+    before, after = frames[kind]()
+    rows = reports.document_rows(v, kind)
+    documents.save(rows, "line", [c for c in rows.columns if c != "line"], str(Path(path).resolve()), before, after, "\n" if kind == "table" else ", ")
+
+
 def result_document(v: DataFrame, s: dict) -> Iterator[str]:
     yield json.dumps({"summary": s})[:-1] + ', "violations": ['
     for i, r in enumerate(reports.result_json(v).toLocalIterator()):
@@ -157,14 +166,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             v = ops.without_known(v, src.read_baseline(spark, a.baseline))
         v = v.persist()
         if a.command == "baseline":
-            write(reports.baseline_document(v, datetime.now(UTC).isoformat()), a.output or ".baseline.json")
+            save(v, "baseline", a.output or ".baseline.json")
             return 0
         s = summary(v, files, packs, a.fail_on, a.fail_on if a.command == "ci" else a.warn_on)
         if a.command == "ci":
             for r in reports.ci_lines(v, a.fail_on).orderBy("seq").toLocalIterator():
                 print(r["ci"])
+            print(", ".join(f"{k}: {n}" for k, n in sorted(s["by_severity"].items()) if n) or "nothing found")
+        if a.output:
+            save(v, a.format, a.output, s)
+            return int(s["overall_status"] == "failed")
         pieces = {"json": lambda: result_document(v, s), "sarif": lambda: reports.sarif_document(v, "spanwarden", "1", "scan"), "table": lambda: reports.terminal_table(v)}[a.format]()
-        write(pieces, a.output, "\n" if a.format == "table" else "")
+        write(pieces, None, "\n" if a.format == "table" else "")
         return int(s["overall_status"] == "failed")
     except RuleLoadError as e:
         print(e, file=sys.stderr)

@@ -129,5 +129,15 @@ def stitch(path: str, out: str) -> int:
     return size
 
 
+def save(rows: DataFrame, line: str, order: list[str], out: str, before: str = "", after: str = "", between: str = ", ") -> int:
+    """One file of ``line`` of all rows, by way of a folder of pieces beside it that is gone afterwards; returns its size."""
+    folder = f"{out}.{uuid.uuid4().hex}"
+    write(rows, line, order, folder, before, after, between)
+    size = stitch(folder, out)
+    store, root = _store(folder)
+    store.delete_dir(root)
+    return size
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(DocumentSource)
