@@ -247,6 +247,42 @@ def _whole_shards(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "shard long, rows binary, ids binary")
 
 
+def _shards(batches, path: str):
+    """Write the shards of a task; of each that is done: shard, file, its rows (slot, doc_id, seq_no, n_tokens), n_bytes, sha256.
+
+    A file is written under a name of its own attempt and then renamed, so a retried or duplicated task leaves the
+    same bytes.
+    """
+    import os
+    import uuid
+
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    now = out = None
+
+    def finish():
+        out.close()
+        store.move(f"{root}/{temp}", f"{root}/{name}")
+        return now, name, rows, size, digest.hexdigest()
+
+    for batch in batches:
+        for slot, shard, doc_id, seq_no, n_tokens, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now:
+                if out:
+                    yield finish()
+                now, name = shard, f"shard-{shard:08d}.bin"
+                temp = f".{name}.{os.getpid()}-{uuid.uuid4().hex}"
+                out, digest, rows, size = store.open_output_stream(f"{root}/{temp}"), hashlib.sha256(), [], 0
+            out.write(record)
+            digest.update(record)
+            rows.append((slot, doc_id, seq_no, n_tokens))
+            size += len(record)
+    if out:
+        yield finish()
+
+
 def write_shards(seqs: DataFrame, path: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Write each shard of ``sequences`` as one fixed-stride file under ``path`` (a URI that all executors reach).
 
