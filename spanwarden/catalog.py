@@ -1,7 +1,7 @@
 """All registered queries of the library and, for each, the SQL that gives the same rows.
 
 The documents become a made-up file tree (``sources.files.documents_as_files``), so the scan runs on the given tables.
-Every query reads its whole tables.
+Every query reads its whole tables; those over ``_tree`` read the documents' numbers and lengths, not their texts.
 """
 
 from __future__ import annotations

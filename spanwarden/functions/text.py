@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -33,6 +33,21 @@ def explode_lines(files: DataFrame, text: str = "content", *keep: str) -> DataFr
     return files.select(*cols, F.posexplode(parts).alias("__at", "line")).select(*cols, (F.col("__at") + 1).alias("line_no"), "line")
 
 
+def all_matches(rows: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
+    """key, nth (from 0), at (letter from 1), line (by line feeds, from 1), match: all matches in each row's text, as a search from left to right finds them.
+
+    What stands between the matches tells where they are: gaps and matches alternate, so running lengths are places. The pattern is Java's and must
+    not match nothing. ``key`` names a row.
+    """
+    text_, found = F.coalesce(F.col(column), F.lit("")), F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(pattern), 0)
+    gaps = F.split(text_, pattern, -1)
+    cut = rows.filter(text_.rlike(pattern)).select(key, F.posexplode(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))).alias("nth", "m")).select(key, "nth", "m.gap", "m.match")
+    breaks = lambda c: F.length(c) - F.length(F.replace(c if isinstance(c, Column) else F.col(c), F.lit("\n"), F.lit("")))
+    before = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    passed = lambda f: F.coalesce(F.sum(f("gap") + f("match")).over(before), F.lit(0)) + f("gap") + 1
+    return cut.select(key, "nth", passed(F.length).cast("int").alias("at"), passed(breaks).cast("int").alias("line"), "match")
+
+
 def redact_secrets(text: Column) -> Column:
     for p in SECRETS:
         text = F.regexp_replace(text, p, F.lit(REDACTED.replace("$", r"\$")))

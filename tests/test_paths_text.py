@@ -50,3 +50,16 @@ def test_fingerprint_and_redaction(spark):
     assert row["f"] == hashlib.sha256(b"p/r|a/b.py|foo").hexdigest()[:16]
     assert row["red"] == "x [REDACTED] y [REDACTED]"
     assert (row["m"], row["pk"], row["sl"]) == ("CustomerOrder", "a/b", "c")
+
+
+def test_all_matches_are_those_of_a_search_from_the_left(spark):
+    import re
+
+    from spanwarden.functions import text
+
+    texts = ["", None, "cat concat cat", "é cat\ncat\n\ncatcat", "no", "x" * 50 + "cat", "\ncat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for pattern in (r"\bcat\b", r"cat", r"[a-z]+\n?", r"(?<=c)a"):
+        got = sorted((r["k"], r["nth"], r["at"], r["line"], r["match"]) for r in text.all_matches(df, "k", "t", pattern).collect())
+        want = [(k, n, m.start() + 1, t[: m.start()].count("\n") + 1, m[0]) for k, t in enumerate(texts) for n, m in enumerate(re.finditer(pattern, t or ""))]
+        assert got == want, pattern
