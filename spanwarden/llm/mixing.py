@@ -140,10 +140,9 @@ def _stretches(rows: DataFrame, rest: DataFrame) -> DataFrame:
     ``rows``: key, at (the place in hash order), size. ``rest``: key, left, the words that are wanted.
     """
     place = "struct<h:bigint,k:bigint,size:bigint>"
-    state = rest.select("key", "left", F.lit(None).cast(place).alias("after"))
+    state = materialize(rest.select("key", "left", F.lit(None).cast(place).alias("after")), "mix-rest")
     out = None
     for number in range(STRETCHES):
-        state = materialize(state, "mix-rest")
         fits = (F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("after").isNull() | (F.col("at") > F.col("after")))
         open_ = rows.join(F.broadcast(state) if state.count() <= BROADCAST_PATTERNS else state, "key").filter(fits)
         open_ = open_.withColumn("bucket", F.shiftright(F.col("at.h"), 52))  # BUCKETS ranges of the hash, in order
@@ -158,7 +157,7 @@ def _stretches(rows: DataFrame, rest: DataFrame) -> DataFrame:
         # rows that tie with the edge stay out with it
         taken = inside.join(edge, "key").filter(F.col("at") < F.col("edge.at")).groupBy("key").agg(F.max(F.col("seen") + F.col("size")).alias("taken"))
         edge = edge.join(taken, "key", "left").join(end, "key").select("key", F.col("edge.at").alias("until"), F.coalesce("taken", "before").alias("taken"))
-        done = state.join(edge, "key", "left")
+        done = materialize(state.join(edge, "key", "left"), "mix-rest")  # a row a pattern, so that plans do not pile up on the driver
         stretch = done.select("key", F.lit(number).alias("number"), "after", "until", F.col("left").alias("most"))
         out = stretch if out is None else out.unionAll(stretch)
         state = done.filter("until IS NOT NULL").select("key", (F.col("left") - F.col("taken")).alias("left"), F.col("until").alias("after"))
