@@ -106,8 +106,8 @@ _WORDS = "[A-Za-z]+(?:tion|ment)s?"
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS found, regexp_split_to_array(text, '{_WORDS}') AS gaps FROM d WHERE regexp_matches(text, '{_WORDS}')),
 x AS (SELECT doc_id, unnest(range(len(found))) AS nth, unnest(found) AS match, unnest(gaps[1:len(found)]) AS gap FROM m),
-w AS (SELECT *, coalesce(sum(length(gap) + length(match)) OVER b, 0) + length(gap) + 1 AS at, coalesce(sum(length(gap) - length(replace(gap, chr(10), ''))) OVER b, 0) + length(gap) - length(replace(gap, chr(10), '')) + 1 AS line FROM x WINDOW b AS (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(at AS INTEGER) AS at, CAST(line AS INTEGER) AS line, match FROM w""")
+w AS (SELECT *, coalesce(sum(length(gap) + length(match)) OVER b, 0) + length(gap) + 1 AS place, coalesce(sum(length(gap) - length(replace(gap, chr(10), ''))) OVER b, 0) + length(gap) - length(replace(gap, chr(10), '')) + 1 AS line FROM x WINDOW b AS (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(place AS INTEGER) AS "at", CAST(line AS INTEGER) AS line, match FROM w""")
 def all_matches(spark, sf_dir):
     """Every match of a pattern in every document, with its letter and line."""
     return text.all_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _WORDS)

@@ -20,7 +20,7 @@ def same(spark, sf_dir, name):
     return rows
 
 
-@pytest.mark.parametrize("name", ["structure_extract", "field_types", "cascade_parse", "library_category", "pii_classified", "framework_details", "judged_sections", "judged_findings"])
+@pytest.mark.parametrize("name", ["structure_extract", "field_types", "cascade_parse", "library_category", "pii_classified", "framework_details", "judged_sections", "judged_findings", "tree_rules", "taint_flows", "dependency_rules", "lexed_bodies", "routes_of_code", "erasure_section", "consent_section", "children_status", "authorised_requests", "all_matches"])
 def test_queries_over_the_tree_agree_with_their_sql(spark, small, name):
     assert same(spark, small, name)
 
