@@ -76,7 +76,7 @@ def _answers(spark, sf_dir):
 
 
 def _pii(spark, sf_dir, code):
-    return privacy.classified(_answers(spark, sf_dir), code["models"], code["fields"]).select("model", "field", "classification", "reason")
+    return stored(privacy.classified(_answers(spark, sf_dir), code["models"], code["fields"]).select("model", "field", "classification", "reason"))
 
 
 def _section(analyse, spark, sf_dir, **more):

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 PERSONAL = ("PII", "SENSITIVE_PII")
 #: Fixed values that the sections look for.
 RETENTION_FIELDS = ("expires_at", "expiry_date", "expiry", "retention_period", "retention_days", "ttl", "valid_until", "valid_till", "purge_after", "auto_delete_at", "delete_after", "data_retention", "retention_end")
@@ -49,20 +51,21 @@ Section = Callable[[dict[str, DataFrame], DataFrame], DataFrame]
 
 def _hit(patterns: tuple[str, ...], content: Column) -> Column:
     """The first pattern's leftmost match as "line: match", the line counted by line feeds; null without one."""
-    out = None
-    for p in patterns:
-        j = f"(?i){p}"
-        at = F.regexp_instr(content, F.lit(j))
-        said = F.concat((F.length(F.substring(content, F.lit(1), at - 1)) - F.length(F.replace(F.substring(content, F.lit(1), at - 1), F.lit("\n"), F.lit(""))) + 1).cast("string"), F.lit(": "), F.regexp_substr(content, F.lit(j)))
-        out = F.when(content.rlike(j), said) if out is None else out.when(content.rlike(j), said)
-    return out
+    found = F.filter(F.array(*[F.regexp_extract(content, f"(?i){p}", 0) for p in patterns]), lambda m: m != "")
+    # places by instr count characters; those of regexp_instr count halves of characters beyond the first plane
+    before = lambda m: F.left(content, F.instr(content, m) - 1)
+    line = lambda m: F.length(before(m)) - F.length(F.replace(before(m), F.lit("\n"), F.lit(""))) + 1
+    return F.get(F.transform(F.slice(found, 1, 1), lambda m: F.concat(line(m).cast("string"), F.lit(": "), m)), F.lit(0))
 
 
 def evidence(files: DataFrame, families: dict[str, tuple[str, ...]], python_only: bool = True) -> DataFrame:
-    """file_path and, for each family, its first match in the file: one pass over the files for all families."""
+    """file_path and, for each family, its first match in the file: one pass over the files for all families.
+
+    The matches are an array that is exploded, so that the test for any match reads them and does not search the files again.
+    """
     rows = files.filter(F.col("file_path").endswith(".py")) if python_only else files
-    rows = rows.select("file_path", *[_hit(p, F.col("content")).alias(name) for name, p in families.items()])
-    return rows.filter(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in families]))
+    found = F.array(F.struct(*[_hit(p, F.col("content")).alias(name) for name, p in families.items()]))
+    return rows.select("file_path", F.inline(F.filter(found, lambda x: reduce(lambda a, b: a | b, [x[n].isNotNull() for n in families]))))
 
 
 def pii_models(pii: DataFrame) -> DataFrame:
@@ -204,7 +207,7 @@ def retention(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     """Fields that end a record, policies and schedules in the code, commands of administration, soft deletes."""
     dated = code["fields"].filter(F.lower("name").isin(*RETENTION_FIELDS))
     fields = _of_personal(dated, pii, "model")
-    found = evidence(code["files"], {"policy": RETENTION_POLICY, "scheduler": SCHEDULERS, "command": MANAGEMENT})
+    found = stored(evidence(code["files"], {"policy": RETENTION_POLICY, "scheduler": SCHEDULERS, "command": MANAGEMENT}))
     found = found.withColumn("command", F.when(F.col("file_path").contains("management/commands/"), F.col("command")))
     seen = found.agg(F.count("policy").alias("policies"), F.count("scheduler").alias("schedulers"))
     soft = _of_personal(code["models"].filter("has_soft_delete"), pii, "name")
@@ -220,12 +223,13 @@ def retention(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
 
 def breach(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     """Alerting libraries and settings, words of a breach in the code, models of an audit log, ways to send messages."""
-    alerts = code["libraries"].filter(F.lower(F.substring_index("module", ".", 1)).isin(*ALERTING)).select(F.concat("module", F.lit(" in "), "file").alias("alert"))
+    libraries = stored(code["libraries"].select("module", "file", "category"))
+    alerts = libraries.filter(F.lower(F.substring_index("module", ".", 1)).isin(*ALERTING)).select(F.concat("module", F.lit(" in "), "file").alias("alert"))
     settings = code["files"].filter(F.col("file_path").rlike(SETTINGS_PATH) & F.col("content").rlike("(?i)SENTRY_DSN|sentry_sdk[.]init|PAGERDUTY|OPSGENIE|DATADOG"))
-    alerts = alerts.unionByName(settings.select(F.concat(F.lit("configured in "), "file_path").alias("alert")))
-    found = evidence(code["files"], {"breach": BREACH, "mail": NOTIFICATION})
+    alerts = stored(alerts.unionByName(settings.select(F.concat(F.lit("configured in "), "file_path").alias("alert"))))
+    found = stored(evidence(code["files"], {"breach": BREACH, "mail": NOTIFICATION}))
     audits = code["models"].filter(F.col("name").rlike("(?i)" + "|".join(AUDIT_MODELS)))
-    logging = code["libraries"].filter(F.col("category") == "logging")
+    logging = libraries.filter(F.col("category") == "logging")
     count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
     stats = _join(
         _models(pii), count(alerts, "alerting"), found.agg(F.count("breach").alias("breach"), F.count("mail").alias("mails")), count(audits, "audits"), count(logging, "logging"),
@@ -244,7 +248,7 @@ def children(code: dict[str, DataFrame], pii: DataFrame, risk: bool = False) ->
     fields = _of_personal(code["fields"].filter(F.lower("name").isin(*AGE_FIELDS)), pii, "model")
     child = code["models"].filter(F.lower("name").rlike("|".join(CHILD_MODELS)))
     # a file counts for parental consent only where no earlier family of words is found in it
-    seen = evidence(code["files"], {"first": CHILD, "gate": AGE_GATE})
+    seen = stored(evidence(code["files"], {"first": CHILD, "gate": AGE_GATE}))
     parental = F.col("first").rlike("(?i): .*(?:parental|guardian)")
     at = lambda column: F.concat("file_path", F.lit(":"), column)
     stats = _join(
@@ -273,21 +277,19 @@ def localisation(code: dict[str, DataFrame], pii: DataFrame) -> DataFrame:
     return section(stats, "§11", "Data localisation", status, F.concat(F.transform("said", lambda x: F.concat(F.lit("region: "), x)), F.transform("calls", lambda x: F.concat(F.lit("calls another service: "), x))), F.when(F.col("foreign") > 0, F.array(F.lit("A region abroad is configured."))).otherwise(F.array().cast("array<string>")), F.array(F.lit("State where personal data is stored.")))
 
 
-def named_in(rows: DataFrame, column: str, names: DataFrame, name: str, gram: int = 3) -> DataFrame:
+def named_in(rows: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
     """Rows joined with every name that stands somewhere in their ``column``, whatever the case.
 
-    A name is filed under the rarest of its runs of ``gram`` letters (by how many names have it); a row asks for each of its own runs once, so it
-    emits as many rows as it has letters, and what shares the run is compared. Names shorter than a run are filed under themselves and asked for by their
-    length. Neither side is broadcast.
+    A row asks for each of its runs of letters that is as long as some name, and a name is met by its whole self, so that names which have pieces in
+    common are never compared. The lengths of names are one small row; neither side is broadcast.
     """
     low, key = F.lower(F.col(column)), F.lower(F.col(name))
-    runs = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
     filed = names.withColumn("__key", key).filter(F.col("__key") != "")
-    grams = filed.select("__key").distinct().select("__key", F.explode(F.when(F.length("__key") < gram, F.array("__key")).otherwise(runs(F.col("__key"), gram))).alias("__gram"))
-    often = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
-    rarest = grams.join(often, "__gram").groupBy("__key").agg(F.min(F.struct("__n", "__gram")).alias("m")).select("__key", "m.__gram")
-    asked = rows.withColumn("__low", low).withColumn("__gram", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("__low"), n) for n in range(1, gram + 1)])))))
-    return asked.join(filed.join(rarest, "__key"), "__gram").filter(F.col("__low").contains(F.col("__key"))).drop("__gram", "__low", "__key")
+    lengths = filed.agg(F.collect_set(F.length("__key")).alias("__lengths"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("__low") - n + 1), lambda i: F.substring(F.col("__low"), i, n))
+    fit = F.filter("__lengths", lambda n: n <= F.length("__low"))
+    asked = rows.withColumn("__low", low).join(F.broadcast(lengths), F.lit(True)).withColumn("__key", F.explode(F.array_distinct(F.flatten(F.transform(fit, runs)))))
+    return asked.join(filed, "__key").drop("__low", "__key", "__lengths")
 
 
 def _related(endpoints: DataFrame) -> DataFrame:
@@ -319,7 +321,7 @@ def _verdict(verdicts: DataFrame | None, name: str, stats: DataFrame) -> DataFra
 def erasure(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """DELETE endpoints of personal models, models without one, what blocks or follows a deletion, and how models are deleted."""
     personal = pii_models(pii).select("model")
-    deletes = touching(code["endpoints"].filter(F.array_contains("http_methods", "DELETE")), personal)
+    deletes = stored(touching(code["endpoints"].filter(F.array_contains("http_methods", "DELETE")), personal))
     missing = personal.join(deletes.select("model").distinct(), "model", "left_anti")
     paths = _of_personal(code["delete_paths"], pii, "target_model")
     models = _of_personal(code["models"], pii, "name")
@@ -340,14 +342,14 @@ def consent(code: dict[str, DataFrame], pii: DataFrame, verdicts: DataFrame | No
     """Models of consent, endpoints that take personal data in, and mentions of consent in the files of these endpoints and in settings."""
     personal = pii_models(pii).select("model")
     posts = code["endpoints"].filter(F.arrays_overlap("http_methods", F.array(F.lit("POST"), F.lit("ANY"))))
-    collecting = touching(posts, personal, fallback=True)
+    collecting = stored(touching(posts, personal, fallback=True))
     models = code["models"].filter(F.lower("name").contains("consent"))
     handlers = collecting.select(F.col("file").alias("file_path")).distinct()
     mentions = reduce(lambda a, b: a + b, [F.regexp_count("content", F.lit(f"(?i){p}")) for p in CONSENT])
     middleware = F.col("content").rlike("(?i)consent_?middleware")
     said = code["files"].join(handlers, "file_path", "left_semi").select("file_path", mentions.alias("n"), middleware.alias("middleware"))
     settings = code["files"].filter(F.col("file_path").rlike(SETTINGS_PATH) & F.col("content").rlike("(?i)ConsentMiddleware|consent_required")).select("file_path", F.lit(1).alias("n"), F.lit(True).alias("middleware"))
-    words = said.unionByName(settings).filter("n > 0")
+    words = stored(said.unionByName(settings)).filter("n > 0")
     stats = _join(
         _models(pii), models.agg(F.count(F.lit(1)).alias("models")), collecting.agg(F.count_distinct("eid").alias("posts")), words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.bool_or("middleware"), F.lit(False)).alias("middleware")),
         _some(models, "name", 10, "names"), _some(collecting, F.concat("path", F.lit(" takes "), "model"), 5, "paths"), _some(words, F.concat("file_path", F.lit(": "), F.col("n").cast("string")), 10, "mentions"),

@@ -10,14 +10,19 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
+from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from . import fixed, lexis
 
+#: Files whose contents a task holds as strings at once.
+FILES_AT_ONCE = 64
 ROW = "file string, kind string, owner string, name string, line int, value string, extra string"
 
 
@@ -165,16 +170,18 @@ def extract(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     row of kind "error".
     """
 
+    kinds = pa.schema([(n, pa.int32() if n == "line" else pa.string()) for n in ("file", "kind", "owner", "name", "line", "value", "extra")])
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["file_path"], pdf["content"], strict=True):
-                if content:
-                    rows += _python_rows(path, content) if path.endswith(".py") else _regex_rows(path, content[:max_chars])
-            out = pd.DataFrame(rows, columns=["file", "kind", "owner", "name", "line", "value", "extra"])
-            yield out.astype({"line": "int32"}) if len(out) else out
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                rows = []
+                for path, content in zip(*(c.to_pylist() for c in batch.slice(at, FILES_AT_ONCE).columns), strict=True):
+                    if content:
+                        rows += _python_rows(path, content) if path.endswith(".py") else _regex_rows(path, content[:max_chars])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds.types, strict=True)], schema=kinds)
 
-    return files.select("file_path", "content").mapInPandas(run, ROW)
+    return files.select("file_path", "content").mapInArrow(run, ROW)
 
 
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
@@ -324,19 +331,29 @@ def security_category(module: Column) -> Column:
 
 
 def line_of(content: Column, at: Column) -> Column:
-    """Number of the line that holds the character ``at``."""
+    """Number of the line that holds the character ``at`` (counted as ``instr`` does, not in halves of characters as ``regexp_instr`` does)."""
     before = F.substring(content, F.lit(1), at - 1)
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
+def _at(content: Column, pattern: str) -> Column:
+    """The first character of the pattern's leftmost match."""
+    return F.length(F.regexp_extract(content, rf"^([\s\S]*?)(?:{pattern})", 1)) + 1
+
+
+def _longest(pattern: str) -> list[str]:
+    """Of each alternative of an import pattern its longest literal run: a match holds one of them. The patterns have no groups."""
+    return [max(re.findall(r"[\w/]+", re.sub(r"\\.|\[[^\]]*\]", " ", a)), key=len) for a in pattern.split("|")]
+
+
 def import_patterns(files: DataFrame) -> DataFrame:
     """module, file, line, category: the first place of each import pattern in every file, by constant regexes in one projection."""
     c, found = F.col("content"), []
     for pattern, category, name in fixed.IMPORT_PATTERNS:
-        row = F.struct(F.lit(name).alias("module"), line_of(c, F.regexp_instr(c, F.lit(pattern))).alias("line"), F.lit(category).alias("category"))
-        found.append(F.when(c.rlike(pattern), row))
-    some = files.filter(c.rlike("|".join(f"(?:{p})" for p, _, _ in fixed.IMPORT_PATTERNS)))
-    rows = some.select(F.col("file_path").alias("file"), F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+        row = F.struct(F.lit(name).alias("module"), line_of(c, _at(c, pattern)).alias("line"), F.lit(category).alias("category"))
+        held = reduce(or_, [c.contains(w) for w in sorted(set(_longest(pattern)))])  # a search for a word costs far less than one for a pattern
+        found.append(F.when(held & c.rlike(pattern), row))
+    rows = files.select(F.col("file_path").alias("file"), F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
     # two patterns may name one library
     return _first(rows.select("module", "file", "line", "category"), "module", "file").select("module", "file", "line", "category")
 
@@ -444,8 +461,8 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 def code_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """All structural tables from one extraction that is kept for its readers."""
-    rows = extract(files).persist()
+    """All structural tables from one extraction, stored before its readers start: several that start at once would each extract."""
+    rows = stored(extract(files))
     names = models(rows)
     e = endpoints(rows, names)
     return {"files": files, "models": names, "fields": fields(rows), "endpoints": e, "delete_paths": delete_paths(rows), "libraries": libraries(rows, files)}

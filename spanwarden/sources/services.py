@@ -114,7 +114,7 @@ class «t % 4 = 0|ConsentRecord|»«t % 4 = 1|ChildProfile|»«t % 4 = 2|AuditLo
 """),
 )
 KINDS = len(TEMPLATES)
-BREAKS = "[\r\n\x00\x0b\x0c\x1c\x1d\x1e\x85  ]+"
+BREAKS = "[\r\n\x00\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+"
 
 
 def _quoted(text: str) -> str:
