@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _any, _hits, _in, _quoted, _shown, query, table
+from .catalog import SQL, _any, _hits, _in, _quoted, _shown, query, table
 from .operators import privacy, structure
 from .scratch import stored
 from .sources import services
@@ -217,8 +217,12 @@ def settings_of_code(spark, sf_dir):
     return out.select("n_settings", "global_auth_required", F.array_join("auth_middleware", ",").alias("auth"))
 
 
-@query(f"""{_BASE}, c AS (SELECT 'Person' || d AS model, count(*) AS n FROM said WHERE class <> 'NOT_PII' GROUP BY 1)
-""" + _row("§5", "'UNKNOWN'", [_top("model || ': ' || n", "c", 10)], [_NO]))
+_KEPT_LITTLE = f"""{_BASE}, c AS (SELECT 'Person' || d AS model, count(*) AS n FROM said WHERE class <> 'NOT_PII' GROUP BY 1)
+""" + _row("§5", "'UNKNOWN'", [_top("model || ': ' || n", "c", 10)], [_NO])
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({part})" for part in (SQL["consent_section"], _KEPT_LITTLE, SQL["erasure_section"])))
 def judged_sections(spark, sf_dir):
-    """What is handed to a judgement of how little is kept: personal models with their numbers of fields."""
-    return _section(privacy.minimisation, spark, sf_dir)
+    """The sections that are handed to a judgement: consent, how little is kept (personal models with their numbers of fields), erasure."""
+    code = _code(spark, sf_dir)
+    return _shown(privacy.report(code, _pii(spark, sf_dir, code), (privacy.consent, privacy.minimisation, privacy.erasure)))

@@ -1,5 +1,6 @@
 """The code base made of documents: texts keep their spaces, lines are counted by characters."""
 
+from spanwarden import catalog
 from spanwarden.operators import privacy, structure
 from spanwarden.sources import services
 
@@ -22,3 +23,7 @@ def test_names_that_share_their_pieces(spark):
     names = spark.createDataFrame([("Person1",), ("person12",), ("View",), ("",)], "model string")
     got = sorted((r["view"], r["model"]) for r in privacy.named_in(views, "view", names, "model").collect())
     assert got == [("PERSON12View", "Person1"), ("PERSON12View", "View"), ("PERSON12View", "person12"), ("xPerson1", "Person1")]
+
+
+def test_all_sections_that_need_a_judgement(spark, small):
+    assert [r["section"] for r in catalog.queries()["judged_sections"](spark, small).collect()] == ["§4", "§5", "§7(3)"]
