@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, modest_batches, pack, parts, release, scratch_root, unpack
+from .common import give_back, materialize, modest_batches, pack, parts, release, scratch_root, tidy, unpack
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -327,6 +327,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     whole = materialize(_whole_shards(dealt), "token-shards")
     del dealt  # what it shuffled goes with it
     release(*read)
+    tidy(docs.sparkSession, rounds=3)
     path = path or f"{scratch_root(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
     end, stride = _end_token(tokenizer), 2 * seq_len
 
