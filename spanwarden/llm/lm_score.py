@@ -14,8 +14,8 @@ uniform over the known words and one outcome for all others. A table of a contex
   Metropolis on the same law. Dishes are reseated in parallel: the tables of other dishes are those of the last sweep, and
   customers that a dish sends to the parent join old tables there until the parent is reseated. Each sweep's tables are the
   parent's customers.
-* The first sweep starts from the square roots of the counts, which is nearer to the law than one table each. ``BURN_IN`` sweeps (none
-  unless asked for) are dropped; predictive probabilities are averaged over the others.
+* The first sweep starts from the square roots of the counts, which is nearer to the law than one table each. ``BURN_IN`` sweeps
+  are dropped; predictive probabilities are averaged over the others.
 * Texts are tokenised once: each task writes what it reads as chunks of about ``CHUNK_BYTES`` of text, a row each with a number of its own (drawn, so
   that no two tasks share one), its sorted distinct words and the place of each token among them. Counting and scoring read these rows.
 * Scoring: a chunk asks once for its distinct words and pairs; the sorted lists of questions and answers meet the chunk again by its number, and
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, give_back, groups, materialize, materialize_by, mix, modest_batches, pack, parts, release, tidy, unpack
 
-SWEEPS = 2
-BURN_IN = 0
+SWEEPS = 3
+BURN_IN = 1
 DRAWN_ROWS = 150_000
 STRENGTH = 1.0
 HOT = 1 << 16
@@ -53,7 +53,7 @@ STEPS = 12
 FLUSH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 CHUNK_BYTES = 8 << 20
-TURNS = 1
+TURNS = 2
 END = np.uint64(0x5EED_0F_7E47)
 _U = np.uint64
 
@@ -496,7 +496,7 @@ def _answers(chunks: DataFrame, model: Model, singles: DataFrame, hot, buckets:
     for turn in range(TURNS):
         mine = lambda df, turn=turn: df.filter(F.col("bucket") % TURNS == turn)
         out.append(materialize(_answer(_ask(chunks, hot, buckets, turn), model, mine(state), mine(singles)), "lm-answers"))
-        tidy(chunks.sparkSession)
+        tidy(chunks.sparkSession, rounds=3)
     release(state)
     return out
 
@@ -667,6 +667,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     hot = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
     buckets = max(1, -(-total // BUCKET_TOKENS))
     repeated, of_context, of_word, singles = materialize_by(_count_pairs(chunks, hot, buckets), "lm-pair-counts", "kind", (0, 1, 2, 3))
+    tidy(spark, rounds=3)
     model = Model(words, repeated, of_context, of_word, int(total), int(kinds), seed)
     release(repeated, words)
     answers = reduce(DataFrame.unionAll, _answers(chunks, model, singles, hot, buckets))

@@ -176,3 +176,7 @@ def test_lm_raises_where_answers_are_missing(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "_answer", lambda *a: whole(*a).filter("kind = 0"))
     with pytest.raises(Exception, match="answers for"):
         lm_score.score(df).collect()
+
+
+def test_sweeps_are_dropped_before_some_are_averaged():
+    assert lm_score.BURN_IN >= 1 and lm_score.SWEEPS - lm_score.BURN_IN >= 2
