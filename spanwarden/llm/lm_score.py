@@ -41,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, groups, materialize, materialize_by, mix, modest_batches, pack, parts, release, tidy, unpack
+from . import common
+from .common import Words, give_back, groups, materialize, materialize_by, mix, modest_batches, parts, release, tidy
 
 SWEEPS = 3
 BURN_IN = 1
@@ -179,14 +180,44 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.hashes, words.bounds[1:], END), words.bounds[1:] + np.arange(1, len(texts) + 1)
 
 
-def _contexts(tokens: np.ndarray) -> np.ndarray:
-    return np.concatenate(([END], tokens[:-1]))
-
-
 def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(word ^ mix(context + _U(0x9E37)))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed piece, first bytes first: what hashes have in common is in their high bytes."""
+    return common.pack(*(np.ascontiguousarray(a).reshape(-1, 1).view(np.uint8).T for a in arrays))
+
+
+def unpack(piece: bytes, *kinds: type) -> list[np.ndarray]:
+    planes = common.unpack(piece, *[np.uint8] * len(kinds))
+    return [np.ascontiguousarray(x.reshape(np.dtype(k).itemsize, -1).T).view(k).reshape(-1) for x, k in zip(planes, kinds, strict=True)]
+
+
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The stable order by bucket; numbers of 16 bits are sorted by their digits, which is much faster."""
+    return np.argsort(bucket.astype(np.uint16) if bucket.size and bucket.max() < 1 << 16 else bucket, kind="stable")
+
+
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    out = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values as they come, and the place of each value among them: by a hash table, without a sort."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _pair_bucket(context: np.ndarray, key: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     at = np.minimum(np.searchsorted(hot, context), max(0, len(hot) - 1))
     is_hot = hot[at] == context if len(hot) else np.zeros(len(context), dtype=bool)
@@ -209,7 +240,9 @@ def _chunks(rows: DataFrame) -> DataFrame:
         def flush():
             ids, flags, counts, tokens = (np.concatenate([h[i] for h in held]) for i in range(4))
             held.clear()
-            words, at = np.unique(tokens, return_inverse=True)
+            words, at = _distinct(tokens)
+            order = np.argsort(words)
+            words, at = words[order], _inverse(order)[at]
             docs = pack(ids, flags, counts, (at & 0xFFFF).astype(np.uint16), (at >> 16).astype(np.uint16))
             name = uuid.uuid4().int >> 65
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(np.diff(words, prepend=_U(0)))], pa.binary()), pa.array([docs], pa.binary())], names=["chunk", "words", "docs"])
@@ -240,8 +273,13 @@ class _Docs:
         self.ids = pa.array(ids, mask=flags & 2 == 2)
 
     @property
-    def tokens(self) -> np.ndarray:
-        return self.words[self.at]
+    def pairs(self) -> np.ndarray:
+        """The pair of each token: the place of its context and its own, 32 bits each. The last token of a chunk is an end token."""
+        return np.concatenate((self.at[-1:], self.at[:-1])) << 32 | self.at
+
+    def sides(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and word of pairs."""
+        return self.words[pairs >> 32], self.words[pairs & 0xFFFFFFFF]
 
     @property
     def learned(self) -> np.ndarray:
@@ -273,13 +311,13 @@ def _count_pairs(chunks: DataFrame, hot, buckets: int) -> DataFrame:
 
     def map_side(batches):
         for _, docs in _stored(batches):
-            word, mine = docs.tokens, docs.learned
-            context, word = _contexts(word)[mine], word[mine]
-            key, at, c = np.unique(_pair(context, word), return_index=True, return_counts=True)
-            context, word = context[at], word[at]
-            bucket = _pair_bucket(context, key, hot.value, buckets)
-            order = np.argsort((bucket.astype(np.uint64) << _U(40)) | (context >> _U(24)), kind="stable")
-            context, word, c, bucket = context[order], word[order], c[order].astype(np.uint32), bucket[order]
+            pairs = np.sort(docs.pairs[docs.learned])
+            start = np.flatnonzero(_firsts(pairs))
+            c = np.diff(start, append=len(pairs)).astype(np.uint32)
+            context, word = docs.sides(pairs[start])  # by context, as the words are sorted
+            bucket = _pair_bucket(context, _pair(context, word), hot.value, buckets)
+            order = _by_bucket(bucket)
+            context, word, c, bucket = context[order], word[order], c[order], bucket[order]
             ids, blobs = [], []
             for b, s in _pieces(bucket):
                 start = np.flatnonzero(np.diff(context[s], prepend=~context[s][:1]))
@@ -305,9 +343,12 @@ def _count_pairs(chunks: DataFrame, hot, buckets: int) -> DataFrame:
             context = np.concatenate([np.repeat(u, runs) for u, runs, _, _ in held])
             word, c = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]).astype(np.int64)
             held.clear()
-            key, at, inverse = np.unique(_pair(context, word), return_index=True, return_inverse=True)
-            total = np.bincount(inverse, c).astype(np.int64)
-            context, word, one = context[at], word[at], total == 1
+            key = _pair(context, word)
+            order = np.argsort(key)
+            key = key[order]
+            start = np.flatnonzero(_firsts(key))
+            total = np.add.reduceat(c[order], start) if len(start) else c
+            key, context, word, one = key[start], context[order[start]], word[order[start]], total == 1
             yield rows(0, now, context[~one], word[~one], total[~one])
             yield rows(1, now, *(lambda u, k: (u, None, k))(*np.unique(context[one], return_counts=True)))
             yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([now], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([pack(np.diff(key[one], prepend=_U(0)))], pa.binary())], names=names)
@@ -359,10 +400,10 @@ class Model:
         self.spark, self.total, self.base, self.seed = words.sparkSession, total, 1.0 / (kinds + 1), seed
         ones = of_word.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("ones"))
         ctx_ones = of_context.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("ctx_ones"))
-        lexicon = words.join(ones, "word", "left").join(ctx_ones, "word", "left").na.fill(0, ["ones", "ctx_ones"])
+        lexicon = words.join(ones.hint("shuffle_hash"), "word", "left").join(ctx_ones.hint("shuffle_hash"), "word", "left").na.fill(0, ["ones", "ctx_ones"])
         self.words = lexicon.withColumns({"t0": F.lit(1).cast("long"), "v": F.array().cast("array<float>")})
         c_ctx = words.select(F.col("word").alias("ctx"), F.col("c").alias("c_ctx"))
-        pairs = repeated.select(F.col("a").alias("ctx"), F.col("b").alias("word"), F.col("n").alias("c")).join(c_ctx, "ctx")
+        pairs = repeated.select(F.col("a").alias("ctx"), F.col("b").alias("word"), F.col("n").alias("c")).join(c_ctx.hint("shuffle_hash"), "ctx")
         self.pairs = pairs.withColumns({"t": F.floor(F.sqrt("c")).cast("long"), "t_sum": F.lit(0.0)})
         n1, n2 = of_context.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], repeated.filter("n = 2").count()
         self.d, self.theta = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2))), STRENGTH  # the usual estimate of the discount
@@ -379,7 +420,7 @@ class Model:
         zero = F.lit(0).cast("long")
         sides = F.array(F.struct(F.col("word"), F.col("t").alias("t_word"), zero.alias("t_ctx")), F.struct(F.col("ctx").alias("word"), zero.alias("t_word"), F.col("t").alias("t_ctx")))
         tables = self.pairs.select(F.inline(sides)).groupBy("word").agg(F.sum("t_word").alias("t_word"), F.sum("t_ctx").alias("t_ctx"))
-        rows = self.words.select("word", "c", "ones", "ctx_ones", "t0", "v").join(tables, "word", "left")
+        rows = self.words.select("word", "c", "ones", "ctx_ones", "t0", "v").join(tables.hint("shuffle_hash"), "word", "left")
         rows = rows.select("word", "c", "ones", "ctx_ones", (F.col("ones") + F.coalesce("t_word", F.lit(0))).alias("c0"), (F.col("ctx_ones") + F.coalesce("t_ctx", F.lit(0))).alias("tables"), "t0", "v")
         before = self.words
         if self.d0 is None:
@@ -417,7 +458,8 @@ class Model:
         """Reseat the dishes of all contexts given the parent and the contexts' other tables."""
         parent = self.words.select("word", "c0", "t0")
         own = self.words.select(F.col("word").alias("ctx"), "tables")
-        rows = self.pairs.select("ctx", "word", "c", "c_ctx", "t", "t_sum").join(own, "ctx").join(parent, "word")
+        # a word has one row, so tables of words are small in every task: building them spares the sorts of all pairs
+        rows = self.pairs.select("ctx", "word", "c", "c_ctx", "t", "t_sum").join(own.hint("shuffle_hash"), "ctx").join(parent.hint("shuffle_hash"), "word")
         d, theta, d0, theta0, base, seed = self.d, self.theta, self.d0, self.theta0, self.base, self.seed * 100 + 2 * sweep + 1
         tables0, customers0, kept = self.tables0, self.customers0, sweep > BURN_IN
         names = ["ctx", "word", "c", "c_ctx", "t", "t_sum"]
@@ -456,25 +498,27 @@ class _Chunk:
 
     def __init__(self, docs: _Docs, hot: np.ndarray, buckets: int, places: bool = True):
         bucket = (mix(docs.words) % _U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = _by_bucket(bucket)
         self.word_bucket, self.words = bucket[order], docs.words[order]
+        pairs = docs.pairs
         if places:
-            self.word_at = self._inverse(order)[docs.at]
+            self.word_at = _inverse(order)[docs.at]
             self.context_at = np.concatenate((self.word_at[-1:], self.word_at[:-1]))  # the last token of a chunk is an end token
-        tokens = docs.tokens
-        context = _contexts(tokens)
-        self.pairs, first, *at = np.unique(_pair(context, tokens), return_index=True, return_inverse=places)
-        bucket = _pair_bucket(context[first], self.pairs, hot, buckets)
-        order = np.argsort(bucket, kind="stable")
-        self.pair_bucket, self.pairs = bucket[order], self.pairs[order]
+            pairs, self.pair_at = _distinct(pairs)
+        else:
+            pairs.sort()
+            pairs = pairs[_firsts(pairs)]
+        context, word = docs.sides(pairs)
+        del pairs
+        key = _pair(context, word)
+        order = np.argsort(key)
+        bucket = _pair_bucket(context, key, hot, buckets)[order]
+        del context, word
+        by_bucket = _by_bucket(bucket)
+        order, self.pair_bucket = order[by_bucket], bucket[by_bucket]
+        self.pairs = key[order]
         if places:
-            self.pair_at = self._inverse(order)[at[0]]
-
-    @staticmethod
-    def _inverse(order: np.ndarray) -> np.ndarray:
-        out = np.empty(len(order), dtype=np.int64)
-        out[order] = np.arange(len(order))
-        return out
+            self.pair_at = _inverse(order)[self.pair_at]
 
 
 def _ask(chunks: DataFrame, hot, buckets: int, turn: int) -> DataFrame:
