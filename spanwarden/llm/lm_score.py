@@ -41,8 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import Words, give_back, groups, materialize, materialize_by, mix, modest_batches, parts, release, tidy
+from .common import Words, give_back, groups, materialize, materialize_by, mix, modest_batches, pack, parts, release, tidy, unpack
 
 SWEEPS = 3
 BURN_IN = 1
@@ -184,14 +183,13 @@ def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(word ^ mix(context + _U(0x9E37)))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed piece, first bytes first: what hashes have in common is in their high bytes."""
-    return common.pack(*(np.ascontiguousarray(a).reshape(-1, 1).view(np.uint8).T for a in arrays))
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """The steps of sorted hashes, first bytes first: those of the high bytes, which are zeros, pack to nothing."""
+    return np.ascontiguousarray(np.diff(keys, prepend=_U(0)).reshape(-1, 1).view(np.uint8).T)
 
 
-def unpack(piece: bytes, *kinds: type) -> list[np.ndarray]:
-    planes = common.unpack(piece, *[np.uint8] * len(kinds))
-    return [np.ascontiguousarray(x.reshape(np.dtype(k).itemsize, -1).T).view(k).reshape(-1) for x, k in zip(planes, kinds, strict=True)]
+def _keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def _by_bucket(bucket: np.ndarray) -> np.ndarray:
@@ -245,7 +243,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
             words, at = words[order], _inverse(order)[at]
             docs = pack(ids, flags, counts, (at & 0xFFFF).astype(np.uint16), (at >> 16).astype(np.uint16))
             name = uuid.uuid4().int >> 65
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(np.diff(words, prepend=_U(0)))], pa.binary()), pa.array([docs], pa.binary())], names=["chunk", "words", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(_steps(words))], pa.binary()), pa.array([docs], pa.binary())], names=["chunk", "words", "docs"])
 
         for part, texts in groups(batches):
             tokens, ends = _tokens(texts)
@@ -267,7 +265,7 @@ class _Docs:
 
     def __init__(self, words: bytes, docs: bytes):
         ids, flags, self.counts, low, high = unpack(docs, np.int64, np.uint8, np.int64, np.uint16, np.uint16)
-        self.words = np.cumsum(unpack(words, np.uint64)[0], dtype=np.uint64)
+        self.words = _keys(unpack(words, np.uint8)[0])
         self.at = low.astype(np.int64) | high.astype(np.int64) << 16
         self.held = flags & 1 == 1
         self.ids = pa.array(ids, mask=flags & 2 == 2)
@@ -351,7 +349,7 @@ def _count_pairs(chunks: DataFrame, hot, buckets: int) -> DataFrame:
             key, context, word, one = key[start], context[order[start]], word[order[start]], total == 1
             yield rows(0, now, context[~one], word[~one], total[~one])
             yield rows(1, now, *(lambda u, k: (u, None, k))(*np.unique(context[one], return_counts=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([now], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([pack(np.diff(key[one], prepend=_U(0)))], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([now], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([pack(_steps(key[one]))], pa.binary())], names=names)
             singles.append(word[one])
 
         for batch in batches:
@@ -528,7 +526,7 @@ def _ask(chunks: DataFrame, hot, buckets: int, turn: int) -> DataFrame:
         for name, docs in _stored(batches):
             chunk, out = _Chunk(docs, hot.value, buckets, places=False), []
             for kind, keys, where in ((3, chunk.words, chunk.word_bucket), (4, chunk.pairs, chunk.pair_bucket)):
-                out += [(b, kind, pack(np.diff(keys[s], prepend=_U(0)))) for b, s in _pieces(where) if b % TURNS == turn]
+                out += [(b, kind, pack(_steps(keys[s]))) for b, s in _pieces(where) if b % TURNS == turn]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([name] * len(out), pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "ord", "chunk", "blob"])
 
     return chunks.mapInArrow(run, "bucket int, ord int, chunk long, blob binary")
@@ -568,7 +566,7 @@ def _state(model: Model, hot, buckets: int) -> DataFrame:
                 bucket = (mix(key) % _U(buckets)).astype(np.int32) if name == "words" else _pair_bucket(a, key, hot.value, buckets)
                 order = np.lexsort((key, bucket))
                 key, c, v, bucket = key[order], c[order], v[order], bucket[order]
-                out = [(x, pack(np.diff(key[s], prepend=_U(0)), *([c[s]] if name == "words" else []), v[s])) for x, s in _pieces(bucket)]
+                out = [(x, pack(_steps(key[s]), *([c[s]] if name == "words" else []), v[s])) for x, s in _pieces(bucket)]
                 return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "blob"])
 
             for batch in batches:
@@ -629,15 +627,15 @@ def _answer(asked: DataFrame, model: Model, state: DataFrame, singles: DataFrame
                     now, state, sorted_ = bucket, ([], [], []), False
                 if kind < 3:
                     for piece in part.column(3).to_pylist():
-                        key, *values = unpack(piece, np.uint64, *((np.int64, np.float32), (np.float32,), ())[kind])
-                        key = np.cumsum(key, dtype=np.uint64)
+                        key, *values = unpack(piece, np.uint8, *((np.int64, np.float32), (np.float32,), ())[kind])
+                        key = _keys(key)
                         state[kind].append((key, values[0], values[1].reshape(len(key), width)) if kind == 0 else (key, *values) if kind == 1 else key)
                     continue
                 if not sorted_:
                     table, sorted_ = ready(), True
                 w, n, v, p, share, one = table
                 for chunk, blob in zip(part.column(2).to_pylist(), part.column(3), strict=True):
-                    keys = np.cumsum(unpack(blob.as_py(), np.uint64)[0], dtype=np.uint64)
+                    keys = _keys(unpack(blob.as_py(), np.uint8)[0])
                     if kind == 3:
                         at, hit = find(keys, w)
                         count, values = np.zeros(len(keys), dtype=np.int64), np.tile(unknown, (len(keys), 1))
