@@ -19,7 +19,7 @@ uniform over the known words and one outcome for all others. A table of a contex
 * Texts are tokenised once: each task writes what it reads as chunks of about ``CHUNK_BYTES`` of text, a row each with a number of its own (drawn, so
   that no two tasks share one), its sorted distinct words and the place of each token among them. Counting and scoring read these rows.
 * Scoring: a chunk asks once for its distinct words and pairs; the sorted lists of questions and answers meet the chunk again by its number, and
-  must be as many as it asked for.
+  must be as many as it asked for. Chunks meet their answers in ``TURNS`` turns by their numbers, so that only a part of both is shuffled at a time.
 
 ``score`` is the log10 probability of the text by the model, over the outcomes of the base score: the known words and one
 for all unknown ones. ``perplexity`` is 10 to the power of minus the mean score of a token. base_score = sum over tokens of
@@ -712,6 +712,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     tidy(spark, rounds=3)
     model = Model(words, repeated, of_context, of_word, int(total), int(kinds), seed)
     release(repeated, words)
-    answers = reduce(DataFrame.unionAll, _answers(chunks, model, singles, hot, buckets))
+    answers = _answers(chunks, model, singles, hot, buckets)
     release(singles)
-    return _meet(chunks, answers, model, int(kinds), hot, buckets)
+    told, out = reduce(DataFrame.unionAll, answers), []
+    for turn in range(TURNS):  # a turn's shuffle, a copy of its chunks and answers, is gone before the next one's
+        mine = lambda df, turn=turn: df.filter(F.col("chunk") % TURNS == turn)
+        out.append(materialize(_meet(mine(chunks), mine(told), model, int(kinds), hot, buckets), "lm-scores"))
+        tidy(spark, rounds=3)
+    release(chunks, *answers)
+    return reduce(DataFrame.unionAll, out)

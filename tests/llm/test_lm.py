@@ -189,3 +189,16 @@ def test_packed_hashes_take_little_more_than_their_own_bits():
     assert len(piece) < 6.8 * len(keys)
     assert (lm_score._keys(lm_score.unpack(piece, np.uint8)[0]) == keys).all()
     assert len(lm_score._keys(lm_score._steps(keys[:0]))) == 0
+
+
+def test_chunks_meet_their_answers_in_turns(spark, small, monkeypatch):
+    docs = read(spark, small, "documents").select("doc_id", "text").repartition(16)
+    meet, met = lm_score._meet, []
+    monkeypatch.setattr(lm_score, "_meet", lambda chunks, answers, *more: met.append(({r[0] for r in chunks.select("chunk").collect()}, {r[0] for r in answers.select("chunk").collect()})) or meet(chunks, answers, *more))
+    rows = lambda: sorted(map(str, lm_score.score(docs).collect()))
+    turns = rows()
+    assert len(met) == lm_score.TURNS > 1 and all(chunks == told for chunks, told in met)
+    every = set().union(*(chunks for chunks, _ in met))
+    assert sum(len(chunks) for chunks, _ in met) == len(every) == 16 > max(len(chunks) for chunks, _ in met)
+    monkeypatch.setattr(lm_score, "TURNS", 1)
+    assert rows() == turns and met[-1][0].isdisjoint(every)
