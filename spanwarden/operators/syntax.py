@@ -26,7 +26,10 @@ from .rules import Pack, Rule, java_regex
 from .scan import DIRECTIVE, directive_suppresses, with_context
 
 NODE = "file_path string, language string, id int, parent int, last int, kind string, field string, place int, n_siblings int, scope int, start int, end int, start_line int, start_col int, end_line int, end_col int"
+#: What rules read of a captured node: its text, its line (where that may hold a directive), and the start of the line, stripped.
+SAID = "text string, line string, shown string"
 CONFIDENCE = 0.9
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # as ``text.strip``
 
 # --- Python ---------------------------------------------------------------------------------------------------------------------
 
@@ -334,6 +337,38 @@ def nodes(files: DataFrame) -> DataFrame:
     return some.filter(F.col("language").isin(*KINDS) & F.col("content").isNotNull()).mapInPandas(run, NODE)
 
 
+#: For each language (kind or None, field or None, whether its text is read, whether its line is) of the nodes that patterns speak of.
+Wanted = dict[str, set[tuple[str | None, str | None, bool, bool]]]
+
+
+def _said_rows(path: str, language: str, content: str, wanted: Wanted, keyword: str) -> Iterator[tuple]:
+    """The rows of ``_rows`` that patterns speak of, with what rules read of them (``SAID``)."""
+    data, lines, use, told = content.encode("utf-8", "surrogatepass"), None, {}, {}
+    for row in _rows(path, language, content):
+        kind, role = row[5:7]
+        if (kind, role) not in use:
+            fit = [w for w in wanted.get(language, ()) if w[0] in (None, kind) and w[1] in (None, role)]
+            use[kind, role] = (any(w[2] for w in fit), any(w[3] for w in fit)) if fit else None
+        if use[kind, role] is None:
+            continue
+        has_text, has_line = use[kind, role]
+        if has_line and row[12] not in told:
+            lines = re.split(text.LINE_BREAK, content) if lines is None else lines
+            line = lines[row[12] - 1] if row[12] <= len(lines) else ""
+            told[row[12]] = (line if re.search(re.escape(keyword), line, re.I) else "", line.strip(_WHITE)[:200])
+        yield (*row, data[row[10] : row[11]].decode("utf-8", "replace") if has_text else None, *(told[row[12]] if has_line else (None, None)))
+
+
+def said_nodes(files: DataFrame, wanted: Wanted, keyword: str) -> DataFrame:
+    """``NODE`` and ``SAID`` rows of the nodes that patterns speak of: rules need no more of the files."""
+
+    def run(batches):
+        yield from in_frames((row for pdf in batches for file in zip(pdf["file_path"], pdf["language"], pdf["content"], strict=True) for row in _said_rows(*file, wanted, keyword)), f"{NODE}, {SAID}")
+
+    some = files.select("file_path", paths.detect_language(F.col("file_path")).alias("language"), "content")
+    return some.filter(F.col("language").isin(*wanted) & F.col("content").isNotNull()).mapInPandas(run, f"{NODE}, {SAID}")
+
+
 # --- patterns ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -476,7 +511,7 @@ def captured(p: Pattern) -> list[str]:
     return [*p.captures, *(n for c in p.children for n in captured(c))]
 
 
-_KEPT = ("id", "last", "place", "n_siblings", "start", "end", "start_line", "start_col", "end_line", "end_col")
+_KEPT = ("id", "last", "place", "n_siblings", "start", "end", "start_line", "start_col", "end_line", "end_col", "text", "line", "shown")
 
 
 def matches(table: DataFrame, pattern: Pattern, language: str) -> DataFrame:
@@ -530,10 +565,17 @@ def matches(table: DataFrame, pattern: Pattern, language: str) -> DataFrame:
     return rows.select("file_path", *[F.col(name).alias(f"@{c}") for c, name in columns.items()])
 
 
-def node_text(capture: str, data: str = "__data") -> Column:
-    """The text of a captured node, from the file's bytes in column ``data``."""
-    at = F.col(f"`@{capture}`")
-    return F.substring(F.col(data), at["start"] + 1, at["end"] - at["start"]).cast("string")
+def node_text(capture: str) -> Column:
+    """The text of a captured node."""
+    return F.col(f"`@{capture}`")["text"]
+
+
+def _wanted(pattern: Pattern, read: set[str]) -> Iterator[tuple[str | None, str | None, bool, bool]]:
+    """What ``Wanted`` has for a pattern, given the captures whose texts are read."""
+    yield pattern.kind, pattern.role, bool(read & {*pattern.captures}), bool(pattern.captures)
+    yield from ((None, field_, False, False) for field_ in pattern.without)
+    for c in pattern.children:
+        yield from _wanted(c, read)
 
 
 def _holds(predicate: tuple[str, ...], captures: list[str]) -> Column:
@@ -551,7 +593,7 @@ def _holds(predicate: tuple[str, ...], captures: list[str]) -> Column:
     return F.coalesce(~out if name.startswith("#not") else out, F.lit(False))
 
 
-def scan_trees(files: DataFrame, packs: list[Pack], keyword: str = DIRECTIVE, table: DataFrame | None = None) -> DataFrame | None:
+def scan_trees(files: DataFrame, packs: list[Pack], keyword: str = DIRECTIVE) -> DataFrame | None:
     """Violations of all rules of type ``ast``, in the columns of ``scan.scan``; None if no rule can be used.
 
     A violation stands where ``@fn_name`` is, or else the query's first capture. ``name_regex`` must match the name; a body (``@fn_body``) that
@@ -571,13 +613,15 @@ def scan_trees(files: DataFrame, packs: list[Pack], keyword: str = DIRECTIVE, ta
                     warnings.warn(f"rule {pack.full_id(rule)}: invalid query for {language}, left out ({e})", stacklevel=2)
     if not chosen:
         return None
-    table = stored(nodes(files)) if table is None else table
-    texts = with_context(files.select("file_path", "content")).withColumn("__data", F.encode("content", "utf-8"))
-    out = None
+    wanted: Wanted = {}
+    for _, _, _, _, language, patterns, predicates in chosen:
+        read = {"fn_name", "fn_body", *(v[1:] for p in predicates for v in p[1:] if v.startswith("@"))}
+        wanted.setdefault(language, set()).update(w for p in patterns for w in _wanted(p, read))
+    table, out = stored(said_nodes(files, wanted, keyword)), None
     for number, order, pack, rule, language, patterns, predicates in chosen:
         for pattern in patterns:
             names = list(dict.fromkeys(captured(pattern)))
-            rows = matches(table, pattern, language).join(texts.filter(F.col("language") == language), "file_path")
+            rows = with_context(matches(table, pattern, language))
             for p in predicates:
                 rows = rows.filter(_holds(p, names))
             if rule.name_regex and "fn_name" in names:
@@ -587,15 +631,14 @@ def scan_trees(files: DataFrame, packs: list[Pack], keyword: str = DIRECTIVE, ta
             if rule.skip_tests:
                 rows = rows.filter(~F.col("in_test_file"))
             at = F.coalesce(*[F.col(f"`@{n}`") for n in (["fn_name"] if "fn_name" in names else names)])
-            rows = rows.select("file_path", "in_test_file", "confidence", at.alias("at"), F.split("content", text.LINE_BREAK).alias("lines"))
-            rows = rows.filter(F.col("at").isNotNull()).withColumn("line", F.coalesce(F.get("lines", F.col("at.start_line") - 1), F.lit("")))
+            rows = rows.select("file_path", "in_test_file", "confidence", at.alias("at")).filter(F.col("at").isNotNull())
             full = pack.full_id(rule)
-            rows = rows.filter(~directive_suppresses(F.col("line"), full, keyword))
+            rows = rows.filter(~directive_suppresses(F.col("at.line"), full, keyword))
             message = F.replace(F.replace(F.lit(rule.message), F.lit("{file}"), F.col("file_path")), F.lit("{line}"), F.col("at.start_line").cast("string"))
             severity = F.when(F.col("in_test_file") & F.lit(SEVERITIES.index(rule.severity) < 2), F.lit("MEDIUM")).otherwise(F.lit(rule.severity))
             rows = rows.select(
                 F.lit(full).alias("rule_id"), F.lit(rule.name).alias("rule_name"), severity.alias("severity"), "file_path", F.col("at.start_line").alias("line_start"), F.col("at.end_line").alias("line_end"),
-                F.col("at.start_col").alias("col_start"), F.col("at.end_col").alias("col_end"), message.alias("message"), F.substring(text.strip(F.col("line")), 1, 200).alias("snippet"), F.lit(rule.fix_hint).cast("string").alias("fix_hint"),
+                F.col("at.start_col").alias("col_start"), F.col("at.end_col").alias("col_end"), message.alias("message"), F.col("at.shown").alias("snippet"), F.lit(rule.fix_hint).cast("string").alias("fix_hint"),
                 F.array(*map(F.lit, rule.references)).cast("array<string>").alias("references"), F.when(F.col("confidence") == 0.85, F.lit(CONFIDENCE)).otherwise(F.col("confidence")).alias("confidence"), "in_test_file",
                 F.struct(F.lit(number).alias("pack"), F.col("file_path").alias("file"), F.lit(order).alias("rule"), F.col("at.start_line").alias("line")).alias("seq"),
             )

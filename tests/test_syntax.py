@@ -196,3 +196,17 @@ def test_masks_keep_length_and_line_ends():
             masked = lexis.mask(text, suffix)
             assert len(masked) == len(text) and [i for i, c in enumerate(masked) if c == "\n"] == [i for i, c in enumerate(text) if c == "\n"]
             assert all(a == b or a == " " for a, b in zip(masked, text, strict=True))
+
+
+def test_rules_read_texts_once(spark, monkeypatch):
+    """Only the nodes that patterns speak of are stored, with what rules read of them; no rule shuffles or splits the files' texts again."""
+    kept = []
+    monkeypatch.setattr(syntax, "stored", lambda df: kept.append(df) or df)
+    files = spark.createDataFrame([("a.py", CODE), ("b.py", "#" * 300 + "\n  \ndef pay(): pass  # " + "x" * 300 + "\n")], "file_path string, content string")
+    out = syntax.scan_trees(files, [pack({"query": QUERY, "must_not_contain": "audit_log"}, {"query": "(class_definition !name) @c"}, {"query": "(call function: (identifier) @fn_name)"})])
+    assert sorted((r["rule_id"], r["line_start"], len(r["snippet"])) for r in out.collect()) == [("t/p/r0", 2, 31), ("t/p/r0", 3, 200), ("t/p/r0", 11, 17), ("t/p/r2", 4, 32), ("t/p/r2", 10, 15)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(content" not in plan and "encode(content" not in plan
+    rows = kept[0].collect()
+    assert {r["kind"] for r in rows} == {"function_definition", "identifier", "block", "call", "class_definition"} and all(r["field"] in ("name", "function") for r in rows if r["kind"] == "identifier")
+    assert {r["text"] for r in rows if r["kind"] == "identifier"} == {"transfer", "credit", "inner", "pay", "f", "audit_log", "Desk"}
