@@ -5,9 +5,10 @@ uniform over the known words and one outcome for all others. A table of a contex
 
 * Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end token a text; the end token is also the context
   of a text's first word. Words are told apart by 64-bit hashes, pairs by a hash of both.
-* Counting covers all training rows: tasks pre-aggregate, pairs travel in packed pieces dealt by context. Contexts that make up more than
+* Counting covers all training rows: tasks pre-aggregate, words and pairs travel in packed pieces, pairs dealt by context. Contexts that make up more than
   one in ``HOT`` tokens (at most ``HOT`` of them) are dealt by pair instead, so that no task gets one of them whole.
-* A pair seen once has one table whatever is drawn, so only pairs seen more often are rows of the state.
+* A pair seen once has one table whatever is drawn, so only pairs seen more often have seats. They lie in packed groups of about ``GROUP_TOKENS``
+  tokens by their word and stay there; a sweep shuffles the groups' sums by context and word, and what the parent and the contexts answer, in packed pieces.
 * A Gibbs sweep removes all customers of a dish from a restaurant, and its tables from the parent, and reseats them together: the number
   of their tables is drawn from its law given all else, generalised Stirling numbers times the weights of new tables (theta + d T) p, p
   growing as the dish's tables join the parent. Up to ``EXACT`` customers the draw is direct; beyond it takes ``STEPS`` steps of
@@ -33,6 +34,7 @@ empty table gives an empty result. Ids must be integers. A task holds the hashed
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
@@ -52,6 +54,7 @@ EXACT = 1024
 STEPS = 12
 FLUSH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
+GROUP_TOKENS = 4_000_000
 CHUNK_BYTES = 8 << 20
 TURNS = 2
 END = np.uint64(0x5EED_0F_7E47)
@@ -216,6 +219,19 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = np.flatnonzero(_firsts(keys))
+    return keys[start], np.add.reduceat(values[order], start) if len(start) else values
+
+
+def _home(words: np.ndarray, groups: int) -> np.ndarray:
+    """The group that holds a word's state: as a dish of the parent, and as a context."""
+    return (mix(words) % _U(groups)).astype(np.int32)
+
+
 def _pair_bucket(context: np.ndarray, key: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     at = np.minimum(np.searchsorted(hot, context), max(0, len(hot) - 1))
     is_hot = hot[at] == context if len(hot) else np.zeros(len(context), dtype=bool)
@@ -229,8 +245,16 @@ def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(a, b)
 
 
+def _dealt(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Arrays cut by bucket, in their order."""
+    order = _by_bucket(bucket)
+    bucket, arrays = bucket[order], [a[order] for a in arrays]
+    for b, s in _pieces(bucket):
+        yield b, [a[s] for a in arrays]
+
+
 def _chunks(rows: DataFrame) -> DataFrame:
-    """doc_id, held_out, text as rows of whole chunks: chunk, words (sorted), docs (ids, flags, numbers of tokens, places of the tokens)."""
+    """doc_id, held_out, text as rows of whole chunks: chunk, n (tokens to learn from), words (sorted), docs (ids, flags, numbers of tokens, places of the tokens)."""
 
     def run(batches):
         held, size = [], 0
@@ -242,8 +266,8 @@ def _chunks(rows: DataFrame) -> DataFrame:
             order = np.argsort(words)
             words, at = words[order], _inverse(order)[at]
             docs = pack(ids, flags, counts, (at & 0xFFFF).astype(np.uint16), (at >> 16).astype(np.uint16))
-            name = uuid.uuid4().int >> 65
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(_steps(words))], pa.binary()), pa.array([docs], pa.binary())], names=["chunk", "words", "docs"])
+            name, n = uuid.uuid4().int >> 65, int(counts[flags & 1 == 0].sum())
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([n], pa.int64()), pa.array([pack(_steps(words))], pa.binary()), pa.array([docs], pa.binary())], names=["chunk", "n", "words", "docs"])
 
         for part, texts in groups(batches):
             tokens, ends = _tokens(texts)
@@ -257,7 +281,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, words binary, docs binary")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, n long, words binary, docs binary")
 
 
 class _Docs:
@@ -287,25 +311,67 @@ class _Docs:
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Docs]]:
     for batch in batches:
-        for chunk, words, docs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for chunk, words, docs in zip(batch.column("chunk").to_pylist(), batch.column("words"), batch.column("docs"), strict=True):
             yield chunk, _Docs(words.as_py(), docs.as_py())
     give_back()
 
 
-def _count_words(chunks: DataFrame) -> DataFrame:
-    """word, c of the training documents."""
+def _in_groups(rows: DataFrame) -> DataFrame:
+    """Pieces (grp, ord, blob) of a group in one task, in order."""
+    return rows.select("grp", "ord", "blob").repartition(parts(rows.sparkSession), "grp").sortWithinPartitions("grp", "ord")
 
-    def run(batches):
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The pieces of one group after the other."""
+    now, held = None, []
+    for batch in batches:
+        for group, ord_, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if group != now and held:
+                yield now, held
+                held = []
+            now = group
+            held.append((ord_, blob.as_py()))
+    if held:
+        yield now, held
+    give_back()
+
+
+PIECES = "kind int, grp int, ord int, n1 long, n2 long, blob binary"
+
+
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``PIECES``: kind, group or bucket, order inside it, a piece, and two numbers about it (0 where left out)."""
+    kind, group, ord_, blob, n1, n2 = zip(*((*r, 0, 0)[:6] for r in rows), strict=True) if rows else [()] * 6
+    ints, longs = pa.int32(), pa.int64()
+    cols = [pa.array(kind, ints), pa.array(group, ints), pa.array(ord_, ints), pa.array(n1, longs), pa.array(n2, longs), pa.array(blob, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "grp", "ord", "n1", "n2", "blob"])
+
+
+def _sums(table: DataFrame) -> tuple[int, int]:
+    return tuple(table.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first())
+
+
+def _count_words(chunks: DataFrame, groups: int, often: int) -> list[DataFrame]:
+    """By group the sorted words of the training documents and their counts (n1: how many words); and those of more than ``often``."""
+
+    def map_side(batches):
         for _, docs in _stored(batches):
             c = np.bincount(docs.at[docs.learned], minlength=len(docs.words))
-            yield pa.RecordBatch.from_arrays([pa.array(docs.words[c > 0].view(np.int64)), pa.array(c[c > 0].astype(np.int64))], names=["word", "c"])
+            words, c = docs.words[c > 0], c[c > 0]
+            yield _piece_rows([(0, g, 0, pack(_steps(w), n)) for g, (w, n) in _dealt(_home(words, groups), words, c)])
+
+    def by_group(batches):
+        for group, pieces in _by_group(batches):
+            steps, counts = zip(*(unpack(p, np.uint8, np.int64) for _, p in pieces), strict=True)
+            words, c = _summed(np.concatenate([_keys(x) for x in steps]), np.concatenate(counts))
+            yield _piece_rows([(0, group, 0, pack(_steps(words), c), len(words)), (1, group, 0, pack(words[c > often], c[c > often]))])
 
-    return chunks.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return materialize_by(_in_groups(chunks.mapInArrow(map_side, PIECES)).mapInArrow(by_group, PIECES), "lm-counts", "kind", (0, 1))
 
 
-def _count_pairs(chunks: DataFrame, hot, buckets: int) -> DataFrame:
-    """What the pairs come to: kind 0 a pair of more than one (a context, b word, n its count); kind 1 a context (a) with n pairs of one;
-    kind 2 a word (a) that is in n pairs of one; kind 3 the sorted keys of a bucket's pairs of one (blob)."""
+def _count_pairs(chunks: DataFrame, hot, wide, buckets: int, groups: int) -> DataFrame:
+    """What the pairs come to, in pieces: kind 0 pairs of more than one (word, context, count) by the word's group, those of ``wide`` words by pair; kind 1
+    contexts and their numbers of pairs of one, by the context's group; kind 2 words likewise; kind 3 the sorted keys of a bucket's pairs of one (n1: how many; n2: pairs of two there)."""
 
     def map_side(batches):
         for _, docs in _stored(batches):
@@ -323,19 +389,8 @@ def _count_pairs(chunks: DataFrame, hot, buckets: int) -> DataFrame:
                 blobs.append(pack(context[s][start], np.diff(np.append(start, s.stop - s.start)).astype(np.uint32), word[s], c[s]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-    names = ["kind", "bucket", "a", "b", "n", "blob"]
-
-    def rows(kind, bucket, a, b=None, n=None):
-        null = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(np.full(len(a), bucket, dtype=np.int32)), pa.array(a.view(np.int64)), null if b is None else pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(a), pa.binary())], names=names)
-
     def by_bucket(batches):
-        now, held, singles = None, [], []
-
-        def word_singles():
-            w, c = np.unique(np.concatenate(singles), return_counts=True)
-            singles.clear()
-            return rows(2, -1, w, None, c)
+        now, held, repeated, ones, waiting = None, [], [], [], 0
 
         def settle():
             context = np.concatenate([np.repeat(u, runs) for u, runs, _, _ in held])
@@ -347,145 +402,226 @@ def _count_pairs(chunks: DataFrame, hot, buckets: int) -> DataFrame:
             start = np.flatnonzero(_firsts(key))
             total = np.add.reduceat(c[order], start) if len(start) else c
             key, context, word, one = key[start], context[order[start]], word[order[start]], total == 1
-            yield rows(0, now, context[~one], word[~one], total[~one])
-            yield rows(1, now, *(lambda u, k: (u, None, k))(*np.unique(context[one], return_counts=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([now], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([pack(_steps(key[one]))], pa.binary())], names=names)
-            singles.append(word[one])
+            repeated.append((word[~one], context[~one], total[~one]))
+            ones.append((context[one], word[one]))
+            return _piece_rows([(3, now, 2, pack(_steps(key[one])), int(one.sum()), int((total == 2).sum()))]), len(key)
+
+        def deal():
+            """What several buckets found goes to the groups at once."""
+            word, context, n = (np.concatenate([r[i] for r in repeated]) for i in range(3))
+            repeated.clear()
+            order = np.argsort(word)
+            word, context, n = word[order], context[order], n[order]
+            out = [(0, g, 3, pack(_steps(w), u, k)) for g, (w, u, k) in _dealt(_pair_bucket(word, _pair(context, word), wide.value, groups), word, context, n)]
+            for side in (0, 1):
+                word, n = np.unique(np.concatenate([o[side] for o in ones]), return_counts=True)
+                out += [(1 + side, g, 1 + side, pack(_steps(w), k)) for g, (w, k) in _dealt(_home(word, groups), word, n)]
+            ones.clear()
+            return _piece_rows(out)
 
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now:
                     if held:
-                        yield from settle()
-                    if sum(map(len, singles)) > FLUSH_TOKENS:
-                        yield word_singles()
+                        settled, n = settle()
+                        yield settled
+                        waiting += n
+                    if waiting > FLUSH_TOKENS:
+                        yield deal()
+                        waiting = 0
                     now = bucket
                 held.append(unpack(blob.as_py(), np.uint64, np.uint32, np.uint64, np.uint32))
         if held:
-            yield from settle()
-        if singles:
-            yield word_singles()
+            yield settle()[0]
+        if repeated:
+            yield deal()
+        give_back()
 
     packed = chunks.mapInArrow(map_side, "bucket int, blob binary")
     dealt = packed.repartition(parts(chunks.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(by_bucket, "kind int, bucket int, a long, b long, n long, blob binary")
+    return dealt.mapInArrow(by_bucket, PIECES)
 
 
 # --- the sweeps ---------------------------------------------------------------------------------------------------------------
 
 
-def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in fewer batches."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= DRAWN_ROWS:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if n:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 class Model:
-    """Seats of all restaurants. ``pairs``: ctx, word, c, c_ctx, t, t_sum; ``words``: word, c, ones, ctx_ones, c0, t0, tables, v.
+    """Seats of all restaurants, in pieces by group. A word's group holds its state (``words``) and the pairs that end with it; pairs that end with one of the
+    few words of more than ``limit`` tokens are dealt over all groups, so that no task gets one of them whole.
 
-    ``ones`` are the contexts that hold the word once, ``ctx_ones`` the words that the context holds once; c0 and t0 are the word's
-    customers and tables in the parent, ``tables`` those of its own restaurant (the word as a context). ``v`` has (p, back) of each kept sweep.
+    ``words``: a group's sorted words, c, ones (contexts that hold the word once), ctx_ones (words that it holds once as a context), t0 (its tables in
+    the parent) and, for each kept sweep, c0 (its customers there), t0 and the tables of its own restaurant. ``pairs``: the distinct words (dishes) and
+    contexts of a group's pairs by their groups, the places of each pair's dish and context among them, c; ``seats``: t of each pair and its sum over kept sweeps.
+
+    Pairs stay where they are. What travels is, for each group, the tables that its pairs have in each of their contexts and of each of their dishes (to the
+    groups of these), and back the tables that the context has in all, and the dish's customers and tables in the parent. After the last
+    sweep ``pairs`` are the pieces that scoring reads.
     """
 
-    def __init__(self, words: DataFrame, repeated: DataFrame, of_context: DataFrame, of_word: DataFrame, total: int, kinds: int, seed: int):
-        self.spark, self.total, self.base, self.seed = words.sparkSession, total, 1.0 / (kinds + 1), seed
-        ones = of_word.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("ones"))
-        ctx_ones = of_context.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("ctx_ones"))
-        lexicon = words.join(ones.hint("shuffle_hash"), "word", "left").join(ctx_ones.hint("shuffle_hash"), "word", "left").na.fill(0, ["ones", "ctx_ones"])
-        self.words = lexicon.withColumns({"t0": F.lit(1).cast("long"), "v": F.array().cast("array<float>")})
-        c_ctx = words.select(F.col("word").alias("ctx"), F.col("c").alias("c_ctx"))
-        pairs = repeated.select(F.col("a").alias("ctx"), F.col("b").alias("word"), F.col("n").alias("c")).join(c_ctx.hint("shuffle_hash"), "ctx")
-        self.pairs = pairs.withColumns({"t": F.floor(F.sqrt("c")).cast("long"), "t_sum": F.lit(0.0)})
-        n1, n2 = of_context.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], repeated.filter("n = 2").count()
+    def __init__(self, counts: DataFrame, found: list[DataFrame], total: int, kinds: int, groups: int, limit: int, hot, buckets: int, n1: int, n2: int, seed: int):
+        self.total, self.base, self.seed, self.groups, self.hot, self.buckets = total, 1.0 / (kinds + 1), seed, groups, hot, buckets
         self.d, self.theta = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2))), STRENGTH  # the usual estimate of the discount
-        self.d0, self.theta0 = None, STRENGTH
-        self.unseen: list[float] = []
+        self.words, self.pairs, self.seats, self.told = self._gather([counts, *found], limit)
+        release(counts, *found)
+        n1, n2 = _sums(self.words)
+        self.d0, self.theta0 = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2))), STRENGTH
+        self.tables0, self.customers0 = float(kinds), 0.0
+        self.kept: list[tuple[float, float]] = []
         self._parent(0)
-        release(of_context, of_word)
         for sweep in range(1, SWEEPS + 1):
             self._contexts(sweep)
             self._parent(sweep)
 
+    @property
+    def unseen(self) -> list[float]:
+        """The parent's share of an unknown word in each kept sweep."""
+        return [(self.theta0 + self.d0 * tables0) * self.base / (self.theta0 + customers0) for tables0, customers0 in self.kept]
+
+    def _step(self, tables: list[DataFrame], run: Callable, name: str, kinds: int) -> list[DataFrame]:
+        rows = _in_groups(reduce(DataFrame.unionAll, [t.select("grp", "ord", "blob") for t in tables]))
+        return materialize_by(rows.mapInArrow(run, PIECES), name, "kind", tuple(range(kinds)))
+
+    def _gather(self, tables: list[DataFrame], limit: int) -> list[DataFrame]:
+        """Groups of words, pairs and first seats, and what is told of them. n1, n2: words of one and of two customers in the parent (those of more
+        than ``limit`` tokens have more, as the first tables are the square roots of counts)."""
+        groups = self.groups
+
+        def run(batches):
+            for group, pieces in _by_group(batches):
+                out, found = [], ([], [], [], [])
+                for ord_, piece in pieces:
+                    steps, *values = unpack(piece, np.uint8, *((np.uint64, np.int64) if ord_ == 3 else (np.int64,)))
+                    found[ord_].append((_keys(steps), *values))
+                counts, ctx_ones, ones, pairs = found
+                if pairs:
+                    word, context, n = (np.concatenate([p[i] for p in pairs]) for i in range(3))
+                    (dishes, dish_at), (contexts, context_at) = _places(word, groups), _places(context, groups)
+                    order = np.argsort(dish_at << 32 | context_at)
+                    dish_at, context_at, n = dish_at[order], context_at[order], n[order]
+                    t = np.floor(np.sqrt(n)).astype(np.int64)
+                    fixed = pack(_steps(dishes), _steps(contexts), np.diff(dish_at, prepend=0).astype(np.uint32), context_at.astype(np.uint32), n)
+                    out += [(1, group, -2, fixed), (2, group, -1, pack(t, np.zeros_like(t))), *_tell(3, group, groups, dishes, contexts, dish_at, context_at, t)]
+                for words, c in counts:  # one, or none where the group has only pairs
+                    as_context, as_word = np.zeros_like(c), np.zeros_like(c)
+                    for side, rows in ((as_context, ctx_ones), (as_word, ones)):
+                        for w, k in rows:
+                            side[np.searchsorted(words, w)] += k
+                    c0 = as_word.copy()
+                    if pairs:
+                        at = np.minimum(np.searchsorted(words, dishes), len(words) - 1)
+                        own = words[at] == dishes
+                        c0[at[own]] += np.bincount(dish_at, t, len(dishes)).astype(np.int64)[own]
+                    c0 = c0[c <= limit]
+                    state = pack(_steps(words), c, as_word, as_context, np.ones_like(c), c[:0])
+                    out.append((0, group, -1, state, int((c0 == 1).sum()), int((c0 == 2).sum())))
+                yield _piece_rows(out)
+
+        return self._step(tables, run, "lm-groups", 4)
+
     def _parent(self, sweep: int) -> None:
         """The tables of all contexts are the parent's customers: count them and reseat the parent."""
-        zero = F.lit(0).cast("long")
-        sides = F.array(F.struct(F.col("word"), F.col("t").alias("t_word"), zero.alias("t_ctx")), F.struct(F.col("ctx").alias("word"), zero.alias("t_word"), F.col("t").alias("t_ctx")))
-        tables = self.pairs.select(F.inline(sides)).groupBy("word").agg(F.sum("t_word").alias("t_word"), F.sum("t_ctx").alias("t_ctx"))
-        rows = self.words.select("word", "c", "ones", "ctx_ones", "t0", "v").join(tables.hint("shuffle_hash"), "word", "left")
-        rows = rows.select("word", "c", "ones", "ctx_ones", (F.col("ones") + F.coalesce("t_word", F.lit(0))).alias("c0"), (F.col("ctx_ones") + F.coalesce("t_ctx", F.lit(0))).alias("tables"), "t0", "v")
-        before = self.words
-        if self.d0 is None:
-            rows = materialize(rows, "lm-words")
-            n1, n2 = rows.agg(F.count_if(F.col("c0") == 1), F.count_if(F.col("c0") == 2)).first()
-            self.d0 = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
-            self.tables0 = float(rows.count())
-            before = rows
         d, theta, tables0, base, seed = self.d0, self.theta0, self.tables0, self.base, self.seed * 100 + 2 * sweep
+        kept, last = sweep > BURN_IN, sweep == SWEEPS
 
         def run(batches):
-            for batch in _larger(batches):
-                key, c0, t0 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4, 6))
+            for group, pieces in _by_group(batches):
+                (_, own), *told = pieces
+                steps, c, ones, ctx_ones, t0, before = unpack(own, np.uint8, *[np.int64] * 5)
+                words, c0, tables, asked = _keys(steps), ones.copy(), ctx_ones.copy(), []
+                for asker, piece in told:
+                    contexts, of_contexts, dishes, of_dishes = unpack(piece, np.uint8, np.int64, np.uint8, np.int64)
+                    at, dish = np.searchsorted(words, _keys(contexts)), np.searchsorted(words, _keys(dishes))
+                    tables[at] += of_contexts
+                    c0[dish] += of_dishes
+                    asked.append((asker, at, dish))
                 t0 = np.minimum(t0, c0)
-                others = tables0 - t0
-                weight = lambda i, k: (theta + d * (others[i] + k - 1)) * base
-                log_new = lambda i, k: _rising(theta / d + others[i] + 1, k - 1) + (k - 1) * np.log(d * base)
-                now = draw_tables(c0, t0, weight, log_new, d, key.view(np.uint64), seed, sweep == 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(now), batch.column(7)], names=["word", "c", "ones", "ctx_ones", "c0", "tables", "t0", "v"])
-
-        fields = "word long, c long, ones long, ctx_ones long, c0 long, tables long, t0 long, v array<float>"
-        self.words = materialize(rows.mapInArrow(run, fields), "lm-words")
-        release(before)
-        self.tables0, self.customers0 = (float(x) for x in self.words.agg(F.coalesce(F.sum("t0"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first())
-        if sweep > BURN_IN:
-            back0 = (self.theta0 + self.d0 * self.tables0) * self.base / (self.theta0 + self.customers0)
-            p = (F.col("c0") - self.d0 * F.col("t0")) / (self.theta0 + self.customers0) + back0
-            back = (self.theta + self.d * F.col("tables")) / (self.theta + F.col("c"))
-            stored = self.words
-            self.words = stored.withColumn("v", F.concat("v", F.array(p.cast("float"), back.cast("float"))))
-            self.words._scratch = stored._scratch
-            self.unseen.append(back0)
+                now = np.empty_like(t0)
+                for s in (slice(i, i + DRAWN_ROWS) for i in range(0, len(words), DRAWN_ROWS)):
+                    others = tables0 - t0[s]
+                    weight = lambda i, k: (theta + d * (others[i] + k - 1)) * base  # noqa: B023, E731
+                    log_new = lambda i, k: _rising(theta / d + others[i] + 1, k - 1) + (k - 1) * np.log(d * base)  # noqa: B023, E731
+                    now[s] = draw_tables(c0[s], t0[s], weight, log_new, d, words[s], seed, sweep == 0)
+                own = pack(steps, c, ones, ctx_ones, now, np.concatenate([before, c0, now, tables]) if kept else before)
+                out = [(0, group, -1, own, int(now.sum()), int(c0.sum()))]
+                yield _piece_rows(out if last else [*out, *((1, asker, group, pack(tables[at], c0[dish], now[dish])) for asker, at, dish in asked)])
+
+        before = self.words, self.told
+        self.words, self.answers = self._step([self.words, self.told], run, "lm-words", 2)
+        release(*before)
+        self.tables0, self.customers0 = (float(x) for x in _sums(self.words))
+        if kept:
+            self.kept.append((self.tables0, self.customers0))
 
     def _contexts(self, sweep: int) -> None:
         """Reseat the dishes of all contexts given the parent and the contexts' other tables."""
-        parent = self.words.select("word", "c0", "t0")
-        own = self.words.select(F.col("word").alias("ctx"), "tables")
-        # a word has one row, so tables of words are small in every task: building them spares the sorts of all pairs
-        rows = self.pairs.select("ctx", "word", "c", "c_ctx", "t", "t_sum").join(own.hint("shuffle_hash"), "ctx").join(parent.hint("shuffle_hash"), "word")
         d, theta, d0, theta0, base, seed = self.d, self.theta, self.d0, self.theta0, self.base, self.seed * 100 + 2 * sweep + 1
-        tables0, customers0, kept = self.tables0, self.customers0, sweep > BURN_IN
-        names = ["ctx", "word", "c", "c_ctx", "t", "t_sum"]
+        tables0, customers0, kept, last, averaged = self.tables0, self.customers0, sweep > BURN_IN, sweep == SWEEPS, SWEEPS - BURN_IN
+        groups, buckets, hot = self.groups, self.buckets, self.hot
 
         def run(batches):
-            for batch in _larger(batches):
-                ctx, word, c, c_ctx, t, t_sum, tables, c0, t0 = (batch.column(batch.schema.get_field_index(n)) for n in (*names, "tables", "c0", "t0"))
-                count, t, tables, c0, t0, sums = (x.to_numpy(zero_copy_only=False) for x in (c, t, tables, c0, t0, t_sum))
-                key = _pair(ctx.to_numpy(zero_copy_only=False).view(np.uint64), word.to_numpy(zero_copy_only=False).view(np.uint64))
-                # without this dish's tables, here and in the parent
-                others, rest = c0 - t, theta / d + tables - t
-                seats, all_others = np.minimum(t0, others), theta0 + customers0 - t
-                back0 = (theta0 + d0 * tables0) * base
-                own = others - d0 * np.maximum(seats, 1) + back0
+            for group, pieces in _by_group(batches):
+                (_, fixed), (_, seats), *told = pieces
+                dishes, contexts, dish_at, context_at, count = unpack(fixed, np.uint8, np.uint8, np.uint32, np.uint32, np.int64)
+                dishes, contexts, dish_at, context_at = _keys(dishes), _keys(contexts), np.cumsum(dish_at, dtype=np.int64), context_at.astype(np.int64)
+                t, sums = unpack(seats, np.int64, np.int64)
+                tables, c0, t0 = (np.concatenate(x) for x in zip(*(unpack(p, *[np.int64] * 3) for _, p in told), strict=True))
+                if (len(tables), len(c0)) != (len(contexts), len(dishes)):
+                    raise RuntimeError(f"a group of {len(contexts)} contexts and {len(dishes)} dishes was told of {len(tables)} and {len(c0)}")
+                key, now = _pair(contexts[context_at], dishes[dish_at]), np.empty_like(t)
+                for s in (slice(i, i + DRAWN_ROWS) for i in range(0, len(t), DRAWN_ROWS)):
+                    now[s] = reseat(key[s], count[s], t[s], tables[context_at[s]], c0[dish_at[s]], t0[dish_at[s]])
+                if kept:
+                    sums = sums + now
+                out = _tell(1, group, groups, dishes, contexts, dish_at, context_at, now)
+                if last:  # the pair's customers less what its tables are discounted: over theta + c of its context, its own share
+                    share = (count - d * sums / averaged).astype(np.float32)
+                    order = np.argsort(key)
+                    key, share, context = key[order], share[order], contexts[context_at[order]]
+                    out += [(0, b, 1, pack(_steps(k), v)) for b, (k, v) in _dealt(_pair_bucket(context, key, hot.value, buckets), key, share)]
+                else:
+                    out.append((0, group, -1, pack(now, sums)))
+                yield _piece_rows(out)
+
+        def reseat(key, count, t, tables, c0, t0):
+            # without this dish's tables, here and in the parent
+            others, rest = c0 - t, theta / d + tables - t
+            seats, all_others = np.minimum(t0, others), theta0 + customers0 - t
+            back0 = (theta0 + d0 * tables0) * base
+            own = others - d0 * np.maximum(seats, 1) + back0
+
+            def weight(i, k):
+                """The k-th table finds the parent with the dish's earlier tables sitting there."""
+                return d * (rest[i] + k - 1) * (own[i] + k - 1) / (all_others[i] + k - 1)
+
+            def log_new(i, k):
+                return _rising(rest[i] + 1, k - 1) + (k - 1) * np.log(d) + _rising(own[i] + 1, k - 1) - _rising(all_others[i] + 1, k - 1)
+
+            return draw_tables(count, t, weight, log_new, d, key, seed, sweep == 1)
+
+        seats, self.told = self._step([self.pairs, self.seats, self.answers], run, "lm-seats", 2)
+        release(self.seats, self.answers)
+        if last:
+            release(self.pairs)
+            self.pairs = seats
+        else:
+            self.seats = seats
 
-                def weight(i, k):
-                    """The k-th table finds the parent with the dish's earlier tables sitting there."""
-                    return d * (rest[i] + k - 1) * (own[i] + k - 1) / (all_others[i] + k - 1)
 
-                def log_new(i, k):
-                    return _rising(rest[i] + 1, k - 1) + (k - 1) * np.log(d) + _rising(own[i] + 1, k - 1) - _rising(all_others[i] + 1, k - 1)
+def _places(words: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words by their groups, sorted inside each, and the place of each word among them."""
+    kinds, at = np.unique(words, return_inverse=True)
+    order = _by_bucket(_home(kinds, groups))
+    return kinds[order], _inverse(order)[at]
 
-                now = draw_tables(count, t, weight, log_new, d, key, seed, sweep == 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ctx, word, c, c_ctx, pa.array(now), pa.array(sums + (now if kept else 0), pa.float64())], names=names)
 
-        before = self.pairs
-        self.pairs = materialize(rows.mapInArrow(run, "ctx long, word long, c long, c_ctx long, t long, t_sum double"), "lm-pairs")
-        release(before)
+def _tell(kind: int, group: int, groups: int, dishes: np.ndarray, contexts: np.ndarray, dish_at: np.ndarray, context_at: np.ndarray, t: np.ndarray) -> list[tuple]:
+    """Pieces of the tables of a group's pairs, in each context and of each dish, for the groups of these."""
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    told = defaultdict(lambda: [none, none])
+    for side, (words, at) in enumerate(((contexts, context_at), (dishes, dish_at))):
+        for g, piece in _dealt(_home(words, groups), words, np.bincount(at, t, len(words)).astype(np.int64)):
+            told[g][side] = piece
+    return [(kind, g, group, pack(_steps(u), k, _steps(w), n)) for g, ((u, k), (w, n)) in told.items()]
 
 
 # --- questions and answers ------------------------------------------------------------------------------------------------------
@@ -534,65 +670,42 @@ def _ask(chunks: DataFrame, hot, buckets: int, turn: int) -> DataFrame:
 
 def _answers(chunks: DataFrame, model: Model, singles: DataFrame, hot, buckets: int) -> list[DataFrame]:
     """The answers to all questions, ``TURNS`` parts of the buckets one after the other. More turns shuffle less at a time and ask for each chunk again."""
-    state, out = _state(model, hot, buckets), []
+    stored, out = _state(model, buckets), []
+    state = reduce(DataFrame.unionAll, [t.select(F.col("grp").alias("bucket"), "ord", F.lit(None).cast("long").alias("chunk"), "blob") for t in stored])
     for turn in range(TURNS):
         mine = lambda df, turn=turn: df.filter(F.col("bucket") % TURNS == turn)
         out.append(materialize(_answer(_ask(chunks, hot, buckets, turn), model, mine(state), mine(singles)), "lm-answers"))
         tidy(chunks.sparkSession, rounds=3)
-    release(state)
+    release(*stored)
     return out
 
 
-def _state(model: Model, hot, buckets: int) -> DataFrame:
-    """The state of words (ord 0) and pairs (1) in packed pieces by bucket, stored; the model's own tables go."""
-    null = lambda kind: F.lit(None).cast(kind)
-    kept = SWEEPS - BURN_IN
-
-    def packed(name: str) -> DataFrame:
-        """The state of words or pairs in packed pieces by bucket, dealt by the same code that the chunks use."""
-        if name == "words":
-            source = model.words.select(F.col("word").alias("a"), F.lit(0).cast("long").alias("b"), "c", "v")
-        else:
-            share = (F.col("c") - model.d * F.col("t_sum") / kept) / (model.theta + F.col("c_ctx"))
-            source = model.pairs.select(F.col("ctx").alias("a"), F.col("word").alias("b"), "c", F.array(share.cast("float")).alias("v"))
+def _state(model: Model, buckets: int) -> list[DataFrame]:
+    """The state of words (ord 0) and pairs (1) in packed pieces by bucket, stored, dealt by the same code that the chunks use; the model's own tables go."""
+    d, theta, d0, theta0, unseen, sizes = model.d, model.theta, model.d0, model.theta0, model.unseen, model.kept
 
-        def run(batches):
-            held, n = [], 0
-
-            def flush():
-                a, b, c, v = (np.concatenate([h[i] for h in held]) for i in range(4))
-                held.clear()
-                key = a if name == "words" else _pair(a, b)
-                bucket = (mix(key) % _U(buckets)).astype(np.int32) if name == "words" else _pair_bucket(a, key, hot.value, buckets)
-                order = np.lexsort((key, bucket))
-                key, c, v, bucket = key[order], c[order], v[order], bucket[order]
-                out = [(x, pack(_steps(key[s]), *([c[s]] if name == "words" else []), v[s])) for x, s in _pieces(bucket)]
-                return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "blob"])
-
-            for batch in batches:
-                a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-                v = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-                held.append((a, b, batch.column(2).to_numpy(zero_copy_only=False), v.reshape(len(a), -1)))
-                n += len(a)
-                if n >= FLUSH_TOKENS // 2:
-                    yield flush()
-                    n = 0
-            if n:
-                yield flush()
+    def run(batches):
+        for _, pieces in _by_group(batches):
+            for _, piece in pieces:
+                steps, c, _, _, _, kept = unpack(piece, np.uint8, *[np.int64] * 5)
+                words, v = _keys(steps), np.empty((len(c), 2 * len(sizes)), dtype=np.float32)
+                for s, (c0, t0, tables) in enumerate(kept.reshape(len(sizes), 3, -1)):
+                    v[:, 2 * s] = (c0 - d0 * t0) / (theta0 + sizes[s][1]) + unseen[s]
+                    v[:, 2 * s + 1] = (theta + d * tables) / (theta + c)
+                yield _piece_rows([(0, b, 0, pack(_steps(w), n, x)) for b, (w, n, x) in _dealt((mix(words) % _U(buckets)).astype(np.int32), words, c, v)])
 
-        return source.mapInArrow(run, "bucket int, blob binary").select("bucket", F.lit(0 if name == "words" else 1).alias("ord"), null("long").alias("chunk"), "blob")
-    state = materialize(packed("words").unionAll(packed("pairs")), "lm-state")
-    release(model.words, model.pairs)
-    return state
+    words = materialize(model.words.select("grp", "ord", "blob").mapInArrow(run, PIECES), "lm-state")
+    release(model.words, model.told)
+    return [words, model.pairs]
 
 
 def _answer(asked: DataFrame, model: Model, state: DataFrame, singles: DataFrame) -> DataFrame:
     """chunk, kind (0 words, 1 pairs), bucket, blob: the values in the order of the questions.
 
-    A word has its count and (p, back) of each kept sweep; a pair its mean own share, -1 where it was seen once.
+    A word has its count and (p, back) of each kept sweep; a pair its mean own share times theta + c of its context, -1 where it was seen once.
     """
     null = lambda kind: F.lit(None).cast(kind)
-    rows = state.unionAll(singles.select("bucket", F.lit(2).alias("ord"), null("long").alias("chunk"), "blob")).unionAll(asked)
+    rows = state.unionAll(singles.select("bucket", "ord", null("long").alias("chunk"), "blob")).unionAll(asked)
     rows = rows.repartition(parts(asked.sparkSession), "bucket").sortWithinPartitions("bucket", "ord", "chunk")
     unknown = np.array([x for p in model.unseen for x in (p, 1.0)], dtype=np.float32)
     width = len(unknown)
@@ -671,7 +784,7 @@ def _meet(chunks: DataFrame, answers: DataFrame, model: Model, kinds: int, hot,
             raise RuntimeError(f"a chunk of {len(chunk.words)} words and {len(chunk.pairs)} pairs has answers for {len(count)} and {len(share)}")
         share = share[chunk.pair_at]
         c_ctx = count[chunk.context_at]
-        share = np.where(share < 0, (1 - d) / (theta + c_ctx), share)
+        share = np.where(share < 0, 1 - d, share) / (theta + c_ctx)
         back = sum(values[chunk.context_at, 2 * s + 1] * values[chunk.word_at, 2 * s] for s in range(kept)) / kept
         of_token = (np.log10((count + 0.1) / floor)[chunk.word_at], np.log10(share + back), (count > 0)[chunk.word_at].astype(np.float64))
         n = docs.counts
@@ -703,21 +816,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)) if held is None else held
     rows = rows.withColumn("held_out", F.coalesce(held, F.lit(False)))
     chunks = materialize(_chunks(rows), "lm-chunks")  # their numbers are drawn, so they are written before anything reads them
-    words = materialize(_count_words(chunks), "lm-counts")
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = words.filter(F.col("c") > total // HOT).select("word").toPandas()["word"].to_numpy(dtype=np.int64)  # at most HOT rows
-    hot = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
-    buckets = max(1, -(-total // BUCKET_TOKENS))
-    repeated, of_context, of_word, singles = materialize_by(_count_pairs(chunks, hot, buckets), "lm-pair-counts", "kind", (0, 1, 2, 3))
+    total = int(chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    groups, buckets = max(1, -(-total // GROUP_TOKENS)), max(1, -(-total // BUCKET_TOKENS))
+    counts, tops = _count_words(chunks, groups, total // HOT)
+    kinds = int(_sums(counts)[0])
+    often = [unpack(r["blob"], np.uint64, np.int64) for r in tops.select("blob").collect()]  # at most HOT words
+    often, n = (np.concatenate([np.zeros(0, kind), *(o[i] for o in often)]) for i, kind in enumerate((np.uint64, np.int64)))
+    limit = GROUP_TOKENS // 8
+    hot, wide = (spark.sparkContext.broadcast(np.sort(x)) for x in (often, often[n > limit]))
+    *found, singles = materialize_by(_count_pairs(chunks, hot, wide, buckets, groups), "lm-pair-counts", "kind", (0, 1, 2, 3))
+    where = singles._scratch
+    n1, n2 = _sums(singles)
+    singles = singles.withColumnRenamed("grp", "bucket")
+    singles._scratch = where
     tidy(spark, rounds=3)
-    model = Model(words, repeated, of_context, of_word, int(total), int(kinds), seed)
-    release(repeated, words)
+    model = Model(counts, found, total, kinds, groups, max(limit, total // HOT), hot, buckets, n1, n2, seed)
+    release(tops)
     answers = _answers(chunks, model, singles, hot, buckets)
     release(singles)
     told, out = reduce(DataFrame.unionAll, answers), []
     for turn in range(TURNS):  # a turn's shuffle, a copy of its chunks and answers, is gone before the next one's
         mine = lambda df, turn=turn: df.filter(F.col("chunk") % TURNS == turn)
-        out.append(materialize(_meet(mine(chunks), mine(told), model, int(kinds), hot, buckets), "lm-scores"))
+        out.append(materialize(_meet(mine(chunks), mine(told), model, kinds, hot, buckets), "lm-scores"))
         tidy(spark, rounds=3)
     release(chunks, *answers)
     return reduce(DataFrame.unionAll, out)

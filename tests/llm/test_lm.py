@@ -202,3 +202,51 @@ def test_chunks_meet_their_answers_in_turns(spark, small, monkeypatch):
     assert sum(len(chunks) for chunks, _ in met) == len(every) == 16 > max(len(chunks) for chunks, _ in met)
     monkeypatch.setattr(lm_score, "TURNS", 1)
     assert rows() == turns and met[-1][0].isdisjoint(every)
+
+
+def test_sweeps_shuffle_pieces_not_rows_of_pairs(spark, monkeypatch):
+    """Each sweep wrote and shuffled a row a pair seen more than once, and a row a word."""
+    r = random.Random(5)
+    ws = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(r.choice(ws) for _ in range(400))) for i in range(100)], "doc_id long, text string").repartition(2)
+    rows = []
+
+    def counted(make):
+        def run(df, name, *more):
+            out = make(df, name, *more)
+            rows.append((name, sum(x.count() for x in (out if isinstance(out, list) else [out]))))
+            return out
+
+        return run
+
+    monkeypatch.setattr(lm_score, "materialize", counted(lm_score.materialize))
+    if hasattr(lm_score, "materialize_by"):
+        monkeypatch.setattr(lm_score, "materialize_by", counted(lm_score.materialize_by))
+    scores = lambda: {x["doc_id"]: x["score"] for x in lm_score.score(df).collect()}
+    one = scores()
+    assert sum(n for name, n in rows if name != "lm-scores") < 100
+    monkeypatch.setattr(lm_score, "GROUP_TOKENS", 2500)  # some 15 groups, words of more than 312 tokens dealt by pair: none here
+    monkeypatch.setattr(lm_score, "HOT", 10)
+    assert scores() == pytest.approx(one, rel=1e-6)
+
+
+def test_pairs_of_very_frequent_words_are_dealt_over_all_groups(spark, monkeypatch):
+    """One word ends most pairs: many small groups have the rows of one group."""
+    r = random.Random(6)
+    texts = [(i, " ".join(x for _ in range(100) for x in (f"w{r.randint(0, 150)}", "the"))) for i in range(100)]
+    df = spark.createDataFrame([*texts, (1000, "the w1 the unseen"), (1001, "")], "doc_id long, text string")
+    rows = lambda: {x["doc_id"]: x for x in lm_score.score(df).collect()}
+    deal, one = lm_score._count_pairs, rows()
+    dealt = []
+
+    def count_pairs(chunks, hot, wide, buckets, groups):
+        dealt.append((groups, len(wide.value)))
+        return deal(chunks, hot, wide, buckets, groups)
+
+    monkeypatch.setattr(lm_score, "_count_pairs", count_pairs)
+    monkeypatch.setattr(lm_score, "GROUP_TOKENS", 1000)
+    many = rows()
+    assert dealt[0][0] > 15 and dealt[0][1] >= 1 and many.keys() == one.keys()
+    for d, x in one.items():
+        assert (many[d]["n_known"], many[d]["n_tokens"]) == (x["n_known"], x["n_tokens"])
+        assert many[d]["base_score"] == pytest.approx(x["base_score"]) and many[d]["score"] == pytest.approx(x["score"], rel=1e-6)
